@@ -21,8 +21,9 @@ Here the exact answer is found in two distributed passes:
    interpolated linearly (the definition used by NumPy's default method and
    by SQL ``quantile_cont``).
 
-Groups with at most ``exact_group_rows`` values skip the sketch: their bracket
-is the whole group, which is bounded by that parameter.  If a bracket ever
+Groups with at most ``exact_group_rows`` values (and never fewer than
+``10 * accuracy``) skip the sketch: their bracket is the whole group, which is
+bounded by that parameter.  If a bracket ever
 misses its rank the query fails loudly rather than returning a wrong value.
 
 Interpolation is exact: integral and decimal inputs are interpolated in
@@ -76,7 +77,10 @@ def exact_quantiles(df: DataFrame, value: str, probs: list[float], names: list[s
     if not inner:
         return stats.select(*by, *[F.col(edge[p]).alias(n) for p, n in zip(probs, names)])
 
-    small = F.col("_n") <= F.lit(exact_group_rows)
+    # The bracket margin (3 / accuracy in probability) must exceed the sketch
+    # error (1 / accuracy) plus one rank (1 / n); groups of at most
+    # 10 * accuracy values therefore always take the bounded exact path.
+    small = F.col("_n") <= F.lit(max(exact_group_rows, 10 * accuracy))
     fracs = [Fraction(p).limit_denominator(1_000_000) for _, p in inner]
     cols = []
     for k, ((j, _), fr) in enumerate(zip(inner, fracs)):

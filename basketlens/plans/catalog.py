@@ -27,8 +27,8 @@ from basketlens.sources.readers import parse_timestamp
 # Parameters of the registered checks.  The state/status/month filter
 # exercises every filter kind; 180 orders per state makes HAVING bite at
 # sf0.01 (the dashboard default is 20).
-FILTER_CHECK = Filters(state="BRAZIL", statuses=("delivered", "shipped"),
-                       months=("1994-01", "1996-12"))
+FILTER_CHECK = Filters(state="NATION_7", statuses=("delivered", "shipped"),
+                       months=("1996-01", "1998-12"))
 WORST_STATES_MIN_ORDERS = 180
 
 

@@ -392,8 +392,8 @@ SELECT DISTINCT kind, value FROM (
     "filtered_orders": _m(f"""
 SELECT order_id, customer_state, order_status, order_month, {_r("payment_value")} AS payment_value
 FROM master
-WHERE customer_state = 'BRAZIL' AND order_status IN ('delivered', 'shipped')
-  AND order_month BETWEEN '1994-01' AND '1996-12'"""),
+WHERE customer_state = 'NATION_7' AND order_status IN ('delivered', 'shipped')
+  AND order_month BETWEEN '1996-01' AND '1998-12'"""),
 
     "sidebar_totals": _m("SELECT count(DISTINCT customer_unique_id) AS customers, count(DISTINCT order_id) AS orders FROM master"),
 
