@@ -154,11 +154,14 @@ def score(base: DataFrame, cuts: DataFrame) -> DataFrame:
             .withColumn("Segment", segment_of()))
 
 
-def build_rfm(master: DataFrame, **quantile_opts) -> DataFrame:
-    """The scored customer table.  The customer-grain base feeds the quantile
-    passes and the scoring pass, so it is persisted (spilling to disk when
-    memory is short; lost blocks are recomputed from lineage)."""
-    base = rfm_base(master).persist(StorageLevel.MEMORY_AND_DISK)
+def build_rfm(master: DataFrame, keep=None, **quantile_opts) -> DataFrame:
+    """The scored customer table.
+
+    The customer-grain base feeds the quantile passes and the scoring pass,
+    so it is materialised once by ``keep`` (default: persisted, spilling to
+    disk; a caller may write it as a table instead)."""
+    base = rfm_base(master)
+    base = keep(base) if keep else base.persist(StorageLevel.MEMORY_AND_DISK)
     return score(base, rfm_cutpoints(base, **quantile_opts))
 
 

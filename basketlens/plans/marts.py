@@ -1,10 +1,12 @@
 """The data products (order master, customer RFM table, churn model) for one
 set of sources, built lazily and kept for reuse by the dashboard datasets.
 
-The dashboard reads the same master and customer table for every dataset,
-so both are persisted once (memory, spilling to disk); a lost block is
-recomputed from lineage.  The batch job (:mod:`basketlens.plans.batch`)
-instead writes them as tables, which also cuts the lineage.
+Every dashboard dataset reads the same master and customer table.  By
+default each product is written once as a Parquet table to the checkpoint
+folder and read back (``keep="table"``): the lineage is cut, executor loss
+costs a re-read instead of a recomputation from the sources, and every
+dataset plans against a pruned, filter-pushed scan.  ``keep="memory"``
+persists instead; ``keep="none"`` leaves the plans lazy (benchmarks).
 """
 
 from __future__ import annotations
@@ -14,6 +16,7 @@ from functools import cached_property
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
+from basketlens.functions.lineage import table_checkpoint
 from basketlens.operators import churn
 from basketlens.operators.delivery import with_order_period
 from basketlens.operators.master import build_master
@@ -28,24 +31,31 @@ FIXED_INTERCEPT = 0.1
 
 
 class Marts:
-    def __init__(self, sources: dict[str, DataFrame], persist: bool = True,
+    def __init__(self, sources: dict[str, DataFrame], keep: str = "table",
                  tables: dict[str, DataFrame] | None = None):
+        if keep not in ("table", "memory", "none"):
+            raise ValueError(f"unknown keep mode {keep!r}")
         self.sources = sources
-        self.persist = persist
+        self.keep = keep
         self.tables = tables or {}
 
-    def _keep(self, df: DataFrame) -> DataFrame:
-        return df.persist(StorageLevel.MEMORY_AND_DISK) if self.persist else df
+    def _keep(self, df: DataFrame, name: str = "mart") -> DataFrame:
+        if self.keep == "table":
+            return table_checkpoint(df, name)
+        if self.keep == "memory":
+            return df.persist(StorageLevel.MEMORY_AND_DISK)
+        return df
 
     @cached_property
     def master(self) -> DataFrame:
         """Order master with ``order_month`` / ``order_year``."""
-        return self._keep(with_order_period(build_master(self.sources)))
+        return self._keep(with_order_period(build_master(self.sources)), "master")
 
     @cached_property
     def rfm(self) -> DataFrame:
         """Scored customer table with the churn label (no probability)."""
-        return self._keep(churn.with_churn_label(build_rfm(self.master)))
+        keep = (lambda df: self._keep(df, "rfm_base")) if self.keep != "none" else None
+        return self._keep(churn.with_churn_label(build_rfm(self.master, keep=keep)), "rfm")
 
     @cached_property
     def churn(self) -> churn.ChurnResult:
@@ -54,7 +64,7 @@ class Marts:
     @cached_property
     def rfm_scored(self) -> DataFrame:
         """Customer table with the fitted model's churn probability."""
-        return self._keep(self.churn.scores)
+        return self._keep(self.churn.scores, "rfm_scored")
 
     @cached_property
     def scaling_stats(self) -> DataFrame:
@@ -64,7 +74,7 @@ class Marts:
     def rfm_fixed(self) -> DataFrame:
         """Customer table scored with the literal model."""
         return self._keep(churn.score_customers(self.rfm, self.scaling_stats,
-                                                FIXED_COEFFICIENTS, FIXED_INTERCEPT))
+                                                FIXED_COEFFICIENTS, FIXED_INTERCEPT), "rfm_fixed")
 
 
 _CACHE: dict[tuple[str, str], Marts] = {}
