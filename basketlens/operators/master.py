@@ -19,6 +19,9 @@ from basketlens.functions.semantics import (first_non_null, last_non_null_nulls_
 from basketlens.operators.delivery import add_delivery_metrics
 
 
+DIMENSION_BROADCAST_ROWS = 1_000_000
+
+
 def items_by_order(items: DataFrame) -> DataFrame:
     """Per order: item count, price and freight sums, first product and
     seller (first non-null by item number, then product and seller id)."""
@@ -79,9 +82,12 @@ def build_master(src: dict[str, DataFrame]) -> DataFrame:
     items = items_by_order(src["order_items"])
     pays = payments_by_order(src["order_payments"])
     revs = latest_review_by_order(src["order_reviews"])
-    prods = product_category(src["products"], src["category_translation"]).select(
-        "product_id", "category")
-    sellers = src["sellers"].select("seller_id", "seller_state")
+    # Product and seller dimensions are broadcast when a row check proves
+    # them small (two narrow columns each); otherwise they are shuffle-joined.
+    prods = broadcast_if_small(product_category(src["products"], src["category_translation"])
+                               .select("product_id", "category"), DIMENSION_BROADCAST_ROWS)
+    sellers = broadcast_if_small(src["sellers"].select("seller_id", "seller_state"),
+                                 DIMENSION_BROADCAST_ROWS)
 
     facts = (orders
              .join(items, "order_id", "left")

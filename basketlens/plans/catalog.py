@@ -20,7 +20,7 @@ from basketlens.operators.filters import Filters, apply_filters, delivered_only,
 from basketlens.operators.master import (items_by_order, latest_review_by_order,
                                          payments_by_order, product_category)
 from basketlens.operators.rfm import rfm_base, rfm_cutpoints, snapshot_date
-from basketlens.plans import churn_views, delivery_views, geo, overview, segments
+from basketlens.plans import churn_views, delivery_views, geo, insights, overview, segments
 from basketlens.plans.marts import Marts, marts_for
 from basketlens.sources.readers import parse_timestamp
 
@@ -389,3 +389,30 @@ def _q(m):
 @query("state_table_fmt")
 def _q(m):
     return geo.state_table_fmt(_state_table(m))
+
+
+# --- narrative statements ---------------------------------------------------
+
+@query("peak_month")
+def _q(m):
+    return insights.peak_month(_mdf(m))
+
+
+@query("top_state_revenue_share")
+def _q(m):
+    return insights.top_state_revenue_share(_delivered(m))
+
+
+@query("dormant_share")
+def _q(m):
+    return insights.dormant_share(m.rfm)
+
+
+@query("delay_vs_review")
+def _q(m):
+    return insights.delay_vs_review(_with_delay(m))
+
+
+@query("churn_by_segment_and_late")
+def _q(m):
+    return insights.churn_by_segment_and_late(m.rfm)

@@ -572,4 +572,33 @@ FROM (
            avg(churn_probability) AS avg_churn
     FROM rfm_fixed WHERE customer_state IS NOT NULL GROUP BY customer_state) r
   ON s.State = r.State) st"""),
+
+    "peak_month": _m("""
+SELECT order_month, count(*) AS orders FROM mdf GROUP BY order_month
+ORDER BY orders DESC, order_month LIMIT 1"""),
+
+    "top_state_revenue_share": _m(f"""
+SELECT State, {_r("revenue")} AS revenue, {_r("CAST(revenue AS DOUBLE) / CAST(total AS DOUBLE) * 100.0")} AS revenue_share_pct
+FROM (SELECT customer_state AS State, coalesce(sum(payment_value), 0) AS revenue,
+             sum(coalesce(sum(payment_value), 0)) OVER () AS total
+      FROM delivered WHERE customer_state IS NOT NULL GROUP BY customer_state)
+ORDER BY revenue DESC, State LIMIT 1"""),
+
+    "dormant_share": _c(f"""
+SELECT count(*) FILTER (WHERE Segment IN ('Lost', 'Hibernating')) AS dormant_customers,
+       count(*) AS customers,
+       {_r("avg(CAST(Segment IN ('Lost', 'Hibernating') AS DOUBLE)) * 100.0")} AS dormant_pct
+FROM rfm"""),
+
+    "delay_vs_review": _m(f"""
+SELECT CASE WHEN is_late THEN 'Late' ELSE 'On Time / Early' END AS Status, count(order_id) AS orders,
+       {_r("avg(review_score)")} AS avg_review, {_r("avg(delay_days)")} AS avg_delay,
+       {_r("(SELECT corr(CAST(delay_days AS DOUBLE), CAST(review_score AS DOUBLE)) FROM d)")} AS delay_review_corr
+FROM d GROUP BY 1"""),
+
+    "churn_by_segment_and_late": _c(f"""
+SELECT Segment, coalesce(late_pct > 0, false) AS had_late_delivery, count(customer_unique_id) AS customers,
+       {_r("avg(CAST(is_churned AS DOUBLE)) * 100.0")} AS churn_rate,
+       {_r("avg(CAST(NOT (is_churned = 1) AS DOUBLE)) * 100.0")} AS retained_pct
+FROM rfm GROUP BY 1, 2"""),
 }
