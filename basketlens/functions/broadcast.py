@@ -9,13 +9,15 @@ from pyspark.sql import functions as F
 def broadcast_if_small(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
     """Mark ``df`` for broadcast when it has at most ``max_rows`` rows.
 
-    The check reads at most ``max_rows + 1`` rows (the limit stops the scan
-    early), so it is cheap even on a big table.  Beyond the bound the frame is
-    returned unchanged and the join falls back to a shuffle join; AQE may
-    still switch to broadcast at run time from the real shuffle sizes.
+    The check is a plain ``count()``: aggregated map-side, one number to the
+    driver (for an unfiltered Parquet table only the file footers are read).
+    It is meant for dimension-sized inputs, whose one extra pass is cheap next
+    to the fact tables.  (``limit(n).count()`` would be worse at scale: every
+    partition would ship up to n rows into one task.)  Beyond the bound the
+    frame is returned unchanged and the join stays a shuffle join, which AQE
+    may still turn into a broadcast at run time from the real shuffle sizes.
     """
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
+    return F.broadcast(df) if df.count() <= max_rows else df
 
 
 def one_row(df: DataFrame) -> DataFrame:
