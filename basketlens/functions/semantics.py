@@ -99,10 +99,6 @@ def title_words(c: str | Column) -> Column:
     return F.initcap(F.regexp_replace(col_(c), "_", " "))
 
 
-def round_half_even(c: str | Column, scale: int) -> Column:
-    return F.bround(col_(c), scale)
-
-
 def fmt_grouped(c: str | Column, decimals: int) -> Column:
     """``{x:,.Nf}``: thousands separators, N decimals."""
     return F.format_number(col_(c), decimals)

@@ -150,7 +150,6 @@ def fit_churn(rfm: DataFrame, features: list[str] = FEATURES, max_iter: int = 10
     # The optimiser makes many passes over the training rows.
     data = data.persist(StorageLevel.MEMORY_AND_DISK)
     train = data.where(~F.col("is_test"))
-    test = data.where(F.col("is_test"))
 
     split = {(bool(r["is_test"]), int(r["label"])): r["rows"] for r in
              data.groupBy("is_test", "label").agg(F.count(F.lit(1)).alias("rows")).collect()}

@@ -21,15 +21,22 @@ from pyspark.sql import functions as F
 from basketlens.functions.lineage import table_checkpoint
 from basketlens.operators.churn import fit_churn
 from basketlens.operators.delivery import delivery_log, with_order_period
-from basketlens.operators.master import build_master
+from basketlens.operators.master import assert_unique, build_master
 from basketlens.operators.rfm import build_rfm
 from basketlens.sources.readers import load_sources, read_master, read_rfm, source_counts
 from basketlens.sources.sinks import write_table
 
+DIMENSION_KEYS = {"customers": "customer_id", "products": "product_id", "sellers": "seller_id",
+                  "category_translation": "product_category_name"}
+
 
 def run_batch(spark: SparkSession, sources: dict[str, DataFrame], out_dir: str,
-              fmt: str = "parquet") -> dict:
+              fmt: str = "parquet", validate: bool = True) -> dict:
     log: dict = {"source_rows": source_counts(sources)}
+    if validate:
+        # every right side of the master's left joins must be unique on its key
+        for name, key in DIMENSION_KEYS.items():
+            assert_unique(sources[name], key, name)
 
     master_path = os.path.join(out_dir, "master")
     master = with_order_period(build_master(sources))

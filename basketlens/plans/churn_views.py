@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from basketlens.functions.quantiles import exact_quantiles
-from basketlens.functions.semantics import fmt_money, fmt_percent, fmt_percent_of_one, money_mean
+from basketlens.functions.semantics import fmt_money, fmt_percent, fmt_percent_of_one
 from basketlens.operators.churn import HIGH_RISK
 from basketlens.operators.rfm import SEGMENT_ORDER, segment_rank
 
@@ -78,6 +78,3 @@ def high_risk_fmt(top: DataFrame) -> DataFrame:
         fmt_percent_of_one("churn_probability").alias("P(Churn)"),
     )
 
-
-def segment_mean_revenue(scored: DataFrame) -> DataFrame:
-    return scored.groupBy("Segment").agg(money_mean("monetary").alias("avg_revenue"))

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from basketlens.functions.quantiles import exact_quantiles
 from basketlens.functions.semantics import fmt_grouped, fmt_money, money_mean, str_of_rounded
-from basketlens.operators.rfm import SEGMENT_ORDER
 from basketlens.plans.overview import share_of_total
 
 SAMPLE_SIZE = 3000
@@ -81,6 +80,3 @@ def segment_distribution(rfm: DataFrame) -> DataFrame:
     counts = rfm.groupBy("Segment").agg(F.count(F.lit(1)).alias("Count"))
     return share_of_total(counts, "Count").orderBy(F.desc("Count"), "Segment")
 
-
-def segment_order() -> list[str]:
-    return list(SEGMENT_ORDER)
