@@ -40,7 +40,8 @@ def run_batch(spark: SparkSession, sources: dict[str, DataFrame], out_dir: str,
 
     master_path = os.path.join(out_dir, "master")
     master = with_order_period(build_master(sources))
-    write_table(master, master_path, "parquet", partition_by=["order_month"])
+    write_table(master, master_path, "parquet", partition_by=["order_month"],
+                cluster_by=["order_id"])
     master = read_master(spark, master_path)
     log["master_rows"] = master.count()
     dl = delivery_log(master).first()

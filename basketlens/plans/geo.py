@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from basketlens.functions.broadcast import broadcast_if_small
 from basketlens.functions.semantics import (fmt_money, fmt_percent, fmt_percent_of_one,
                                             money_mean, pct_not, sum0)
 
@@ -35,9 +34,11 @@ def rfm_by_state(scored: DataFrame) -> DataFrame:
 
 
 def state_table(summary: DataFrame, by_state: DataFrame) -> DataFrame:
-    """State summary left-joined with the customer view; the customer view
-    has one row per state and is broadcast when its size check passes."""
-    return summary.join(broadcast_if_small(by_state, 10_000), "State", "left")
+    """State summary left-joined with the customer view.  Both sides are
+    per-state aggregates (one row per state), so the join moves only those
+    rows; no size check is spent on it and AQE picks the strategy from the
+    real sizes."""
+    return summary.join(by_state, "State", "left")
 
 
 def top20_states(table: DataFrame, k: int = 20) -> DataFrame:
