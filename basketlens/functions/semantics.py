@@ -10,9 +10,6 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-MICROS_PER_DAY = 86_400_000_000
-
-
 def col_(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
@@ -21,12 +18,43 @@ def floor_days(start: str | Column, end: str | Column) -> Column:
     """Whole days from ``start`` to ``end``, floored towards minus infinity.
 
     -12 h gives -1, +12 h gives 0, -25 h gives -2.  ``datediff`` counts date
-    changes and ``timestampdiff(DAY)`` truncates, so neither is right.  The
-    floor is done in exact long arithmetic.  NULL in, NULL out.
+    changes and ``timestampdiff(DAY)`` truncates, so neither is right.
+
+    The difference of two zone-less timestamps is an exact day-time interval
+    (no session time zone is involved; ``timestamp_diff`` would convert
+    zone-less values to the session zone and be off by an hour across a
+    daylight-saving change).  Its day field truncates towards zero and the
+    remainder carries the sign, so a negative remainder takes one more day
+    off.  NULL in, NULL out.
     """
-    micros = F.timestamp_diff("MICROSECOND", col_(start), col_(end))
-    d = F.lit(MICROS_PER_DAY)
-    return ((micros - F.pmod(micros, d)) / d).cast("long")
+    iv = col_(end) - col_(start)
+    days = F.extract(F.lit("DAY"), iv).cast("long")
+    negative = ((F.extract(F.lit("HOUR"), iv) < 0) | (F.extract(F.lit("MINUTE"), iv) < 0)
+                | (F.extract(F.lit("SECOND"), iv) < 0))
+    return days - negative.cast("long")
+
+
+def ntz_text(c: str | Column, fraction: bool = True) -> Column:
+    """``yyyy-MM-dd HH:mm:ss[.ffffff]`` text of a zone-less timestamp, built
+    from its fields (``date_format`` would pass through the session time
+    zone and shift wall-clock times that fall into a daylight-saving gap)."""
+    ts = col_(c)
+    parts = [F.year(ts), F.month(ts), F.dayofmonth(ts), F.hour(ts), F.minute(ts), F.second(ts)]
+    if not fraction:
+        return F.format_string("%04d-%02d-%02d %02d:%02d:%02d", *parts)
+    micros = (F.extract(F.lit("SECOND"), ts) * 1_000_000).cast("long") % 1_000_000
+    return F.format_string("%04d-%02d-%02d %02d:%02d:%02d.%06d", *parts, micros)
+
+
+def ntz_date_text(c: str | Column) -> Column:
+    ts = col_(c)
+    return F.format_string("%04d-%02d-%02d", F.year(ts), F.month(ts), F.dayofmonth(ts))
+
+
+def ntz_month_text(c: str | Column) -> Column:
+    """``yyyy-MM`` of a zone-less timestamp (NULL stays NULL)."""
+    ts = col_(c)
+    return F.when(ts.isNotNull(), F.format_string("%04d-%02d", F.year(ts), F.month(ts)))
 
 
 def plus_days(ts: str | Column, days: int) -> Column:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from basketlens.functions.semantics import flag, floor_days, pct_not
+from basketlens.functions.semantics import flag, floor_days, ntz_month_text, pct_not
 
 DELIVERED = "delivered"
 
@@ -34,8 +34,7 @@ def add_delivery_metrics(df: DataFrame) -> DataFrame:
 def with_order_period(df: DataFrame) -> DataFrame:
     """``order_month`` ('yyyy-MM' text) and ``order_year`` of the purchase."""
     ts = F.col("order_purchase_timestamp")
-    return df.withColumn("order_month", F.date_format(ts, "yyyy-MM")).withColumn(
-        "order_year", F.year(ts))
+    return df.withColumn("order_month", ntz_month_text(ts)).withColumn("order_year", F.year(ts))
 
 
 def delivery_log(master: DataFrame) -> DataFrame:

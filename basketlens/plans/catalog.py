@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from basketlens.functions.broadcast import one_row
-from basketlens.functions.semantics import floor_days
+from basketlens.functions.semantics import floor_days, ntz_date_text, ntz_text
 from basketlens.operators import churn
 from basketlens.operators.delivery import delivery_log
 from basketlens.operators.filters import Filters, apply_filters, delivered_only, filter_options
@@ -125,8 +125,8 @@ def _q(m):
     timestamps parse, date-only text and junk become NULL."""
     ev = m.tables["events"]
     text = (F.when(F.col("event_type") == "error", F.concat(F.lit("bad-"), F.col("event_id").cast("string")))
-            .when(F.col("event_type") == "signup", F.date_format("ts", "yyyy-MM-dd"))
-            .otherwise(F.date_format("ts", "yyyy-MM-dd HH:mm:ss")))
+            .when(F.col("event_type") == "signup", ntz_date_text("ts"))
+            .otherwise(ntz_text("ts", fraction=False)))
     return ev.select("event_id", text.alias("raw")).select(
         "event_id", "raw", parse_timestamp("raw").alias("parsed"))
 

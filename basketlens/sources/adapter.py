@@ -13,7 +13,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basketlens.functions.semantics import plus_days
+from basketlens.functions.semantics import ntz_text, plus_days
 
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events"]
 
@@ -84,8 +84,7 @@ def logical_sources(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     reviews = ev.select(F.col("event_id").alias("review_id"),
                         F.expr("event_id div 2").alias("order_id"),
                         (F.pmod(F.floor("value"), F.lit(5)) + 1).cast("int").alias("review_score"),
-                        F.when(F.col("event_type") != "error",
-                               F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS"))
+                        F.when(F.col("event_type") != "error", ntz_text("ts"))
                         .alias("review_answer_timestamp"))
 
     products = t["part"].select(

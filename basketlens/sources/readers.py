@@ -9,8 +9,6 @@ from pyspark.sql import functions as F
 
 from basketlens.sources.schemas import CSV_SCHEMAS, ORDER_TIMESTAMPS, REQUIRED
 
-TIMESTAMP_FORMAT = "yyyy-MM-dd HH:mm:ss"
-
 
 class MissingInput(RuntimeError):
     """A required file or column is absent; raised before any job runs."""
@@ -23,11 +21,26 @@ def require_columns(df: DataFrame, columns: list[str], what: str) -> DataFrame:
     return df
 
 
-def parse_timestamp(c: str | Column, fmt: str = TIMESTAMP_FORMAT) -> Column:
-    """Coercing parse: text that does not match ``fmt`` exactly (bad text,
-    date-only text) becomes NULL instead of failing the job."""
+# ``yyyy-MM-dd HH:mm:ss``: the only accepted timestamp text.
+TIMESTAMP_TEXT = r"^(\d{4})-(\d{2})-(\d{2}) (\d{2}):(\d{2}):(\d{2})$"
+
+
+def parse_timestamp(c: str | Column) -> Column:
+    """Coercing parse to a zone-less timestamp: text that is not exactly
+    ``yyyy-MM-dd HH:mm:ss`` (junk, date-only text) or is not a valid time
+    (e.g. February 30) becomes NULL instead of failing the job.
+
+    Built from the fields with ``try_make_timestamp_ntz``, so no session time
+    zone is involved (a zone round trip would move wall-clock times inside a
+    daylight-saving gap).
+    """
     col = F.col(c) if isinstance(c, str) else c
-    return F.try_to_timestamp(col, F.lit(fmt)).cast("timestamp_ntz")
+
+    def part(i):
+        return F.regexp_extract(col, TIMESTAMP_TEXT, i).cast("int")
+
+    return F.when(col.rlike(TIMESTAMP_TEXT),
+                  F.try_make_timestamp_ntz(part(1), part(2), part(3), part(4), part(5), part(6)))
 
 
 def _path(base: str, name: str, ext: str) -> str:

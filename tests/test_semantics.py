@@ -1,7 +1,6 @@
 """Edge rows for each semantic rule (hand-made frames, one rule each)."""
 
 import pytest
-from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from basketlens.functions.semantics import (first_non_null, floor_days, fmt_grouped,
@@ -85,11 +84,6 @@ def test_s12_null_key_kept(spark):
     assert len(m) == 1 and m[0].category is None and m[0].seller_state is None
 
 
-def _cuts(spark, r, m):
-    return spark.createDataFrame([tuple(r) + tuple(m) + (1,)], ", ".join(
-        [f"r{i} double" for i in range(6)] + [f"m{i} double" for i in range(6)] + ["max_frequency int"]))
-
-
 def test_s13_quintile_ties_share_bins(spark):
     from basketlens.operators.rfm import QUINTILES, rfm_cutpoints
     vals = list(range(1, 11)) + [10]
@@ -191,3 +185,23 @@ def test_ml7_class_never_predicted_precision_zero(spark):
     assert rep["1"].precision == 0.0 and rep["1"].recall == 0.0 and rep["1"].f1_score == 0.0
     assert rep["0"].precision == pytest.approx(1 / 3) and rep["accuracy"].f1_score == pytest.approx(1 / 3)
     assert rep["weighted avg"].support == 3
+
+
+def test_timestamps_do_not_depend_on_session_time_zone(spark):
+    """Zone-less timestamps across a daylight-saving change: day counts,
+    month text, review-time text and parsing must not move."""
+    from basketlens.functions.semantics import ntz_month_text, ntz_text
+    old = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/Sao_Paulo")  # DST began 1999-10-03 00:00
+    try:
+        df = spark.createDataFrame([("1999-10-02 00:00:00", "1999-10-04 00:00:00"),
+                                    ("1999-10-03 00:30:00", "1999-10-01 12:00:00")], "a string, b string")
+        out = df.select(
+            floor_days(parse_timestamp("a"), parse_timestamp("b")).alias("d"),
+            ntz_month_text(parse_timestamp("a")).alias("m"),
+            ntz_text(parse_timestamp("a")).alias("t")).collect()
+        assert [r.d for r in out] == [2, -2]
+        assert [r.m for r in out] == ["1999-10", "1999-10"]
+        assert out[1].t == "1999-10-03 00:30:00.000000"
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
