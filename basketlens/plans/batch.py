@@ -15,12 +15,12 @@ import argparse
 import json
 import os
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from basketlens.functions.lineage import table_checkpoint
 from basketlens.operators.churn import fit_churn
-from basketlens.operators.delivery import delivery_log, with_order_period
+from basketlens.operators.delivery import DELIVERED, with_order_period
 from basketlens.operators.master import assert_unique, build_master
 from basketlens.operators.rfm import build_rfm
 from basketlens.sources.readers import load_sources, read_master, read_rfm, source_counts
@@ -39,13 +39,17 @@ def run_batch(spark: SparkSession, sources: dict[str, DataFrame], out_dir: str,
             assert_unique(sources[name], key, name)
 
     master_path = os.path.join(out_dir, "master")
-    master = with_order_period(build_master(sources))
-    write_table(master, master_path, "parquet", partition_by=["order_month"],
-                cluster_by=["order_id"])
+    # The master's row count and delivery log are observed while it is
+    # written: no extra pass over the master.
+    seen = Observation("master_log")
+    dlv = F.col("order_status") == DELIVERED
+    metrics = [F.count(F.lit(1)).alias("master_rows"),
+               (F.avg(F.when(dlv, (~F.col("is_late")).cast("double"))) * 100.0).alias("on_time_pct"),
+               F.avg(F.when(dlv & F.col("is_late"), F.col("delay_days"))).alias("avg_late_delay")]
+    write_table(with_order_period(build_master(sources)), master_path, "parquet",
+                partition_by=["order_month"], cluster_by=["order_id"], observe=(seen, metrics))
+    log.update(seen.get)
     master = read_master(spark, master_path)
-    log["master_rows"] = master.count()
-    dl = delivery_log(master).first()
-    log["on_time_pct"], log["avg_late_delay"] = dl.on_time_pct, dl.avg_late_delay
 
     rfm = build_rfm(master, keep=lambda df: table_checkpoint(df, "rfm_base"))
     rfm = table_checkpoint(rfm, "rfm")

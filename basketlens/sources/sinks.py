@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 
 def write_table(df: DataFrame, path: str, fmt: str = "parquet",
                 partition_by: list[str] | None = None,
-                cluster_by: list[str] | None = None) -> None:
+                cluster_by: list[str] | None = None, observe=None) -> None:
     """Overwrite ``path`` with ``df``; the writer creates missing folders.
 
     Parquet is the default hand-off format (typed, columnar, prunable).  CSV
@@ -19,9 +19,15 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet",
     contiguous key range: a few files per partition value instead of one
     file per task and value, and evenly sized tasks even when one value is
     much larger than the others.
+
+    ``observe`` = (Observation, metric columns) collects metrics during the
+    write itself; it is attached after the range repartition, whose sampling
+    pass would otherwise be counted too.
     """
     if partition_by:
         df = df.repartitionByRange(*partition_by, *(cluster_by or []))
+    if observe:
+        df = df.observe(observe[0], *observe[1])
     w = df.write.mode("overwrite")
     if partition_by:
         w = w.partitionBy(*partition_by)
