@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,6 +22,16 @@ def broadcast_if_small(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
     return F.broadcast(df) if df.count() <= max_rows else df
 
 
+def row_counts(frames: dict[str, DataFrame]) -> dict[str, int]:
+    """Row counts of several frames in one job: each contributes rows tagged
+    with its name (no columns are read), counted map-side per tag."""
+    tagged = [df.select(F.lit(name).alias("_t")) for name, df in frames.items()]
+    union = reduce(DataFrame.unionByName, tagged)
+    counts = {r["_t"]: r["n"] for r in
+              union.groupBy("_t").agg(F.count(F.lit(1)).alias("n")).collect()}
+    return {name: counts.get(name, 0) for name in frames}
+
+
 def one_row(df: DataFrame) -> DataFrame:
     """Broadcast a global (ungrouped) aggregate: exactly one row by
     construction, so its size is bounded independent of the data."""

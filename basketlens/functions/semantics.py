@@ -81,14 +81,35 @@ def pct_not(c: str | Column) -> Column:
     return F.avg((~col_(c)).cast("double")) * F.lit(100.0)
 
 
-def money_mean(c: str | Column) -> Column:
-    """Mean of an exact (decimal) money column as a double.
+# Money is exact to 1/10,000 of the currency unit.
+MONEY_UNITS = 10_000
+
 
-    The exact sum is converted once and divided by the count, so the result
-    does not depend on the order in which partitions are merged.
+def money_units(c: str | Column) -> Column:
+    """A money amount as a whole number of 1/10,000 units (long).
+
+    Exact for decimal(p, 4) and for doubles carrying at most 4 decimals, up
+    to about 2e11 per value.  Summing longs stays on Spark's fixed-width hash
+    aggregation path, whereas a decimal sum needs more than 18 digits and
+    falls back to arbitrary-precision arithmetic; a long overflow raises
+    (ANSI) instead of wrapping.
     """
+    return F.rint(col_(c).cast("double") * F.lit(float(MONEY_UNITS))).cast("long")
+
+
+def money_sum(c: str | Column) -> Column:
+    """Exact money sum as ``decimal(38,4)``; 0 when there is nothing to sum.
+    Independent of the order in which partitions are merged."""
+    units = F.coalesce(F.sum(money_units(c)), F.lit(0))
+    return (units.cast("decimal(38,0)") / F.lit(MONEY_UNITS)).cast("decimal(38,4)")
+
+
+def money_mean(c: str | Column) -> Column:
+    """Mean of a money column as a double: the exact sum, converted once,
+    divided by the count of non-null values."""
     x = col_(c)
-    return F.try_divide(F.sum(x).cast("double"), F.count(x).cast("double"))
+    total = F.sum(money_units(x)).cast("double") / F.lit(float(MONEY_UNITS))
+    return F.try_divide(total, F.count(x).cast("double"))
 
 
 def first_non_null(value: str | Column, *order: str | Column) -> Column:

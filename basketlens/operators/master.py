@@ -13,9 +13,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from basketlens.functions.broadcast import broadcast_if_small
+from basketlens.functions.broadcast import broadcast_if_small, row_counts
 from basketlens.functions.semantics import (first_non_null, last_non_null_nulls_last, mode_low,
-                                            sum0, title_words)
+                                            money_sum, title_words)
 from basketlens.operators.delivery import add_delivery_metrics
 
 
@@ -29,8 +29,8 @@ def items_by_order(items: DataFrame) -> DataFrame:
     return (items.where(F.col("order_id").isNotNull())
             .groupBy("order_id")
             .agg(F.count("order_item_id").alias("item_count"),
-                 sum0("price").alias("total_price"),
-                 sum0("freight_value").alias("total_freight"),
+                 money_sum("price").alias("total_price"),
+                 money_sum("freight_value").alias("total_freight"),
                  first_non_null("product_id", *order).alias("product_id"),
                  first_non_null("seller_id", *order).alias("seller_id")))
 
@@ -40,7 +40,7 @@ def payments_by_order(payments: DataFrame) -> DataFrame:
     none: "unknown") and mean number of installments."""
     return (payments.where(F.col("order_id").isNotNull())
             .groupBy("order_id")
-            .agg(sum0("payment_value").alias("payment_value"),
+            .agg(money_sum("payment_value").alias("payment_value"),
                  F.coalesce(mode_low("payment_type"), F.lit("unknown")).alias("payment_type"),
                  F.avg("payment_installments").alias("payment_installments")))
 
@@ -59,11 +59,17 @@ def latest_review_by_order(reviews: DataFrame) -> DataFrame:
                  .alias("review_score")))
 
 
-def product_category(products: DataFrame, translation: DataFrame) -> DataFrame:
+def product_category(products: DataFrame, translation: DataFrame,
+                     broadcast_translation: bool | None = None) -> DataFrame:
     """Products with ``category``: English name, else original name, else
-    "unknown"; underscores to spaces, title case."""
-    tr = broadcast_if_small(translation.select("product_category_name",
-                                               "product_category_name_english"))
+    "unknown"; underscores to spaces, title case.  The translation table is
+    broadcast behind a size check (``broadcast_translation`` passes a check
+    already made)."""
+    tr = translation.select("product_category_name", "product_category_name_english")
+    if broadcast_translation is None:
+        tr = broadcast_if_small(tr, DIMENSION_BROADCAST_ROWS)
+    elif broadcast_translation:
+        tr = F.broadcast(tr)
     return (products.join(tr, "product_category_name", "left")
             .withColumn("category", title_words(F.coalesce(
                 F.col("product_category_name_english"), F.col("product_category_name"),
@@ -82,12 +88,17 @@ def build_master(src: dict[str, DataFrame]) -> DataFrame:
     items = items_by_order(src["order_items"])
     pays = payments_by_order(src["order_payments"])
     revs = latest_review_by_order(src["order_reviews"])
-    # Product and seller dimensions are broadcast when a row check proves
-    # them small (two narrow columns each); otherwise they are shuffle-joined.
-    prods = broadcast_if_small(product_category(src["products"], src["category_translation"])
-                               .select("product_id", "category"), DIMENSION_BROADCAST_ROWS)
-    sellers = broadcast_if_small(src["sellers"].select("seller_id", "seller_state"),
-                                 DIMENSION_BROADCAST_ROWS)
+    # Dimensions are broadcast when a row check proves them small (the
+    # translation join keeps the product count); otherwise they are
+    # shuffle-joined.  One job counts all three.
+    n = row_counts({"translation": src["category_translation"], "products": src["products"],
+                    "sellers": src["sellers"]})
+    small = {k: v <= DIMENSION_BROADCAST_ROWS for k, v in n.items()}
+    prods = product_category(src["products"], src["category_translation"],
+                             small["translation"]).select("product_id", "category")
+    prods = F.broadcast(prods) if small["products"] else prods
+    sellers = src["sellers"].select("seller_id", "seller_state")
+    sellers = F.broadcast(sellers) if small["sellers"] else sellers
 
     facts = (orders
              .join(items, "order_id", "left")

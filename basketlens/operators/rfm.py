@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 
 from basketlens.functions.broadcast import one_row
 from basketlens.functions.quantiles import exact_quantiles
-from basketlens.functions.semantics import (first_non_null, floor_days, mode_low, pct_true,
-                                            plus_days, sum0)
+from basketlens.functions.semantics import (first_non_null, floor_days, mode_low, money_sum,
+                                            pct_true, plus_days)
 from basketlens.operators.delivery import DELIVERED
 
 # Segment rules, first match wins, default "Hibernating".
@@ -70,7 +70,7 @@ def rfm_base(master: DataFrame) -> DataFrame:
                     .groupBy("customer_unique_id")
                     .agg(F.max("order_purchase_timestamp").alias("last_order_date"),
                          F.count("order_id").alias("frequency"),
-                         sum0("payment_value").alias("monetary"),
+                         money_sum("payment_value").alias("monetary"),
                          F.avg("review_score").alias("avg_review_score"),
                          pct_true("is_late").alias("late_pct"),
                          F.avg("delay_days").alias("avg_delay_days"),

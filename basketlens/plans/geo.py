@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from basketlens.functions.semantics import (fmt_money, fmt_percent, fmt_percent_of_one,
-                                            money_mean, pct_not, sum0)
+                                            money_mean, money_sum, pct_not)
 
 
 def state_summary(delivered: DataFrame) -> DataFrame:
@@ -15,7 +15,7 @@ def state_summary(delivered: DataFrame) -> DataFrame:
     return (delivered.where(F.col("customer_state").isNotNull())
             .groupBy("customer_state")
             .agg(F.count("order_id").alias("orders"),
-                 sum0("payment_value").cast("double").alias("revenue"),
+                 money_sum("payment_value").cast("double").alias("revenue"),
                  money_mean("payment_value").alias("avg_revenue"),
                  F.avg("review_score").alias("avg_review"),
                  pct_not(F.coalesce(F.col("is_late"), F.lit(False))).alias("on_time_rate"),

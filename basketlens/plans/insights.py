@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from basketlens.functions.broadcast import one_row
-from basketlens.functions.semantics import pct_not, sum0
+from basketlens.functions.semantics import money_sum, pct_not
 from basketlens.plans.delivery_views import delay_status
 
 
@@ -22,7 +22,7 @@ def top_state_revenue_share(delivered: DataFrame) -> DataFrame:
     """The state with the highest delivered revenue and its share of the
     total, in percent."""
     per_state = (delivered.where(F.col("customer_state").isNotNull())
-                 .groupBy("customer_state").agg(sum0("payment_value").alias("revenue")))
+                 .groupBy("customer_state").agg(money_sum("payment_value").alias("revenue")))
     total = per_state.agg(F.sum("revenue").alias("_total"))
     top = per_state.orderBy(F.desc("revenue"), "customer_state").limit(1)
     return top.crossJoin(one_row(total)).select(

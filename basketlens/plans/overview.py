@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from basketlens.functions.broadcast import one_row
-from basketlens.functions.semantics import money_mean, pct_not, sum0, title_words
+from basketlens.functions.semantics import money_mean, money_sum, pct_not, title_words
 from basketlens.operators.delivery import DELIVERED
 
 REVIEW_TARGET = 4.0
@@ -29,7 +29,7 @@ def overview_kpis(mdf: DataFrame) -> DataFrame:
     kpis = mdf.agg(
         F.countDistinct("customer_unique_id").alias("total_customers"),
         F.count("order_id").alias("total_orders"),
-        sum0(pay).cast("double").alias("total_revenue"),
+        money_sum(pay).cast("double").alias("total_revenue"),
         money_mean(pay).alias("avg_order_value"),
         F.avg(F.when(dlv, F.col("review_score"))).alias("avg_review"),
         pct_not(F.when(dlv, F.coalesce(F.col("is_late"), F.lit(False)))).alias("on_time_rate"),
@@ -43,7 +43,7 @@ def monthly_trend(mdf: DataFrame) -> DataFrame:
     return (mdf.where(F.col("order_month").isNotNull())
             .groupBy("order_month")
             .agg(F.count("order_id").alias("Orders"),
-                 sum0("payment_value").cast("double").alias("Revenue"))
+                 money_sum("payment_value").cast("double").alias("Revenue"))
             .orderBy("order_month"))
 
 
@@ -67,7 +67,7 @@ def top_states_revenue(delivered: DataFrame, k: int = 10) -> DataFrame:
     """The k states with the highest delivered revenue (ties by name)."""
     return (delivered.where(F.col("customer_state").isNotNull())
             .groupBy("customer_state")
-            .agg(sum0("payment_value").cast("double").alias("Revenue"))
+            .agg(money_sum("payment_value").cast("double").alias("Revenue"))
             .select(F.col("customer_state").alias("State"), "Revenue")
             .orderBy(F.desc("Revenue"), "State")
             .limit(k))

@@ -2,8 +2,9 @@
 retail sources.
 
 The analytics only see the logical sources; this module is the only place
-that knows about the test tables.  Money is cast to ``DECIMAL(18,4)`` so that
-sums are exact and do not depend on the order partitions are merged in.
+that knows about the test tables.  Money columns carry at most 4 decimals;
+the analytics sum them exactly in 1/10,000 units (``money_sum``), so totals
+do not depend on the order partitions are merged in.
 """
 
 from __future__ import annotations
@@ -32,7 +33,6 @@ CATEGORY_TRANSLATION = [
 ORDER_STATUS = {"F": "delivered", "O": "shipped"}        # anything else: "processing"
 PAYMENT_TYPE = {"A": "credit_card", "N": "boleto"}       # anything else: "voucher"
 ESTIMATE_DAYS = 1200
-MONEY = "decimal(18,4)"
 
 
 def read_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
@@ -71,13 +71,13 @@ def logical_sources(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
                       F.col("l_linenumber").alias("order_item_id"),
                       F.col("l_partkey").alias("product_id"),
                       F.col("l_suppkey").alias("seller_id"),
-                      F.col("l_extendedprice").cast(MONEY).alias("price"),
-                      (F.col("l_extendedprice") * F.col("l_tax")).cast(MONEY).alias("freight_value"))
+                      F.col("l_extendedprice").alias("price"),
+                      (F.col("l_extendedprice") * F.col("l_tax")).alias("freight_value"))
 
     payments = li.select(F.col("l_orderkey").alias("order_id"),
                          _code_map("l_returnflag", PAYMENT_TYPE, "voucher").alias("payment_type"),
                          F.col("l_quantity").alias("payment_installments"),
-                         (F.col("l_extendedprice") * (1 - F.col("l_discount"))).cast(MONEY)
+                         (F.col("l_extendedprice") * (1 - F.col("l_discount")))
                          .alias("payment_value"))
 
     ev = t["events"]
