@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from basketlens.functions.quantiles import exact_quantiles
 from basketlens.functions.semantics import fmt_grouped, fmt_money, money_mean, str_of_rounded
 from basketlens.plans.overview import share_of_total
 
@@ -71,8 +70,13 @@ def rfm_total_hist(rfm: DataFrame) -> DataFrame:
 
 
 def rfm_total_median(rfm: DataFrame) -> DataFrame:
-    q = exact_quantiles(rfm, "RFM_total", [0.5], ["median_rfm_total"])
-    return q.select(F.col("median_rfm_total").cast("double").alias("median_rfm_total"))
+    """Median RFM total.  The total takes at most 13 values (3..15), so the
+    customers are first counted per value (map-side) and the exact
+    ``percentile`` runs on those few (value, count) rows with the count as
+    frequency: its value map is bounded by construction."""
+    counts = rfm.groupBy("RFM_total").agg(F.count(F.lit(1)).alias("n"))
+    return counts.agg(F.percentile("RFM_total", 0.5, F.col("n")).cast("double")
+                      .alias("median_rfm_total"))
 
 
 def segment_distribution(rfm: DataFrame) -> DataFrame:
