@@ -7,11 +7,8 @@ import duckdb
 import pytest
 
 import __spark_entry__ as E
-from conftest import ROOT, SF_SMALL
-
-import sys
-sys.path.insert(0, os.path.join(ROOT, "tools"))
-from check_oracle import TABLES, digest  # noqa: E402
+from conftest import SF_SMALL
+from check_oracle import TABLES, digest
 
 
 def test_entry_smoke(spark):
