@@ -14,14 +14,15 @@ import uuid
 from pyspark.sql import DataFrame
 
 from basketlens.session import ensure_checkpoint_dir
+from basketlens.sources.sinks import write_table
 
 
-def table_checkpoint(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
+def table_checkpoint(df: DataFrame, name: str, partition_by: list[str] | None = None,
+                     cluster_by: list[str] | None = None) -> DataFrame:
+    """Write ``df`` under the checkpoint folder and return the table read back
+    (partitioned and range-clustered as :func:`write_table` does)."""
     spark = df.sparkSession
     base = ensure_checkpoint_dir(spark).rstrip("/")
     path = f"{base}/basketlens-tables/{name}-{uuid.uuid4().hex}"
-    w = df.write.mode("overwrite")
-    if partition_by:
-        w = w.partitionBy(*partition_by)
-    w.parquet(path)
+    write_table(df, path, "parquet", partition_by=partition_by, cluster_by=cluster_by)
     return spark.read.parquet(path)

@@ -39,9 +39,9 @@ class Marts:
         self.keep = keep
         self.tables = tables or {}
 
-    def _keep(self, df: DataFrame, name: str = "mart") -> DataFrame:
+    def _keep(self, df: DataFrame, name: str = "mart", **layout) -> DataFrame:
         if self.keep == "table":
-            return table_checkpoint(df, name)
+            return table_checkpoint(df, name, **layout)
         if self.keep == "memory":
             return df.persist(StorageLevel.MEMORY_AND_DISK)
         return df
@@ -49,7 +49,10 @@ class Marts:
     @cached_property
     def master(self) -> DataFrame:
         """Order master with ``order_month`` / ``order_year``."""
-        return self._keep(with_order_period(build_master(self.sources)), "master")
+        # Partitioned by purchase month (month filters prune files) and
+        # range-clustered, like the batch job's master.
+        return self._keep(with_order_period(build_master(self.sources)), "master",
+                          partition_by=["order_month"], cluster_by=["order_id"])
 
     @cached_property
     def rfm(self) -> DataFrame:
