@@ -80,3 +80,20 @@ def test_coefficient_reader_tolerates_index_and_headers(spark):
     coef = read_coefficients(spark, p, fmt="csv")
     assert coef.columns == ["Feature", "Coefficient"]
     assert coef.count() == 2
+
+
+def test_dashboard_over_batch_outputs(spark):
+    from basketlens.operators.filters import Filters
+    from basketlens.plans.dashboard import Dashboard
+    out = tempfile.mkdtemp(prefix="basketlens-dash-")
+    run_batch(spark, logical_sources(spark, SF_SMALL), out, validate=False)
+    dash = Dashboard.from_outputs(spark, out)
+    names = dash.datasets()
+    assert "coefficients_by_value" in names and len(names) >= 36
+    for name in names:
+        dash.dataset(name).collect()
+    kpis = dash.dataset("overview_kpis").first()
+    assert kpis.total_orders == dash.master.where("order_status = 'delivered'").count()
+    narrow = Dashboard.from_outputs(spark, out, Filters(state="NATION_7", statuses=()))
+    assert narrow.dataset("sidebar_totals").first().orders == dash.dataset("sidebar_totals").first().orders
+    assert narrow.mdf.count() == dash.master.where("customer_state = 'NATION_7'").count()
