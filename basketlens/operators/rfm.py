@@ -84,20 +84,28 @@ def rfm_base(master: DataFrame) -> DataFrame:
 
 
 def rfm_cutpoints(base: DataFrame, accuracy: int = 10_000,
-                  exact_group_rows: int = 1_000_000) -> DataFrame:
+                  exact_group_rows: int = 1_000_000, approximate: bool = False) -> DataFrame:
     """One row: the six quintile edges of recency (``r0``..``r5``) and of
     monetary (``m0``..``m5``), plus the highest frequency.
 
     Both metrics go through one set of quantile passes: they are stacked as
     (metric, value) rows and grouped by metric (two groups, a proven bound).
+    ``approximate=True`` opts in to one ``percentile_approx`` pass instead
+    (rank error at most n / accuracy; edges are then sample values, not
+    interpolated ones).
     """
     stacked = base.select(F.explode(F.array(
         F.struct(F.lit("r").alias("metric"), F.col("recency_days").cast(_EDGE).alias("v")),
         F.struct(F.lit("m").alias("metric"), F.col("monetary").cast(_EDGE).alias("v")),
     )).alias("s")).select("s.metric", "s.v")
     names = [f"q{i}" for i in range(6)]
-    q = exact_quantiles(stacked, "v", QUINTILES, names, by=["metric"], accuracy=accuracy,
-                        exact_group_rows=exact_group_rows, max_groups=2)
+    if approximate:
+        q = stacked.groupBy("metric").agg(
+            F.percentile_approx("v", QUINTILES, accuracy).alias("_q"))
+        q = q.select("metric", *[F.col("_q")[i].alias(n) for i, n in enumerate(names)])
+    else:
+        q = exact_quantiles(stacked, "v", QUINTILES, names, by=["metric"], accuracy=accuracy,
+                            exact_group_rows=exact_group_rows, max_groups=2)
     edges = q.agg(*[F.max(F.when(F.col("metric") == p, F.col(n))).alias(f"{p}{i}")
                     for p in ("r", "m") for i, n in enumerate(names)])
     fmax = base.agg(F.max("frequency").alias("max_frequency"))

@@ -55,3 +55,21 @@ def test_nulls_ignored(spark):
     df = spark.createDataFrame([(None,), (1.0,), (3.0,)], "v double")
     q = exact_quantiles(df, "v", [0.5], ["m"]).first()
     assert q.m == 2.0
+
+
+def test_approximate_cutpoints_opt_in(spark):
+    from basketlens.operators.rfm import rfm_base, rfm_cutpoints, score
+    from basketlens.plans.marts import Marts
+    from basketlens.sources.adapter import logical_sources
+    from conftest import SF_MID
+    base = rfm_base(Marts(logical_sources(spark, SF_MID), keep="none").master).cache()
+    exact = rfm_cutpoints(base).first()
+    approx = rfm_cutpoints(base, approximate=True, accuracy=100).first()
+    pdf = base.select("recency_days").toPandas().recency_days
+    n = len(pdf)
+    for i in range(1, 5):
+        # the approximate edge is a sample value whose rank is within n / accuracy
+        rank = (pdf < float(approx[f"r{i}"])).sum()
+        assert abs(rank - 0.2 * i * n) <= n / 100 + 1
+        assert abs(float(approx[f"r{i}"]) - float(exact[f"r{i}"])) <= pdf.max() - pdf.min()
+    assert score(base, rfm_cutpoints(base, approximate=True)).count() == n
