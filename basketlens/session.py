@@ -29,6 +29,9 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
+        # Lets AQE keep several tasks after small shuffles (CPU-bound final
+        # stages); large shuffles are sized by the advisory partition size.
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "128KB")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.shuffle.partitions", str(parts))
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
