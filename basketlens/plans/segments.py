@@ -29,13 +29,28 @@ def segment_revenue_median(rfm: DataFrame) -> DataFrame:
     return segment_treemap(rfm).agg(F.percentile("Avg_Revenue", 0.5).alias("median_avg_revenue"))
 
 
-def customer_map_sample(rfm: DataFrame, n: int = SAMPLE_SIZE) -> DataFrame:
+def customer_map_sample(rfm: DataFrame, n: int = SAMPLE_SIZE, oversample: int = 4) -> DataFrame:
     """A deterministic sample of min(n, customers) customers: the n smallest
-    md5 digests of the id (a distributed top-n, never a full sort)."""
-    return (rfm.select("customer_unique_id", "recency_days",
-                       F.col("monetary").cast("double").alias("monetary"), "frequency", "Segment")
-            .orderBy(F.md5(F.col("customer_unique_id").cast("string")))
-            .limit(n))
+    md5 digests of the id.
+
+    A top-n merges n rows from every partition in one task, which grows with
+    the partition count.  Digests are uniform, so rows are first kept only
+    below a digest bound expected to pass ``oversample * n`` of them; the
+    bound is used only when a count confirms that at least n rows pass, in
+    which case the n smallest digests all lie below it and the result is
+    exactly the same.
+    """
+    keyed = rfm.select("customer_unique_id", "recency_days",
+                       F.col("monetary").cast("double").alias("monetary"), "frequency", "Segment",
+                       F.md5(F.col("customer_unique_id").cast("string")).alias("_digest"))
+    total = rfm.count()
+    share = oversample * n / max(total, 1)
+    if share < 1.0:
+        bound = format(min(int(share * 16 ** 8) + 1, 16 ** 8 - 1), "08x")
+        candidates = keyed.where(F.col("_digest") < F.lit(bound))
+        if candidates.count() >= n:
+            keyed = candidates
+    return keyed.orderBy("_digest").limit(n).drop("_digest")
 
 
 def segment_profile(rfm: DataFrame) -> DataFrame:

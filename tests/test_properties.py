@@ -53,3 +53,14 @@ def test_invariant_under_repartition(spark, marts):
     a = build_master(src).orderBy("order_id").collect()
     b = build_master(shuffled).orderBy("order_id").collect()
     assert a == b
+
+
+def test_map_sample_prefilter_is_exact(spark):
+    from basketlens.plans.segments import customer_map_sample
+    df = spark.range(0, 20000).select(F.col("id").alias("customer_unique_id"),
+                                      F.lit(1).alias("recency_days"), F.lit(1.0).alias("monetary"),
+                                      F.lit(1).alias("frequency"), F.lit("x").alias("Segment"))
+    got = [r.customer_unique_id for r in customer_map_sample(df, n=300).collect()]
+    want = [r.customer_unique_id for r in
+            df.orderBy(F.md5(F.col("customer_unique_id").cast("string"))).limit(300).collect()]
+    assert got == want
