@@ -376,9 +376,9 @@ def _q(m):
     return _state_table(m)
 
 
-@query("top20_states")
+@query("top_20_states")
 def _q(m):
-    return geo.top20_states(_state_table(m))
+    return geo.top_20_states(_state_table(m))
 
 
 @query("states_by_on_time")

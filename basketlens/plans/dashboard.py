@@ -2,7 +2,7 @@
 
     python -m basketlens.plans.dashboard --out OUT --dataset worst_states \\
         [--state SP] [--status delivered --status shipped] [--months 2017-01 2018-08] \\
-        [--show | --write PATH]
+        [--rows N | --write PATH]
 
 ``Dashboard`` reads the order master, the scored customer table and the
 coefficient table once and exposes every dataset by name.  The filters
@@ -91,7 +91,7 @@ class Dashboard:
             "state_summary": lambda: geo.state_summary(self.delivered),
             "rfm_by_state": lambda: geo.rfm_by_state(self.rfm),
             "state_table": self._state_table,
-            "top20_states": lambda: geo.top20_states(self._state_table()),
+            "top_20_states": lambda: geo.top_20_states(self._state_table()),
             "states_by_on_time": lambda: geo.states_by_on_time(self._state_table()),
             "state_table_fmt": lambda: geo.state_table_fmt(self._state_table()),
             "peak_month": lambda: insights.peak_month(self.mdf),

@@ -41,7 +41,7 @@ def state_table(summary: DataFrame, by_state: DataFrame) -> DataFrame:
     return summary.join(by_state, "State", "left")
 
 
-def top20_states(table: DataFrame, k: int = 20) -> DataFrame:
+def top_20_states(table: DataFrame, k: int = 20) -> DataFrame:
     """The k states with the highest revenue, shown in ascending order."""
     return table.orderBy(F.desc("revenue"), "State").limit(k).orderBy("revenue", "State")
 

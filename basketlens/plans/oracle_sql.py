@@ -544,7 +544,7 @@ FROM ({_high_risk_raw("rfm_fixed")})"""),
 
     "state_table": _x(_STATE_TABLE),
 
-    "top20_states": _x(f"SELECT * FROM ({_STATE_TABLE}) ORDER BY revenue DESC, State LIMIT 20"),
+    "top_20_states": _x(f"SELECT * FROM ({_STATE_TABLE}) ORDER BY revenue DESC, State LIMIT 20"),
 
     "states_by_on_time": _x(_STATE_TABLE),
 
