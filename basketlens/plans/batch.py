@@ -78,9 +78,11 @@ def main(argv: list[str] | None = None) -> None:
     ap.add_argument("--out", required=True)
     ap.add_argument("--format", default="parquet", choices=["parquet", "csv"])
     ap.add_argument("--master", default=None, help="Spark master, e.g. local[8]")
+    ap.add_argument("--input-bytes", type=int, default=None,
+                    help="total source size; sizes the shuffle partitions on a cluster")
     a = ap.parse_args(argv)
 
-    spark = build_session(a.master)
+    spark = build_session(a.master, input_bytes=a.input_bytes)
     if a.tables:
         sources = logical_sources(spark, a.tables)
     elif a.csv:

@@ -8,20 +8,51 @@ import tempfile
 from pyspark.sql import SparkSession
 
 
+# Target sizes: a scan task reads about 256 MB of Parquet; after a shuffle AQE
+# merges partitions up to about 128 MB.  The initial shuffle partition count
+# must be large enough for the biggest shuffle (AQE can merge partitions but
+# not split them, except for skewed join partitions).
+SCAN_PARTITION_BYTES = "256m"
+SHUFFLE_PARTITION_BYTES = "128m"
+INITIAL_SHUFFLE_PARTITION_BYTES = 256 * 1024 ** 2
+# Every shuffle here reads pruned columns and is partially aggregated map-side
+# first; the largest (order-grain facts) moves roughly a tenth of the input.
+SHUFFLE_SHARE_OF_INPUT = 0.1
+
+
+def shuffle_partitions_for(input_bytes: int) -> int:
+    """Initial shuffle partitions for a job reading ``input_bytes``: one per
+    256 MB of expected shuffle data, between 200 and 100,000 (more would
+    inflate the map-output bookkeeping; AQE merges small partitions and
+    splits skewed join partitions)."""
+    expected = input_bytes * SHUFFLE_SHARE_OF_INPUT
+    return int(min(100_000, max(200, expected // INITIAL_SHUFFLE_PARTITION_BYTES)))
+
+
 def build_session(master: str | None = None, shuffle_partitions: int | None = None,
-                  app_name: str = "basketlens") -> SparkSession:
+                  app_name: str = "basketlens", input_bytes: int | None = None) -> SparkSession:
     """A session tuned for this workload.
 
-    On a cluster the master, memory and ``spark.checkpoint.dir`` come from the
-    submit configuration; only the SQL knobs below are set here.  Locally
-    (tests, bench) the caller passes ``local[N]``.
+    Locally (tests, bench) the caller passes ``local[N]`` and gets a few
+    shuffle partitions per core.  On a cluster the master, memory and
+    ``spark.checkpoint.dir`` come from the submit configuration; pass
+    ``input_bytes`` (total size of the sources) to size the shuffles, e.g.
+    100 TB -> about 41,000 initial partitions, which AQE coalesces towards
+    128 MB after each shuffle.
     """
     builder = SparkSession.builder.appName(app_name)
     if master:
         builder = builder.master(master)
-    cores = _cores(master)
-    parts = shuffle_partitions or max(8, cores * 2)
-    spark = (
+    local = bool(master) and master.startswith("local")
+    if shuffle_partitions:
+        parts = shuffle_partitions
+    elif input_bytes:
+        parts = shuffle_partitions_for(input_bytes)
+    elif local:
+        parts = max(8, _cores(master) * 2)
+    else:
+        parts = None  # keep the cluster's setting
+    builder = (
         builder
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
@@ -29,15 +60,20 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
+        .config("spark.sql.adaptive.advisoryPartitionSizeInBytes", SHUFFLE_PARTITION_BYTES)
+        .config("spark.sql.files.maxPartitionBytes", SCAN_PARTITION_BYTES)
         # Lets AQE keep several tasks after small shuffles (CPU-bound final
         # stages); large shuffles are sized by the advisory partition size.
         .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "128KB")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
-        .config("spark.sql.shuffle.partitions", str(parts))
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
-        .config("spark.driver.memory", os.environ.get("BASKETLENS_DRIVER_MEMORY", "8g"))
-        .getOrCreate()
     )
+    if parts:
+        builder = builder.config("spark.sql.shuffle.partitions", str(parts))
+    if local:
+        builder = builder.config("spark.driver.memory",
+                                 os.environ.get("BASKETLENS_DRIVER_MEMORY", "8g"))
+    spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
 
