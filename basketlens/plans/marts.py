@@ -85,7 +85,7 @@ _CACHE: dict[tuple[str, str], Marts] = {}
 
 def marts_for(spark: SparkSession, sf_dir: str) -> Marts:
     """Marts over the test tables in ``sf_dir``, one instance per session."""
-    key = (spark.sparkContext.applicationId, sf_dir)
+    key = (spark.conf.get("spark.app.id", None) or str(id(spark)), sf_dir)
     if key not in _CACHE:
         _CACHE[key] = Marts(logical_sources(spark, sf_dir), tables=read_tables(spark, sf_dir))
     return _CACHE[key]
