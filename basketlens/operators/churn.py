@@ -167,23 +167,41 @@ def fit_churn(rfm: DataFrame, features: list[str] = FEATURES, max_iter: int = 10
     coef = [float(c) for c in model.coefficients.toArray()]
     intercept = float(model.intercept)
 
-    scored_test = with_scaled(complete_cases(labelled, features).where(test_flag()), stats, features) \
-        .select(F.col(LABEL).cast("double").alias("label"),
-                probability(coef, intercept, features).alias("p"))
-    auc = BinaryClassificationEvaluator(rawPredictionCol="p", labelCol="label",
-                                        metricName="areaUnderROC", numBins=0).evaluate(scored_test)
+    scored_test = test_scores(labelled, stats, coef, intercept, features)
+    auc = area_under_roc(scored_test)
     data.unpersist()
 
     coefficients = coefficient_table(spark, features, coef)
     metrics = spark.createDataFrame(
         [(auc, n_train, n_test, intercept, model.summary.totalIterations)],
         "auc double, train_rows long, test_rows long, intercept double, iterations int")
-    report = classification_report(scored_test.select(
-        "label", (F.col("p") > 0.5).cast("double").alias("prediction")))
+    report = classification_report(predictions(scored_test))
     scores = score_customers(labelled, stats, coef, intercept, features)
     return ChurnResult(scores, coefficients, metrics, report, coef, intercept, auc)
 
 
+def test_scores(labelled: DataFrame, stats: DataFrame, coefficients: list[float],
+                intercept: float, features: list[str] = FEATURES) -> DataFrame:
+    """(label, p) for the complete rows of the test split."""
+    test = complete_cases(labelled, features).where(test_flag())
+    return with_scaled(test, stats, features).select(
+        F.col(LABEL).cast("double").alias("label"),
+        probability(coefficients, intercept, features).alias("p"))
+
+
+def area_under_roc(scored: DataFrame) -> float:
+    """Exact ROC-AUC of (label, p): no down-sampling of the curve, so ties
+    count one half, as in the rank-sum formula; the curve is built by a
+    distributed sort."""
+    return BinaryClassificationEvaluator(rawPredictionCol="p", labelCol="label",
+                                         metricName="areaUnderROC", numBins=0).evaluate(scored)
+
+
+def predictions(scored: DataFrame) -> DataFrame:
+    """(label, prediction) with the decision threshold at probability 0.5."""
+    return scored.select("label", (F.col("p") > 0.5).cast("double").alias("prediction"))
+
+
 def classification_report(pred: DataFrame) -> DataFrame:
     """Precision, recall, F1 and support per class, accuracy, macro and
     support-weighted averages; a zero denominator gives 0.

@@ -21,7 +21,7 @@ from basketlens.operators.master import (items_by_order, latest_review_by_order,
                                          payments_by_order, product_category)
 from basketlens.operators.rfm import rfm_base, rfm_cutpoints, snapshot_date
 from basketlens.plans import churn_views, delivery_views, geo, insights, overview, segments
-from basketlens.plans.marts import Marts, marts_for
+from basketlens.plans.marts import FIXED_COEFFICIENTS, FIXED_INTERCEPT, Marts, marts_for
 from basketlens.sources.readers import parse_timestamp
 
 # Parameters of the registered checks.  The state/status/month filter
@@ -351,6 +351,23 @@ def _churn_views(suffix: str, scored: Callable[[Marts], DataFrame], rows_only: b
         return churn_views.high_risk_fmt(churn_views.high_risk(scored(m)))
 
 
+@query("churn_report_fixed")
+def _q(m):
+    """Classification report of the literal model on the test split."""
+    scored = churn.test_scores(m.rfm, m.scaling_stats, FIXED_COEFFICIENTS, FIXED_INTERCEPT)
+    return churn.classification_report(churn.predictions(scored))
+
+
+@query("churn_auc_fixed")
+def _q(m):
+    """ROC-AUC of the literal model on the test split (one row)."""
+    scored = churn.test_scores(m.rfm, m.scaling_stats, FIXED_COEFFICIENTS, FIXED_INTERCEPT)
+    auc = churn.area_under_roc(scored)
+    n = scored.agg(F.count(F.lit(1)).alias("test_rows"),
+                   F.count_if(F.col("label") == 1).alias("positives"))
+    return n.select(F.lit(auc).alias("auc"), "test_rows", "positives")
+
+
 _churn_views("", lambda m: m.rfm_scored, rows_only=True)
 _churn_views("_fixed", lambda m: m.rfm_fixed, rows_only=False)
 

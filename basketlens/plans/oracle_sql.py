@@ -243,6 +243,21 @@ c_stats AS (
 c_z AS (
   SELECT r.*, ({_COMPLETE}) AS complete, {", ".join(f"{_z(f)} AS z_{f}" for f in FEATURES)}
   FROM rfm r CROSS JOIN c_stats s),
+c_test AS (
+  SELECT CAST(is_churned AS DOUBLE) AS label,
+         1.0 / (1.0 + exp(-({_MARGIN}))) AS p
+  FROM c_z WHERE complete AND md5(CAST(customer_unique_id AS VARCHAR)) < '{"3" * 32}'),
+per_class AS (
+  SELECT CAST(CAST(k AS INTEGER) AS VARCHAR) AS class,
+         CAST(count(*) FILTER (WHERE label = k AND (p > 0.5) = (k = 1)) AS DOUBLE) AS tp,
+         CAST(count(*) FILTER (WHERE (p > 0.5) = (k = 1)) AS DOUBLE) AS pred,
+         CAST(count(*) FILTER (WHERE label = k) AS DOUBLE) AS act
+  FROM c_test CROSS JOIN (VALUES (0.0), (1.0)) AS v(k) GROUP BY k),
+class_metrics AS (
+  SELECT class, act, coalesce(tp / nullif(pred, 0), 0.0) AS pr, coalesce(tp / nullif(act, 0), 0.0) AS rc,
+         coalesce(2 * coalesce(tp / nullif(pred, 0), 0.0) * coalesce(tp / nullif(act, 0), 0.0)
+                  / nullif(coalesce(tp / nullif(pred, 0), 0.0) + coalesce(tp / nullif(act, 0), 0.0), 0), 0.0) AS f1
+  FROM per_class),
 rfm_fixed AS (
   SELECT * EXCLUDE (complete, {", ".join(f"z_{f}" for f in FEATURES)}),
          CASE WHEN complete THEN 1.0 / (1.0 + exp(-({_MARGIN}))) ELSE 0.5 END AS churn_probability
@@ -601,4 +616,41 @@ SELECT Segment, coalesce(late_pct > 0, false) AS had_late_delivery, count(custom
        {_r("avg(CAST(is_churned AS DOUBLE)) * 100.0")} AS churn_rate,
        {_r("avg(CAST(NOT (is_churned = 1) AS DOUBLE)) * 100.0")} AS retained_pct
 FROM rfm GROUP BY 1, 2"""),
+
+    "churn_report_fixed": _x(f"""
+SELECT class, {_r("precision")} AS precision, {_r("recall")} AS recall,
+       {_r("f1_score")} AS f1_score, CAST(support AS BIGINT) AS support
+FROM (
+  SELECT k.class,
+         CASE WHEN k.class IN ('0', '1') THEN coalesce(tp / nullif(pred, 0), 0.0) END AS precision,
+         CASE WHEN k.class IN ('0', '1') THEN coalesce(tp / nullif(act, 0), 0.0) END AS recall,
+         CASE WHEN k.class IN ('0', '1') THEN
+              coalesce(2 * (tp / nullif(pred, 0)) * (tp / nullif(act, 0))
+                       / nullif(coalesce(tp / nullif(pred, 0), 0.0) + coalesce(tp / nullif(act, 0), 0.0), 0), 0.0)
+              WHEN k.class = 'accuracy' THEN (SELECT sum(tp) / sum(act) FROM per_class)
+              ELSE f1 END AS f1_score,
+         CASE WHEN k.class IN ('0', '1') THEN act ELSE (SELECT sum(act) FROM per_class) END AS support
+  FROM (SELECT class, tp, pred, act, NULL AS f1 FROM per_class
+        UNION ALL SELECT 'accuracy', NULL, NULL, NULL, NULL
+        UNION ALL SELECT 'macro avg', NULL, NULL, NULL, NULL
+        UNION ALL SELECT 'weighted avg', NULL, NULL, NULL, NULL) k)
+WHERE class IN ('0', '1', 'accuracy')
+UNION ALL
+SELECT avg_kind AS class, {_r("precision")}, {_r("recall")}, {_r("f1_score")},
+       CAST(support AS BIGINT) FROM (
+  SELECT 'macro avg' AS avg_kind, avg(pr) AS precision, avg(rc) AS recall, avg(f1) AS f1_score,
+         sum(act) AS support FROM class_metrics
+  UNION ALL
+  SELECT 'weighted avg', coalesce(sum(pr * act) / nullif(sum(act), 0), 0.0),
+         coalesce(sum(rc * act) / nullif(sum(act), 0), 0.0),
+         coalesce(sum(f1 * act) / nullif(sum(act), 0), 0.0), sum(act) FROM class_metrics)"""),
+
+    "churn_auc_fixed": _x(f"""
+SELECT {_r("(sum(CASE WHEN label = 1 THEN avg_rank END) - npos * (npos + 1) / 2.0) / (npos * (n - npos))")} AS auc,
+       n AS test_rows, npos AS positives
+FROM (
+  SELECT label, rank() OVER (ORDER BY p) + (count(*) OVER (PARTITION BY p) - 1) / 2.0 AS avg_rank,
+         count(*) OVER () AS n, count(*) FILTER (WHERE label = 1) OVER () AS npos
+  FROM c_test)
+GROUP BY n, npos"""),
 }
