@@ -60,8 +60,6 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
-        .config("spark.sql.adaptive.advisoryPartitionSizeInBytes", SHUFFLE_PARTITION_BYTES)
-        .config("spark.sql.files.maxPartitionBytes", SCAN_PARTITION_BYTES)
         # Lets AQE keep several tasks after small shuffles (CPU-bound final
         # stages); large shuffles are sized by the advisory partition size.
         .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "128KB")
@@ -70,6 +68,10 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
     )
     if parts:
         builder = builder.config("spark.sql.shuffle.partitions", str(parts))
+    if not local:
+        builder = (builder
+                   .config("spark.sql.adaptive.advisoryPartitionSizeInBytes", SHUFFLE_PARTITION_BYTES)
+                   .config("spark.sql.files.maxPartitionBytes", SCAN_PARTITION_BYTES))
     if local:
         builder = builder.config("spark.driver.memory",
                                  os.environ.get("BASKETLENS_DRIVER_MEMORY", "8g"))
