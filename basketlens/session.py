@@ -102,6 +102,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
+        if not spark.conf.get("spark.master", "local").startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir is not set: on a cluster it must name a "
+                               "shared, durable folder (a machine-local folder would not "
+                               "survive executor loss)")
         configured = tempfile.mkdtemp(prefix="basketlens-ckpt-")
     if sc is not None:
         sc.setCheckpointDir(configured)
