@@ -64,3 +64,10 @@ def test_map_sample_prefilter_is_exact(spark):
     want = [r.customer_unique_id for r in
             df.orderBy(F.md5(F.col("customer_unique_id").cast("string"))).limit(300).collect()]
     assert got == want
+
+
+def test_shuffle_partition_sizing():
+    from basketlens.session import shuffle_partitions_for
+    assert shuffle_partitions_for(10 ** 9) == 200                   # small input: the floor
+    assert shuffle_partitions_for(100 * 1024 ** 4) == 40_960        # 100 TB: ~10 TB shuffled / 256 MB
+    assert shuffle_partitions_for(10 ** 17) == 100_000              # capped
