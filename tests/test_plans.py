@@ -7,7 +7,7 @@ import re
 
 import pytest
 
-import __spark_entry__ as E
+from basketlens.plans.catalog import QUERIES
 from conftest import SF_SMALL
 
 
@@ -18,9 +18,9 @@ def _plan(df) -> str:
     return buf.getvalue()
 
 
-@pytest.mark.parametrize("name", sorted(E.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_plan_shape(spark, name):
-    plan = _plan(E.queries()[name](spark, SF_SMALL))
+    plan = _plan(QUERIES[name](spark, SF_SMALL))
     for node in ("BatchEvalPython", "ArrowEvalPython", "FlatMapGroupsInPandas",
                  "MapInPandas", "CartesianProduct"):
         assert node not in plan, f"{name}: {node}"
