@@ -92,8 +92,8 @@ class Powers:
     def need(self, n: int) -> None:
         while len(self.up) < n:
             k = len(self.up)
-            self.up = np.concatenate([self.up, self.up * (self.up[-1] * _BASE)])
-            self.down = np.concatenate([self.down, self.down * (self.down[-1] * _INVERSE)])
+            self.up = np.concatenate([self.up, self.up * (self.up[-1:] * _BASE)])
+            self.down = np.concatenate([self.down, self.down * (self.down[-1:] * _INVERSE)])
             assert len(self.up) == 2 * k
 
 

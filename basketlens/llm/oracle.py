@@ -26,4 +26,24 @@ SELECT doc_id, count(*) FILTER (WHERE gone) AS n_chunks_removed,
 FROM judged GROUP BY doc_id
 """
 
-SQL: dict[str, str] = {"op4_line_dedup": LINE_DEDUP}
+SUBSTRING_DEDUP = r"""
+WITH split AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+words AS (
+  SELECT doc_id, unnest(ws) AS w, unnest(range(len(ws))) AS k FROM split),
+starts AS (
+  SELECT doc_id, ws, unnest(range(len(ws) - 19)) AS s FROM split WHERE len(ws) >= 20),
+windows AS (
+  SELECT doc_id, s, sha256(array_to_string(ws[s + 1:s + 20], ' ')) AS h FROM starts),
+judged AS (
+  SELECT doc_id, s, row_number() OVER (PARTITION BY h ORDER BY doc_id, s) > 1 AS copied FROM windows),
+marked AS (
+  SELECT w.doc_id, w.k, w.w, coalesce(max(j.copied::INT) OVER (PARTITION BY w.doc_id ORDER BY w.k
+         ROWS BETWEEN 19 PRECEDING AND CURRENT ROW), 0) = 1 AS gone
+  FROM words w LEFT JOIN judged j ON j.doc_id = w.doc_id AND j.s = w.k)
+SELECT d.doc_id, count(m.k) AS n_words, count(m.k) FILTER (WHERE gone) AS n_removed,
+       sha256(coalesce(string_agg(m.w, ' ' ORDER BY m.k) FILTER (WHERE NOT gone), '')) AS kept_sha256
+FROM documents d LEFT JOIN marked m ON m.doc_id = d.doc_id GROUP BY d.doc_id
+"""
+
+SQL: dict[str, str] = {"op4_line_dedup": LINE_DEDUP, "op5_substring_dedup": SUBSTRING_DEDUP}

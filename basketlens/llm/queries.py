@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basketlens.llm import decontam, line_dedup, oracle, packing, simhash, toxicity
+from basketlens.llm import decontam, line_dedup, oracle, packing, simhash, substring_dedup, toxicity
 from basketlens.llm.common import table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -33,6 +33,11 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.md5(F.coalesce("kept", F.lit(""))).alias("kept_md5"))
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring_dedup.dedup_substrings(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = simhash.near_duplicate_groups(table(spark, sf_dir, "documents"))
     return groups.select("doc_id", simhash.fingerprint_text(F.col("fp")).alias("fingerprint"), "component_id")
@@ -47,6 +52,6 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_packing, op2_decontamination, op4_line_dedup, op9_simhash, op10_toxicity)
+    f.__name__: f for f in (op1_packing, op2_decontamination, op4_line_dedup, op5_substring_dedup, op9_simhash, op10_toxicity)
 }
 ORACLE_SQL = oracle.SQL
