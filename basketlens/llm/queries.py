@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basketlens.llm import decontam, line_dedup, oracle, packing, simhash, substring_dedup, toxicity
+from basketlens.llm import decontam, line_dedup, oracle, packing, sharding, simhash, substring_dedup, toxicity
 from basketlens.llm.common import table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -38,6 +38,14 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = sharding.shard_rows(table(spark, sf_dir, "documents"))
+    body = F.coalesce("text", F.lit(""))
+    return placed.select("doc_id", (F.octet_length(body) + 16).cast("long").alias("size"),
+                         F.crc32(body.cast("binary")).alias("text_crc32"), F.lit("rows").alias("law"),
+                         "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = simhash.near_duplicate_groups(table(spark, sf_dir, "documents"))
     return groups.select("doc_id", simhash.fingerprint_text(F.col("fp")).alias("fingerprint"), "component_id")
@@ -52,6 +60,6 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_packing, op2_decontamination, op4_line_dedup, op5_substring_dedup, op9_simhash, op10_toxicity)
+    f.__name__: f for f in (op1_packing, op2_decontamination, op4_line_dedup, op5_substring_dedup, op6_sharding, op9_simhash, op10_toxicity)
 }
 ORACLE_SQL = oracle.SQL
