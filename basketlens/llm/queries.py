@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basketlens.llm import decontam, line_dedup, oracle, packing, sharding, simhash, substring_dedup, toxicity
+from basketlens.llm import decontam, line_dedup, oracle, order_minhash, packing, sharding, simhash, substring_dedup, toxicity
 from basketlens.llm.common import table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -46,6 +46,16 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
                          "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op8_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = order_minhash.fingerprints_and_edits(table(spark, sf_dir, "documents"))
+
+    def text(signature: str):
+        return F.array_join(F.transform(signature, lambda x: F.lower(F.lpad(F.hex(x), 8, "0"))), "")
+
+    return found.select("doc_id", "n_chars", "edited_sha256", text("signature").alias("fingerprint"),
+                        text("edited_signature").alias("edited_fingerprint"), "near_edited", "near_next")
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = simhash.near_duplicate_groups(table(spark, sf_dir, "documents"))
     return groups.select("doc_id", simhash.fingerprint_text(F.col("fp")).alias("fingerprint"), "component_id")
@@ -60,6 +70,6 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_packing, op2_decontamination, op4_line_dedup, op5_substring_dedup, op6_sharding, op9_simhash, op10_toxicity)
+    f.__name__: f for f in (op1_packing, op2_decontamination, op4_line_dedup, op5_substring_dedup, op6_sharding, op8_order_minhash, op9_simhash, op10_toxicity)
 }
 ORACLE_SQL = oracle.SQL
