@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basketlens.llm import decontam, line_dedup, oracle, order_minhash, packing, sharding, simhash, substring_dedup, toxicity
+from basketlens.llm import decontam, line_dedup, oracle, order_minhash, packing, pii, sharding, simhash, substring_dedup, toxicity
 from basketlens.llm.common import table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -25,6 +25,14 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = pii.replace_pii(table(spark, sf_dir, "documents"))
+    return made.select("row.doc_id", F.size("mentions").cast("long").alias("n_replaced"),
+                       F.array_join(F.transform("mentions", lambda m: F.concat(m["kind"], F.lit(":"), m["surrogate"])),
+                                    "\n").alias("surrogates"),
+                       F.col("replaced").alias("text"))
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
     return found.select(
@@ -70,6 +78,6 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_packing, op2_decontamination, op4_line_dedup, op5_substring_dedup, op6_sharding, op8_order_minhash, op9_simhash, op10_toxicity)
+    f.__name__: f for f in (op1_packing, op2_decontamination, op3_pii, op4_line_dedup, op5_substring_dedup, op6_sharding, op8_order_minhash, op9_simhash, op10_toxicity)
 }
 ORACLE_SQL = oracle.SQL
