@@ -44,6 +44,12 @@ def text_or_empty(c: str | Column) -> Column:
     return F.coalesce(quoted(c) if isinstance(c, str) else c, F.lit(""))
 
 
+def bound(value: Column, use) -> Column:
+    """``use`` of a value that is computed once, however often ``use`` names it
+    (also inside lambdas, where Spark shares no common expressions)."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def schema_plus(df: DataFrame, keep: list[str], ddl: str) -> T.StructType:
     """Schema of the kept columns followed by the columns in ``ddl``."""
     fields = [df.schema[c] for c in keep]

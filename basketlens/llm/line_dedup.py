@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from basketlens.functions.lineage import table_checkpoint
-from basketlens.llm.common import quoted, text_or_empty
+from basketlens.llm.common import bound, quoted, text_or_empty
 
 ROLL = 2
 SPREAD = 3
@@ -48,11 +48,6 @@ def chunks_of(text: Column, roll: int = ROLL, spread: int = SPREAD) -> Column:
             total = total + before * F.lit(pow(_FACTOR, back, _MODULUS))
         return total % F.lit(_MODULUS) % F.lit(spread)
 
-    # Each intermediate value is bound once (a one-element transform), so it
-    # is not computed again for every place it is used in.
-    def bound(value: Column, use) -> Column:
-        return F.element_at(F.transform(F.array(value), use), 1)
-
     def cut(ls: Column) -> Column:
         return bound(F.transform(ls, line_hash), lambda hs: bound(
             F.filter(F.sequence(F.lit(1), F.size(ls)),

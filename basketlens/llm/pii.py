@@ -31,16 +31,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from basketlens.functions.lineage import table_checkpoint
-from basketlens.llm.common import quoted
+from basketlens.llm.common import bound, quoted, text_or_empty
 
 KEY = "surrogate-key"
 MAX_DRAWS = 64
 _WIDE = 8  # from this draw on an IP address or a name may be longer than the original
 
 # Patterns of the entity kinds, in order of precedence.
-_MALE = "Mr|Herr|Monsieur|Señor|Sr|Господин"
-_FEMALE = "Mrs|Ms|Miss|Frau|Madame|Mme|Señora|Sra|Госпожа"
-_EITHER = "Dr|Prof"
+_MALE = "Mr|MR|Herr|Monsieur|Señor|Sr|Господин"
+_FEMALE = "Mrs|MRS|Ms|MS|Miss|Frau|Madame|Mme|Señora|Sra|Госпожа"
+_EITHER = "Dr|DR|Prof"
 _NAME = r"\p{Lu}[\p{L}'’-]+"
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
@@ -53,11 +53,10 @@ PATTERNS = {
     "card": r"(?<![0-9])[3-6][0-9]{3}(?:[ -]?[0-9]{4}){3}(?![0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "phone": r"(?<![0-9+(])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9])",
-    "person": rf"(?<![\p{{L}}\p{{N}}])(?i:{_MALE}|{_FEMALE}|{_EITHER})\.? {_NAME}(?: {_NAME})?(?!\p{{L}})",
+    "person": rf"(?<![\p{{L}}\p{{N}}])(?:{_MALE}|{_FEMALE}|{_EITHER})\.? {_NAME}(?: {_NAME})?(?!\p{{L}})",
 }
 _ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 _OR_NAME = rf"{_ANY}|(?<!\p{{L}}){_NAME}"
-_HINT = rf"[0-9@=:]|(?i:{_MALE}|{_FEMALE}|{_EITHER})\.? "
 # Syllables of made-up names, by script, and their last syllables by gender.
 _SYLLABLES = {
     "latin": "ba be bi bo da de di do fa fe ga go ka ke ki ko la le li lo ma me mi mo na ne ni no ra re ri ro sa se ta te ti to va ve".split(),
@@ -72,7 +71,7 @@ _LAST = {
 
 
 def _array(values: list[str]) -> Column:
-    return F.array(*[F.lit(v) for v in values])
+    return F.split(F.lit(" ".join(values)), " ")
 
 
 def _digits(c: Column) -> Column:
@@ -89,20 +88,20 @@ def _script(word: Column) -> Column:
             .otherwise("latin"))
 
 
-def entities_of(raw: Column) -> Column:
+def entities_of(raw: Column, kind: Column) -> Column:
     """Array of structs ``kind, norm`` that a found text stands for (a person
     stands for a given name and a surname; any other word for none)."""
-    kind = kind_of(raw)
-    words = F.split(raw, " ")
-    honorific = F.get(words, F.lit(0))
-    gender = (F.when(honorific.rlike(rf"^(?i:{_FEMALE})\.?$"), "f")
-              .when(honorific.rlike(rf"^(?i:{_MALE})\.?$"), "m").otherwise("n"))
-    last = F.get(words, F.size(words) - 1)
-    given = F.get(words, F.lit(1))
-
     def entity(kind_: Column, norm: Column) -> Column:
         return F.struct(kind_.alias("kind"), norm.alias("norm"))
 
+    def person(words: Column) -> Column:
+        honorific, given, last = F.get(words, F.lit(0)), F.get(words, F.lit(1)), F.get(words, F.size(words) - 1)
+        gender = (F.when(honorific.rlike(rf"^(?:{_FEMALE})\.?$"), "f")
+                  .when(honorific.rlike(rf"^(?:{_MALE})\.?$"), "m").otherwise("n"))
+        surname = entity(F.concat(F.lit("surname-"), _script(last)), F.lower(last))
+        first = entity(F.concat(F.lit("given-"), gender, F.lit("-"), _script(given)), F.lower(given))
+        return F.when(F.size(words) > 2, F.array(first, surname)).otherwise(F.array(surname))
+
     digits = _digits(raw)
     norm = (F.when(kind == "email", F.lower(raw))
             .when(kind == "phone", F.substring(digits, F.greatest(F.length(digits) - 9, F.lit(1)), F.lit(10)))
@@ -110,10 +109,8 @@ def entities_of(raw: Column) -> Column:
             .when(kind == "iban", F.regexp_replace(raw, " ", ""))
             .when(kind == "password", F.regexp_extract(raw, r"[=:]\s?(.*)$", 1))
             .otherwise(raw))
-    surname = entity(F.concat(F.lit("surname-"), _script(last)), F.lower(last))
-    first = entity(F.concat(F.lit("given-"), gender, F.lit("-"), _script(given)), F.lower(given))
     none = F.array().cast("array<struct<kind:string,norm:string>>")
-    return (F.when(kind == "person", F.when(F.size(words) > 2, F.array(first, surname)).otherwise(F.array(surname)))
+    return (F.when(kind == "person", bound(F.split(raw, " "), person))
             .when(kind == "word", none).otherwise(F.array(entity(kind, norm))))
 
 
@@ -149,10 +146,14 @@ def _luhn(digits: Column) -> Column:
 
 def surrogate_of(key: str, kind: Column, norm: Column, draw: Column) -> Column:
     """The surrogate's normal form."""
-    seed = _draw(key, kind, norm, draw)
+    return bound(_draw(key, kind, norm, draw), lambda seed: _made(key, kind, norm, draw, seed))
+
+
+def _made(key: str, kind: Column, norm: Column, draw: Column, seed: Column) -> Column:
     local, domain = F.substring_index(norm, "@", 1), F.substring_index(norm, "@", -1)
     labels = F.regexp_extract(domain, r"^(.*)\.[^.]+$", 1)
-    email = F.concat(_like(local, seed), F.lit("@"), _like(labels, _draw(key, F.lit("domain"), labels, F.lit(0))),
+    email = F.concat(_like(local, seed), F.lit("@"),
+                     bound(_draw(key, F.lit("domain"), labels, F.lit(0)), lambda own: _like(labels, own)),
                      F.lit("."), F.substring_index(domain, ".", -1))
     plain = F.array_join(F.transform(F.sequence(F.lit(1), F.greatest(F.length(norm), F.lit(1))),
                                      lambda j: _number(seed, j, 10).cast("string")), "")
@@ -222,8 +223,13 @@ def _render(raw: Column, kind: Column, names: Column) -> Column:
 
 
 def _found(text: Column) -> Column:
+    """All found texts in order.  The patterns run only over texts with a sign
+    that each of them needs."""
     none = F.array().cast("array<string>")
-    return F.when(text.rlike(_HINT), F.regexp_extract_all(text, F.lit(_ANY), F.lit(0))).otherwise(none)
+    hint = text.rlike("[0-9@=:]")
+    for title in f"{_MALE}|{_FEMALE}|{_EITHER}".split("|"):
+        hint = hint | text.contains(title)
+    return F.when(hint, F.regexp_extract_all(text, F.lit(_ANY), F.lit(0))).otherwise(none)
 
 
 def draws(entities: DataFrame, key: str = KEY) -> DataFrame:
@@ -261,9 +267,9 @@ def replace_pii(docs: DataFrame, key: str = KEY, id_col: str = "doc_id", text_co
     part like others.  An empty table gives an empty result.
     """
     keyed = docs.select(quoted(id_col).alias("i"), F.xxhash64(quoted(text_col)).alias("h"),
-                        _found(F.coalesce(quoted(text_col), F.lit(""))).alias("raws"))
-    entities = (keyed.where(F.size("raws") > 0).select("i", "h", F.explode("raws").alias("raw"))
-                .select("i", "h", F.explode(entities_of(F.col("raw"))).alias("e"))
+                        _found(text_or_empty(text_col)).alias("raws"))
+    entities = (keyed.select("i", "h", F.explode("raws").alias("raw")).withColumn("k", kind_of(F.col("raw")))
+                .select("i", "h", F.explode(entities_of(F.col("raw"), F.col("k"))).alias("e"))
                 .select("i", "h", "e.kind", "e.norm"))
     entities = table_checkpoint(entities.distinct(), "pii-mentions")
     drawn = draws(entities, key)
@@ -283,7 +289,7 @@ def _rewrite(joined: DataFrame, key: str) -> DataFrame:
     first = joined.select("row", "t", "again", _found(F.coalesce("t", F.lit(""))).alias("raws"))
     # Names of persons, so that the same word later in the text changes too.
     names = F.array_distinct(F.flatten(F.transform(
-        F.filter("raws", lambda r: kind_of(r) == "person"), entities_of)))
+        F.filter("raws", lambda r: kind_of(r) == "person"), lambda r: entities_of(r, F.lit("person")))))
     second = first.select("row", "t", "again", "raws", names.alias("names"))
     has_names = F.size("names") > 0
     third = second.select(
@@ -291,18 +297,29 @@ def _rewrite(joined: DataFrame, key: str) -> DataFrame:
         F.when(has_names, F.regexp_extract_all(t, F.lit(_OR_NAME), F.lit(0))).otherwise(F.col("raws")).alias("raws"),
         F.when(has_names, F.split(t, _OR_NAME, -1)).when(F.size("raws") > 0, F.split(t, _ANY, -1)).alias("gaps"))
 
-    def found(raw: Column) -> Column:
-        known = F.filter("names", lambda n: n["norm"] == F.lower(raw))
-        kind = kind_of(raw)
-        ents = F.when((kind == "word") & (F.size(known) > 0), F.slice(known, 1, 1)).otherwise(entities_of(raw))
-        made = F.transform(ents, lambda e: surrogate_of(key, e["kind"], e["norm"], F.coalesce(F.get(F.transform(
-            F.filter("again", lambda a: (a["kind"] == e["kind"]) & (a["norm"] == e["norm"])),
-            lambda a: a["draw"]), F.lit(0)), F.lit(0))))
-        return F.struct(kind.alias("kind"), raw.alias("raw"),
-                        F.when(F.size(ents) > 0, _render(raw, kind, made)).otherwise(raw).alias("surrogate"))
-
-    fourth = third.select("row", "t", "gaps", F.transform("raws", found).alias("found"))
+    # Step by step over the found texts, so that each step's value is computed once.
+    def stands_for(f: Column) -> Column:
+        known = F.filter("names", lambda n: (n["norm"] == F.lower(f["raw"])) & (f["kind"] == "word"))
+        return F.struct(f["raw"].alias("raw"), f["kind"].alias("kind"), F.when(F.size(known) > 0, F.slice(known, 1, 1))
+                        .otherwise(entities_of(f["raw"], f["kind"])).alias("ents"))
+
+    def made(f: Column) -> Column:
+        def one(e: Column) -> Column:
+            draw = F.get(F.filter("again", lambda a: (a["kind"] == e["kind"]) & (a["norm"] == e["norm"])), F.lit(0))
+            return bound(F.coalesce(draw["draw"], F.lit(0)), lambda d: surrogate_of(key, e["kind"], e["norm"], d))
+        return F.struct(f["raw"].alias("raw"), f["kind"].alias("kind"), F.transform(f["ents"], one).alias("made"))
+
+    def rendered(f: Column) -> Column:
+        return F.struct(f["kind"].alias("kind"), f["raw"].alias("raw"),
+                        F.when(F.size(f["made"]) > 0, _render(f["raw"], f["kind"], f["made"])).otherwise(f["raw"])
+                        .alias("surrogate"))
+
+    found = F.transform("raws", lambda r: F.struct(r.alias("raw"), kind_of(r).alias("kind")))
+    for step in (stands_for, made, rendered):
+        found = F.transform(found, step)
+    fourth = third.select("row", "t", "gaps", F.when(F.size("raws") > 0, found).alias("found"))
     text = F.when(F.size("found") > 0, F.array_join(F.transform("gaps", lambda g, k: F.concat(
         g, F.coalesce(F.get(F.col("found"), k)["surrogate"], F.lit("")))), "")).otherwise(t)
-    return fourth.select("row", text.alias("replaced"),
-                         F.filter("found", lambda m: m["raw"] != m["surrogate"]).alias("mentions"))
+    none = F.array().cast("array<struct<kind:string,raw:string,surrogate:string>>")
+    return fourth.select("row", text.alias("replaced"), F.coalesce(
+        F.filter("found", lambda m: m["raw"] != m["surrogate"]), none).alias("mentions"))
