@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basketlens.llm import decontam, line_dedup, oracle, order_minhash, packing, pii, sharding, simhash, substring_dedup, toxicity
+from basketlens.llm import decontam, line_dedup, lm_scoring, oracle, order_minhash, packing, pii, sharding, simhash, substring_dedup, toxicity
 from basketlens.llm.common import table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -54,6 +54,10 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
                          "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.score_corpus(table(spark, sf_dir, "documents"))
+
+
 def op8_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = order_minhash.fingerprints_and_edits(table(spark, sf_dir, "documents"))
 
@@ -78,6 +82,6 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_packing, op2_decontamination, op3_pii, op4_line_dedup, op5_substring_dedup, op6_sharding, op8_order_minhash, op9_simhash, op10_toxicity)
+    f.__name__: f for f in (op1_packing, op2_decontamination, op3_pii, op4_line_dedup, op5_substring_dedup, op6_sharding, op7_lm_scoring, op8_order_minhash, op9_simhash, op10_toxicity)
 }
 ORACLE_SQL = oracle.SQL
