@@ -22,6 +22,7 @@ happen to lie, so a repeated task gives the same result.
 
 from __future__ import annotations
 
+import json
 import math
 import random
 from itertools import accumulate
@@ -121,9 +122,10 @@ def shard_rows(df: DataFrame, shards: int = SHARDS, seed: int = SEED, parts: int
     found = {r["part"]: r["n"] for r in rows.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect()}
     numbers = sorted(found)
     matrix = communication_matrix([found[p] for p in numbers], shard_sizes(sum(found.values()), shards), seed)
-    # One row per part: the last local position of each shard.
-    ends = spark.createDataFrame([(p, list(accumulate(row))) for p, row in zip(numbers, matrix)],
-                                 "part int, ends array<long>")
+    # One row per part: the last local position of each shard.  The table holds
+    # parts x shards numbers, which bounds what a broadcast of it moves.
+    text = json.dumps([{"part": p, "ends": list(accumulate(row))} for p, row in zip(numbers, matrix)])
+    ends = spark.range(1).select(F.inline(F.from_json(F.lit(text), "array<struct<part:int,ends:array<long>>>")))
 
     # Permute locally, cut.  A part's number fixes the residue of h0, so the
     # order by the whole hash is as random as the hash.
