@@ -92,8 +92,8 @@ _KEYED = "key1 long, key2 long, doc long, place long, windows int, from_doc long
 
 
 def _keyed(key1, key2, doc, place, windows) -> Iterator[pa.RecordBatch]:
-    """Rows for the shuffle: the first occurrence of a key as itself, a later
-    one as a copy of it."""
+    """Rows for the shuffle: the first occurrence of a key as itself; a later
+    one as a copy of it, which is settled and so goes to any task."""
     if not len(doc):
         return
     order, lead, _, later = _first_in_batch([key1, key2], doc, place)
@@ -102,7 +102,8 @@ def _keyed(key1, key2, doc, place, windows) -> Iterator[pa.RecordBatch]:
     yield _rows(key1[one], key2[one], doc[one], place[one], windows[one])
     if len(two):
         src = lead[later]
-        yield _rows(key1[two], key2[two], doc[two], place[two], windows[two], doc[src], place[src] & _START)
+        spread = mix64((doc[two] ^ place[two]).view(np.uint64))
+        yield _rows(spread, spread, doc[two], place[two], windows[two], doc[src], place[src] & _START)
 
 
 def _emit_blocks(window: int, anchor: int):
