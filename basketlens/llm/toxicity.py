@@ -8,7 +8,8 @@ A text is lower-cased (A-Z), split into words and cut into windows of
   ``MIN_CONTEXTS`` different words in the training rows (any other word has a
   shared embedding), and
 * a character input: the element-wise maximum over the embeddings of the
-  word's hashed character 3- to 5-grams, with a mark before the word.
+  word's hashed character 3- to 5-grams, with a mark before the word, and of its
+  beginnings.
 
 A forward and a backward GRU read the window, attention pools their states
 and a logistic unit gives the window's logit.  The text's score is a
@@ -21,7 +22,8 @@ quarter of them toxic where there are as many, at most ``MAX_WINDOWS`` windows
 of each, both documented parameters).  Labels are per document, so a toxic
 document trains through its highest-scoring windows, chosen anew in every
 epoch.  Embeddings start from each feature's log-odds over the training
-rows in their first component and train with the rest.
+rows in their first component (for characters also negated in the second) and
+train with the rest.
 """
 
 from __future__ import annotations
@@ -42,8 +44,9 @@ MAX_DOCS, MAX_WINDOWS = 4000, 24
 MIN_CONTEXTS = 3
 WORD_DIM, GRAM_DIM, HIDDEN = 4, 4, 8
 GRAM_SLOTS = 1 << 15
+STEM = 9             # the longest beginning of a word that is a gram of its own
 GRAM_BYTES = 16      # characters of a word that make character inputs: its first bytes
-EPOCHS = 6
+EPOCHS = 4
 THRESHOLD = 0.7
 BATCH_WINDOWS = 4096
 BATCH_BYTES = 1 << 20
@@ -62,20 +65,26 @@ class Network:
 
 
 def gram_slots(words: list[bytes]) -> np.ndarray:
-    """Hashed character 3- to 5-grams of each word, ``(n, k)``; unused places
-    hold the slot of the word's first gram."""
+    """Hashed character 3- to 5-grams of each word and its beginnings of up to
+    ``STEM`` characters, ``(n, k)``; unused places hold the slot of the word's
+    first gram."""
     letters = np.zeros((len(words), GRAM_BYTES + 5), dtype=np.uint32)
     letters[:, 0] = 1
     letters[:, 1:GRAM_BYTES + 1] = np.array(words, dtype=f"S{GRAM_BYTES}").view(np.uint8).reshape(len(words), GRAM_BYTES)
     n = GRAM_BYTES + 1
     code = letters[:, :n]
     found = []
-    for k in range(1, 5):
+
+    def add(code: np.ndarray, last: np.ndarray) -> None:
+        slot = ((code ^ (code >> np.uint32(15))) * np.uint32(0x85EBCA6B)) >> np.uint32(17)
+        found.append(np.where(last != 0, slot, np.uint32(GRAM_SLOTS)))
+
+    for k in range(1, STEM + 1):
+        if k == 5:  # longer grams begin the word
+            n, code = 1, code[:, :1]
         code = code * np.uint32(0x01000193) ^ letters[:, k:n + k] * np.uint32(0x9E3779B1)
         if k >= 2:
-            slot = ((code ^ (code >> np.uint32(15))) * np.uint32(0x85EBCA6B)) >> np.uint32(17)
-            used = letters[:, k:n + k] != 0
-            found.append(np.where(used, slot, np.uint32(GRAM_SLOTS)))
+            add(code, letters[:, k:n + k])
     slots = np.concatenate(found, axis=1)
     first = np.where(slots[:, :1] == GRAM_SLOTS, np.uint32(0), slots[:, :1])
     return np.where(slots == GRAM_SLOTS, first, slots).astype(np.int32)
@@ -261,7 +270,9 @@ def start(docs: list[tuple[int, list[list[bytes]]]], rng: np.random.Generator) -
     words[0] = 0
     words[1:, 0] = _log_odds(table[:, 1], table[:, 0], n_pos, n_neg)
     grams = rng.normal(0, 0.1, (GRAM_SLOTS, GRAM_DIM)).astype(np.float32)
+    # The largest and the smallest of a word's grams both reach the network.
     grams[:, 0] = _log_odds(slots[1], slots[0], n_pos, n_neg)
+    grams[:, 1] = -grams[:, 0]
     size = WORD_DIM + GRAM_DIM
 
     def weights(*shape: int) -> np.ndarray:
@@ -379,11 +390,15 @@ def fit(docs: list[tuple[int, list[list[bytes]]]], epochs: int = EPOCHS, seed: i
     evidence = x[:, 0] + x[:, WORD_DIM]
     rank = np.where(np.arange(WINDOW) < lengths[:, None], evidence[ids], -np.inf).max(axis=1)
     adam = _Adam(0.02)
+    # Every fifth document is kept from the updates to calibrate by.
+    aside = np.arange(len(docs)) % 5 == 4
     for epoch in range(epochs):
         if epoch:
             rank = logits()
         chosen, target = [], []
         for d, (y, _) in enumerate(docs):
+            if aside[d]:
+                continue
             own = np.arange(first[d], first[d + 1])
             best = own[np.argsort(-rank[own], kind="stable")[:2]]
             if y:
@@ -409,24 +424,29 @@ def fit(docs: list[tuple[int, list[list[bytes]]]], epochs: int = EPOCHS, seed: i
                 np.add.at(net.grams[:, d], best[:, d], -0.1 * d_x[:, WORD_DIM + d])
     top = np.full(len(docs), -np.inf)
     np.maximum.at(top, owner, logits())
-    net.scale, net.shift = calibrate(top, y_doc)
+    aside |= len(set(y_doc[aside].tolist())) < 2  # too few documents to keep some aside
+    net.scale, net.shift = calibrate(top[aside], y_doc[aside])
     return net
 
 
-def calibrate(top: np.ndarray, y: np.ndarray, rounds: int = 50) -> tuple[float, float]:
+def calibrate(top: np.ndarray, y: np.ndarray, rounds: int = 100) -> tuple[float, float]:
     """Slope and intercept of a logistic over the documents' largest logits,
-    each label weighing the same, with a ridge that keeps them finite."""
-    a, b = 1.0, 0.0
-    weight = np.where(y == 1, 0.5 / max(1, y.sum()), 0.5 / max(1, (1 - y).sum()))
+    each label weighing the same; two made-up rows per label at the labels'
+    means, one of them with the other label, keep the slope finite."""
+    means = [top[y == k].mean() for k in (0, 1)]
+    x = np.concatenate([top, means, means])
+    t = np.concatenate([y, [0, 1], [1, 0]]).astype(float)
+    share = 1 / max(20, len(y))
+    weight = np.concatenate([np.where(y == 1, 0.5 / y.sum(), 0.5 / (1 - y).sum()), [share] * 2, [share / 4] * 2])
+    a, b = 0.1, -0.1 * float(np.mean(means))
     for _ in range(rounds):
-        p = _sigmoid(a * top + b)
-        r = weight * (p - y)
-        s = weight * p * (1 - p)
-        g = np.array([(r * top).sum() + 1e-3 * (a - 1), r.sum() + 1e-3 * b])
-        h = np.array([[(s * top * top).sum() + 1e-3, (s * top).sum()], [(s * top).sum(), s.sum() + 1e-3]])
-        d = np.linalg.solve(h, g)
-        a, b = float(np.clip(a - d[0], 0.05, 20)), float(np.clip(b - d[1], -50, 50))
-    return a, b
+        p = _sigmoid(a * x + b)
+        r, s = weight * (p - t), weight * p * (1 - p)
+        g = np.array([(r * x).sum(), r.sum()])
+        h = np.array([[(s * x * x).sum() + 1e-9, (s * x).sum()], [(s * x).sum(), s.sum() + 1e-9]])
+        d = np.clip(np.linalg.solve(h, g), -5, 5)
+        a, b = float(a - 0.5 * d[0]), float(b - 0.5 * d[1])
+    return max(a, 1e-3), b
 
 
 # -- scoring ----------------------------------------------------------------
