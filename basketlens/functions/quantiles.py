@@ -21,10 +21,17 @@ Here the exact answer is found in two distributed passes:
    interpolated linearly (the definition used by NumPy's default method and
    by SQL ``quantile_cont``).
 
-Groups with at most ``exact_group_rows`` values (and never fewer than
-``10 * accuracy``) skip the sketch: their bracket is the whole group, which is
-bounded by that parameter.  If a bracket ever
-misses its rank the query fails loudly rather than returning a wrong value.
+The margin around a probability is three sketch errors, ``3 / accuracy``.  It
+covers the sketch's error and one rank as long as a group has more than
+``10 * accuracy`` values; a smaller group, where one rank is more than that,
+has its whole range as the margin, which ``accuracy`` bounds.  If a bracket
+ever misses its rank the query fails loudly rather than returning a wrong
+value.
+
+The sketch works on doubles.  Values are therefore compared with bracket edges
+as doubles too: the conversion never reorders values, so a tied value falls
+into the bracket with all its ties, and decimals or longs beyond 2^53 are ranked
+exactly inside it.
 
 Interpolation is exact: integral and decimal inputs are interpolated in
 decimal arithmetic with the probability as an exact fraction; doubles use
@@ -44,7 +51,6 @@ from basketlens.functions.broadcast import one_row
 
 def exact_quantiles(df: DataFrame, value: str, probs: list[float], names: list[str],
                     by: list[str] | tuple[str, ...] = (), accuracy: int = 10_000,
-                    exact_group_rows: int = 1_000_000,
                     max_groups: int | None = None) -> DataFrame:
     """One row per group of ``by`` with one column per probability.
 
@@ -54,14 +60,20 @@ def exact_quantiles(df: DataFrame, value: str, probs: list[float], names: list[s
 
     ``max_groups``: a bound on the number of groups the caller can prove
     (e.g. a fixed label set).  With it the per-group brackets are broadcast
-    to the rows; without it they are joined by a shuffle on the group key,
-    where AQE splits a skewed group.
+    to the rows, and the query fails if there are more groups; without it they
+    are joined by a shuffle on the group key, where AQE splits a skewed group.
+
+    A probability has to be a fraction with a denominator of 1,000,000 at most.
     """
     if len(probs) != len(names):
         raise ValueError("probs and names differ in length")
+    for p in probs:
+        if not 0 <= p <= 1 or abs(float(Fraction(p).limit_denominator(1_000_000)) - p) > 1e-15:
+            raise ValueError(f"probability {p} is not a fraction with a denominator up to 1,000,000")
     by = list(by)
     dtype = df.schema[value].dataType
-    clean = df.select(*by, F.col(value).alias("_v")).where(F.col("_v").isNotNull())
+    clean = (df.select(*by, F.col(value).alias("_v")).where(F.col("_v").isNotNull())
+             .withColumn("_d", F.col("_v").cast("double")))
 
     inner = [(j, p) for j, p in enumerate(probs) if 0.0 < p < 1.0]
     margin = 3.0 / accuracy
@@ -69,44 +81,45 @@ def exact_quantiles(df: DataFrame, value: str, probs: list[float], names: list[s
     if inner:
         lo = [max(0.0, p - margin) for _, p in inner]
         hi = [min(1.0, p + margin) for _, p in inner]
-        stats_aggs += [F.percentile_approx("_v", lo, accuracy).alias("_alo"),
-                       F.percentile_approx("_v", hi, accuracy).alias("_ahi")]
+        stats_aggs += [F.percentile_approx("_d", lo, accuracy).alias("_alo"),
+                       F.percentile_approx("_d", hi, accuracy).alias("_ahi")]
     stats = clean.groupBy(*by).agg(*stats_aggs)
 
     edge = {0.0: "_min", 1.0: "_max"}
     if not inner:
         return stats.select(*by, *[F.col(edge[p]).alias(n) for p, n in zip(probs, names)])
 
-    # The bracket margin (3 / accuracy in probability) must exceed the sketch
-    # error (1 / accuracy) plus one rank (1 / n); groups of at most
-    # 10 * accuracy values therefore always take the bounded exact path.
-    small = F.col("_n") <= F.lit(max(exact_group_rows, 10 * accuracy))
+    small = F.col("_n") <= F.lit(10 * accuracy)
     fracs = [Fraction(p).limit_denominator(1_000_000) for _, p in inner]
     cols = []
     for k, ((j, _), fr) in enumerate(zip(inner, fracs)):
         t = (F.col("_n") - 1) * F.lit(fr.numerator)
         cols += [
-            F.when(small, F.col("_min")).otherwise(F.col("_alo")[k]).alias(f"_L{k}"),
-            F.when(small, F.col("_max")).otherwise(F.col("_ahi")[k]).alias(f"_U{k}"),
+            F.when(small, F.col("_min").cast("double")).otherwise(F.col("_alo")[k]).alias(f"_L{k}"),
+            F.when(small, F.col("_max").cast("double")).otherwise(F.col("_ahi")[k]).alias(f"_U{k}"),
             F.floor(t / F.lit(fr.denominator)).cast("long").alias(f"_r{k}"),
             F.pmod(t, F.lit(fr.denominator)).cast("long").alias(f"_m{k}"),
         ]
     brackets = stats.select(*by, "_min", "_max", *cols)
 
     if by and max_groups is not None:
-        # One row per group and a proven group bound: broadcast, so a hot
+        # One row per group and a checked group bound: broadcast, so a hot
         # group is never shuffled into a single task.
+        groups = F.count(F.lit(1)).over(Window.partitionBy(F.lit(0)))
+        brackets = brackets.withColumn("_groups", groups).where(
+            F.when(F.col("_groups") > max_groups, F.raise_error(F.lit("exact_quantiles: more groups than max_groups"))
+                   .cast("boolean")).otherwise(F.lit(True))).drop("_groups")
         joined = clean.join(F.broadcast(brackets), by)
     elif by:
         joined = clean.join(brackets, by)
     else:
         joined = clean.crossJoin(one_row(brackets))
 
-    v = F.col("_v")
+    v, d = F.col("_v"), F.col("_d")
     tags = F.array(*[
-        F.when(v <= F.col(f"_U{k}"),
+        F.when(d <= F.col(f"_U{k}"),
                F.struct(F.lit(k).alias("j"),
-                        F.when(v >= F.col(f"_L{k}"), v).alias("x"),
+                        F.when(d >= F.col(f"_L{k}"), v).alias("x"),
                         F.col(f"_r{k}").alias("r"),
                         F.col(f"_m{k}").alias("m")))
         for k in range(len(inner))
@@ -116,12 +129,10 @@ def exact_quantiles(df: DataFrame, value: str, probs: list[float], names: list[s
               .select(*by, *consts, F.explode(F.filter(tags, lambda s: s.isNotNull())).alias("_t"))
               .select(*by, *consts, F.col("_t.j").alias("_j"), F.col("_t.x").alias("_x"),
                       F.col("_t.r").alias("_r"), F.col("_t.m").alias("_m")))
-    # Map-side partial counts per distinct value, then one shuffle.  What is
-    # left is bounded by the bracket sizes, so it is regrouped by the group
-    # key alone: the running count, the pick and the pivot below then share
-    # that partitioning and need no further exchange.
+    # Map-side partial counts per distinct value.  Each bracket is then a task
+    # of its own; what is left in it is bounded by the bracket's size.
     counted = tagged.groupBy(*by, *consts, "_j", "_r", "_m", "_x").agg(F.count(F.lit(1)).alias("_c"))
-    counted = counted.repartition(*by) if by else counted.repartition(1)
+    counted = counted.repartition(*by, "_j")
 
     w = (Window.partitionBy(*by, "_j").orderBy(F.col("_x").asc_nulls_first())
          .rowsBetween(Window.unboundedPreceding, Window.currentRow))

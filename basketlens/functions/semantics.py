@@ -81,35 +81,42 @@ def pct_not(c: str | Column) -> Column:
     return F.avg((~col_(c)).cast("double")) * F.lit(100.0)
 
 
-# Money is exact to 1/10,000 of the currency unit.
-MONEY_UNITS = 10_000
+# Money is exact to 1/1,000,000 of the currency unit.
+MONEY_UNITS = 1_000_000
 
 
-def money_units(c: str | Column) -> Column:
-    """A money amount as a whole number of 1/10,000 units (long).
+def _money_lanes(c: str | Column) -> tuple[Column, Column]:
+    """A money amount as whole currency units and millionths, both long.
 
-    Exact for decimal(p, 4) and for doubles carrying at most 4 decimals, up
-    to about 2e11 per value.  Summing longs stays on Spark's fixed-width hash
-    aggregation path, whereas a decimal sum needs more than 18 digits and
-    falls back to arbitrary-precision arithmetic; a long overflow raises
-    (ANSI) instead of wrapping.
+    The whole part is taken in the amount's own type (no detour through
+    double for decimals) and the rest below one unit is exact in a double, so
+    both lanes are exact for decimals of up to 6 decimals and for doubles that
+    carry such amounts.
     """
-    return F.rint(col_(c).cast("double") * F.lit(float(MONEY_UNITS))).cast("long")
+    x = col_(c)
+    whole = F.floor(x)
+    return whole.cast("long"), F.rint((x - whole).cast("double") * F.lit(float(MONEY_UNITS))).cast("long")
 
 
 def money_sum(c: str | Column) -> Column:
-    """Exact money sum as ``decimal(38,4)``; 0 when there is nothing to sum.
-    Independent of the order in which partitions are merged."""
-    units = F.coalesce(F.sum(money_units(c)), F.lit(0))
-    return (units.cast("decimal(38,0)") / F.lit(MONEY_UNITS)).cast("decimal(38,4)")
+    """Exact money sum as ``decimal(38,6)``; 0 when there is nothing to sum.
+    Independent of the order in which partitions are merged.
+
+    Two long sums stay on Spark's fixed-width hash aggregation path (a decimal
+    sum of more than 18 digits falls back to arbitrary precision).  The whole
+    lane holds totals up to 9.2e18 currency units and the fraction lane 9.2e12
+    rows; beyond that the sum raises (ANSI) instead of wrapping.
+    """
+    whole, part = _money_lanes(c)
+    low = F.coalesce(F.sum(part), F.lit(0)).cast("decimal(38,0)") / F.lit(MONEY_UNITS)
+    return (F.coalesce(F.sum(whole), F.lit(0)).cast("decimal(31,6)") + low.cast("decimal(31,6)")).cast("decimal(38,6)")
 
 
 def money_mean(c: str | Column) -> Column:
     """Mean of a money column as a double: the exact sum, converted once,
     divided by the count of non-null values."""
     x = col_(c)
-    total = F.sum(money_units(x)).cast("double") / F.lit(float(MONEY_UNITS))
-    return F.try_divide(total, F.count(x).cast("double"))
+    return F.try_divide(F.when(F.count(x) > 0, money_sum(x)).cast("double"), F.count(x).cast("double"))
 
 
 def first_non_null(value: str | Column, *order: str | Column) -> Column:

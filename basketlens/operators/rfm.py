@@ -44,8 +44,8 @@ SEGMENT_ORDER = ["Champions", "Loyal Customers", "New Customers", "Potential Loy
 FREQUENCY_EDGES = [1, 2, 3, 5]
 
 QUINTILES = [0.0, 0.2, 0.4, 0.6, 0.8, 1.0]
-# Recency (whole days) and monetary (4-decimal money) both fit exactly.
-_EDGE = "decimal(28,4)"
+# Recency (whole days) and monetary (6-decimal money) both fit exactly.
+_EDGE = "decimal(28,6)"
 
 
 def delivered_orders(master: DataFrame) -> DataFrame:
@@ -84,7 +84,7 @@ def rfm_base(master: DataFrame) -> DataFrame:
 
 
 def rfm_cutpoints(base: DataFrame, accuracy: int = 10_000,
-                  exact_group_rows: int = 1_000_000, approximate: bool = False) -> DataFrame:
+                  approximate: bool = False) -> DataFrame:
     """One row: the six quintile edges of recency (``r0``..``r5``) and of
     monetary (``m0``..``m5``), plus the highest frequency.
 
@@ -105,7 +105,7 @@ def rfm_cutpoints(base: DataFrame, accuracy: int = 10_000,
         q = q.select("metric", *[F.col("_q")[i].alias(n) for i, n in enumerate(names)])
     else:
         q = exact_quantiles(stacked, "v", QUINTILES, names, by=["metric"], accuracy=accuracy,
-                            exact_group_rows=exact_group_rows, max_groups=2)
+                            max_groups=2)
     edges = q.agg(*[F.max(F.when(F.col("metric") == p, F.col(n))).alias(f"{p}{i}")
                     for p in ("r", "m") for i, n in enumerate(names)])
     fmax = base.agg(F.max("frequency").alias("max_frequency"))

@@ -99,12 +99,14 @@ def source_counts(sources: dict[str, DataFrame]) -> dict[str, int]:
 
 
 def read_master(spark: SparkSession, path: str) -> DataFrame:
-    """Re-read the order master and derive the month and year columns."""
+    """Re-read the order master.  The month and year columns are derived only
+    where the file has none: a written partition column stays as it is, so
+    month filters prune partitions."""
     from basketlens.operators.delivery import with_order_period
     df = spark.read.parquet(path)
     require_columns(df, ["order_id", "customer_unique_id", "order_status",
                          "order_purchase_timestamp"], "master")
-    return with_order_period(df)
+    return df if {"order_month", "order_year"} <= set(df.columns) else with_order_period(df)
 
 
 def read_rfm(spark: SparkSession, path: str) -> DataFrame:

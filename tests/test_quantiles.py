@@ -20,26 +20,57 @@ def skewed(spark):
     return df, df.toPandas()
 
 
-@pytest.mark.parametrize("exact_rows", [0, 10**9])
-def test_global_matches_numpy(skewed, exact_rows):
+@pytest.mark.parametrize("accuracy", [50, 500, 10_000])
+def test_global_matches_numpy(skewed, accuracy):
+    # 60,000 rows: the brackets come from the sketch up to accuracy 5,999
     df, pdf = skewed
-    got = exact_quantiles(df, "v", PROBS, NAMES, exact_group_rows=exact_rows, accuracy=500).first()
+    got = exact_quantiles(df, "v", PROBS, NAMES, accuracy=accuracy).first()
     assert np.allclose([float(got[n]) for n in NAMES], np.quantile(pdf.v.values, PROBS),
                        rtol=0, atol=1e-9)
 
 
-@pytest.mark.parametrize("exact_rows", [0, 10**9])
-def test_grouped_matches_numpy(skewed, exact_rows):
+@pytest.mark.parametrize("accuracy", [50, 500, 10_000])
+@pytest.mark.parametrize("max_groups", [None, 4])
+def test_grouped_matches_numpy(skewed, accuracy, max_groups):
     df, pdf = skewed
-    for max_groups in (None, 4):
-        # accuracy 500: groups above 5,000 rows take the sketch path when
-        # exact_rows is 0
-        rows = exact_quantiles(df, "v", PROBS, NAMES, by=["g"], exact_group_rows=exact_rows,
-                               accuracy=500, max_groups=max_groups).collect()
-        assert len(rows) == pdf.g.nunique() == 4
-        for r in rows:
-            want = np.quantile(pdf[pdf.g == r.g].v.values, PROBS)
-            assert np.allclose([float(r[n]) for n in NAMES], want, rtol=0, atol=1e-9)
+    rows = exact_quantiles(df, "v", PROBS, NAMES, by=["g"], accuracy=accuracy,
+                           max_groups=max_groups).collect()
+    assert len(rows) == pdf.g.nunique() == 4
+    for r in rows:
+        want = np.quantile(pdf[pdf.g == r.g].v.values, PROBS)
+        assert np.allclose([float(r[n]) for n in NAMES], want, rtol=0, atol=1e-9)
+
+
+def test_more_groups_than_promised_fail(skewed):
+    df, _ = skewed
+    with pytest.raises(Exception, match="more groups"):
+        exact_quantiles(df, "v", [0.5], ["m"], by=["g"], max_groups=3).collect()
+
+
+def test_values_beyond_double_precision(spark):
+    """A third of the rows share a decimal that no double holds; neighbours
+    differ from it in the last place."""
+    df = spark.range(30000).select(
+        F.when(F.col("id") % 3 == 0, F.lit("900719925474.9301").cast("decimal(28,4)"))
+         .otherwise((F.lit("900719925474.9000").cast("decimal(28,4)")
+                     + (F.col("id") % 700).cast("decimal(28,4)") / 10000).cast("decimal(28,4)")).alias("v"))
+    values = sorted(int(r.v * 10000) for r in df.collect())
+    for accuracy in (100, 1000, 10_000):
+        got = exact_quantiles(df, "v", [0.2, 0.5, 0.8], ["a", "b", "c"], accuracy=accuracy).first()
+        for name, tenths in (("a", 2), ("b", 5), ("c", 8)):
+            h, rest = divmod((len(values) - 1) * tenths, 10)
+            want = (values[h] * (10 - rest) + values[h + 1] * rest) / 10
+            assert abs(float(got[name]) * 10000 - want) < 1  # shown through a double
+            assert (got[name] * 100000).to_integral_value() == values[h] * (10 - rest) + values[h + 1] * rest
+    longs = spark.range(20000).select((F.lit(2 ** 60) + F.col("id")).alias("v"))
+    assert int(exact_quantiles(longs, "v", [0.25], ["q"], accuracy=100).first().q * 4) == 2 ** 62 + 19999
+
+
+def test_probabilities_have_to_be_fractions(spark):
+    df = spark.range(3).select(F.col("id").alias("v"))
+    for p in (0.1234567891, -0.1, 1.5):
+        with pytest.raises(ValueError, match="probability"):
+            exact_quantiles(df, "v", [p], ["q"])
 
 
 def test_integer_and_decimal_interpolation_is_exact(spark):
@@ -47,7 +78,7 @@ def test_integer_and_decimal_interpolation_is_exact(spark):
     q = exact_quantiles(df, "v", [0.3, 0.5], ["a", "b"]).first()
     assert float(q.a) == pytest.approx(2.2) and float(q.b) == 3.0
     dec = df.select(F.col("v").cast("decimal(18,4)").alias("v"))
-    qd = exact_quantiles(dec, "v", [0.3], ["a"], exact_group_rows=0).first()
+    qd = exact_quantiles(dec, "v", [0.3], ["a"]).first()
     assert str(qd.a).startswith("2.2")
 
 

@@ -205,3 +205,19 @@ def test_timestamps_do_not_depend_on_session_time_zone(spark):
         assert out[1].t == "1999-10-03 00:30:00.000000"
     finally:
         spark.conf.set("spark.sql.session.timeZone", old)
+
+
+def test_money_sums_at_any_size(spark):
+    from decimal import Decimal
+
+    from basketlens.functions.semantics import money_mean, money_sum
+    big = spark.range(2_000_000).select(F.lit(1e9).alias("d"), F.lit("1000000000.25").cast("decimal(28,4)").alias("c"))
+    row = big.agg(money_sum("d").alias("d"), money_sum("c").alias("c"), money_mean("c").alias("m")).first()
+    assert row.d == Decimal("2000000000000000") and row.c == Decimal("2000000000500000") and row.m == 1000000000.25
+    fine = spark.createDataFrame([("0.123456",), ("-7.000001",), ("900719925474.930100",), (None,)], "t string")
+    got = fine.select(F.col("t").cast("decimal(28,6)").alias("v")).agg(
+        money_sum("v").alias("s"), money_mean("v").alias("m")).first()
+    assert got.s == Decimal("900719925468.053555") and got.m == pytest.approx(300239975156.0178517)
+    empty = fine.where("t is null").select(F.col("t").cast("double").alias("v"))
+    got = empty.agg(money_sum("v").alias("s"), money_mean("v").alias("m")).first()
+    assert got.s == 0 and got.m is None
