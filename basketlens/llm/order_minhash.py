@@ -140,7 +140,7 @@ def _bounds(docs: DataFrame, parts: int) -> list[int]:
     return sorted(set(found or []))
 
 
-def _with_next(docs: DataFrame, parts: int) -> DataFrame:
+def _with_next(docs: DataFrame, parts: int, tasks: int) -> DataFrame:
     """``(part, guard, doc_id, tag, data)`` in ranges of ids, sorted; each
     range ends with the next range's first row as its guard (the last range
     with the table's first row).  Texts travel compressed."""
@@ -182,7 +182,7 @@ def _with_next(docs: DataFrame, parts: int) -> DataFrame:
 
     both = (docs.mapInArrow(spread, kind).withColumn("guard", F.lit(0))
             .unionByName(firsts.mapInArrow(guard, kind).withColumn("guard", F.lit(1))))
-    return (both.select("part", "guard", "doc_id", "tag", "data").repartition(max(1, parts), "part")
+    return (both.select("part", "guard", "doc_id", "tag", "data").repartition(tasks, "part")
             .sortWithinPartitions("part", "guard", "doc_id", "tag"))
 
 
@@ -205,7 +205,9 @@ def fingerprints_and_edits(docs: DataFrame, id_col: str = "doc_id", text_col: st
     texts count as empty; two texts without pieces have likeness 1.
     """
     null_id = -(1 << 63)
-    parts = parts or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # More ranges than tasks, so that their hashes fill the tasks evenly.
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = parts or 8 * tasks
     rows = docs.select(F.coalesce(quoted(id_col).cast("long"), F.lit(null_id)).alias("doc_id"),
                        F.xxhash64(quoted(text_col)).alias("tag"),
                        text_or_empty(text_col).cast("binary").alias("body"))
@@ -233,7 +235,7 @@ def fingerprints_and_edits(docs: DataFrame, id_col: str = "doc_id", text_col: st
                     names=["doc_id", "n_chars", "edited_sha256", "signature", "edited_signature",
                            "near_edited", "near_next"])
 
-    found = _with_next(rows, parts).mapInArrow(
+    found = _with_next(rows, parts, tasks).mapInArrow(
         run, "doc_id long, n_chars long, edited_sha256 string, signature array<long>, "
         "edited_signature array<long>, near_edited double, near_next double")
     return found.withColumn("doc_id", F.nullif("doc_id", F.lit(null_id)))
