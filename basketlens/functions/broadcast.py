@@ -1,4 +1,4 @@
-"""Broadcast only behind an explicit size check."""
+"""Row counts in one job, and broadcasts whose size is bounded by construction."""
 
 from __future__ import annotations
 
@@ -8,20 +8,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
-    """Mark ``df`` for broadcast when it has at most ``max_rows`` rows.
-
-    The check is a plain ``count()``: aggregated map-side, one number to the
-    driver (for an unfiltered Parquet table only the file footers are read).
-    It is meant for dimension-sized inputs, whose one extra pass is cheap next
-    to the fact tables.  (``limit(n).count()`` would be worse at scale: every
-    partition would ship up to n rows into one task.)  Beyond the bound the
-    frame is returned unchanged and the join stays a shuffle join, which AQE
-    may still turn into a broadcast at run time from the real shuffle sizes.
-    """
-    return F.broadcast(df) if df.count() <= max_rows else df
-
-
 def row_counts(frames: dict[str, DataFrame]) -> dict[str, int]:
     """Row counts of several frames in one job: each contributes rows tagged
     with its name (no columns are read), counted map-side per tag."""

@@ -66,11 +66,6 @@ def flag(predicate: Column) -> Column:
     return F.coalesce(predicate, F.lit(False))
 
 
-def sum0(c: str | Column) -> Column:
-    """Sum that is 0, not NULL, when every input is NULL."""
-    return F.coalesce(F.sum(col_(c)), F.lit(0))
-
-
 def pct_true(c: str | Column) -> Column:
     """Share of true values among non-null ones, in percent."""
     return F.avg(col_(c).cast("double")) * F.lit(100.0)
@@ -148,11 +143,14 @@ def mode_low(c: str | Column) -> Column:
 def title_words(c: str | Column) -> Column:
     """``snake_case`` → ``Title Case`` (underscores become spaces).
 
-    ``initcap`` only starts a word after a space; Python's ``str.title`` also
-    after hyphens, apostrophes and digits.  The two agree on ``[a-z0-9_]``
-    names unless a letter follows a digit.
+    A word starts at every letter that does not follow a letter, so also after
+    hyphens, apostrophes and digits (``initcap`` starts words after spaces only):
+    the text is cut into runs of letters and of anything else, and each run's
+    first character is raised.
     """
-    return F.initcap(F.regexp_replace(col_(c), "_", " "))
+    runs = F.regexp_extract_all(F.regexp_replace(col_(c), "_", " "), F.lit(r"\p{L}+|\P{L}+"), F.lit(0))
+    return F.array_join(F.transform(runs, lambda r: F.concat(F.upper(F.substring(r, 1, 1)),
+                                                             F.lower(F.substring(r, 2, 1 << 20)))), "")
 
 
 def fmt_grouped(c: str | Column, decimals: int) -> Column:

@@ -138,46 +138,75 @@ class ChurnResult:
 
 def fit_churn(rfm: DataFrame, features: list[str] = FEATURES, max_iter: int = 1000,
               tol: float = 1e-10) -> ChurnResult:
+    """Raises ``ValueError`` when the training rows hold only one class."""
     spark = rfm.sparkSession
     labelled = with_churn_label(rfm)
     cases = complete_cases(labelled, features)
-    stats = scaling_stats(cases, features)
-    z = with_scaled(cases, stats, features)
-    assembled = VectorAssembler(inputCols=[f"z_{f}" for f in features],
-                                outputCol="features", handleInvalid="error").transform(z)
-    data = assembled.select(ID, "features", F.col(LABEL).cast("double").alias("label"),
-                            test_flag().alias("is_test"))
-    # The optimiser makes many passes over the training rows.
+    # One pass for the scaling row; everything after it uses the values.
+    lazy = scaling_stats(cases, features)
+    stats = spark.createDataFrame([lazy.first()], lazy.schema)
+    assembled = VectorAssembler(inputCols=[f"z_{f}" for f in features], outputCol="features",
+                                handleInvalid="error").transform(with_scaled(cases, stats, features))
+    # The optimiser makes many passes over the training rows; the test rows
+    # are scored from the same frame.
+    data = assembled.select("features", *[f"z_{f}" for f in features], LABEL, test_flag().alias("is_test"))
     data = data.persist(StorageLevel.MEMORY_AND_DISK)
-    train = data.where(~F.col("is_test"))
-
-    split = {(bool(r["is_test"]), int(r["label"])): r["rows"] for r in
-             data.groupBy("is_test", "label").agg(F.count(F.lit(1)).alias("rows")).collect()}
-    counts = {k: n for (t, k), n in split.items() if not t}
-    n_test = sum(n for (t, _), n in split.items() if t)
-    n_train = sum(counts.values())
-    weight = F.lit(None).cast("double")
-    for k, nk in counts.items():
-        weight = F.when(F.col("label") == k, F.lit(n_train / (2.0 * nk))).otherwise(weight)
-    lr = LogisticRegression(featuresCol="features", labelCol="label", weightCol="weight",
-                            regParam=1.0 / n_train, elasticNetParam=0.0,
-                            standardization=False, fitIntercept=True, maxIter=max_iter,
-                            tol=tol, family="binomial")
-    model = lr.fit(train.withColumn("weight", weight))
-    coef = [float(c) for c in model.coefficients.toArray()]
-    intercept = float(model.intercept)
-
-    scored_test = test_scores(labelled, stats, coef, intercept, features)
-    auc = area_under_roc(scored_test)
-    data.unpersist()
-
-    coefficients = coefficient_table(spark, features, coef)
+    try:
+        train, test = data.where(~F.col("is_test")), data.where("is_test")
+        weights = class_weights(train).collect()  # at most one row per class
+        if len(weights) < 2:
+            raise ValueError("churn model: the training rows hold "
+                             f"{'only one class' if weights else 'no complete customer'}")
+        n_train = sum(r["rows"] for r in weights)
+        weight = F.coalesce(*[F.when(F.col(LABEL) == r[LABEL], F.lit(r["weight"])) for r in weights])
+        lr = LogisticRegression(featuresCol="features", labelCol="label", weightCol="weight",
+                                regParam=1.0 / n_train, elasticNetParam=0.0,
+                                standardization=False, fitIntercept=True, maxIter=max_iter,
+                                tol=tol, family="binomial")
+        model = lr.fit(train.select("features", F.col(LABEL).cast("double").alias("label"),
+                                    weight.alias("weight")))
+        coef = [float(c) for c in model.coefficients.toArray()]
+        intercept = float(model.intercept)
+        scored = test.select(F.col(LABEL).cast("double").alias("label"),
+                             probability(coef, intercept, features).alias("p"))
+        n_test = test.count()
+        auc = area_under_roc(scored)
+        lazy = classification_report(predictions(scored))
+        report = spark.createDataFrame(lazy.collect(), lazy.schema)  # five rows
+    finally:
+        data.unpersist()
+
     metrics = spark.createDataFrame(
         [(auc, n_train, n_test, intercept, model.summary.totalIterations)],
         "auc double, train_rows long, test_rows long, intercept double, iterations int")
-    report = classification_report(predictions(scored_test))
-    scores = score_customers(labelled, stats, coef, intercept, features)
-    return ChurnResult(scores, coefficients, metrics, report, coef, intercept, auc)
+    return ChurnResult(score_customers(labelled, stats, coef, intercept, features),
+                       coefficient_table(spark, features, coef), metrics, report, coef, intercept, auc)
+
+
+def objective_gradient(labelled: DataFrame, coefficients: list[float], intercept: float,
+                       features: list[str] = FEATURES) -> DataFrame:
+    """``(parameter, gradient)`` of the stated objective on the training rows,
+    per row: zero for every parameter exactly at the optimum."""
+    cases = complete_cases(labelled, features)
+    z = with_scaled(cases, scaling_stats(cases, features), features).where(~test_flag())
+    z = z.join(F.broadcast(class_weights(z).select(LABEL, "weight")), LABEL)  # two rows
+    error = F.col("weight") * (probability(coefficients, intercept, features) - F.col(LABEL))
+    sums = z.agg(F.count(F.lit(1)).alias("n"), F.avg(error).alias("g_intercept"),
+                 *[F.avg(error * F.col(f"z_{f}")).alias(f"g_{f}") for f in features])
+    rows = [F.struct(F.lit("intercept").alias("parameter"), F.col("g_intercept").alias("gradient"))]
+    rows += [F.struct(F.lit(f).alias("parameter"),
+                      (F.col(f"g_{f}") + F.lit(w) / F.col("n")).alias("gradient"))
+             for f, w in zip(features, coefficients)]
+    return sums.select(F.inline(F.array(*rows)))
+
+
+def centroid_coefficients(labelled: DataFrame, features: list[str] = FEATURES) -> DataFrame:
+    """One row: per feature the scaled mean of the churned customers minus that
+    of the others, a model that needs no optimiser."""
+    cases = complete_cases(labelled, features)
+    z = with_scaled(cases, scaling_stats(cases, features), features)
+    return z.agg(*[(F.avg(F.when(F.col(LABEL) == 1, F.col(f"z_{f}")))
+                    - F.avg(F.when(F.col(LABEL) == 0, F.col(f"z_{f}")))).alias(f) for f in features])
 
 
 def test_scores(labelled: DataFrame, stats: DataFrame, coefficients: list[float],

@@ -13,15 +13,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from basketlens.functions.broadcast import broadcast_if_small, row_counts
 from basketlens.functions.semantics import (first_non_null, last_non_null_nulls_last, mode_low,
                                             money_sum, title_words)
 from basketlens.operators.delivery import add_delivery_metrics
 
 
-DIMENSION_BROADCAST_ROWS = 1_000_000
-
-
 def items_by_order(items: DataFrame) -> DataFrame:
     """Per order: item count, price and freight sums, first product and
     seller (first non-null by item number, then product and seller id)."""
@@ -59,17 +55,10 @@ def latest_review_by_order(reviews: DataFrame) -> DataFrame:
                  .alias("review_score")))
 
 
-def product_category(products: DataFrame, translation: DataFrame,
-                     broadcast_translation: bool | None = None) -> DataFrame:
+def product_category(products: DataFrame, translation: DataFrame) -> DataFrame:
     """Products with ``category``: English name, else original name, else
-    "unknown"; underscores to spaces, title case.  The translation table is
-    broadcast behind a size check (``broadcast_translation`` passes a check
-    already made)."""
+    "unknown"; underscores to spaces, title case."""
     tr = translation.select("product_category_name", "product_category_name_english")
-    if broadcast_translation is None:
-        tr = broadcast_if_small(tr, DIMENSION_BROADCAST_ROWS)
-    elif broadcast_translation:
-        tr = F.broadcast(tr)
     return (products.join(tr, "product_category_name", "left")
             .withColumn("category", title_words(F.coalesce(
                 F.col("product_category_name_english"), F.col("product_category_name"),
@@ -88,17 +77,10 @@ def build_master(src: dict[str, DataFrame]) -> DataFrame:
     items = items_by_order(src["order_items"])
     pays = payments_by_order(src["order_payments"])
     revs = latest_review_by_order(src["order_reviews"])
-    # Dimensions are broadcast when a row check proves them small (the
-    # translation join keeps the product count); otherwise they are
-    # shuffle-joined.  One job counts all three.
-    n = row_counts({"translation": src["category_translation"], "products": src["products"],
-                    "sellers": src["sellers"]})
-    small = {k: v <= DIMENSION_BROADCAST_ROWS for k, v in n.items()}
-    prods = product_category(src["products"], src["category_translation"],
-                             small["translation"]).select("product_id", "category")
-    prods = F.broadcast(prods) if small["products"] else prods
+    # No hints: Spark broadcasts a dimension by its size in bytes and joins by
+    # shuffle otherwise (splitting the partition of orders without an item).
+    prods = product_category(src["products"], src["category_translation"]).select("product_id", "category")
     sellers = src["sellers"].select("seller_id", "seller_state")
-    sellers = F.broadcast(sellers) if small["sellers"] else sellers
 
     facts = (orders
              .join(items, "order_id", "left")
@@ -117,8 +99,9 @@ def build_master(src: dict[str, DataFrame]) -> DataFrame:
 
 
 def assert_unique(df: DataFrame, key: str, what: str) -> None:
-    """Fail if ``key`` repeats in ``df`` (a dimension key must be unique for
+    """Fail if ``key`` repeats or is missing in ``df`` (keys must be unique for
     the left joins to keep one row per order)."""
-    dup = df.groupBy(key).count().where(F.col("count") > 1).limit(1).count()
-    if dup:
-        raise ValueError(f"{what}: key {key} is not unique")
+    bad = (df.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+           .where((F.col("n") > 1) | F.col(key).isNull()))
+    if not bad.isEmpty():
+        raise ValueError(f"{what}: key {key} is not unique or has missing values")

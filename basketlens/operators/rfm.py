@@ -9,11 +9,11 @@ is broadcast to the customer rows, never collected to the driver.
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from basketlens.functions.broadcast import one_row
+from basketlens.functions.lineage import table_checkpoint
 from basketlens.functions.quantiles import exact_quantiles
 from basketlens.functions.semantics import (first_non_null, floor_days, mode_low, money_sum,
                                             pct_true, plus_days)
@@ -166,10 +166,10 @@ def build_rfm(master: DataFrame, keep=None, **quantile_opts) -> DataFrame:
     """The scored customer table.
 
     The customer-grain base feeds the quantile passes and the scoring pass,
-    so it is materialised once by ``keep`` (default: persisted, spilling to
-    disk; a caller may write it as a table instead)."""
-    base = rfm_base(master)
-    base = keep(base) if keep else base.persist(StorageLevel.MEMORY_AND_DISK)
+    so it is materialised once by ``keep`` (default: a table in the checkpoint
+    folder)."""
+    keep = keep or (lambda df: table_checkpoint(df, "rfm_base"))
+    base = keep(rfm_base(master))
     return score(base, rfm_cutpoints(base, **quantile_opts))
 
 

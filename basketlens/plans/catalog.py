@@ -44,6 +44,12 @@ def normalize(df: DataFrame) -> DataFrame:
     return df.select(*cols)
 
 
+def positioned(df: DataFrame) -> DataFrame:
+    """An ordered dataset with each row's position, so that its order is
+    checked too.  For datasets of a few dozen rows."""
+    return df.coalesce(1).withColumn("position", F.monotonically_increasing_id() + 1)
+
+
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ROWS_ONLY: set[str] = set()
@@ -155,7 +161,18 @@ def _q(m):
 
 @query("rfm_cutpoints")
 def _q(m):
-    return rfm_cutpoints(rfm_base(m.master))
+    return rfm_cutpoints(m.rfm)
+
+
+@query("recency_quantiles_sketch")
+def _q(m):
+    """Brackets from a coarse sketch: the path that large tables take."""
+    return rfm_cutpoints(m.rfm, accuracy=50).select(*[f"r{i}" for i in range(6)])
+
+
+@query("monetary_quantiles_sketch")
+def _q(m):
+    return rfm_cutpoints(m.rfm, accuracy=50).select(*[f"m{i}" for i in range(6)])
 
 
 @query("rfm_scored")
@@ -165,7 +182,7 @@ def _q(m):
 
 @query("segment_distribution")
 def _q(m):
-    return segments.segment_distribution(m.rfm)
+    return positioned(segments.segment_distribution(m.rfm))
 
 
 # --- filters and overview --------------------------------------------------
@@ -233,9 +250,15 @@ def _q(m):
     return segments.segment_profile_fmt(segments.segment_profile(m.rfm))
 
 
+@query("customer_map_sample_300")
+def _q(m):
+    """Fewer rows than customers at sf0.01, so the limit is checked."""
+    return segments.customer_map_sample(m.rfm, n=300, buckets=16)
+
+
 @query("rfm_total_hist")
 def _q(m):
-    return segments.rfm_total_hist(m.rfm)
+    return positioned(segments.rfm_total_hist(m.rfm))
 
 
 @query("rfm_total_median")
@@ -270,6 +293,12 @@ def _q(m):
     return delivery_views.worst_categories(_with_delay(m))
 
 
+@query("worst_categories_top3")
+def _q(m):
+    """Fewer rows than categories, so the limit is checked."""
+    return positioned(delivery_views.worst_categories(_with_delay(m), k=3))
+
+
 # --- churn model -----------------------------------------------------------
 
 @query("churn_label")
@@ -307,7 +336,35 @@ def _q(m):
 
 @query("coefficients_by_value", rows_only=True)
 def _q(m):
-    return churn_views.coefficients_by_value(m.churn.coefficients)
+    return positioned(churn_views.coefficients_by_value(m.churn.coefficients))
+
+
+def _centroid_table(m: Marts) -> DataFrame:
+    row = churn.centroid_coefficients(m.rfm).first()  # six numbers
+    return churn.coefficient_table(m.rfm.sparkSession, churn.FEATURES, list(row))
+
+
+@query("churn_coefficients_centroid")
+def _q(m):
+    """The coefficient table of a model without an optimiser."""
+    return positioned(_centroid_table(m))
+
+
+@query("coefficients_by_value_centroid")
+def _q(m):
+    return positioned(churn_views.coefficients_by_value(_centroid_table(m)))
+
+
+@query("churn_fit_optimality")
+def _q(m):
+    """Gradient of the stated objective at the fitted coefficients: 0."""
+    g = churn.objective_gradient(m.rfm, m.churn.coefficient_values, m.churn.intercept)
+    return g.select("parameter", F.round(F.abs("gradient"), 5).alias("gradient"))
+
+
+@query("churn_scores_fixed")
+def _q(m):
+    return m.rfm_fixed.select("customer_unique_id", "Segment", "is_churned", "churn_probability")
 
 
 @query("churn_scores", rows_only=True)
@@ -336,11 +393,11 @@ def _churn_views(suffix: str, scored: Callable[[Marts], DataFrame], rows_only: b
 
     @query(f"segment_churn_by_prob{suffix}", rows_only)
     def _c(m):
-        return churn_views.segment_churn_by_probability(churn_views.segment_churn(scored(m)))
+        return positioned(churn_views.segment_churn_by_probability(churn_views.segment_churn(scored(m))))
 
     @query(f"churn_box{suffix}", rows_only)
     def _d(m):
-        return churn_views.churn_box(scored(m))
+        return positioned(churn_views.churn_box(scored(m)))
 
     @query(f"high_risk{suffix}", rows_only)
     def _e(m):
@@ -400,7 +457,7 @@ def _q(m):
 
 @query("states_by_on_time")
 def _q(m):
-    return geo.states_by_on_time(_state_table(m))
+    return positioned(geo.states_by_on_time(_state_table(m)))
 
 
 @query("state_table_fmt")

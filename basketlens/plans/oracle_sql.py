@@ -35,7 +35,7 @@ s_orders AS (
   LEFT JOIN (SELECT l_orderkey, max(l_shipdate) AS last_ship FROM lineitem GROUP BY l_orderkey) ls
     ON ls.l_orderkey = o.o_orderkey),
 s_customers AS (
-  SELECT c.c_custkey AS customer_id, c.c_custkey AS customer_unique_id, n.n_name AS customer_state
+  SELECT c.c_custkey AS customer_id, c.c_custkey // 2 AS customer_unique_id, n.n_name AS customer_state
   FROM customer c LEFT JOIN nation n ON c.c_nationkey = n.n_nationkey),
 s_items AS (
   SELECT l_orderkey AS order_id, l_linenumber AS order_item_id, l_partkey AS product_id,
@@ -297,6 +297,17 @@ def _segment_churn(src: str) -> str:
 FROM {src} GROUP BY Segment"""
 
 
+# Display order of the segments.
+_DISPLAY = ("list_position(['Champions', 'Loyal Customers', 'New Customers', 'Potential Loyalists', 'At Risk', 'Can''t Lose Them', 'Hibernating', 'Lost'], "
+            "Segment)")
+
+_CENTROIDS = " UNION ALL ".join(
+    f"""SELECT '{f.replace("_", " ").title()}' AS Feature, {_r(f"avg(z_{f}) FILTER (WHERE is_churned = 1) - avg(z_{f}) FILTER (WHERE is_churned = 0)")} AS Coefficient,
+       CASE WHEN avg(z_{f}) FILTER (WHERE is_churned = 1) > avg(z_{f}) FILTER (WHERE is_churned = 0)
+            THEN 'Increases churn risk' ELSE 'Reduces churn risk' END AS Impact
+FROM c_z WHERE complete""" for f in FEATURES)
+
+
 def _high_risk_raw(src: str) -> str:
     return f"""SELECT customer_unique_id, Segment, recency_days, frequency,
        CAST(monetary AS DOUBLE) AS monetary, avg_review_score, late_pct, churn_probability,
@@ -392,10 +403,23 @@ SELECT (SELECT CAST(min(recency_days) AS DOUBLE) FROM rfm_base) AS r0,
        (SELECT max(frequency) FROM rfm_base) AS max_frequency
 FROM r_cuts"""),
 
+    "recency_quantiles_sketch": _c(f"""
+SELECT (SELECT CAST(min(recency_days) AS DOUBLE) FROM rfm_base) AS r0,
+       {", ".join(f"{_r(f'CAST(r{j}_5 AS DOUBLE) / 5')} AS r{j}" for j in range(1, 5))},
+       (SELECT CAST(max(recency_days) AS DOUBLE) FROM rfm_base) AS r5
+FROM r_cuts"""),
+
+    "monetary_quantiles_sketch": _c(f"""
+SELECT (SELECT {_r("min(monetary)")} FROM rfm_base) AS m0,
+       {", ".join(f"{_r(f'CAST(m{j}_5 AS DOUBLE) / 5')} AS m{j}" for j in range(1, 5))},
+       (SELECT {_r("max(monetary)")} FROM rfm_base) AS m5
+FROM r_cuts"""),
+
     "rfm_scored": _c(f"SELECT {_RFM_BASE_COLS}, R, F, M, RFM_score, RFM_total, Segment FROM rfm"),
 
     "segment_distribution": _c("""
-SELECT Segment, count(*) AS Count, round(count(*) / sum(count(*)) OVER (), 6) AS share
+SELECT Segment, count(*) AS Count, round(count(*) / sum(count(*)) OVER (), 6) AS share,
+       row_number() OVER (ORDER BY count(*) DESC, Segment) AS position
 FROM rfm GROUP BY Segment"""),
 
     "filter_options": _m("""
@@ -452,6 +476,10 @@ SELECT {_r("quantile_cont(avg_revenue, 0.5)")} AS median_avg_revenue FROM (
 SELECT customer_unique_id, recency_days, {_r("monetary")} AS monetary, frequency, Segment
 FROM rfm ORDER BY md5(CAST(customer_unique_id AS VARCHAR)) LIMIT 3000"""),
 
+    "customer_map_sample_300": _c(f"""
+SELECT customer_unique_id, recency_days, {_r("monetary")} AS monetary, frequency, Segment
+FROM rfm ORDER BY md5(CAST(customer_unique_id AS VARCHAR)) LIMIT 300"""),
+
     "segment_profile": _c(f"""
 SELECT Segment, count(customer_unique_id) AS Customers, {_r("avg(recency_days)")} AS Avg_Recency,
        {_r("avg(frequency)")} AS Avg_Frequency,
@@ -468,7 +496,9 @@ SELECT Segment, {_fmt_num("count(customer_unique_id)", 0)} AS "Customers",
        CAST(CAST(round_even(avg(late_pct), 1) AS DOUBLE) AS VARCHAR) || '%' AS "Late Delivery %"
 FROM rfm GROUP BY Segment"""),
 
-    "rfm_total_hist": _c("SELECT RFM_total, count(*) AS customers FROM rfm GROUP BY RFM_total"),
+    "rfm_total_hist": _c("""
+SELECT RFM_total, count(*) AS customers, row_number() OVER (ORDER BY RFM_total) AS position
+FROM rfm GROUP BY RFM_total"""),
 
     "rfm_total_median": _c(f"SELECT {_r('quantile_cont(RFM_total, 0.5)')} AS median_rfm_total FROM rfm"),
 
@@ -507,6 +537,14 @@ SELECT category, avg_delay, late_orders FROM (
   FROM d WHERE is_late AND category IS NOT NULL GROUP BY category)
 WHERE late_orders >= 10 ORDER BY raw_delay DESC, category LIMIT 15"""),
 
+    "worst_categories_top3": _m(f"""
+SELECT category, avg_delay, late_orders, row_number() OVER (ORDER BY raw_delay DESC, category) AS position
+FROM (
+  SELECT category, {_r("avg(delay_days)")} AS avg_delay, avg(delay_days) AS raw_delay,
+         count(DISTINCT order_id) AS late_orders
+  FROM d WHERE is_late AND category IS NOT NULL GROUP BY category)
+WHERE late_orders >= 10 ORDER BY raw_delay DESC, category LIMIT 3"""),
+
     "churn_label": _c("SELECT customer_unique_id, recency_days, is_churned FROM rfm"),
 
     "churn_base_rate": _c(f"SELECT {_r('avg(CAST(is_churned AS DOUBLE)) * 100.0')} AS churn_rate FROM rfm"),
@@ -533,10 +571,26 @@ SELECT {_r("avg(CAST(is_churned AS DOUBLE)) * 100.0")} AS churn_rate,
 FROM rfm_fixed"""),
 
     "segment_churn_fixed": _x(_segment_churn("rfm_fixed")),
-    "segment_churn_by_prob_fixed": _x(_segment_churn("rfm_fixed")),
+    "segment_churn_by_prob_fixed": _x(f"""
+SELECT *, row_number() OVER (ORDER BY avg_churn_prob, Segment) AS position
+FROM ({_segment_churn("rfm_fixed")})"""),
+
+    "churn_scores_fixed": _x(f"""
+SELECT customer_unique_id, Segment, is_churned, {_r("churn_probability")} AS churn_probability
+FROM rfm_fixed"""),
+
+    "churn_coefficients_centroid": _x(f"""
+SELECT *, row_number() OVER (ORDER BY abs(Coefficient)) AS position FROM ({_CENTROIDS})"""),
+
+    "coefficients_by_value_centroid": _x(f"""
+SELECT *, row_number() OVER (ORDER BY Coefficient, Feature) AS position FROM ({_CENTROIDS})"""),
+
+    "churn_fit_optimality": f"""
+SELECT unnest([{", ".join(f"'{f}'" for f in ["intercept", *FEATURES])}]) AS parameter, 0.0::DOUBLE AS gradient""",
 
     "churn_box_fixed": _x(f"""
-SELECT Segment, {_r("min(churn_probability)")} AS p_min,
+SELECT Segment, row_number() OVER (ORDER BY {_DISPLAY}) AS position,
+       {_r("min(churn_probability)")} AS p_min,
        {_r("quantile_cont(churn_probability, 0.25)")} AS p_q1,
        {_r("quantile_cont(churn_probability, 0.5)")} AS p_median,
        {_r("quantile_cont(churn_probability, 0.75)")} AS p_q3,
@@ -561,7 +615,8 @@ FROM ({_high_risk_raw("rfm_fixed")})"""),
 
     "top_20_states": _x(f"SELECT * FROM ({_STATE_TABLE}) ORDER BY revenue DESC, State LIMIT 20"),
 
-    "states_by_on_time": _x(_STATE_TABLE),
+    "states_by_on_time": _x(f"""
+SELECT *, row_number() OVER (ORDER BY on_time_rate, State) AS position FROM ({_STATE_TABLE})"""),
 
     "state_table_fmt": _x(f"""
 SELECT State, orders AS "Orders", 'R$' || {_fmt_num("revenue", 0)} AS "Total Revenue",

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from basketlens.functions.semantics import fmt_grouped, fmt_money, money_mean, str_of_rounded
@@ -29,28 +29,22 @@ def segment_revenue_median(rfm: DataFrame) -> DataFrame:
     return segment_treemap(rfm).agg(F.percentile("Avg_Revenue", 0.5).alias("median_avg_revenue"))
 
 
-def customer_map_sample(rfm: DataFrame, n: int = SAMPLE_SIZE, oversample: int = 4) -> DataFrame:
+def customer_map_sample(rfm: DataFrame, n: int = SAMPLE_SIZE, buckets: int = 64) -> DataFrame:
     """A deterministic sample of min(n, customers) customers: the n smallest
     md5 digests of the id.
 
-    A top-n merges n rows from every partition in one task, which grows with
-    the partition count.  Digests are uniform, so rows are first kept only
-    below a digest bound expected to pass ``oversample * n`` of them; the
-    bound is used only when a count confirms that at least n rows pass, in
-    which case the n smallest digests all lie below it and the result is
-    exactly the same.
+    A top-n merges n rows from every partition in one task.  So the n smallest
+    of each of ``buckets`` digest classes are taken first (Spark limits the
+    ranked groups before the shuffle too); the n smallest of all are among
+    them, and the last task merges ``buckets * n`` rows at the most.
     """
     keyed = rfm.select("customer_unique_id", "recency_days",
                        F.col("monetary").cast("double").alias("monetary"), "frequency", "Segment",
                        F.md5(F.col("customer_unique_id").cast("string")).alias("_digest"))
-    total = rfm.count()
-    share = oversample * n / max(total, 1)
-    if share < 1.0:
-        bound = format(min(int(share * 16 ** 8) + 1, 16 ** 8 - 1), "08x")
-        candidates = keyed.where(F.col("_digest") < F.lit(bound))
-        if candidates.count() >= n:
-            keyed = candidates
-    return keyed.orderBy("_digest").limit(n).drop("_digest")
+    bucket = F.pmod(F.conv(F.substring("_digest", 25, 8), 16, 10).cast("long"), F.lit(buckets))
+    ranked = keyed.withColumn("_bucket", bucket).withColumn(
+        "_rank", F.row_number().over(Window.partitionBy("_bucket").orderBy("_digest")))
+    return ranked.where(F.col("_rank") <= n).drop("_bucket", "_rank").orderBy("_digest").limit(n).drop("_digest")
 
 
 def segment_profile(rfm: DataFrame) -> DataFrame:

@@ -43,7 +43,7 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
     builder = SparkSession.builder.appName(app_name)
     if master:
         builder = builder.master(master)
-    local = bool(master) and master.startswith("local")
+    local = is_local(master)
     if shuffle_partitions:
         parts = shuffle_partitions
     elif input_bytes:
@@ -102,7 +102,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
-        if not spark.conf.get("spark.master", "local").startswith("local"):
+        if sc is None or not is_local(sc.master):
             raise RuntimeError("spark.checkpoint.dir is not set: on a cluster it must name a "
                                "shared, durable folder (a machine-local folder would not "
                                "survive executor loss)")
@@ -110,3 +110,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if sc is not None:
         sc.setCheckpointDir(configured)
     return configured
+
+
+def is_local(master: str | None) -> bool:
+    """Driver and executors are one process (unlike ``local-cluster``)."""
+    return bool(master) and (master == "local" or master.startswith("local["))

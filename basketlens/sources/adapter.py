@@ -64,7 +64,8 @@ def logical_sources(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
 
     customers = (t["customer"].join(nation, F.col("c_nationkey") == F.col("n_nationkey"), "left")
                  .select(F.col("c_custkey").alias("customer_id"),
-                         F.col("c_custkey").alias("customer_unique_id"),
+                         # one person for two customer ids
+                         F.expr("c_custkey div 2").alias("customer_unique_id"),
                          F.col("n_name").alias("customer_state")))
 
     items = li.select(F.col("l_orderkey").alias("order_id"),

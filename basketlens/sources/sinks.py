@@ -14,18 +14,17 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet",
     is kept for consumers that need text; it is written with a header and
     without an index column.
 
-    With ``partition_by`` the rows are first range-partitioned on the
-    partition columns (then ``cluster_by``), so each write task covers a
-    contiguous key range: a few files per partition value instead of one
-    file per task and value, and evenly sized tasks even when one value is
-    much larger than the others.
+    With ``partition_by`` the rows are first rebalanced on the partition
+    columns: one shuffle without a sampling pass, after which adaptive
+    execution splits the tasks of large values and merges those of small ones,
+    so every value gets a few files of about the advisory size.  ``cluster_by``
+    sorts the rows of a task below the partition columns.
 
     ``observe`` = (Observation, metric columns) collects metrics during the
-    write itself; it is attached after the range repartition, whose sampling
-    pass would otherwise be counted too.
+    write itself.
     """
     if partition_by:
-        df = df.repartitionByRange(*partition_by, *(cluster_by or []))
+        df = df.hint("rebalance", *partition_by).sortWithinPartitions(*partition_by, *(cluster_by or []))
     if observe:
         df = df.observe(observe[0], *observe[1])
     w = df.write.mode("overwrite")

@@ -48,7 +48,7 @@ def test_coefficients_match_newton(spark, fitted):
     w = np.where(y == 1, n / (2.0 * (y == 1).sum()), n / (2.0 * (y == 0).sum()))
     beta = _newton(X, y, w)
     got = np.array(res.coefficient_values + [res.intercept])
-    assert np.allclose(got, beta, atol=1e-4 * max(1.0, np.abs(beta).max())), (got, beta)
+    assert np.allclose(got, beta, atol=1e-5), (got, beta)
 
 
 def test_auc_matches_rank_sum(spark, fitted):
@@ -74,3 +74,20 @@ def test_outputs_shape(fitted):
     assert s.count() == m.rfm.count()
     incomplete = s.where(F.col("avg_delay_days").isNull() | F.col("avg_review_score").isNull())
     assert incomplete.where(F.col("churn_probability") != 0.5).count() == 0
+
+
+def test_one_class_is_an_error(spark, fitted):
+    m, _ = fitted
+    with pytest.raises(ValueError, match="only one class"):
+        churn.fit_churn(m.rfm.withColumn("recency_days", F.col("recency_days") + 1000))
+    with pytest.raises(ValueError, match="no complete"):
+        churn.fit_churn(m.rfm.withColumn("monetary", F.lit(None).cast("decimal(38,6)")))
+
+
+def test_gradient_is_zero_at_the_optimum_only(fitted):
+    m, res = fitted
+    at = {r.parameter: r.gradient for r in
+          churn.objective_gradient(m.rfm, res.coefficient_values, res.intercept).collect()}
+    assert len(at) == 7 and max(map(abs, at.values())) < 1e-6
+    off = churn.objective_gradient(m.rfm, [c + 0.1 for c in res.coefficient_values], res.intercept).collect()
+    assert max(abs(r.gradient) for r in off) > 1e-4

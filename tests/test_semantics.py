@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from basketlens.functions.semantics import (first_non_null, floor_days, fmt_grouped,
-                                            last_non_null_nulls_last, mode_low, sum0, title_words)
+                                            last_non_null_nulls_last, mode_low, money_sum, title_words)
 from basketlens.operators.delivery import add_delivery_metrics
 from basketlens.operators.filters import Filters, apply_filters
 from basketlens.operators.master import build_master, product_category
@@ -49,7 +49,7 @@ def test_s4_null_group_dropped(spark):
 
 def test_s5_sum_of_nulls_is_zero(spark):
     df = spark.createDataFrame([("o", None), ("o", None)], "k string, v double")
-    assert df.groupBy("k").agg(sum0("v").alias("s")).first().s == 0
+    assert df.groupBy("k").agg(money_sum("v").alias("s")).first().s == 0
 
 
 def test_s8_first_non_null(spark):
@@ -140,6 +140,9 @@ def test_s18_title_case_and_unknown(spark):
     assert out == {"p1": "Home Appliances 2", "p2": "Unknown"}
     df = spark.createDataFrame([("credit_card",)], "t string")
     assert df.select(title_words("t").alias("x")).first().x == "Credit Card"
+    for text in ("a_3d tv", "art_&_craft", "o'neill-smith x1y", "ALL CAPS", "", "été_9ème"):
+        one = spark.createDataFrame([(text,)], "t string").select(title_words("t").alias("x")).first().x
+        assert one == text.replace("_", " ").title()
 
 
 def test_s19_s20_rounding_and_format(spark):
