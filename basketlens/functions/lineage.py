@@ -18,7 +18,7 @@ from basketlens.session import ensure_checkpoint_dir
 from basketlens.sources.sinks import write_table
 
 
-def _root(spark: SparkSession) -> str:
+def checkpoint_root(spark: SparkSession) -> str:
     base = ensure_checkpoint_dir(spark).rstrip("/")
     return f"{base}/basketlens-tables/{spark.conf.get('spark.app.id', 'application')}"
 
@@ -28,7 +28,7 @@ def table_checkpoint(df: DataFrame, name: str, partition_by: list[str] | None =
     """Write ``df`` under the checkpoint folder and return the table read back
     (partitioned and clustered as :func:`write_table` does)."""
     spark = df.sparkSession
-    path = f"{_root(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{checkpoint_root(spark)}/{name}-{uuid.uuid4().hex}"
     write_table(df, path, "parquet", partition_by=partition_by, cluster_by=cluster_by)
     return spark.read.parquet(path)
 
@@ -36,5 +36,5 @@ def table_checkpoint(df: DataFrame, name: str, partition_by: list[str] | None =
 def drop_checkpoints(spark: SparkSession) -> None:
     """Remove all tables this application has written with
     :func:`table_checkpoint`; whatever was read from them can be read no more."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(_root(spark))
+    path = spark._jvm.org.apache.hadoop.fs.Path(checkpoint_root(spark))
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -3,10 +3,13 @@ writing the three data products.
 
     python -m basketlens.plans.batch --tables /root/testdata/sf0.01 --out OUT
     python -m basketlens.plans.batch --csv SRC_DIR --out OUT [--format csv]
+        [--file-names orders=my_orders.csv customers=my_customers.csv ...]
 
 Each product is written before the next step reads it back, so every step
-starts from a table (lineage cut, restartable, pruned scans).  The master is
-partitioned by order month, so month filters prune files.
+starts from a table (lineage cut, restartable, pruned scans).  CSV sources are
+landed as Parquet first.  The master is partitioned by order month, so month
+filters prune files; with ``--format csv`` all three products are written as
+CSV, and the steps read a Parquet copy of the master in the checkpoint folder.
 """
 
 from __future__ import annotations
@@ -14,28 +17,30 @@ from __future__ import annotations
 import argparse
 import json
 import os
+import uuid
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from basketlens.functions.lineage import table_checkpoint
+from basketlens.functions.lineage import checkpoint_root, drop_checkpoints, table_checkpoint
 from basketlens.operators.churn import fit_churn
 from basketlens.operators.delivery import DELIVERED, with_order_period
 from basketlens.operators.master import assert_unique, build_master
 from basketlens.operators.rfm import build_rfm
-from basketlens.sources.readers import load_sources, read_master, read_rfm, source_counts
+from basketlens.sources.readers import land_csv_sources, load_sources, read_master, source_counts
+from basketlens.sources.schemas import REQUIRED
 from basketlens.sources.sinks import write_table
 
-DIMENSION_KEYS = {"customers": "customer_id", "products": "product_id", "sellers": "seller_id",
-                  "category_translation": "product_category_name"}
+#: The keys that the master's joins and counts take to be unique and present.
+KEYS = {"orders": "order_id", "customers": "customer_id", "products": "product_id",
+        "sellers": "seller_id", "category_translation": "product_category_name"}
 
 
 def run_batch(spark: SparkSession, sources: dict[str, DataFrame], out_dir: str,
               fmt: str = "parquet", validate: bool = True) -> dict:
     log: dict = {"source_rows": source_counts(sources)}
     if validate:
-        # every right side of the master's left joins must be unique on its key
-        for name, key in DIMENSION_KEYS.items():
+        for name, key in KEYS.items():
             assert_unique(sources[name], key, name)
 
     master_path = os.path.join(out_dir, "master")
@@ -46,23 +51,27 @@ def run_batch(spark: SparkSession, sources: dict[str, DataFrame], out_dir: str,
     metrics = [F.count(F.lit(1)).alias("master_rows"),
                (F.avg(F.when(dlv, (~F.col("is_late")).cast("double"))) * 100.0).alias("on_time_pct"),
                F.avg(F.when(dlv & F.col("is_late"), F.col("delay_days"))).alias("avg_late_delay")]
-    write_table(with_order_period(build_master(sources)), master_path, "parquet",
+    table_path = master_path if fmt == "parquet" else f"{checkpoint_root(spark)}/master-{uuid.uuid4().hex}"
+    write_table(with_order_period(build_master(sources)), table_path, "parquet",
                 partition_by=["order_month"], cluster_by=["order_id"], observe=(seen, metrics))
     log.update(seen.get)
-    master = read_master(spark, master_path)
+    master = read_master(spark, table_path)
+    if fmt != "parquet":
+        write_table(master, master_path, fmt)
 
     rfm = build_rfm(master, keep=lambda df: table_checkpoint(df, "rfm_base"))
     rfm = table_checkpoint(rfm, "rfm")
     log["segments"] = {r.Segment: r["count"] for r in rfm.groupBy("Segment").count().collect()}
 
     result = fit_churn(rfm)
-    rfm_path = os.path.join(out_dir, "rfm")
-    coef_path = os.path.join(out_dir, "churn_coefficients")
-    write_table(result.scores, rfm_path, fmt)
-    write_table(result.coefficients.coalesce(1), coef_path, fmt)
-    log["customers"] = read_rfm(spark, rfm_path).count() if fmt == "parquet" else result.scores.count()
+    # Counted while it is written.
+    seen = Observation("rfm_log")
+    counts = [F.count(F.lit(1)).alias("customers"),
+              (F.avg(F.col("is_churned").cast("double")) * 100.0).alias("churn_rate")]
+    write_table(result.scores, os.path.join(out_dir, "rfm"), fmt, observe=(seen, counts))
+    write_table(result.coefficients.coalesce(1), os.path.join(out_dir, "churn_coefficients"), fmt)
+    log.update(seen.get)
     log["auc"] = result.auc
-    log["churn_rate"] = result.scores.agg(F.avg(F.col("is_churned").cast("double")) * 100).first()[0]
     return log
 
 
@@ -76,6 +85,8 @@ def main(argv: list[str] | None = None) -> None:
     src.add_argument("--csv", help="folder with the eight source CSV files")
     src.add_argument("--parquet", help="folder with the eight sources as Parquet")
     ap.add_argument("--out", required=True)
+    ap.add_argument("--file-names", nargs="*", default=[], metavar="SOURCE=FILE",
+                    help="CSV files that are not named after their source")
     ap.add_argument("--format", default="parquet", choices=["parquet", "csv"])
     ap.add_argument("--master", default=None, help="Spark master, e.g. local[8]")
     ap.add_argument("--input-bytes", type=int, default=None,
@@ -86,10 +97,16 @@ def main(argv: list[str] | None = None) -> None:
     if a.tables:
         sources = logical_sources(spark, a.tables)
     elif a.csv:
-        sources = load_sources(spark, a.csv, "csv")
+        names = dict(x.split("=", 1) for x in a.file_names)
+        if unknown := set(names) - set(REQUIRED):
+            ap.error(f"unknown source(s) {sorted(unknown)}; known: {sorted(REQUIRED)}")
+        landed = f"{checkpoint_root(spark)}/landed-{uuid.uuid4().hex}"
+        land_csv_sources(spark, a.csv, landed, names)
+        sources = load_sources(spark, landed, "parquet")
     else:
         sources = load_sources(spark, a.parquet, "parquet")
     print(json.dumps(run_batch(spark, sources, a.out, a.format), default=str, indent=1))
+    drop_checkpoints(spark)
 
 
 if __name__ == "__main__":

@@ -6,6 +6,7 @@ decimals become doubles and doubles are rounded to 6 decimals.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,16 +14,19 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from basketlens.functions.broadcast import one_row
+from basketlens.functions.lineage import checkpoint_root
 from basketlens.functions.semantics import floor_days, ntz_date_text, ntz_text
 from basketlens.operators import churn
 from basketlens.operators.delivery import delivery_log
 from basketlens.operators.filters import Filters, apply_filters, delivered_only, filter_options
-from basketlens.operators.master import (items_by_order, latest_review_by_order,
+from basketlens.operators.master import (build_master, items_by_order, latest_review_by_order,
                                          payments_by_order, product_category)
 from basketlens.operators.rfm import rfm_base, rfm_cutpoints, snapshot_date
 from basketlens.plans import churn_views, delivery_views, geo, insights, overview, segments
 from basketlens.plans.marts import FIXED_COEFFICIENTS, FIXED_INTERCEPT, Marts, marts_for
-from basketlens.sources.readers import parse_timestamp
+from basketlens.sources.readers import load_sources, parse_timestamp
+from basketlens.sources.schemas import ORDER_TIMESTAMPS
+from basketlens.sources.sinks import write_table
 
 # Parameters of the registered checks.  The state/status/month filter
 # exercises every filter kind; 180 orders per state makes HAVING bite at
@@ -108,6 +112,22 @@ def _q(m):
     return m.master.drop("order_month", "order_year")
 
 
+@query("csv_roundtrip_master")
+def _q(m):
+    """The sources written as CSV, with a column that the analytics do not
+    know, and read back by their headers."""
+    spark = m.master.sparkSession
+    base = f"{checkpoint_root(spark)}/csv-{uuid.uuid4().hex}"
+    for name, df in m.sources.items():
+        text = df.select(*[(ntz_text(c, fraction=False) if c in ORDER_TIMESTAMPS else F.col(c).cast("string")).alias(c)
+                           for c in df.columns], F.lit('more, "quoted" text').alias("note"))
+        write_table(text, f"{base}/{name}.csv", "csv")
+    again = build_master(load_sources(spark, base, "csv"))
+    return again.select(F.col("order_id").cast("long").alias("order_id"), "order_status", "delay_days", "is_late",
+                        "item_count", "total_price", "payment_value", "payment_type", "review_score",
+                        "customer_state", F.length("note").alias("note_length"))
+
+
 @query("delivery_metrics")
 def _q(m):
     return m.master.select("order_id", "order_status", "delay_days", "is_late", "is_early",

@@ -19,9 +19,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from basketlens.operators.filters import Filters, apply_filters, delivered_only, filter_options
+from basketlens.operators.filters import (Filters, apply_filters, delivered_only, filter_options,
+                                         is_empty)
 from basketlens.plans import churn_views, delivery_views, geo, insights, overview, segments
-from basketlens.sources.readers import read_coefficients, read_master, read_rfm
+from basketlens.sources.readers import if_present, read_coefficients, read_master, read_rfm
 from basketlens.sources.sinks import write_table
 
 
@@ -35,11 +36,16 @@ class Dashboard:
 
     @classmethod
     def from_outputs(cls, spark: SparkSession, out_dir: str, filters: Filters = Filters(),
-                     **kw) -> Dashboard:
-        coef_path = os.path.join(out_dir, "churn_coefficients")
-        coef = read_coefficients(spark, coef_path) if os.path.exists(coef_path) else None
-        return cls(read_master(spark, os.path.join(out_dir, "master")),
-                   read_rfm(spark, os.path.join(out_dir, "rfm")), coef, filters, **kw)
+                     fmt: str = "parquet", **kw) -> Dashboard:
+        """Over the batch job's outputs, Parquet or CSV."""
+        coef = if_present(lambda: read_coefficients(spark, os.path.join(out_dir, "churn_coefficients"), fmt))
+        return cls(read_master(spark, os.path.join(out_dir, "master"), fmt),
+                   read_rfm(spark, os.path.join(out_dir, "rfm"), fmt), coef, filters, **kw)
+
+    def has_orders(self) -> bool:
+        """Whether any order passes the filters (without one, the order-grain
+        datasets are empty or NULL)."""
+        return not is_empty(self.mdf)
 
     # the filtered order rows, their delivered part, and those with a delay
     @property
@@ -122,6 +128,8 @@ def main(argv: list[str] | None = None) -> None:
     ap.add_argument("--all-statuses", action="store_true", help="no status filter")
     ap.add_argument("--months", nargs=2, metavar=("FROM", "TO"))
     ap.add_argument("--write", help="write the dataset as Parquet to this path")
+    ap.add_argument("--format", default="parquet", choices=["parquet", "csv"],
+                    help="format of the batch job's outputs")
     ap.add_argument("--rows", type=int, default=50, help="rows to show")
     ap.add_argument("--master", default=None, help="Spark master, e.g. local[8]")
     a = ap.parse_args(argv)
@@ -129,10 +137,13 @@ def main(argv: list[str] | None = None) -> None:
     statuses = () if a.all_statuses else tuple(a.status or ("delivered",))
     filters = Filters(state=a.state, statuses=statuses,
                       months=tuple(a.months) if a.months else None)
-    dash = Dashboard.from_outputs(build_session(a.master), a.out, filters)
+    dash = Dashboard.from_outputs(build_session(a.master), a.out, filters, a.format)
     if not a.dataset:
         print("\n".join(sorted(dash.datasets())))
         return
+    if not dash.has_orders():
+        print("no orders match the filters")
+        return
     df = dash.dataset(a.dataset)
     if a.write:
         write_table(df, a.write)

@@ -366,6 +366,12 @@ FROM (SELECT DISTINCT order_id FROM s_reviews) o LEFT JOIN f_review r ON o.order
 
     "order_master": _m(f"SELECT {_MASTER_COLS} FROM master"),
 
+    "csv_roundtrip_master": _m(f"""
+SELECT order_id, order_status, delay_days, is_late, item_count, {_r("total_price")} AS total_price,
+       {_r("payment_value")} AS payment_value, payment_type, review_score, customer_state,
+       CAST(19 AS INTEGER) AS note_length
+FROM master"""),
+
     "delivery_metrics": _m("SELECT order_id, order_status, delay_days, is_late, is_early, delivery_days_actual FROM master"),
 
     "floor_days_events": f"""

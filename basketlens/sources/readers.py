@@ -3,11 +3,16 @@
 from __future__ import annotations
 
 import os
+from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from basketlens.sources.schemas import CSV_SCHEMAS, ORDER_TIMESTAMPS, REQUIRED
+from basketlens.functions.broadcast import row_counts
+from basketlens.sources.schemas import (CSV_SCHEMAS, MASTER_TYPES, ORDER_TIMESTAMPS, REQUIRED,
+                                        RFM_TYPES)
 
 
 class MissingInput(RuntimeError):
@@ -44,29 +49,40 @@ def parse_timestamp(c: str | Column) -> Column:
 
 
 def _path(base: str, name: str, ext: str) -> str:
-    p = os.path.join(base, f"{name}.{ext}")
-    if "://" not in base and not os.path.exists(p):
+    p = os.path.join(base, name if name.endswith(f".{ext}") else f"{name}.{ext}")
+    if ":/" not in base and not os.path.exists(p):
         raise MissingInput(f"input not found: {p}")
     return p
 
 
+def read_csv_by_header(spark: SparkSession, path: str, types: dict[str, T.DataType],
+                       multi_line: bool = False) -> DataFrame:
+    """A CSV file by its header: listed columns get their type (text that does
+    not fit becomes NULL), all others stay text."""
+    df = (spark.read.option("header", True).option("quote", '"').option("escape", '"')
+          .option("multiLine", multi_line).csv(path))
+
+    def typed(name: str) -> Column:
+        c = F.col("`" + name.replace("`", "``") + "`")
+        kind = types.get(name, T.StringType())
+        return c if isinstance(kind, T.StringType) else c.try_cast(kind).alias(name)
+
+    return df.select(*[typed(c) for c in df.columns])
+
+
 def read_csv_source(spark: SparkSession, base: str, name: str,
                     file_name: str | None = None) -> DataFrame:
-    """One logical source from a CSV file with a header row.
+    """One logical source from a CSV file with a header row; columns that the
+    analytics do not know are kept as text.
 
     Quoted fields may hold newlines (review texts), hence ``multiLine``; such
     files are not splittable, so land them to Parquet once with
     :func:`land_csv_sources` and read the Parquet copy afterwards.
     """
-    path = _path(base, file_name or name, "csv")
-    df = (spark.read.schema(CSV_SCHEMAS[name])
-          .option("header", True).option("quote", '"').option("escape", '"')
-          .option("multiLine", name == "order_reviews")
-          .option("enforceSchema", False)
-          .csv(path))
+    types = {f.name: f.dataType for f in CSV_SCHEMAS[name].fields}
+    df = read_csv_by_header(spark, _path(base, file_name or name, "csv"), types, name == "order_reviews")
     if name == "orders":
-        df = df.select(*[parse_timestamp(c).alias(c) if c in ORDER_TIMESTAMPS else F.col(c)
-                         for c in df.columns])
+        df = df.withColumns({c: parse_timestamp(c) for c in ORDER_TIMESTAMPS if c in df.columns})
     return require_columns(df, REQUIRED[name], name)
 
 
@@ -94,26 +110,37 @@ def land_csv_sources(spark: SparkSession, csv_dir: str, parquet_dir: str,
 
 
 def source_counts(sources: dict[str, DataFrame]) -> dict[str, int]:
-    """Row count per source (the load log)."""
-    return {n: df.count() for n, df in sources.items()}
+    """Row count per source (the load log), in one job."""
+    return row_counts(sources)
 
 
-def read_master(spark: SparkSession, path: str) -> DataFrame:
+def read_master(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
     """Re-read the order master.  The month and year columns are derived only
     where the file has none: a written partition column stays as it is, so
     month filters prune partitions."""
     from basketlens.operators.delivery import with_order_period
-    df = spark.read.parquet(path)
+    df = read_csv_by_header(spark, path, MASTER_TYPES) if fmt == "csv" else spark.read.parquet(path)
     require_columns(df, ["order_id", "customer_unique_id", "order_status",
                          "order_purchase_timestamp"], "master")
     return df if {"order_month", "order_year"} <= set(df.columns) else with_order_period(df)
 
 
-def read_rfm(spark: SparkSession, path: str) -> DataFrame:
-    df = spark.read.parquet(path)
+def read_rfm(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
+    df = read_csv_by_header(spark, path, RFM_TYPES) if fmt == "csv" else spark.read.parquet(path)
     return require_columns(df, ["customer_unique_id", "Segment", "RFM_total"], "rfm")
 
 
+def if_present(read: Callable[[], DataFrame]) -> DataFrame | None:
+    """What ``read`` gives, or None where its path does not exist (in any store
+    that Spark reads)."""
+    try:
+        return read()
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
+
+
 def read_coefficients(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
     """Read the coefficient table, tolerating an index column and untidy
     headers: drop ``Unnamed*`` columns, strip names, and name a two-column

@@ -1,7 +1,9 @@
-"""Explicit schemas of the eight logical sources (no inference on read).
+"""Column names and types of the eight logical sources and of the products
+(no inference on read).  All lists are fixed values.
 
-Columns listed are the ones the analytics use; further source columns are
-allowed and pass through the order master untouched.
+Columns are found by the header's names.  Listed ones get their type; further
+source columns are read as text, and those of the orders and customers pass
+through the order master.
 """
 
 from __future__ import annotations
@@ -61,6 +63,20 @@ CSV_SCHEMAS: dict[str, T.StructType] = {
     ]),
 }
 
+# Types of the products' columns; ids and names are text in CSV.
+_MONEY = T.DecimalType(38, 6)
+MASTER_TYPES: dict[str, T.DataType] = {
+    **{c: TS for c in ORDER_TIMESTAMPS}, "item_count": T.LongType(), "total_price": _MONEY,
+    "total_freight": _MONEY, "payment_value": _MONEY, "payment_installments": D, "review_score": I,
+    "delay_days": T.LongType(), "is_late": T.BooleanType(), "is_early": T.BooleanType(),
+    "delivery_days_actual": T.LongType(), "order_year": I,
+}
+RFM_TYPES: dict[str, T.DataType] = {
+    "last_order_date": TS, "frequency": T.LongType(), "monetary": _MONEY, "avg_review_score": D,
+    "late_pct": D, "avg_delay_days": D, "recency_days": T.LongType(), "R": I, "F": I, "M": I,
+    "RFM_total": I, "is_churned": I, "churn_probability": D,
+}
+
 # Columns each logical source must provide (types may be narrower/wider:
 # ids can be strings or longs, money double or decimal).
 REQUIRED: dict[str, list[str]] = {

@@ -33,6 +33,6 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet",
     if fmt == "parquet":
         w.parquet(path)
     elif fmt == "csv":
-        w.option("header", True).csv(path)
+        w.option("header", True).option("escape", '"').csv(path)
     else:
         raise ValueError(f"unknown sink format {fmt!r}")

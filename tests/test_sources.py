@@ -97,3 +97,74 @@ def test_dashboard_over_batch_outputs(spark):
     narrow = Dashboard.from_outputs(spark, out, Filters(state="NATION_7", statuses=()))
     assert narrow.dataset("sidebar_totals").first().orders == dash.dataset("sidebar_totals").first().orders
     assert narrow.mdf.count() == dash.master.where("customer_state = 'NATION_7'").count()
+
+
+def test_unknown_columns_are_kept(spark):
+    d = tempfile.mkdtemp(prefix="basketlens-csv-")
+    with open(os.path.join(d, "my products.csv"), "w") as f:
+        f.write('weight,product_id,a.b,product_category_name\n12,p1,x,toys\n,p2,"y, z",\n')
+    from basketlens.sources.readers import read_csv_source
+    df = read_csv_source(spark, d, "products", "my products")
+    assert df.columns == ["weight", "product_id", "a.b", "product_category_name"]
+    assert [tuple(r) for r in df.collect()] == [("12", "p1", "x", "toys"), (None, "p2", "y, z", None)]
+
+
+def test_batch_and_dashboard_in_csv(spark, csv_dir):
+    from basketlens.operators.filters import Filters
+    from basketlens.plans.dashboard import Dashboard
+    from basketlens.sources.readers import land_csv_sources
+    landed = tempfile.mkdtemp(prefix="basketlens-landed-")
+    os.rename(os.path.join(csv_dir, "orders.csv"), os.path.join(csv_dir, "the_orders.csv"))
+    try:
+        land_csv_sources(spark, csv_dir, landed, {"orders": "the_orders.csv"})
+    finally:
+        os.rename(os.path.join(csv_dir, "the_orders.csv"), os.path.join(csv_dir, "orders.csv"))
+    sources = load_sources(spark, landed)
+    as_csv, as_parquet = (tempfile.mkdtemp(prefix="basketlens-out-") for _ in range(2))
+    log = run_batch(spark, sources, as_csv, "csv")
+    assert log == run_batch(spark, sources, as_parquet)
+    a, b = Dashboard.from_outputs(spark, as_csv, fmt="csv"), Dashboard.from_outputs(spark, as_parquet)
+    assert set(a.datasets()) == set(b.datasets()) and "coefficients_by_value" in a.datasets()
+
+    def shown(df):
+        return [tuple(round(float(v), 6) if isinstance(v, float) or type(v).__name__ == "Decimal" else v for v in r)
+                for r in df.collect()]
+
+    for name in ("overview_kpis", "monthly_trend", "worst_states", "segment_profile_fmt", "churn_box", "high_risk_fmt",
+                 "state_table_fmt", "coefficients_by_value", "delay_histogram"):
+        assert shown(a.dataset(name)) == shown(b.dataset(name)), name
+    nowhere = Dashboard.from_outputs(spark, as_parquet, Filters(state="nowhere"))
+    assert a.has_orders() and not nowhere.has_orders()
+
+
+def test_month_filter_prunes_partitions(spark):
+    import contextlib
+    import io
+
+    from basketlens.operators.filters import Filters
+    from basketlens.plans.dashboard import Dashboard
+    out = tempfile.mkdtemp(prefix="basketlens-prune-")
+    run_batch(spark, logical_sources(spark, SF_SMALL), out, validate=False)
+    dash = Dashboard.from_outputs(spark, out, Filters(months=("1996-01", "1996-06")))
+    buf = io.StringIO()
+    with contextlib.redirect_stdout(buf):
+        dash.dataset("monthly_trend").explain("formatted")
+    filters = [x for x in buf.getvalue().splitlines() if x.startswith("PartitionFilters")]
+    assert filters and "order_month" in filters[0] and ">= 1996-01" in filters[0], filters
+    assert 0 < dash.dataset("monthly_trend").count() <= 6
+
+
+def test_keys_are_checked(spark):
+    sources = logical_sources(spark, SF_SMALL)
+    twice = {**sources, "orders": sources["orders"].union(sources["orders"].limit(1))}
+    with pytest.raises(ValueError, match="orders: key order_id"):
+        run_batch(spark, twice, tempfile.mkdtemp())
+    missing = {**sources, "sellers": sources["sellers"].withColumn(
+        "seller_id", F.when(F.col("seller_id") > 1, F.col("seller_id")))}
+    with pytest.raises(ValueError, match="sellers: key seller_id"):
+        run_batch(spark, missing, tempfile.mkdtemp())
+
+
+def test_absent_coefficients_are_no_error(spark):
+    from basketlens.sources.readers import if_present
+    assert if_present(lambda: read_coefficients(spark, tempfile.mkdtemp() + "/none")) is None
