@@ -50,6 +50,7 @@ EPOCHS = 4
 THRESHOLD = 0.7
 BATCH_WINDOWS = 4096
 BATCH_BYTES = 1 << 20
+BATCH_WORDS = 1 << 14
 
 
 @dataclass
@@ -93,14 +94,16 @@ def gram_slots(words: list[bytes]) -> np.ndarray:
 def word_inputs(net: Network, words: list[bytes]) -> tuple[np.ndarray, ...]:
     """Inputs of distinct words, with the rows and places they came from."""
     rows = np.array([net.vocabulary.get(w, 0) for w in words], dtype=np.int32)
-    slots = gram_slots(words)
     x = np.empty((len(words), WORD_DIM + GRAM_DIM), dtype=np.float32)
     x[:, :WORD_DIM] = net.words[rows]
     best = np.empty((len(words), GRAM_DIM), dtype=np.int32)
+    for at in range(0, len(words), BATCH_WORDS):
+        cut = slice(at, at + BATCH_WORDS)
+        slots = gram_slots(words[cut])
+        for d in range(GRAM_DIM):
+            place = net.grams[:, d][slots].argmax(axis=1)
+            best[cut, d] = slots[np.arange(len(slots)), place]
     for d in range(GRAM_DIM):
-        values = net.grams[:, d][slots]
-        place = values.argmax(axis=1)
-        best[:, d] = slots[np.arange(len(words)), place]
         x[:, WORD_DIM + d] = net.grams[best[:, d], d]
     return x, rows, best
 
@@ -227,9 +230,14 @@ def training_windows(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
                 [pa.array([str(k) for k in keys], pa.string()), pa.array(ys, pa.int32()),
                  pa.array(found, pa.list_(pa.binary()))], names=["i", "y", "windows"])
 
-    rows = sample.mapInArrow(run, "i string, y int, windows array<binary>").collect()
-    rows.sort(key=lambda r: (r["i"], r["y"], [bytes(w) for w in r["windows"]]))
-    return [(r["y"], [bytes(w).split() for w in r["windows"]]) for r in rows]
+    found = sample.mapInArrow(run, "i string, y int, windows array<binary>").toArrow()
+    shared: dict[bytes, bytes] = {}  # equal words are one object
+    rows = []
+    for k in sorted(range(found.num_rows), key=lambda k: (found["i"][k].as_py(), found["y"][k].as_py(),
+                                                         found["windows"][k].as_py())):
+        rows.append((found["y"][k].as_py(), [[shared.setdefault(w, w) for w in text.split()]
+                                             for text in found["windows"][k].as_py()]))
+    return rows
 
 
 def _log_odds(pos: np.ndarray, neg: np.ndarray, n_pos: int, n_neg: int) -> np.ndarray:
@@ -244,28 +252,25 @@ def _log_odds(pos: np.ndarray, neg: np.ndarray, n_pos: int, n_neg: int) -> np.nd
 
 
 def start(docs: list[tuple[int, list[list[bytes]]]], rng: np.random.Generator) -> Network:
+    names, ids, lengths = _number([w for _, windows in docs for w in windows])
+    label = np.repeat([y for y, _ in docs], [len(windows) for _, windows in docs])
     # A word counts once per word before it, so that what copies of a document
     # repeat counts once.
-    pairs: tuple[set, set] = (set(), set())
-    for y, windows in docs:
-        for ws in windows:
-            pairs[y].update(zip([b"", *ws], ws))
-    n_neg, n_pos = (max(1, len(p)) for p in pairs)
-    counts: dict[bytes, list[int]] = {}
+    before = np.concatenate([np.full((len(ids), 1), len(names), dtype=np.int64), ids[:, :-1]], axis=1)
+    pairs = before << 32 | ids
+    inside = np.arange(WINDOW) < lengths[:, None]
+    counts = np.stack([np.bincount(np.unique(pairs[(label == y)[:, None] & inside]) & 0xFFFFFFFF, minlength=len(names))
+                       for y in (0, 1)], axis=1).astype(float)
+    n_neg, n_pos = np.maximum(1, counts.sum(axis=0))
     slots = np.zeros((2, GRAM_SLOTS))
-    for y in (0, 1):
-        for _, w in pairs[y]:
-            counts.setdefault(w, [0, 0])[y] += 1
-    names = sorted(counts)
-    for at in range(0, len(names), 1 << 14):
-        part = names[at:at + (1 << 14)]
-        places = np.sort(gram_slots(part), axis=1)
-        once = np.concatenate([np.ones((len(part), 1), bool), places[:, 1:] != places[:, :-1]], axis=1)
+    for at in range(0, len(names), BATCH_WORDS):
+        places = np.sort(gram_slots(names[at:at + BATCH_WORDS]), axis=1)
+        once = np.concatenate([np.ones((len(places), 1), bool), places[:, 1:] != places[:, :-1]], axis=1)
         for y in (0, 1):
-            times = np.array([counts[w][y] for w in part], dtype=float)
-            np.add.at(slots[y], places[once], np.repeat(times, once.sum(axis=1)))
-    known = sorted(w for w, c in counts.items() if sum(c) >= MIN_CONTEXTS)
-    table = np.array([counts[w] for w in known], dtype=float).reshape(-1, 2)
+            np.add.at(slots[y], places[once], np.repeat(counts[at:at + BATCH_WORDS, y], once.sum(axis=1)))
+    often = np.flatnonzero(counts.sum(axis=1) >= MIN_CONTEXTS)
+    known = [names[k] for k in often]
+    table = counts[often]
     words = rng.normal(0, 0.1, (len(known) + 1, WORD_DIM)).astype(np.float32)
     words[0] = 0
     words[1:, 0] = _log_odds(table[:, 1], table[:, 0], n_pos, n_neg)
