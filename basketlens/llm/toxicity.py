@@ -405,7 +405,7 @@ def fit(docs: list[tuple[int, list[list[bytes]]]], epochs: int = EPOCHS, seed: i
             if aside[d]:
                 continue
             own = np.arange(first[d], first[d + 1])
-            best = own[np.argsort(-rank[own], kind="stable")[:2]]
+            best = own[np.argsort(-rank[own], kind="stable")[:3]]
             if y:
                 chosen += [best[0]]
             else:
