@@ -19,6 +19,22 @@ def test_entry_smoke(spark):
                           "Avg_Review", "Late_Pct"]
 
 
+def test_entry_without_the_text_operators(tmp_path):
+    """The folders of the text operators can be absent."""
+    import shutil
+    import subprocess
+    import sys
+    root = os.path.dirname(os.path.abspath(E.__file__))
+    shutil.copytree(os.path.join(root, "basketlens"), tmp_path / "basketlens",
+                    ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(os.path.join(root, "__spark_entry__.py"), tmp_path)
+    said = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"],
+                          cwd=tmp_path, env={**os.environ, "PYTHONPATH": str(tmp_path)}, capture_output=True, text=True)
+    assert said.returncode == 0, said.stderr
+    n, checked = map(int, said.stdout.split())
+    assert n >= 78 and checked >= 67
+
+
 def test_registry_consistency():
     q, sql = E.queries(), E.oracle_sql()
     assert set(sql) <= set(q)
