@@ -57,6 +57,4 @@ def start(df: DataFrame, name: str, sink: str = "parquet", path: str | None = No
     w = (df.writeStream.queryName(name).outputMode(output_mode)
          .option("checkpointLocation", f"{base}/streams/{name}"))
     w = w.trigger(availableNow=True) if available_now else w
-    if sink == "memory":
-        return w.format("memory").start()
-    return w.format(sink).start(path)
+    return w.format(sink).start(path) if path else w.format(sink).start()
