@@ -65,15 +65,23 @@ def product_category(products: DataFrame, translation: DataFrame) -> DataFrame:
                 F.lit("unknown")))))
 
 
+def _suffixed(df: DataFrame, taken: set[str], suffix: str) -> DataFrame:
+    return df.withColumnsRenamed({c: c + suffix for c in df.columns if c in taken})
+
+
 def build_master(src: dict[str, DataFrame]) -> DataFrame:
     """The order master plus delivery metrics.
 
     Column order: all order columns, customer columns, item, payment and
     review facts, ``category``, ``seller_state``, then the four delivery
     columns.  Row count equals the order count (every right side is unique
-    on its key).
+    on its key).  An extra column of the orders or customers whose name is
+    taken gets the suffix ``_order`` or ``_customer``.
     """
-    orders, customers = src["orders"], src["customers"]
+    facts_ = {"item_count", "total_price", "total_freight", "product_id", "seller_id", "payment_value",
+              "payment_type", "payment_installments", "review_score", "category", "seller_state"}
+    orders = _suffixed(src["orders"], facts_, "_order")
+    customers = _suffixed(src["customers"], facts_ | (set(orders.columns) - {"customer_id"}), "_customer")
     items = items_by_order(src["order_items"])
     pays = payments_by_order(src["order_payments"])
     revs = latest_review_by_order(src["order_reviews"])

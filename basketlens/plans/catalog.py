@@ -125,7 +125,7 @@ def _q(m):
     again = build_master(load_sources(spark, base, "csv"))
     return again.select(F.col("order_id").cast("long").alias("order_id"), "order_status", "delay_days", "is_late",
                         "item_count", "total_price", "payment_value", "payment_type", "review_score",
-                        "customer_state", F.length("note").alias("note_length"))
+                        "customer_state", (F.length("note") + F.length("note_customer")).alias("note_length"))
 
 
 @query("delivery_metrics")

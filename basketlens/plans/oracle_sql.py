@@ -369,7 +369,7 @@ FROM (SELECT DISTINCT order_id FROM s_reviews) o LEFT JOIN f_review r ON o.order
     "csv_roundtrip_master": _m(f"""
 SELECT order_id, order_status, delay_days, is_late, item_count, {_r("total_price")} AS total_price,
        {_r("payment_value")} AS payment_value, payment_type, review_score, customer_state,
-       CAST(19 AS INTEGER) AS note_length
+       CASE WHEN customer_unique_id IS NOT NULL THEN CAST(38 AS INTEGER) END AS note_length
 FROM master"""),
 
     "delivery_metrics": _m("SELECT order_id, order_status, delay_days, is_late, is_early, delivery_days_actual FROM master"),
