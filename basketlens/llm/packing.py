@@ -20,18 +20,18 @@ import base64
 import importlib.util
 import os
 from bisect import bisect_left, insort
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark import Broadcast, TaskContext
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from basketlens.functions.lineage import table_checkpoint
-from basketlens.llm.common import quoted, slices_by_bytes, text_or_empty
+from basketlens.llm.common import quoted, share, slices_by_bytes, text_or_empty
 
 LENGTH = 1024
 OPEN = 64
@@ -107,9 +107,9 @@ def encoder(known: Vocabulary):
     return lambda texts: [np.array(coder.encode_ordinary(t), dtype="<u4") for t in texts]
 
 
-def _pack(known: Broadcast, capacity: int, limit: int, cut: int | None):
+def _pack(known: Callable[[], Vocabulary], capacity: int, limit: int, cut: int | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(known.value)
+        encode = encoder(known())
         part = TaskContext.get().partitionId()
         state = OpenWindows(capacity, limit, cut)
         opened, used = part << 40, {}
@@ -221,7 +221,7 @@ def pack(docs: DataFrame, tokenizer: str, length: int = LENGTH, open_windows: in
     spark = docs.sparkSession
     rows = docs.select(quoted(id_col).alias("doc_id"), text_or_empty(text_col).alias("body"))
     id_type = rows.schema["doc_id"].dataType.simpleString()
-    known = spark.sparkContext.broadcast(vocabulary(tokenizer))
+    known = share(spark, vocabulary(tokenizer))
     placed = table_checkpoint(
         rows.mapInArrow(_pack(known, length, open_windows, cut), f"doc_id {id_type}, {PIECES}, open boolean"),
         "pack-pieces")

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from basketlens.llm.common import (LOWER, quoted, schema_plus, slices_by_bytes, text_or_empty,
+from basketlens.llm.common import (LOWER, quoted, schema_plus, share, slices_by_bytes, text_or_empty,
                                    without)
 
 WINDOW, STRIDE = 32, 16
@@ -476,12 +476,13 @@ def score_toxicity(docs: DataFrame, net: Network | None, text_col: str = "text",
     """
     kept = [c for c in (docs.columns if keep is None else keep) if c in without(docs, score_col)]
     rows = docs.select(*[quoted(c) for c in kept], text_or_empty(text_col).cast("binary").alias("__body"))
-    shared = docs.sparkSession.sparkContext.broadcast(net)
+    shared = share(docs.sparkSession, net)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = shared()
         for batch in batches:
             last = batch.num_columns - 1
-            scores = score_texts(shared.value, batch.column(last).to_pylist())
+            scores = score_texts(own, batch.column(last).to_pylist())
             yield pa.RecordBatch.from_arrays([*batch.columns[:last], pa.array(scores, pa.float64())],
                                              names=[*kept, score_col])
 
