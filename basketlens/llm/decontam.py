@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from basketlens.llm.common import LOWER, quoted, schema_plus, text_or_empty
+from basketlens.llm.common import LOWER, quoted, schema_plus, share, text_or_empty
 
 K1, B = 1.2, 0.75
 THRESHOLD = 0.6
@@ -52,8 +52,14 @@ SHARD_BYTES = 4 << 20
 _ANSWER = re.compile(rb"(?<=[.!?\n])\s+(?=\S)|\n+(?=\S)")
 
 
+# Lower-cases A-Z and turns every other ASCII character but digits into a space.
+_PLAIN = bytes(LOWER[c] if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
+
+
 def words_of(text: bytes) -> list[bytes]:
-    return text.translate(LOWER).split()
+    """Lower-cased words without punctuation, so that what stands next to a
+    copied item cannot change its first and last word."""
+    return text.translate(_PLAIN).split()
 
 
 def shingles(words: list[bytes]) -> set[tuple[bytes, ...]]:
@@ -249,7 +255,7 @@ def search(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD,
 
     def task(shared):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            index = shared.value
+            index = shared()
             kinds = [pa.int64()] * 3 + [pa.float64()] * 3
             for batch in batches:
                 at, hits = [], []
@@ -263,7 +269,7 @@ def search(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD,
                          *(pa.array(c, t) for c, t in zip(zip(*hits), kinds))], names=["doc_id", *names])
         return run
 
-    found = [rows.mapInArrow(task(spark.sparkContext.broadcast(x)), schema) for x in indexes(benchmark)]
+    found = [rows.mapInArrow(task(share(spark, x)), schema) for x in indexes(benchmark)]
     return reduce(DataFrame.unionByName, found) if found else spark.createDataFrame([], schema)
 
 
@@ -275,13 +281,14 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float =
 
     def task(shared, at):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            own = shared()
             for batch in batches:
-                clean = [not search_text(shared.value, (t or "").encode(), threshold, overlap)
+                clean = [not search_text(own, (t or "").encode(), threshold, overlap)
                          for t in batch.column(at).to_pylist()]
                 yield batch.filter(pa.array(clean, pa.bool_()))
         return run
 
     kept = docs
     for index in indexes(benchmark):
-        kept = kept.mapInArrow(task(spark.sparkContext.broadcast(index), docs.columns.index(text_col)), docs.schema)
+        kept = kept.mapInArrow(task(share(spark, index), docs.columns.index(text_col)), docs.schema)
     return kept

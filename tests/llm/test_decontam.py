@@ -72,6 +72,15 @@ def test_planted_items_are_found(spark):
     assert kept == set(texts) - {d for d, _ in got}
 
 
+def test_punctuation_around_a_copy_does_not_hide_it(spark):
+    rng = random.Random(6)
+    item = prose(rng, 12, 1000) + ". " + prose(rng, 3, 1000) + "."
+    noisy = "***".join(item.split())
+    bench = items(spark, [(1, item)])
+    docs = documents(spark, [(1, f"before&&&{item}***after"), (2, f"x ({noisy})!"), (3, prose(rng, 40, 1000))])
+    assert sorted(r.doc_id for r in decontam.search(docs, bench).collect()) == [1, 2]
+
+
 def test_longest_item_across_passages(spark):
     rng = random.Random(5)
     long = prose(rng, 50, 10000)
