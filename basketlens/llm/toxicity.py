@@ -2,7 +2,7 @@
 character inputs, trained in numpy, scoring all overlapping windows.
 
 A text is lower-cased (A-Z), split into words and cut into windows of
-``WINDOW`` words, one every ``STRIDE`` words.  A word enters the network as
+``WINDOW`` positions, one every ``STRIDE``.  A word enters the network as
 
 * a word input: the embedding of a word that follows at least
   ``MIN_CONTEXTS`` different words in the training rows (any other word has a
@@ -11,6 +11,11 @@ A text is lower-cased (A-Z), split into words and cut into windows of
   word's hashed character 3- to 5-grams, with a mark before the word, and of its
   beginnings.
 
+A word of more than ``PIECE`` bytes takes several positions, one for each of its
+overlapping pieces: all its bytes count, and a text without spaces has as many
+windows as its length asks for.  The first piece begins the word and has the
+whole word's own word input.
+
 A forward and a backward GRU read the window, attention pools their states
 and a logistic unit gives the window's logit.  The text's score is a
 calibrated logistic of its largest window logit, so every window counts and a
@@ -30,6 +35,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -45,7 +51,9 @@ MIN_CONTEXTS = 3
 WORD_DIM, GRAM_DIM, HIDDEN = 4, 4, 8
 GRAM_SLOTS = 1 << 15
 STEM = 9             # the longest beginning of a word that is a gram of its own
-GRAM_BYTES = 16      # characters of a word that make character inputs: its first bytes
+PIECE = 16           # bytes of a word that make one position's character inputs
+OVERLAP = 4          # bytes that neighbouring pieces share at least: the longest gram less one
+JOINT = b"\xff"      # not in UTF-8: begins a later piece, and parts a first piece from its word's digest
 EPOCHS = 4
 THRESHOLD = 0.7
 BATCH_WINDOWS = 4096
@@ -65,20 +73,57 @@ class Network:
     shift: float = 0.0
 
 
+def pieces(word: bytes) -> list[bytes]:
+    """The positions of a word: itself, or its overlapping pieces, cut between
+    code points.  Every five bytes in a row lie whole in one of them."""
+    if len(word) <= PIECE:
+        return [word]
+
+    def border(at: int) -> int:
+        for k in range(at, at - 4, -1):
+            if k >= len(word) or word[k] & 0xC0 != 0x80:
+                return k
+        return at  # not UTF-8
+
+    end = border(PIECE)
+    found = [word[:end] + JOINT + blake2b(word, digest_size=8).hexdigest().encode()]
+    while end < len(word):
+        at = border(end - OVERLAP)
+        end = border(min(at + PIECE, len(word)))
+        found.append(JOINT + word[at:end])
+    return found
+
+
+def positions(text: bytes) -> list[bytes]:
+    """The window positions of a text, in order."""
+    found = []
+    for w in text.translate(LOWER).split():
+        if len(w) > PIECE:
+            found += pieces(w)
+        else:
+            found.append(w)
+    return found
+
+
 def gram_slots(words: list[bytes]) -> np.ndarray:
     """Hashed character 3- to 5-grams of each word and its beginnings of up to
     ``STEM`` characters, ``(n, k)``; unused places hold the slot of the word's
-    first gram."""
-    letters = np.zeros((len(words), GRAM_BYTES + 5), dtype=np.uint32)
+    first gram.  A later piece of a word has only the grams without the mark."""
+    later = np.array([w[:1] == JOINT for w in words], dtype=bool)
+    own = [w if len(w) <= PIECE and not x else w[1:] if x else w.partition(JOINT)[0]
+           for w, x in zip(words, later.tolist())]
+    letters = np.zeros((len(words), PIECE + 5), dtype=np.uint32)
     letters[:, 0] = 1
-    letters[:, 1:GRAM_BYTES + 1] = np.array(words, dtype=f"S{GRAM_BYTES}").view(np.uint8).reshape(len(words), GRAM_BYTES)
-    n = GRAM_BYTES + 1
+    letters[:, 1:PIECE + 1] = np.array(own, dtype=f"S{PIECE}").view(np.uint8).reshape(len(words), PIECE)
+    n = PIECE + 1
     code = letters[:, :n]
     found = []
 
     def add(code: np.ndarray, last: np.ndarray) -> None:
         slot = ((code ^ (code >> np.uint32(15))) * np.uint32(0x85EBCA6B)) >> np.uint32(17)
-        found.append(np.where(last != 0, slot, np.uint32(GRAM_SLOTS)))
+        slot = np.where(last != 0, slot, np.uint32(GRAM_SLOTS))
+        slot[later, 0] = GRAM_SLOTS
+        found.append(slot)
 
     for k in range(1, STEM + 1):
         if k == 5:  # longer grams begin the word
@@ -87,7 +132,8 @@ def gram_slots(words: list[bytes]) -> np.ndarray:
         if k >= 2:
             add(code, letters[:, k:n + k])
     slots = np.concatenate(found, axis=1)
-    first = np.where(slots[:, :1] == GRAM_SLOTS, np.uint32(0), slots[:, :1])
+    first = np.where(later[:, None], slots[:, 1:2], slots[:, :1])
+    first = np.where(first == GRAM_SLOTS, np.uint32(0), first)
     return np.where(slots == GRAM_SLOTS, first, slots).astype(np.int32)
 
 
@@ -161,7 +207,7 @@ def text_logits(net: Network, texts: list[bytes]) -> np.ndarray:
     """The largest window logit of each text; minus infinity without a word."""
     result = np.full(len(texts), -np.inf, dtype=np.float64)
     for a, b in slices_by_bytes(map(len, texts), BATCH_BYTES):
-        words = [t.translate(LOWER).split() for t in texts[a:b]]
+        words = [positions(t) for t in texts[a:b]]
         number: dict[bytes, int] = {}
         ids = np.array([number.setdefault(w, len(number)) for ws in words for w in ws], dtype=np.int32)
         if not len(ids):
@@ -219,7 +265,7 @@ def training_windows(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
         for batch in batches:
             keys, ys, found = [], [], []
             for i, y, body in zip(batch.column("i"), batch.column("y").to_pylist(), batch.column("body")):
-                words = body.as_py().translate(LOWER).split()
+                words = positions(body.as_py())
                 starts = cut_windows(len(words))
                 if len(starts) > max_windows:
                     starts = starts[np.linspace(0, len(starts) - 1, max_windows).astype(int)]

@@ -99,6 +99,37 @@ def test_batches_do_not_matter(trained, monkeypatch):
     assert np.allclose(whole, toxicity.text_logits(net, texts), atol=1e-4)
 
 
+def test_all_bytes_of_a_long_word_count(spark):
+    """Toxic terms behind the first 16 bytes of texts without spaces, learned
+    from such texts and found in them wherever they are."""
+    rows, labels = corpus(5, 600)
+    joined = [(i, "_".join(t.split()) if i % 2 else t) for i, t in rows]
+    net = toxicity.fit_on(documents(spark, joined), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    clean = ["pana", "reko", "toti", "midu", "lufe", "soga"] * 60
+    base = toxicity.score_texts(net, ["_".join(clean).encode()])[0]
+    assert base < toxicity.THRESHOLD
+    for at in (8, 100, len(clean)):
+        text = "_".join(clean[:at] + ["vile", "grubby", "nastyish"] + clean[at:])
+        assert text.index("vile") > 16
+        assert toxicity.score_texts(net, [text.encode()])[0] > max(base + 0.1, toxicity.THRESHOLD)
+
+
+def test_pieces():
+    for word in ("a" * 16, "a" * 17, "abcdefghij" * 9, "слово" * 7, "日本語テキスト" * 5, "🙂" * 9, "aж日🙂" * 6):
+        body = word.encode()
+        found = toxicity.pieces(body)
+        if len(body) <= 16:
+            assert found == [body]
+            continue
+        cut = [found[0].partition(toxicity.JOINT)[0]] + [p[1:] for p in found[1:]]
+        assert all(p[:1] == toxicity.JOINT for p in found[1:]) and all(len(p) <= 16 and p.decode() for p in cut)
+        assert {body[k:k + 5] for k in range(len(body) - 4)} == {p[k:k + 5] for p in cut for k in range(len(p) - 4)}
+    assert toxicity.pieces(b"x" * 20)[0] != toxicity.pieces(b"x" * 21)[0]
+    assert b"".join(toxicity.pieces(b"\x80" * 40))
+    marked, later = toxicity.gram_slots([b"abcdefg", toxicity.JOINT + b"abcdefg"]).tolist()
+    assert set(later) < set(marked)
+
+
 def test_sample_is_bounded(spark, trained):
     _, _, docs, marks, _ = trained
     got = toxicity.training_windows(docs, marks, max_docs=40, max_windows=3)
