@@ -25,7 +25,9 @@ the answer's.  The answer is the item's last sentence or line, the question
 what stands before; an item of one sentence is all question.
 
 The index is bounded: items are dealt into shards of at most ``SHARD_BYTES`` of
-text, and the documents are read once per shard.
+text, and the documents are read once per shard.  Item count, mean and largest
+length and document frequencies are those of the whole benchmark, so scores do
+not depend on the number of shards.
 """
 
 from __future__ import annotations
@@ -41,6 +43,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from basketlens.functions.lineage import table_checkpoint
 from basketlens.llm.common import LOWER, quoted, schema_plus, share, text_or_empty
 
 K1, B = 1.2, 0.75
@@ -84,17 +87,30 @@ class Index:
     longest: int                        # words of the longest item
 
 
-def build_index(rows: list[tuple[int, bytes]]) -> Index | None:
+@dataclass
+class Collection:
+    """What scores need to know of the whole benchmark (``df``: at least of the
+    words of the items to index)."""
+
+    n: int
+    mean: float
+    longest: int
+    df: dict[bytes, int]
+
+
+def build_index(rows: list[tuple[int, bytes]], whole: Collection | None = None) -> Index | None:
     """Items without a word are left out; None when none is left.  Repeated
-    items are items of their own."""
+    items are items of their own.  ``rows`` are a part of the collection
+    ``whole``, by default all of it."""
     known = [(i, t, words_of(t)) for i, t in rows]
     known = sorted((x for x in known if x[2]), key=lambda x: (len(x[2]), x[0], x[1]))
     if not known:
         return None
-    n = len(known)
-    mean = sum(len(w) for _, _, w in known) / n
-    df = Counter(w for _, _, ws in known for w in set(ws))
-    vocabulary = {w: k + 1 for k, w in enumerate(sorted(df))}
+    if whole is None:
+        whole = Collection(len(known), sum(len(w) for _, _, w in known) / len(known), max(len(w) for _, _, w in known),
+                           Counter(w for _, _, ws in known for w in set(ws)))
+    n, mean, df = whole.n, whole.mean, whole.df
+    vocabulary = {w: k + 1 for k, w in enumerate(sorted({w for _, _, ws in known for w in ws}))}
     held: list[list[tuple[int, float]]] = [[] for _ in range(len(vocabulary) + 1)]
     for number, (_, _, ws) in enumerate(known):
         tf = Counter(ws)
@@ -103,7 +119,7 @@ def build_index(rows: list[tuple[int, bytes]]) -> Index | None:
         total = sum(impact.values())
         for w in tf:
             held[vocabulary[w]].append((number, impact[w] / total))
-    blocks = -(-n // BLOCK_ITEMS)
+    blocks = -(-len(known) // BLOCK_ITEMS)
     bounds = np.zeros((len(held), blocks), dtype=np.float32)
     postings = []
     for row, pairs in enumerate(held):
@@ -115,7 +131,7 @@ def build_index(rows: list[tuple[int, bytes]]) -> Index | None:
     bounds *= np.float32(1 + 1e-4)
     return Index([i for i, _, _ in known], vocabulary, bounds, postings,
                  [tuple(shingles(p) for p in question_and_answer(t)) for _, t, _ in known],
-                 max(len(w) for _, _, w in known))
+                 whole.longest)
 
 
 def block_max_wand(index: Index, rows: list[int], blocks: np.ndarray, threshold: float) -> list[tuple[int, float]]:
@@ -221,6 +237,18 @@ def covered(part: set[tuple], own: list[set]) -> float:
     return sum(x in have for x in part) / len(part)
 
 
+def item_words(items: DataFrame) -> DataFrame:
+    """``(n, terms)`` per item with a word: its words' number and its distinct words."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [words_of(body.as_py()) for body in batch.column(0)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([len(ws) for ws in found], pa.int64()),
+                 pa.array([sorted(set(ws)) for ws in found], pa.list_(pa.binary()))], names=["n", "terms"])
+
+    return items.select("body").mapInArrow(run, "n long, terms array<binary>").where("n > 0")
+
+
 def indexes(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> list[Index]:
     """The indexes of the item shards.  One shard of at most ``SHARD_BYTES`` of
     text is in the driver's memory at a time while its index is built."""
@@ -228,10 +256,23 @@ def indexes(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text
                              text_or_empty(text_col).cast("binary").alias("body"))
     size = items.agg(F.sum(F.octet_length("body")).alias("n")).first()["n"] or 0
     shards = 1 + size // SHARD_BYTES
+    if shards > 1:
+        counted = item_words(items)
+        sums = counted.agg(F.count(F.lit(1)).alias("n"), F.sum("n").alias("words"), F.max("n").alias("longest")).first()
+        frequencies = table_checkpoint(counted.select(F.explode("terms").alias("w")).groupBy("w")
+                                       .agg(F.count(F.lit(1)).alias("df")), "decontam-frequencies")
     built = []
     for k in range(shards):
-        own = items.where(F.pmod(F.xxhash64("i", "body"), F.lit(shards)) == k) if shards > 1 else items
-        index = build_index([(r["i"], bytes(r["body"])) for r in own.collect()])
+        own, whole = items, None
+        if shards > 1 and sums["n"]:
+            own = items.where(F.pmod(F.xxhash64("i", "body"), F.lit(shards)) == k)
+            # No more words than the shard's text has.
+            met = item_words(own).select(F.explode("terms").alias("w")).distinct().join(frequencies, "w").collect()
+            whole = Collection(sums["n"], sums["words"] / sums["n"], sums["longest"],
+                               {bytes(r["w"]): r["df"] for r in met})
+        elif shards > 1:
+            break  # no item has a word
+        index = build_index([(r["i"], bytes(r["body"])) for r in own.collect()], whole)
         if index:
             built.append(index)
     return built

@@ -97,6 +97,28 @@ def test_shards_give_the_same(spark, monkeypatch):
     assert {(r.doc_id, r.item_id) for r in decontam.search(docs, bench).collect()} == whole
 
 
+def test_scores_do_not_depend_on_shards(spark, monkeypatch):
+    """Altered items of very different lengths: the same hits and scores in one
+    shard and in many."""
+    rng = random.Random(8)
+    rows = [(k, prose(rng, rng.randrange(5, 60), 60) + ". " + prose(rng, 3, 60)) for k in range(60)]
+    bench = items(spark, rows)
+    docs = documents(spark, [(k, prose(rng, 30, 60) + " " + " ".join(
+        w for w in t.split() if rng.random() < 0.85) + " " + prose(rng, 200, 60)) for k, t in rows])
+
+    def found():
+        return {(r.doc_id, r.item_id): (r.word_start, r.words, round(r.score, 9))
+                for r in decontam.search(docs, bench, 0.5, 0.1).collect()}
+
+    whole = found()
+    assert whole
+    monkeypatch.setattr(decontam, "SHARD_BYTES", 2000)
+    assert len(decontam.indexes(bench)) > 2
+    assert found() == whole
+    blank = items(spark, [(k, "?! " * 400) for k in range(9)])
+    assert decontam.indexes(blank) == []
+
+
 def test_edges(spark):
     bench = items(spark, [(1, None), (2, ""), (3, "one"), (3, "one"), (None, "no id at all")])
     docs = documents(spark, EDGES)
