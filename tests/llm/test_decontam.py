@@ -5,7 +5,7 @@ import pytest
 
 from basketlens.llm import decontam
 from basketlens.llm.common import table
-from helpers import EDGES, SF, documents, prose
+from .helpers import EDGES, SF, documents, prose
 
 
 def items(spark, rows):

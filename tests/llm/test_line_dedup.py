@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from basketlens.llm import line_dedup
 from basketlens.llm.common import table
-from helpers import EDGES, SF, documents
+from .helpers import EDGES, SF, documents
 
 
 def line_hash(line):

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from basketlens.llm import lm_scoring as lm
 from basketlens.llm import mixing
 from basketlens.llm.common import table
-from helpers import EDGES, documents, words
+from .helpers import EDGES, documents, words
 
 
 def base_scores(rows):

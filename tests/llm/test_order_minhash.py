@@ -4,7 +4,7 @@ import random
 import numpy as np
 
 from basketlens.llm import order_minhash as omh
-from helpers import EDGES, documents, prose
+from .helpers import EDGES, documents, prose
 
 
 def slow_pieces(text):

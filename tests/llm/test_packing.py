@@ -9,7 +9,7 @@ from tokenizers import Tokenizer
 
 from basketlens.llm import packing
 from basketlens.llm.common import table
-from helpers import EDGES, SF, documents
+from .helpers import EDGES, SF, documents
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 

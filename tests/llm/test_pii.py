@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from basketlens.llm import pii
 from basketlens.llm.common import table
-from helpers import EDGES, SF, documents
+from .helpers import EDGES, SF, documents
 
 
 def run(spark, rows, key="k"):

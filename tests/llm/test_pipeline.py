@@ -5,10 +5,10 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from basketlens.llm import toxicity
 from basketlens.llm.common import table
-from helpers import EDGES, SF, documents
-from test_line_dedup import plain as plain_lines
-from test_simhash import plain as plain_print
-from test_simhash import union_find
+from .helpers import EDGES, SF, documents
+from .test_line_dedup import plain as plain_lines
+from .test_simhash import plain as plain_print
+from .test_simhash import union_find
 
 BIG = "/root/testdata/sf0.01"
 

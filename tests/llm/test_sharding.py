@@ -8,7 +8,7 @@ import pytest
 
 from basketlens.llm import sharding
 from basketlens.llm.common import table
-from helpers import EDGES, SF, documents
+from .helpers import EDGES, SF, documents
 
 
 @pytest.mark.parametrize("good,total,draws", [(7, 20, 6), (1, 50, 25), (19, 20, 6), (30, 60, 30)])

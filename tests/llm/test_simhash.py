@@ -6,7 +6,7 @@ import xxhash
 from basketlens.llm import simhash
 from basketlens.llm.common import table
 from basketlens.llm.components import components
-from helpers import EDGES, SF, documents, prose, words
+from .helpers import EDGES, SF, documents, prose, words
 
 
 def plain(text):

@@ -4,7 +4,7 @@ import random
 import pytest
 
 from basketlens.llm import substring_dedup
-from helpers import EDGES, documents
+from .helpers import EDGES, documents
 
 
 def plain(rows, window=20):

@@ -5,7 +5,7 @@ import pytest
 
 from basketlens.llm import toxicity
 from basketlens.llm.common import table
-from helpers import EDGES, SF, documents, words
+from .helpers import EDGES, SF, documents, words
 
 
 def corpus(seed, n=400, bad=("vile", "grubby", "nastyish")):
