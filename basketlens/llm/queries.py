@@ -3,16 +3,20 @@ whole ``documents`` table with production parameters."""
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basketlens.llm import decontam, line_dedup, lm_scoring, oracle, order_minhash, packing, pii, sharding, simhash, substring_dedup, toxicity
+from basketlens.functions.lineage import checkpoint_root
+from basketlens.llm import (decontam, line_dedup, lm_scoring, oracle, order_minhash, packing, pii, sharding, simhash,
+                            substring_dedup, token_files, toxicity)
 from basketlens.llm.common import table
 
 TOKENIZER = "byte_bpe_50k.json"
+WORD_TOKENIZER = "word_bpe_49k.json"
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,7 +85,15 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
                          toxicity.predicted(F.col("score")).alias("predicted"))
 
 
+def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{checkpoint_root(spark)}/token-files-{uuid.uuid4().hex}"
+    token_files.write_tokens(table(spark, sf_dir, "documents"), path, public_tokenizers.path(WORD_TOKENIZER))
+    return token_files.checksums(token_files.read_tokens(spark, path))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_packing, op2_decontamination, op3_pii, op4_line_dedup, op5_substring_dedup, op6_sharding, op7_lm_scoring, op8_order_minhash, op9_simhash, op10_toxicity)
+    f.__name__: f for f in (op1_packing, op2_decontamination, op3_pii, op4_line_dedup, op5_substring_dedup,
+                            op6_sharding, op7_lm_scoring, op8_order_minhash, op9_simhash, op10_toxicity,
+                            op13_token_files)
 }
 ORACLE_SQL = oracle.SQL
