@@ -16,17 +16,20 @@ row per file only.
 
 The tokenizer drops white space, and nothing it does (composition, lower case,
 its pattern, special names) reaches across ASCII white space.  So a document's
-ids are those of its words one after another, and a task encodes each distinct
-word once (tested against whole texts).  A task holds at most ``MEMO`` words;
-when there are more, it starts anew.
+ids are those of its words one after another, and a worker process encodes
+each distinct word once (tested against whole texts).  It holds at most
+``MEMO`` words, or those of one text if they are more; then it starts anew.
 """
 
 from __future__ import annotations
 
+import os
+import re
+import sys
+import types
 import zlib
 from array import array
 from collections.abc import Callable, Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -40,43 +43,91 @@ END = 1
 STRIPE_BYTES = 16 << 20
 ROW_GROUP = 1000
 BLOOM_FPP = 0.01
-MEMO = 300_000
+MEMO = 600_000
 BATCH_BYTES = 1 << 20
 
 
-def word_encoder(tokenizer_json: bytes, memo: int = MEMO) -> Callable[[list[str]], list[array]]:
-    """A function from texts to arrays of unsigned 32-bit ids."""
-    from tokenizers import Tokenizer
-    tokenizer = Tokenizer.from_buffer(tokenizer_json)
-    known: dict[bytes, list[int]] = {}
+class WordEncoder:
+    """Ids of words, each distinct word encoded once.
 
-    def encode(texts: list[str]) -> list[array]:
-        words = [t.encode().split() for t in texts]  # splits at the six ASCII white-space bytes
-        missing = list(set(chain.from_iterable(words)).difference(known))
-        if len(known) + len(missing) > memo:
-            known.clear()
-            missing = list(set(chain.from_iterable(words)))
-        found = tokenizer.encode_batch([w.decode() for w in missing], add_special_tokens=False)
-        known.update((w, e.ids) for w, e in zip(missing, found))
-        ids_of = known.__getitem__
-        return [array("I", chain.from_iterable(map(ids_of, ws))) for ws in words]
+    Words of printable ASCII and Latin-1 letters need no composition; they are
+    put in lower case, cut by the tokenizer's pattern, and every distinct piece
+    goes through the tokenizer's model.  All other words, and those that may
+    hold a special name, go through the whole tokenizer.
+    """
 
-    return encode
+    EASY = re.compile("[!-~\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF]+")
+    # Fixed value: the tokenizer file's pattern, for the characters above in lower case.
+    PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00DF-\u00F6\u00F8-\u00FF]+|[0-9]|"
+                        "[^a-z0-9\u00DF-\u00F6\u00F8-\u00FF]+")
+
+    def __init__(self, tokenizer_json: bytes, memo: int = MEMO) -> None:
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
+        from tokenizers import Tokenizer
+        self.tokenizer = Tokenizer.from_buffer(tokenizer_json)
+        self.model, self.memo = self.tokenizer.model, memo
+        self.words: dict[bytes, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
+        # Byte-level text: printable bytes stand for themselves, the others follow from 256 on.
+        shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+        others = (b for b in range(256) if b not in shown)
+        self.byte_text = {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(others)}
+
+    def piece(self, text: str) -> bytes:
+        found = self.pieces.get(text)
+        if found is None:
+            level = text if text.isascii() else "".join(map(self.byte_text.__getitem__, text.encode()))
+            found = array("I", [t.id for t in self.model.tokenize(level)]).tobytes()
+            self.pieces[text] = found
+        return found
+
+    def learn(self, words: set[bytes]) -> None:
+        if len(self.words) + len(words) > self.memo:
+            self.words.clear()
+            self.pieces.clear()
+        hard = []
+        for word in words:
+            text = word.decode()
+            if "<|" not in text and self.EASY.fullmatch(text):
+                self.words[word] = b"".join(map(self.piece, self.PIECES.findall(text.lower())))
+            else:
+                hard.append(word)
+        found = self.tokenizer.encode_batch([w.decode() for w in hard], add_special_tokens=False)
+        self.words.update((w, array("I", e.ids).tobytes()) for w, e in zip(hard, found))
+
+    def encode(self, text: str) -> bytes:
+        """The ids of a text as unsigned 32-bit numbers."""
+        words = text.encode().split()  # splits at the six ASCII white-space bytes
+        parts = list(map(self.words.get, words))
+        if None in parts:
+            # All words of the text: learning may begin with a cleared memo.
+            self.learn({w for w, p in zip(words, parts) if p is None}
+                       if len(self.words) + len(words) <= self.memo else set(words))
+            parts = map(self.words.__getitem__, words)
+        return b"".join(parts)
+
+
+def worker_encoder(tokenizer_json: bytes, memo: int = MEMO) -> WordEncoder:
+    """This worker process's encoder: Spark gives a worker many tasks, so the
+    words known from one serve the next."""
+    name = f"basketlens_words_{zlib.crc32(tokenizer_json)}_{memo}"
+    holder = sys.modules.setdefault(name, types.ModuleType(name))
+    if not hasattr(holder, "encoder"):
+        holder.encoder = WordEncoder(tokenizer_json, memo)
+    return holder.encoder
 
 
 def _encode_rows(tokenizer_json: Callable[[], bytes], end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = word_encoder(tokenizer_json())
+        encode, end = worker_encoder(tokenizer_json()).encode, np.uint32(end_id).tobytes()
         part, at = TaskContext.get().partitionId(), 0
         for batch in batches:
             texts = batch.column(1).to_pylist()
             for a, b in slices_by_bytes(map(len, texts), BATCH_BYTES):
-                found = encode(texts[a:b])
-                for ids in found:
-                    ids.append(end_id)
-                sizes = np.array([len(ids) for ids in found], dtype=np.int64)
+                found = [encode(text) + end for text in texts[a:b]]
+                sizes = np.array([len(ids) // 4 for ids in found], dtype=np.int64)
                 ends = np.cumsum(sizes)
-                values = np.concatenate([np.frombuffer(ids, dtype=np.uint32) for ids in found]).view(np.int32)
+                values = np.frombuffer(b"".join(found), dtype=np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(values))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0)[a:b], pa.array([part] * (b - a), pa.int32()),

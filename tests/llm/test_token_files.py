@@ -40,21 +40,30 @@ def test_query_against_whole_texts(spark, plain):
         start += len(ids)
 
 
-WILD = st.text(st.one_of(st.characters(codec="utf-8"), st.sampled_from(" \t\n\x0b\x0c\r\x1c\x85 　'<|>ΣσςİÅÅ̈ͅ")),
-               max_size=40)
+WILD = st.text(st.one_of(st.characters(codec="utf-8"), st.sampled_from(" \t\n\x0b\x0c\r\x1c\x85 　'<|>ΣσςİÅÅ̈ͅßÿ×÷ª"),
+                         st.sampled_from("abst'1A,.")), max_size=40)
 
 
-@settings(max_examples=200, deadline=None)
-@given(WILD, WILD)
-def test_words_apart_give_the_ids_of_the_text(a, b):
-    t = Tokenizer.from_file(PATH) if not hasattr(test_words_apart_give_the_ids_of_the_text, "t") else \
-        test_words_apart_give_the_ids_of_the_text.t
-    test_words_apart_give_the_ids_of_the_text.t = t
+@pytest.fixture(scope="module")
+def encoders(plain):
     with open(PATH, "rb") as f:
-        encode = getattr(test_words_apart_give_the_ids_of_the_text, "e", None) or token_files.word_encoder(f.read(), 50)
-    test_words_apart_give_the_ids_of_the_text.e = encode
+        data = f.read()
+    return token_files.WordEncoder(data, 50), token_files.WordEncoder(data)
+
+
+@settings(max_examples=300, deadline=None)
+@given(WILD, WILD)
+def test_words_apart_give_the_ids_of_the_text(plain, encoders, a, b):
     for text in (a, a + " " + b, a + "<|endoftext|>" + b, a + "\n" + b.upper()):
-        assert encode([text])[0].tolist() == t.encode(text, add_special_tokens=False).ids
+        for e in encoders:
+            assert np.frombuffer(e.encode(text), dtype="<u4").tolist() + [1] == plain(text)
+
+
+def test_every_latin_character(plain, encoders):
+    """Every printable character up to U+00FF, alone and between letters."""
+    for c in map(chr, [*range(33, 127), *range(160, 256)]):
+        for text in (c, f"a{c}b", f"{c}{c}'s", f"A{c.upper()}9{c}"):
+            assert np.frombuffer(encoders[1].encode(text), dtype="<u4").tolist() + [1] == plain(text)
 
 
 def test_edge_rows(spark, plain, tmp_path):
