@@ -11,8 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from basketlens.functions.lineage import checkpoint_root
-from basketlens.llm import (decontam, line_dedup, lm_scoring, oracle, order_minhash, packing, pii, sharding, simhash,
-                            substring_dedup, token_files, toxicity)
+from basketlens.llm import (conversation_repair, decontam, line_dedup, lm_scoring, oracle, order_minhash, packing, pii,
+                            sharding, simhash, substring_dedup, token_files, toxicity)
 from basketlens.llm.common import table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -85,6 +85,12 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
                          toxicity.predicted(F.col("score")).alias("predicted"))
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations")
+    edits = conversation_repair.repair_conversations(conversation_repair.damaged(rows), rows.select("conv_id"))
+    return conversation_repair.digests(edits)
+
+
 def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{checkpoint_root(spark)}/token-files-{uuid.uuid4().hex}"
     token_files.write_tokens(table(spark, sf_dir, "documents"), path, public_tokenizers.path(WORD_TOKENIZER))
@@ -94,6 +100,6 @@ def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_packing, op2_decontamination, op3_pii, op4_line_dedup, op5_substring_dedup,
                             op6_sharding, op7_lm_scoring, op8_order_minhash, op9_simhash, op10_toxicity,
-                            op13_token_files)
+                            op12_conversation_repair, op13_token_files)
 }
 ORACLE_SQL = oracle.SQL
