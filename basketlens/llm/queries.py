@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from basketlens.functions.lineage import checkpoint_root
 from basketlens.llm import (conversation_repair, decontam, line_dedup, lm_scoring, oracle, order_minhash, packing, pii,
-                            sharding, simhash, substring_dedup, token_files, toxicity)
+                            sharding, simhash, spelling, substring_dedup, token_files, toxicity)
 from basketlens.llm.common import table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -85,6 +85,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
                          toxicity.predicted(F.col("score")).alias("predicted"))
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.group_variants(table(spark, sf_dir, "documents"), damage=spelling.DAMAGE)
+
+
 def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations")
     edits = conversation_repair.repair_conversations(conversation_repair.damaged(rows), rows.select("conv_id"))
@@ -100,6 +104,6 @@ def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_packing, op2_decontamination, op3_pii, op4_line_dedup, op5_substring_dedup,
                             op6_sharding, op7_lm_scoring, op8_order_minhash, op9_simhash, op10_toxicity,
-                            op12_conversation_repair, op13_token_files)
+                            op11_spelling, op12_conversation_repair, op13_token_files)
 }
 ORACLE_SQL = oracle.SQL
