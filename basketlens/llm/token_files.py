@@ -33,6 +33,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -43,7 +44,7 @@ END = 1
 STRIPE_BYTES = 16 << 20
 ROW_GROUP = 1000
 BLOOM_FPP = 0.01
-MEMO = 600_000
+MEMO = 500_000
 BATCH_BYTES = 1 << 20
 
 
@@ -122,9 +123,9 @@ def _encode_rows(tokenizer_json: Callable[[], bytes], end_id: int):
         encode, end = worker_encoder(tokenizer_json()).encode, np.uint32(end_id).tobytes()
         part, at = TaskContext.get().partitionId(), 0
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for a, b in slices_by_bytes(map(len, texts), BATCH_BYTES):
-                found = [encode(text) + end for text in texts[a:b]]
+            texts = batch.column(1)
+            for a, b in slices_by_bytes(pc.binary_length(texts).to_pylist(), BATCH_BYTES):
+                found = [encode(text.as_py()) + end for text in texts[a:b]]
                 sizes = np.array([len(ids) // 4 for ids in found], dtype=np.int64)
                 ends = np.cumsum(sizes)
                 values = np.frombuffer(b"".join(found), dtype=np.int32)
