@@ -13,8 +13,9 @@ Matching the reference objective:
   of training rows.  ``standardization=False`` because the inputs are
   already scaled and the penalty applies to the scaled coefficients.
 
-The 80/20 split is a hash split on the customer id (deterministic and
-independent of partitioning); it is stratified only in expectation.
+The 80/20 split is exactly stratified by the label: the customers with the
+smallest digests of each class are the test rows (``functions.stratified``;
+deterministic and independent of partitioning).
 
 Scoring uses the fitted coefficients as a column expression (sigmoid of a
 dot product), so scoring every customer is one narrow, codegen'd pass;
@@ -33,13 +34,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from basketlens.functions.broadcast import one_row
+from basketlens.functions.stratified import Split, stratified_split
 from basketlens.sources.schemas import FEATURES
 
 CHURN_DAYS = 180
 HIGH_RISK = 0.7
 UNSCORED = 0.5
-# md5 hex digests below this bound form the test set: 0x33.../0xff... = 1/5.
-TEST_BOUND = "3" * 32
+TEST_SHARE = (1, 5)
 ID = "customer_unique_id"
 LABEL = "is_churned"
 
@@ -87,8 +88,9 @@ def with_scaled(df: DataFrame, stats: DataFrame, features: list[str] = FEATURES)
     return out.select(*df.columns, *[scaled_feature(f).alias(f"z_{f}") for f in features])
 
 
-def test_flag(id_col: str = ID) -> Column:
-    return F.md5(F.col(id_col).cast("string")) < F.lit(TEST_BOUND)
+def split_of(cases: DataFrame) -> Split:
+    """The train/test split of the complete rows."""
+    return stratified_split(cases, LABEL, ID, TEST_SHARE)
 
 
 def class_weights(train: DataFrame) -> DataFrame:
@@ -149,16 +151,17 @@ def fit_churn(rfm: DataFrame, features: list[str] = FEATURES, max_iter: int = 10
                                 handleInvalid="error").transform(with_scaled(cases, stats, features))
     # The optimiser makes many passes over the training rows; the test rows
     # are scored from the same frame.
-    data = assembled.select("features", *[f"z_{f}" for f in features], LABEL, test_flag().alias("is_test"))
+    data = assembled.select("features", *[f"z_{f}" for f in features], LABEL, split_of(cases).is_test().alias("is_test"))
     data = data.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         train, test = data.where(~F.col("is_test")), data.where("is_test")
-        weights = class_weights(train).collect()  # at most one row per class
-        if len(weights) < 2:
+        counts = {r[LABEL]: r["rows"] for r in  # at most one row per class
+                  train.groupBy(LABEL).agg(F.count(F.lit(1)).alias("rows")).collect()}
+        if len(counts) < 2:
             raise ValueError("churn model: the training rows hold "
-                             f"{'only one class' if weights else 'no complete customer'}")
-        n_train = sum(r["rows"] for r in weights)
-        weight = F.coalesce(*[F.when(F.col(LABEL) == r[LABEL], F.lit(r["weight"])) for r in weights])
+                             f"{'only one class' if counts else 'no complete customer'}")
+        n_train = sum(counts.values())
+        weight = F.coalesce(*[F.when(F.col(LABEL) == k, F.lit(n_train / (2.0 * n))) for k, n in counts.items()])
         lr = LogisticRegression(featuresCol="features", labelCol="label", weightCol="weight",
                                 regParam=1.0 / n_train, elasticNetParam=0.0,
                                 standardization=False, fitIntercept=True, maxIter=max_iter,
@@ -169,10 +172,11 @@ def fit_churn(rfm: DataFrame, features: list[str] = FEATURES, max_iter: int = 10
         intercept = float(model.intercept)
         scored = test.select(F.col(LABEL).cast("double").alias("label"),
                              probability(coef, intercept, features).alias("p"))
-        n_test = test.count()
         auc = area_under_roc(scored)
         lazy = classification_report(predictions(scored))
-        report = spark.createDataFrame(lazy.collect(), lazy.schema)  # five rows
+        rows = lazy.collect()  # five rows
+        n_test = next(r["support"] for r in rows if r["class"] == "accuracy")
+        report = spark.createDataFrame(rows, lazy.schema)
     finally:
         data.unpersist()
 
@@ -188,7 +192,7 @@ def objective_gradient(labelled: DataFrame, coefficients: list[float], intercept
     """``(parameter, gradient)`` of the stated objective on the training rows,
     per row: zero for every parameter exactly at the optimum."""
     cases = complete_cases(labelled, features)
-    z = with_scaled(cases, scaling_stats(cases, features), features).where(~test_flag())
+    z = with_scaled(cases, scaling_stats(cases, features), features).where(~split_of(cases).is_test())
     z = z.join(F.broadcast(class_weights(z).select(LABEL, "weight")), LABEL)  # two rows
     error = F.col("weight") * (probability(coefficients, intercept, features) - F.col(LABEL))
     sums = z.agg(F.count(F.lit(1)).alias("n"), F.avg(error).alias("g_intercept"),
@@ -212,8 +216,8 @@ def centroid_coefficients(labelled: DataFrame, features: list[str] = FEATURES) -
 def test_scores(labelled: DataFrame, stats: DataFrame, coefficients: list[float],
                 intercept: float, features: list[str] = FEATURES) -> DataFrame:
     """(label, p) for the complete rows of the test split."""
-    test = complete_cases(labelled, features).where(test_flag())
-    return with_scaled(test, stats, features).select(
+    cases = complete_cases(labelled, features)
+    return with_scaled(cases.where(split_of(cases).is_test()), stats, features).select(
         F.col(LABEL).cast("double").alias("label"),
         probability(coefficients, intercept, features).alias("p"))
 

@@ -340,13 +340,19 @@ def _q(m):
 
 @query("churn_split")
 def _q(m):
-    return churn.complete_cases(m.rfm).select("customer_unique_id",
-                                              churn.test_flag().alias("is_test"))
+    return churn.complete_cases(m.rfm).select("customer_unique_id", m.split.is_test().alias("is_test"))
 
 
 @query("churn_class_weights")
 def _q(m):
-    return churn.class_weights(churn.complete_cases(m.rfm).where(~churn.test_flag()))
+    return churn.class_weights(churn.complete_cases(m.rfm).where(~m.split.is_test()))
+
+
+@query("churn_split_sizes")
+def _q(m):
+    """Test and training rows per class."""
+    return (churn.complete_cases(m.rfm).groupBy("is_churned", m.split.is_test().alias("is_test"))
+            .agg(F.count(F.lit(1)).alias("rows")))
 
 
 @query("churn_coefficients", rows_only=True)

@@ -60,6 +60,11 @@ class Marts:
         keep = (lambda df: self._keep(df, "rfm_base")) if self.keep != "none" else None
         return self._keep(churn.with_churn_label(build_rfm(self.master, keep=keep)), "rfm")
 
+    @cached_property
+    def split(self):
+        """The stratified train/test split of the complete customers."""
+        return churn.split_of(churn.complete_cases(self.rfm))
+
     @cached_property
     def churn(self) -> churn.ChurnResult:
         return churn.fit_churn(self.rfm)

@@ -243,10 +243,22 @@ c_stats AS (
 c_z AS (
   SELECT r.*, ({_COMPLETE}) AS complete, {", ".join(f"{_z(f)} AS z_{f}" for f in FEATURES)}
   FROM rfm r CROSS JOIN c_stats s),
+c_class AS (SELECT is_churned, count(*) AS n FROM c_cases GROUP BY is_churned),
+c_dealt AS (
+  SELECT is_churned, want, (want * n) // total AS base, (want * n) % total AS rest
+  FROM c_class CROSS JOIN (SELECT (sum(n) + 4) // 5 AS want, sum(n) AS total FROM c_class)),
+c_sizes AS (
+  SELECT is_churned,
+         base + CAST(row_number() OVER (ORDER BY rest DESC, is_churned) <= want - sum(base) OVER () AS INTEGER) AS k
+  FROM c_dealt),
+c_split AS (
+  SELECT customer_unique_id, is_churned,
+         row_number() OVER (PARTITION BY is_churned ORDER BY md5(CAST(customer_unique_id AS VARCHAR))) <= k AS is_test
+  FROM c_cases JOIN c_sizes USING (is_churned)),
 c_test AS (
-  SELECT CAST(is_churned AS DOUBLE) AS label,
+  SELECT CAST(c_z.is_churned AS DOUBLE) AS label,
          1.0 / (1.0 + exp(-({_MARGIN}))) AS p
-  FROM c_z WHERE complete AND md5(CAST(customer_unique_id AS VARCHAR)) < '{"3" * 32}'),
+  FROM c_z JOIN c_split USING (customer_unique_id) WHERE is_test),
 per_class AS (
   SELECT CAST(CAST(k AS INTEGER) AS VARCHAR) AS class,
          CAST(count(*) FILTER (WHERE label = k AND (p > 0.5) = (k = 1)) AS DOUBLE) AS tp,
@@ -560,13 +572,14 @@ SELECT customer_unique_id, {", ".join(f"{_r(f'z_{f}')} AS z_{f}" for f in FEATUR
 FROM c_z WHERE complete"""),
 
     "churn_split": _x(f"""
-SELECT customer_unique_id, md5(CAST(customer_unique_id AS VARCHAR)) < '{"3" * 32}' AS is_test
-FROM c_cases"""),
+SELECT customer_unique_id, is_test FROM c_split"""),
+
+    "churn_split_sizes": _x("SELECT is_churned, is_test, count(*) AS rows FROM c_split GROUP BY ALL"),
 
     "churn_class_weights": _x(f"""
 SELECT is_churned, count(*) AS rows,
        {_r("sum(count(*)) OVER () / (2.0 * count(*))")} AS weight
-FROM c_cases WHERE NOT (md5(CAST(customer_unique_id AS VARCHAR)) < '{"3" * 32}')
+FROM c_split WHERE NOT is_test
 GROUP BY is_churned"""),
 
     "churn_kpis_fixed": _x(f"""

@@ -40,7 +40,7 @@ def test_coefficients_match_newton(spark, fitted):
     cases = churn.complete_cases(m.rfm)
     z = churn.with_scaled(cases, churn.scaling_stats(cases))
     pdf = (z.select(*[f"z_{f}" for f in churn.FEATURES], "is_churned",
-                    churn.test_flag().alias("is_test")).toPandas())
+                    m.split.is_test().alias("is_test")).toPandas())
     tr = pdf[~pdf.is_test]
     X = tr[[f"z_{f}" for f in churn.FEATURES]].to_numpy()
     y = tr.is_churned.to_numpy().astype(float)
@@ -53,7 +53,7 @@ def test_coefficients_match_newton(spark, fitted):
 
 def test_auc_matches_rank_sum(spark, fitted):
     m, res = fitted
-    cases = churn.complete_cases(m.rfm).where(churn.test_flag())
+    cases = churn.complete_cases(m.rfm).where(m.split.is_test())
     z = churn.with_scaled(cases, churn.scaling_stats(churn.complete_cases(m.rfm)))
     pdf = z.select("is_churned", churn.probability(res.coefficient_values, res.intercept)
                    .alias("p")).toPandas()
