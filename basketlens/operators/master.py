@@ -10,7 +10,7 @@ joins follow, the customer join (a different key) last.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from basketlens.functions.semantics import (first_non_null, last_non_null_nulls_last, mode_low,
@@ -69,15 +69,82 @@ def _suffixed(df: DataFrame, taken: set[str], suffix: str) -> DataFrame:
     return df.withColumnsRenamed({c: c + suffix for c in df.columns if c in taken})
 
 
-def build_master(src: dict[str, DataFrame]) -> DataFrame:
+class SourceWatch:
+    """Row counts and key checks that are observed while the master is built,
+    in the job that writes it: no count job, no shuffle of their own.
+
+    * Every source: its rows.  Keys of the orders and the dimensions: missing
+      values.
+    * ``orders``: a second row of one id, numbered along the partitioning by
+      order id that the joins need anyway.
+    * Dimensions: a left join gives as many rows as went into it unless a key
+      that rows refer to is there twice.  (Rows that nothing refers to change
+      nothing, so a repeated key among them is no error.)
+    """
+
+    #: The keys that the master's joins take to be unique and present.
+    KEYS = {"orders": "order_id", "customers": "customer_id", "products": "product_id", "sellers": "seller_id",
+            "category_translation": "product_category_name"}
+    #: What each dimension is joined to, in the master's order.
+    JOINS = {"category_translation": "products", "products": "orders", "sellers": "joined products",
+             "customers": "joined sellers"}
+
+    def __init__(self) -> None:
+        self.seen: dict[str, Observation] = {}
+
+    def _observe(self, df: DataFrame, name: str, *metrics) -> DataFrame:
+        self.seen[name] = Observation(name)
+        return df.observe(self.seen[name], F.count(F.lit(1)).alias("rows"), *metrics)
+
+    def source(self, df: DataFrame, name: str) -> DataFrame:
+        key = self.KEYS.get(name)
+        metrics = [F.count_if(F.col(key).isNull()).alias("missing")] if key else []
+        if name == "orders":
+            df = df.withColumn("_copy", F.row_number().over(Window.partitionBy(key).orderBy(key)))
+            metrics.append(F.max("_copy").alias("copies"))
+        out = self._observe(df, name, *metrics)
+        return out.drop("_copy") if name == "orders" else out
+
+    def joined(self, df: DataFrame, name: str) -> DataFrame:
+        return self._observe(df, f"joined {name}")
+
+    def _get(self, name: str, metric: str) -> int:
+        # A part of the plan that turned out empty may have been left out.
+        return (self.seen[name].get or {}).get(metric) or 0
+
+    def rows(self) -> dict[str, int]:
+        """Rows per source; only after the master has been written."""
+        return {name: self._get(name, "rows") for name in self.seen if not name.startswith("joined ")}
+
+    def check(self) -> None:
+        """Raise ``ValueError`` for a key that is missing or not unique."""
+        for name, key in self.KEYS.items():
+            wrong = self._get(name, "missing") > 0 or (name == "orders" and self._get(name, "copies") > 1)
+            if name in self.JOINS:
+                wrong = wrong or self._get(f"joined {name}", "rows") > self._get(self.JOINS[name], "rows")
+            if wrong:
+                raise ValueError(f"{name}: key {key} is not unique or has missing values")
+
+
+class _NoWatch:
+    def source(self, df: DataFrame, name: str) -> DataFrame:
+        return df
+
+    joined = source
+
+
+def build_master(src: dict[str, DataFrame], watch: SourceWatch | None = None) -> DataFrame:
     """The order master plus delivery metrics.
 
     Column order: all order columns, customer columns, item, payment and
     review facts, ``category``, ``seller_state``, then the four delivery
     columns.  Row count equals the order count (every right side is unique
     on its key).  An extra column of the orders or customers whose name is
-    taken gets the suffix ``_order`` or ``_customer``.
+    taken gets the suffix ``_order`` or ``_customer``.  ``watch`` counts and
+    checks the sources while the master is evaluated.
     """
+    see = watch or _NoWatch()
+    src = {name: see.source(df, name) for name, df in src.items()}
     facts_ = {"item_count", "total_price", "total_freight", "product_id", "seller_id", "payment_value",
               "payment_type", "payment_installments", "review_score", "category", "seller_state"}
     orders = _suffixed(src["orders"], facts_, "_order")
@@ -87,16 +154,17 @@ def build_master(src: dict[str, DataFrame]) -> DataFrame:
     revs = latest_review_by_order(src["order_reviews"])
     # No hints: Spark broadcasts a dimension by its size in bytes and joins by
     # shuffle otherwise (splitting the partition of orders without an item).
-    prods = product_category(src["products"], src["category_translation"]).select("product_id", "category")
+    prods = see.joined(product_category(src["products"], src["category_translation"]), "category_translation").select(
+        "product_id", "category")
     sellers = src["sellers"].select("seller_id", "seller_state")
 
     facts = (orders
              .join(items, "order_id", "left")
              .join(pays, "order_id", "left")
-             .join(revs, "order_id", "left")
-             .join(prods, "product_id", "left")
-             .join(sellers, "seller_id", "left")
-             .join(customers, "customer_id", "left"))
+             .join(revs, "order_id", "left"))
+    facts = see.joined(facts.join(prods, "product_id", "left"), "products")
+    facts = see.joined(facts.join(sellers, "seller_id", "left"), "sellers")
+    facts = see.joined(facts.join(customers, "customer_id", "left"), "customers")
 
     cust_cols = [c for c in customers.columns if c != "customer_id"]
     cols = (orders.columns + cust_cols
@@ -104,12 +172,3 @@ def build_master(src: dict[str, DataFrame]) -> DataFrame:
                "payment_value", "payment_type", "payment_installments", "review_score",
                "category", "seller_state"])
     return add_delivery_metrics(facts.select(*cols))
-
-
-def assert_unique(df: DataFrame, key: str, what: str) -> None:
-    """Fail if ``key`` repeats or is missing in ``df`` (keys must be unique for
-    the left joins to keep one row per order)."""
-    bad = (df.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
-           .where((F.col("n") > 1) | F.col(key).isNull()))
-    if not bad.isEmpty():
-        raise ValueError(f"{what}: key {key} is not unique or has missing values")

@@ -6,7 +6,9 @@ writing the three data products.
         [--file-names orders=my_orders.csv customers=my_customers.csv ...]
 
 Each product is written before the next step reads it back, so every step
-starts from a table (lineage cut, restartable, pruned scans).  CSV sources are
+starts from a table (lineage cut, pruned scans).  The products of the run before
+stay in use until all new ones are whole (``sources.release``); with ``--months``
+only those months of the master are built anew.  CSV sources are
 landed as Parquet first.  The master is partitioned by order month, so month
 filters prune files; with ``--format csv`` all three products are written as
 CSV, and the steps read a Parquet copy of the master in the checkpoint folder.
@@ -16,48 +18,63 @@ from __future__ import annotations
 
 import argparse
 import json
-import os
 import uuid
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from basketlens.functions.semantics import ntz_month_text
 from basketlens.functions.lineage import checkpoint_root, drop_checkpoints, table_checkpoint
 from basketlens.operators.churn import fit_churn
 from basketlens.operators.delivery import DELIVERED, with_order_period
-from basketlens.operators.master import assert_unique, build_master
+from basketlens.operators.master import SourceWatch, build_master
 from basketlens.operators.rfm import build_rfm
-from basketlens.sources.readers import land_csv_sources, load_sources, read_master, source_counts
+from basketlens.sources.readers import land_csv_sources, load_sources, read_master, with_period
+from basketlens.sources.release import Release
 from basketlens.sources.schemas import REQUIRED
 from basketlens.sources.sinks import write_table
 
-#: The keys that the master's joins and counts take to be unique and present.
-KEYS = {"orders": "order_id", "customers": "customer_id", "products": "product_id",
-        "sellers": "seller_id", "category_translation": "product_category_name"}
 
-
-def run_batch(spark: SparkSession, sources: dict[str, DataFrame], out_dir: str,
-              fmt: str = "parquet", validate: bool = True) -> dict:
-    log: dict = {"source_rows": source_counts(sources)}
-    if validate:
-        for name, key in KEYS.items():
-            assert_unique(sources[name], key, name)
-
-    master_path = os.path.join(out_dir, "master")
-    # The master's row count and delivery log are observed while it is
-    # written: no extra pass over the master.
+def run_batch(spark: SparkSession, sources: dict[str, DataFrame], out_dir: str, fmt: str = "parquet",
+              validate: bool = True, months: list[str] | None = None) -> dict:
+    """Write the three products and switch readers to them at the end, all at
+    once.  Raises ``ValueError`` before that when a source's key is missing or
+    repeated.
+
+    ``months``: only these purchase months (``yyyy-MM``) of the master are
+    built and replaced, in the products of an earlier run; the customer table
+    and the model follow from the whole new master.  ``source_rows`` then
+    counts the orders of these months.
+    """
+    release, watch = Release(spark, out_dir), SourceWatch()
+    if months is not None:
+        if fmt != "parquet":
+            raise ValueError("only the Parquet master has partitions to replace")
+        of_months = ntz_month_text("order_purchase_timestamp").isin(list(months))
+        sources = {**sources, "orders": sources["orders"].where(of_months)}
+    # The master's row count and delivery log, the sources' rows and the checks
+    # of their keys are observed while it is written: no pass of their own.
     seen = Observation("master_log")
     dlv = F.col("order_status") == DELIVERED
     metrics = [F.count(F.lit(1)).alias("master_rows"),
                (F.avg(F.when(dlv, (~F.col("is_late")).cast("double"))) * 100.0).alias("on_time_pct"),
                F.avg(F.when(dlv & F.col("is_late"), F.col("delay_days"))).alias("avg_late_delay")]
-    table_path = master_path if fmt == "parquet" else f"{checkpoint_root(spark)}/master-{uuid.uuid4().hex}"
-    write_table(with_order_period(build_master(sources)), table_path, "parquet",
-                partition_by=["order_month"], cluster_by=["order_id"], observe=(seen, metrics))
+    built = with_order_period(build_master(sources, watch))
+    layout = {"partition_by": ["order_month"], "cluster_by": ["order_id"], "observe": (seen, metrics)}
+    if fmt == "parquet":
+        release.write(built, "master", **layout,
+                      replace=None if months is None else [f"order_month={m}" for m in months])
+        master = with_period(release.read("master", spark.read.parquet))
+    else:
+        copy = f"{checkpoint_root(spark)}/master-{uuid.uuid4().hex}"
+        write_table(built, copy, **layout)
+        master = read_master(spark, copy)
+    log: dict = {"source_rows": watch.rows()}
+    if validate:
+        watch.check()
     log.update(seen.get)
-    master = read_master(spark, table_path)
     if fmt != "parquet":
-        write_table(master, master_path, fmt)
+        release.write(master, "master", fmt)
 
     rfm = build_rfm(master, keep=lambda df: table_checkpoint(df, "rfm_base"))
     rfm = table_checkpoint(rfm, "rfm")
@@ -68,10 +85,11 @@ def run_batch(spark: SparkSession, sources: dict[str, DataFrame], out_dir: str,
     seen = Observation("rfm_log")
     counts = [F.count(F.lit(1)).alias("customers"),
               (F.avg(F.col("is_churned").cast("double")) * 100.0).alias("churn_rate")]
-    write_table(result.scores, os.path.join(out_dir, "rfm"), fmt, observe=(seen, counts))
-    write_table(result.coefficients.coalesce(1), os.path.join(out_dir, "churn_coefficients"), fmt)
+    release.write(result.scores, "rfm", fmt, observe=(seen, counts))
+    release.write(result.coefficients.coalesce(1), "churn_coefficients", fmt)
     log.update(seen.get)
     log["auc"] = result.auc
+    release.commit()
     return log
 
 
@@ -88,6 +106,8 @@ def main(argv: list[str] | None = None) -> None:
     ap.add_argument("--file-names", nargs="*", default=[], metavar="SOURCE=FILE",
                     help="CSV files that are not named after their source")
     ap.add_argument("--format", default="parquet", choices=["parquet", "csv"])
+    ap.add_argument("--months", nargs="+", metavar="YYYY-MM",
+                    help="replace only these purchase months of the master of an earlier run")
     ap.add_argument("--master", default=None, help="Spark master, e.g. local[8]")
     ap.add_argument("--input-bytes", type=int, default=None,
                     help="total source size; sizes the shuffle partitions on a cluster")
@@ -105,7 +125,7 @@ def main(argv: list[str] | None = None) -> None:
         sources = load_sources(spark, landed, "parquet")
     else:
         sources = load_sources(spark, a.parquet, "parquet")
-    print(json.dumps(run_batch(spark, sources, a.out, a.format), default=str, indent=1))
+    print(json.dumps(run_batch(spark, sources, a.out, a.format, months=a.months), default=str, indent=1))
     drop_checkpoints(spark)
 
 

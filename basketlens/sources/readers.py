@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from basketlens.functions.broadcast import row_counts
+from basketlens.sources.release import product
 from basketlens.sources.schemas import (CSV_SCHEMAS, MASTER_TYPES, ORDER_TIMESTAMPS, REQUIRED,
                                         RFM_TYPES)
 
@@ -118,15 +119,22 @@ def read_master(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFra
     """Re-read the order master.  The month and year columns are derived only
     where the file has none: a written partition column stays as it is, so
     month filters prune partitions."""
-    from basketlens.operators.delivery import with_order_period
-    df = read_csv_by_header(spark, path, MASTER_TYPES) if fmt == "csv" else spark.read.parquet(path)
+    df = product(spark, path, lambda p: read_csv_by_header(spark, p, MASTER_TYPES) if fmt == "csv"
+                 else spark.read.parquet(p))
     require_columns(df, ["order_id", "customer_unique_id", "order_status",
                          "order_purchase_timestamp"], "master")
-    return df if {"order_month", "order_year"} <= set(df.columns) else with_order_period(df)
+    return with_period(df)
+
+
+def with_period(master: DataFrame) -> DataFrame:
+    """With the month and year columns, as they are where both are there."""
+    from basketlens.operators.delivery import with_order_period
+    return master if {"order_month", "order_year"} <= set(master.columns) else with_order_period(master)
 
 
 def read_rfm(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
-    df = read_csv_by_header(spark, path, RFM_TYPES) if fmt == "csv" else spark.read.parquet(path)
+    df = product(spark, path, lambda p: read_csv_by_header(spark, p, RFM_TYPES) if fmt == "csv"
+                 else spark.read.parquet(p))
     return require_columns(df, ["customer_unique_id", "Segment", "RFM_total"], "rfm")
 
 
@@ -145,10 +153,8 @@ def read_coefficients(spark: SparkSession, path: str, fmt: str = "parquet") -> D
     """Read the coefficient table, tolerating an index column and untidy
     headers: drop ``Unnamed*`` columns, strip names, and name a two-column
     file ``Feature, Coefficient``."""
-    if fmt == "csv":
-        df = spark.read.option("header", True).option("inferSchema", True).csv(path)
-    else:
-        df = spark.read.parquet(path)
+    df = product(spark, path, lambda p: spark.read.option("header", True).option("inferSchema", True).csv(p)
+                 if fmt == "csv" else spark.read.parquet(p))
     keep = [c for c in df.columns if not c.startswith("Unnamed") and not c.startswith("_c")]
     df = df.select(*keep).toDF(*[c.strip() for c in keep])
     if "Coefficient" not in df.columns and len(df.columns) == 2:
