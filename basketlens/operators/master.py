@@ -82,9 +82,9 @@ class SourceWatch:
       nothing, so a repeated key among them is no error.)
     """
 
-    #: The keys that the master's joins take to be unique and present.
-    KEYS = {"orders": "order_id", "customers": "customer_id", "products": "product_id", "sellers": "seller_id",
-            "category_translation": "product_category_name"}
+    #: The keys that the master's joins take to be unique and present, in the order of the joins.
+    KEYS = {"orders": "order_id", "category_translation": "product_category_name", "products": "product_id",
+            "sellers": "seller_id", "customers": "customer_id"}
     #: What each dimension is joined to, in the master's order.
     JOINS = {"category_translation": "products", "products": "orders", "sellers": "joined products",
              "customers": "joined sellers"}
