@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from basketlens.functions.semantics import ntz_month_text
 from basketlens.functions.lineage import checkpoint_root, drop_checkpoints, table_checkpoint
 from basketlens.operators.churn import fit_churn
+from basketlens.operators.cube import customer_bitmaps, order_cube
 from basketlens.operators.delivery import DELIVERED, with_order_period
 from basketlens.operators.master import SourceWatch, build_master
 from basketlens.operators.rfm import build_rfm
@@ -37,7 +38,7 @@ from basketlens.sources.sinks import write_table
 
 def run_batch(spark: SparkSession, sources: dict[str, DataFrame], out_dir: str, fmt: str = "parquet",
               validate: bool = True, months: list[str] | None = None) -> dict:
-    """Write the three products and switch readers to them at the end, all at
+    """Write the three products, the cube and the customer bitmaps, and switch readers to them at the end, all at
     once.  Raises ``ValueError`` before that when a source's key is missing or
     repeated.
 
@@ -89,6 +90,9 @@ def run_batch(spark: SparkSession, sources: dict[str, DataFrame], out_dir: str,
     release.write(result.coefficients.coalesce(1), "churn_coefficients", fmt)
     log.update(seen.get)
     log["auc"] = result.auc
+    # What the order-grain dashboard datasets need of the master.
+    release.write(order_cube(master), "cube")
+    release.write(customer_bitmaps(master), "customer_bitmaps")
     release.commit()
     return log
 

@@ -23,6 +23,7 @@ from basketlens.operators.master import (build_master, items_by_order, latest_re
                                          payments_by_order, product_category)
 from basketlens.operators.rfm import rfm_base, rfm_cutpoints, snapshot_date
 from basketlens.plans import churn_views, delivery_views, geo, insights, overview, segments
+from basketlens.plans.dashboard import Dashboard
 from basketlens.plans.marts import FIXED_COEFFICIENTS, FIXED_INTERCEPT, Marts, marts_for
 from basketlens.sources.readers import load_sources, parse_timestamp
 from basketlens.sources.schemas import ORDER_TIMESTAMPS
@@ -202,7 +203,7 @@ def _q(m):
 
 @query("segment_distribution")
 def _q(m):
-    return positioned(segments.segment_distribution(m.rfm))
+    return positioned(segments.segment_distribution(m.segment_facts))
 
 
 # --- filters and overview --------------------------------------------------
@@ -247,12 +248,12 @@ def _q(m):
 
 @query("segment_treemap")
 def _q(m):
-    return segments.segment_treemap(m.rfm)
+    return segments.segment_treemap(m.segment_facts)
 
 
 @query("segment_revenue_median")
 def _q(m):
-    return segments.segment_revenue_median(m.rfm)
+    return segments.segment_revenue_median(m.segment_facts)
 
 
 @query("customer_map_sample")
@@ -262,12 +263,12 @@ def _q(m):
 
 @query("segment_profile")
 def _q(m):
-    return segments.segment_profile(m.rfm)
+    return segments.segment_profile(m.segment_facts)
 
 
 @query("segment_profile_fmt")
 def _q(m):
-    return segments.segment_profile_fmt(segments.segment_profile(m.rfm))
+    return segments.segment_profile_fmt(segments.segment_profile(m.segment_facts))
 
 
 @query("customer_map_sample_300")
@@ -413,13 +414,16 @@ def _churn_views(suffix: str, scored: Callable[[Marts], DataFrame], rows_only: b
     def _a(m):
         return churn_views.churn_kpis(scored(m))
 
+    def facts(m):
+        return scored(m) if rows_only else m.segment_facts
+
     @query(f"segment_churn{suffix}", rows_only)
     def _b(m):
-        return churn_views.segment_churn(scored(m))
+        return churn_views.segment_churn(facts(m))
 
     @query(f"segment_churn_by_prob{suffix}", rows_only)
     def _c(m):
-        return positioned(churn_views.segment_churn_by_probability(churn_views.segment_churn(scored(m))))
+        return positioned(churn_views.segment_churn_by_probability(churn_views.segment_churn(facts(m))))
 
     @query(f"churn_box{suffix}", rows_only)
     def _d(m):
@@ -516,3 +520,62 @@ def _q(m):
 @query("churn_by_segment_and_late")
 def _q(m):
     return insights.churn_by_segment_and_late(m.rfm)
+
+
+# --- from the cube ------------------------------------------------------------
+
+def _cube_dashboard(m: Marts, f: Filters) -> Dashboard:
+    return Dashboard(m.master, m.rfm_fixed, filters=f, min_state_orders=WORST_STATES_MIN_ORDERS,
+                     cube=(m.cube, m.bitmaps))
+
+
+for _name in ("sidebar_totals", "overview_kpis", "monthly_trend", "payment_mix", "top_states_revenue", "delivery_kpis",
+              "monthly_on_time", "worst_states", "worst_categories", "state_summary", "peak_month",
+              "top_state_revenue_share"):
+    def _from_cube(m, name=_name):
+        """The dataset from the cube and the customer bitmaps."""
+        return _cube_dashboard(m, Filters()).dataset(name)
+    query(f"{_name}_cube")(_from_cube)
+
+
+@query("overview_kpis_filtered")
+def _q(m):
+    """State, statuses and months chosen; from the order master."""
+    return overview.overview_kpis(_mdf(m, FILTER_CHECK))
+
+
+@query("overview_kpis_filtered_cube")
+def _q(m):
+    """The same from the cube: distinct customers are an OR of bitmaps."""
+    return _cube_dashboard(m, FILTER_CHECK).dataset("overview_kpis")
+
+
+# --- selections without rows --------------------------------------------------
+
+NO_ORDERS = Filters(state="NOWHERE")
+NO_DELAY = Filters(statuses=("shipped",))
+
+
+@query("overview_kpis_no_orders")
+def _q(m):
+    """No order passes the filters: no row instead of a row of nulls."""
+    return Dashboard(m.master, m.rfm_fixed, filters=NO_ORDERS).dataset("overview_kpis")
+
+
+@query("segment_profile_no_orders")
+def _q(m):
+    """Customer-grain datasets are empty then as well."""
+    return Dashboard(m.master, m.rfm_fixed, filters=NO_ORDERS).dataset("segment_profile")
+
+
+@query("delivery_kpis_no_delay")
+def _q(m):
+    """There are orders, but none with a delivery delay."""
+    return Dashboard(m.master, m.rfm_fixed, filters=NO_DELAY).dataset("delivery_kpis")
+
+
+@query("overview_kpis_no_delay")
+def _q(m):
+    """The overview of orders that are not delivered has its row."""
+    return Dashboard(m.master, m.rfm_fixed, filters=NO_DELAY).dataset("overview_kpis").select(
+        "total_customers", "total_orders", "total_revenue")

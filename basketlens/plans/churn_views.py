@@ -9,7 +9,9 @@ from basketlens.functions.quantiles import exact_quantiles
 from basketlens.functions.semantics import fmt_money, fmt_percent, fmt_percent_of_one
 from basketlens.operators.churn import HIGH_RISK
 from basketlens.operators.rfm import SEGMENT_ORDER, segment_rank
+from basketlens.plans.segments import segment_facts
 
+# The target share and the rows shown.
 CHURN_TARGET = 50.0
 HIGH_RISK_ROWS = 50
 
@@ -24,12 +26,10 @@ def churn_kpis(scored: DataFrame) -> DataFrame:
 
 def segment_churn(scored: DataFrame) -> DataFrame:
     """Churn share, mean late share, mean churn probability and customers per
-    segment, highest churn first."""
-    return (scored.groupBy("Segment")
-            .agg((F.avg(F.col("is_churned").cast("double")) * 100.0).alias("churn_rate"),
-                 F.avg("late_pct").alias("late_pct"),
-                 F.avg("churn_probability").alias("avg_churn_prob"),
-                 F.count("customer_unique_id").alias("customers"))
+    segment, highest churn first; from the scored customers or their
+    ``segment_facts``."""
+    facts = scored if "customer_unique_id" not in scored.columns else segment_facts(scored)
+    return (facts.select("Segment", "churn_rate", "late_pct", "avg_churn_prob", "customers")
             .orderBy(F.desc("churn_rate"), "Segment"))
 
 

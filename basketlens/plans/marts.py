@@ -18,9 +18,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from basketlens.functions.lineage import table_checkpoint
 from basketlens.operators import churn
+from basketlens.operators.cube import customer_bitmaps, order_cube
 from basketlens.operators.delivery import with_order_period
 from basketlens.operators.master import build_master
 from basketlens.operators.rfm import build_rfm
+from basketlens.plans.segments import segment_facts
 from basketlens.sources.adapter import logical_sources, read_tables
 
 # A literal churn model (coefficients in FEATURES order and an
@@ -60,6 +62,21 @@ class Marts:
         keep = (lambda df: self._keep(df, "rfm_base")) if self.keep != "none" else None
         return self._keep(churn.with_churn_label(build_rfm(self.master, keep=keep)), "rfm")
 
+    @cached_property
+    def cube(self) -> DataFrame:
+        """Order measures per month, state, status, payment type and category."""
+        return self._keep(order_cube(self.master), "cube")
+
+    @cached_property
+    def bitmaps(self) -> DataFrame:
+        """Customers per month, state and status, as bitmaps."""
+        return self._keep(customer_bitmaps(self.master), "bitmaps")
+
+    @cached_property
+    def segment_facts(self) -> DataFrame:
+        """Segment measures of the customers scored with the literal model."""
+        return self._keep(segment_facts(self.rfm_fixed).coalesce(1), "segment_facts")
+
     @cached_property
     def split(self):
         """The stratified train/test split of the complete customers."""

@@ -728,3 +728,30 @@ FROM (
   FROM c_test)
 GROUP BY n, npos"""),
 }
+
+# The cube gives the same rows as the order master.
+for _name in ("sidebar_totals", "overview_kpis", "monthly_trend", "payment_mix", "top_states_revenue", "delivery_kpis",
+              "monthly_on_time", "worst_states", "worst_categories", "state_summary", "peak_month",
+              "top_state_revenue_share"):
+    SQL[f"{_name}_cube"] = SQL[_name]
+
+_DEFAULT = "order_status IN ('delivered') AND order_month IS NOT NULL"
+
+
+def _chosen(name: str, where: str) -> str:
+    """A dataset under another choice of orders."""
+    return SQL[name].replace(f"SELECT * FROM master WHERE {_DEFAULT}", f"SELECT * FROM master WHERE {where}")
+
+
+SQL["overview_kpis_filtered"] = SQL["overview_kpis_filtered_cube"] = _chosen(
+    "overview_kpis", "customer_state = 'NATION_7' AND order_status IN ('delivered', 'shipped') "
+                     "AND order_month BETWEEN '1996-01' AND '1998-12'")
+# A dataset has no row when its selection has none.
+SQL["overview_kpis_no_orders"] = (
+    _chosen("overview_kpis", f"customer_state = 'NOWHERE' AND {_DEFAULT}") + "\nHAVING count(*) > 0")
+SQL["segment_profile_no_orders"] = (
+    f"SELECT * FROM ({SQL['segment_profile']}) WHERE (SELECT count(*) FROM orders WHERE o_orderstatus = 'NOWHERE') > 0")
+SQL["delivery_kpis_no_delay"] = (
+    _chosen("delivery_kpis", "order_status IN ('shipped') AND order_month IS NOT NULL") + "\nHAVING count(*) > 0")
+SQL["overview_kpis_no_delay"] = "SELECT total_customers, total_orders, total_revenue FROM (" + _chosen(
+    "overview_kpis", "order_status IN ('shipped') AND order_month IS NOT NULL") + ")"

@@ -11,16 +11,33 @@ from basketlens.plans.overview import share_of_total
 SAMPLE_SIZE = 3000
 
 
+def segment_facts(rfm: DataFrame) -> DataFrame:
+    """Everything the segment datasets show, per segment, in one pass over the
+    customers: at most nine rows that :func:`segment_treemap`,
+    :func:`segment_profile`, :func:`segment_distribution` and the churn
+    datasets select from.  ``avg_churn_prob`` is there when the customers are
+    scored."""
+    scored = [F.avg("churn_probability").alias("avg_churn_prob")] if "churn_probability" in rfm.columns else []
+    return (rfm.groupBy("Segment")
+            .agg(F.count("customer_unique_id").alias("customers"), F.count(F.lit(1)).alias("rows"),
+                 money_mean("monetary").alias("avg_revenue"), F.avg("recency_days").alias("avg_recency"),
+                 F.avg("frequency").alias("avg_frequency"), F.avg("avg_review_score").alias("avg_review"),
+                 F.avg("late_pct").alias("late_pct"),
+                 (F.avg(F.col("is_churned").cast("double")) * 100.0).alias("churn_rate"), *scored))
+
+
+def _facts(rfm: DataFrame) -> DataFrame:
+    """Segment facts, from the customers unless it is them already."""
+    return rfm if "customer_unique_id" not in rfm.columns else segment_facts(rfm)
+
+
 def segment_treemap(rfm: DataFrame) -> DataFrame:
     """Customers, mean revenue / recency / frequency / review and churn share
-    per segment."""
-    return (rfm.groupBy("Segment")
-            .agg(F.count("customer_unique_id").alias("Customers"),
-                 money_mean("monetary").alias("Avg_Revenue"),
-                 F.avg("recency_days").alias("Avg_Recency"),
-                 F.avg("frequency").alias("Avg_Freq"),
-                 F.avg("avg_review_score").alias("Avg_Review"),
-                 (F.avg(F.col("is_churned").cast("double")) * 100.0).alias("Churn_pct")))
+    per segment; from the customers or their :func:`segment_facts`."""
+    return _facts(rfm).select(
+        "Segment", F.col("customers").alias("Customers"), F.col("avg_revenue").alias("Avg_Revenue"),
+        F.col("avg_recency").alias("Avg_Recency"), F.col("avg_frequency").alias("Avg_Freq"),
+        F.col("avg_review").alias("Avg_Review"), F.col("churn_rate").alias("Churn_pct"))
 
 
 def segment_revenue_median(rfm: DataFrame) -> DataFrame:
@@ -50,14 +67,11 @@ def customer_map_sample(rfm: DataFrame, n: int = SAMPLE_SIZE, buckets: int = 64)
 def segment_profile(rfm: DataFrame) -> DataFrame:
     """Per segment: customers, mean recency, frequency, revenue, review and
     late-delivery share; richest segment first."""
-    return (rfm.groupBy("Segment")
-            .agg(F.count("customer_unique_id").alias("Customers"),
-                 F.avg("recency_days").alias("Avg_Recency"),
-                 F.avg("frequency").alias("Avg_Frequency"),
-                 money_mean("monetary").alias("Avg_Revenue"),
-                 F.avg("avg_review_score").alias("Avg_Review"),
-                 F.avg("late_pct").alias("Late_Pct"))
-            .orderBy(F.desc("Avg_Revenue"), "Segment"))
+    return _facts(rfm).select(
+        "Segment", F.col("customers").alias("Customers"), F.col("avg_recency").alias("Avg_Recency"),
+        F.col("avg_frequency").alias("Avg_Frequency"), F.col("avg_revenue").alias("Avg_Revenue"),
+        F.col("avg_review").alias("Avg_Review"), F.col("late_pct").alias("Late_Pct"),
+    ).orderBy(F.desc("Avg_Revenue"), "Segment")
 
 
 def segment_profile_fmt(profile: DataFrame) -> DataFrame:
@@ -90,6 +104,6 @@ def rfm_total_median(rfm: DataFrame) -> DataFrame:
 
 def segment_distribution(rfm: DataFrame) -> DataFrame:
     """Customers per segment and share, largest first."""
-    counts = rfm.groupBy("Segment").agg(F.count(F.lit(1)).alias("Count"))
+    counts = _facts(rfm).select("Segment", F.col("rows").alias("Count"))
     return share_of_total(counts, "Count").orderBy(F.desc("Count"), "Segment")
 
