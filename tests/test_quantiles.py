@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from basketlens.functions import quantiles
 from basketlens.functions.quantiles import exact_quantiles
 
 PROBS = [0.0, 0.1, 0.2, 0.25, 0.5, 0.75, 0.8, 1.0]
@@ -41,6 +42,28 @@ def test_grouped_matches_numpy(skewed, accuracy, max_groups):
         assert np.allclose([float(r[n]) for n in NAMES], want, rtol=0, atol=1e-9)
 
 
+@pytest.mark.parametrize("accuracy,bound", [(20, 50), (100, 200), (10_000, 1000)])
+def test_last_window_is_bounded(skewed, monkeypatch, accuracy, bound):
+    """However coarse the sketch, brackets are narrowed until they hold at
+    most ``bound`` rows between their ends; results stay exact."""
+    df, pdf = skewed
+    seen, running = [], quantiles._running
+
+    def watched(counted, by):
+        seen.extend(r["n"] for r in counted.groupBy(*by, "_j").agg(F.count("_x").alias("n")).collect())
+        return running(counted, by)
+
+    monkeypatch.setattr(quantiles, "_running", watched)
+    wide = df.withColumn("v", F.col("v") + F.when(F.col("v") != 42, F.rand(3) / 1000).otherwise(0)).persist()
+    values = wide.select("g", "v").toPandas()
+    got = exact_quantiles(wide, "v", PROBS, NAMES, accuracy=accuracy, bound=bound).first()
+    assert np.allclose([float(got[n]) for n in NAMES], np.quantile(values.v, PROBS), rtol=0, atol=1e-9)
+    for r in exact_quantiles(wide, "v", PROBS, NAMES, by=["g"], accuracy=accuracy, bound=bound, max_groups=4).collect():
+        assert np.allclose([float(r[n]) for n in NAMES], np.quantile(values.v[values.g == r.g], PROBS), rtol=0, atol=1e-9)
+    assert len(seen) == 6 + 4 * 6 and max(seen) <= bound + 2
+    wide.unpersist()
+
+
 def test_more_groups_than_promised_fail(skewed):
     df, _ = skewed
     with pytest.raises(Exception, match="more groups"):
