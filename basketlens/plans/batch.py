@@ -125,7 +125,12 @@ def main(argv: list[str] | None = None) -> None:
         if unknown := set(names) - set(REQUIRED):
             ap.error(f"unknown source(s) {sorted(unknown)}; known: {sorted(REQUIRED)}")
         landed = f"{checkpoint_root(spark)}/landed-{uuid.uuid4().hex}"
-        land_csv_sources(spark, a.csv, landed, names)
+        coerced = {n: x["coerced"] for n, x in land_csv_sources(spark, a.csv, landed, names).items() if x["coerced"]}
+        if coerced:
+            # The rows as they stood in the files outlive the landed copies.
+            for n in coerced:
+                write_table(spark.read.parquet(f"{landed}/_rejected/{n}"), f"{a.out}/rejected/{n}")
+            print(json.dumps({"coerced_cells": coerced}, indent=1))
         sources = load_sources(spark, landed, "parquet")
     else:
         sources = load_sources(spark, a.parquet, "parquet")

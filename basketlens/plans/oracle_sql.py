@@ -380,7 +380,9 @@ FROM (SELECT DISTINCT order_id FROM s_reviews) o LEFT JOIN f_review r ON o.order
 
     "csv_roundtrip_master": _m(f"""
 SELECT order_id, order_status, delay_days, is_late, item_count, {_r("total_price")} AS total_price,
-       {_r("payment_value")} AS payment_value, payment_type, review_score, customer_state,
+       CASE WHEN order_id % 20 < 2 AND payment_value IS NOT NULL THEN 0 ELSE {_r("payment_value")} END AS payment_value,
+       CASE WHEN order_id % 20 < 3 AND payment_type IS NOT NULL THEN 'unknown' ELSE payment_type END AS payment_type,
+       review_score, CASE WHEN customer_id % 20 >= 4 THEN customer_state END AS customer_state,
        CASE WHEN customer_unique_id IS NOT NULL THEN CAST(38 AS INTEGER) END AS note_length
 FROM master"""),
 

@@ -6,13 +6,13 @@ import os
 from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from basketlens.functions.broadcast import row_counts
 from basketlens.sources.release import product
-from basketlens.sources.schemas import (CSV_SCHEMAS, MASTER_TYPES, ORDER_TIMESTAMPS, REQUIRED,
+from basketlens.sources.schemas import (CSV_SCHEMAS, MASTER_TYPES, MISSING_TEXTS, ORDER_TIMESTAMPS, REQUIRED,
                                         RFM_TYPES)
 
 
@@ -56,19 +56,45 @@ def _path(base: str, name: str, ext: str) -> str:
     return p
 
 
+def read_csv_text(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
+    """A CSV file by its header, all columns as text; cells that say a value is
+    missing (``MISSING_TEXTS``) are NULL."""
+    df = (spark.read.option("header", True).option("quote", '"').option("escape", '"')
+          .option("multiLine", multi_line).csv(path))
+    return df.select(*[F.when(~_column(c).isin(MISSING_TEXTS), _column(c)).alias(c) for c in df.columns])
+
+
+def _column(name: str) -> Column:
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def _typed(name: str, kind: T.DataType) -> Column:
+    """A text column in its type; text that does not fit becomes NULL."""
+    if isinstance(kind, T.StringType):
+        return _column(name)
+    if isinstance(kind, T.TimestampNTZType):
+        return parse_timestamp(_column(name)).alias(name)
+    return _column(name).try_cast(kind).alias(name)
+
+
 def read_csv_by_header(spark: SparkSession, path: str, types: dict[str, T.DataType],
                        multi_line: bool = False) -> DataFrame:
     """A CSV file by its header: listed columns get their type (text that does
-    not fit becomes NULL), all others stay text."""
-    df = (spark.read.option("header", True).option("quote", '"').option("escape", '"')
-          .option("multiLine", multi_line).csv(path))
+    not fit becomes NULL), all others stay text, missing-value texts are NULL."""
+    df = read_csv_text(spark, path, multi_line)
+    return df.select(*[c if isinstance(types.get(n, T.StringType()), T.StringType)
+                       else c.try_cast(types[n]).alias(n) for n, c in ((n, _column(n)) for n in df.columns)])
 
-    def typed(name: str) -> Column:
-        c = F.col("`" + name.replace("`", "``") + "`")
-        kind = types.get(name, T.StringType())
-        return c if isinstance(kind, T.StringType) else c.try_cast(kind).alias(name)
 
-    return df.select(*[typed(c) for c in df.columns])
+def source_types(name: str) -> dict[str, T.DataType]:
+    """Column types of a logical source; the orders' timestamps are parsed."""
+    types = {f.name: f.dataType for f in CSV_SCHEMAS[name].fields}
+    return types | ({c: T.TimestampNTZType() for c in ORDER_TIMESTAMPS} if name == "orders" else {})
+
+
+def _csv_text(spark: SparkSession, base: str, name: str, file_name: str | None) -> DataFrame:
+    df = read_csv_text(spark, _path(base, file_name or name, "csv"), name == "order_reviews")
+    return require_columns(df, REQUIRED[name], name)
 
 
 def read_csv_source(spark: SparkSession, base: str, name: str,
@@ -80,11 +106,16 @@ def read_csv_source(spark: SparkSession, base: str, name: str,
     files are not splittable, so land them to Parquet once with
     :func:`land_csv_sources` and read the Parquet copy afterwards.
     """
-    types = {f.name: f.dataType for f in CSV_SCHEMAS[name].fields}
-    df = read_csv_by_header(spark, _path(base, file_name or name, "csv"), types, name == "order_reviews")
-    if name == "orders":
-        df = df.withColumns({c: parse_timestamp(c) for c in ORDER_TIMESTAMPS if c in df.columns})
-    return require_columns(df, REQUIRED[name], name)
+    df = _csv_text(spark, base, name, file_name)
+    types = source_types(name)
+    return df.select(*[_typed(c, types.get(c, T.StringType())) for c in df.columns])
+
+
+def bad_cells(df: DataFrame, types: dict[str, T.DataType]) -> Column:
+    """Of a row of text: the columns whose text does not fit their type."""
+    checked = [c for c in df.columns if not isinstance(types.get(c, T.StringType()), T.StringType)]
+    return F.filter(F.array(*[F.when(_column(c).isNotNull() & _typed(c, types[c]).isNull(), F.lit(c)) for c in checked],
+                            F.lit(None).cast("string")), lambda c: c.isNotNull())
 
 
 def read_parquet_source(spark: SparkSession, base: str, name: str) -> DataFrame:
@@ -103,11 +134,32 @@ def load_sources(spark: SparkSession, base: str, fmt: str = "parquet",
 
 
 def land_csv_sources(spark: SparkSession, csv_dir: str, parquet_dir: str,
-                     file_names: dict[str, str] | None = None) -> None:
+                     file_names: dict[str, str] | None = None) -> dict[str, dict]:
     """Convert the CSV sources to Parquet once (splittable, columnar,
-    predicate pushdown) so that later runs read the Parquet copy."""
-    for name, df in load_sources(spark, csv_dir, "csv", file_names).items():
-        df.write.mode("overwrite").parquet(os.path.join(parquet_dir, f"{name}.parquet"))
+    predicate pushdown) so that later runs read the Parquet copy.
+
+    Gives, per source, ``rows`` and ``coerced``: how many cells of each column
+    did not fit their type and became NULL, observed while the source is
+    written.  Sources that have any get a table ``_rejected/NAME`` with the
+    rows as they stood in the file and ``bad_columns``.
+    """
+    log, file_names = {}, file_names or {}
+    for name in REQUIRED:
+        text, types = _csv_text(spark, csv_dir, name, file_names.get(name)), source_types(name)
+        bad = bad_cells(text, types)
+        checked = [c for c in text.columns if not isinstance(types.get(c, T.StringType()), T.StringType)]
+        seen = Observation(f"landed {name}")
+        marked = text.select(*[_typed(c, types.get(c, T.StringType())) for c in text.columns], bad.alias("_bad"))
+        counts = [F.count_if(F.array_contains("_bad", c)).alias(f"bad{i}") for i, c in enumerate(checked)]
+        (marked.observe(seen, F.count(F.lit(1)).alias("rows"), *counts).drop("_bad")
+         .write.mode("overwrite").parquet(os.path.join(parquet_dir, f"{name}.parquet")))
+        got = seen.get or {}
+        log[name] = {"rows": got.get("rows") or 0,
+                     "coerced": {c: got[f"bad{i}"] for i, c in enumerate(checked) if got.get(f"bad{i}")}}
+        if log[name]["coerced"]:
+            (text.withColumn("bad_columns", bad).where(F.size("bad_columns") > 0)
+             .write.mode("overwrite").parquet(os.path.join(parquet_dir, "_rejected", name)))
+    return log
 
 
 def source_counts(sources: dict[str, DataFrame]) -> dict[str, int]:

@@ -63,6 +63,10 @@ CSV_SCHEMAS: dict[str, T.StructType] = {
     ]),
 }
 
+# CSV cells that mean a missing value, in any column.
+MISSING_TEXTS = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>",
+                 "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null"]
+
 # Types of the products' columns; ids and names are text in CSV.
 _MONEY = T.DecimalType(38, 6)
 MASTER_TYPES: dict[str, T.DataType] = {
