@@ -30,6 +30,7 @@ from basketlens.operators.cube import customer_bitmaps, order_cube
 from basketlens.operators.delivery import DELIVERED, with_order_period
 from basketlens.operators.master import SourceWatch, build_master
 from basketlens.operators.rfm import build_rfm
+from basketlens.sources.bucketed import land_bucketed, load_bucketed
 from basketlens.sources.readers import land_csv_sources, load_sources, read_master, with_period
 from basketlens.sources.release import Release
 from basketlens.sources.schemas import REQUIRED
@@ -106,6 +107,10 @@ def main(argv: list[str] | None = None) -> None:
     src.add_argument("--tables", help="folder of the star-schema test tables")
     src.add_argument("--csv", help="folder with the eight source CSV files")
     src.add_argument("--parquet", help="folder with the eight sources as Parquet")
+    src.add_argument("--bucketed", help="folder that an earlier run has landed with --land")
+    ap.add_argument("--land", metavar="DIR", help="first land the sources in DIR in buckets of the order id, for this "
+                                                  "run and later ones (--bucketed DIR)")
+    ap.add_argument("--buckets", type=int, default=200, help="buckets to land (the size of a bucket is a task's)")
     ap.add_argument("--out", required=True)
     ap.add_argument("--file-names", nargs="*", default=[], metavar="SOURCE=FILE",
                     help="CSV files that are not named after their source")
@@ -132,8 +137,13 @@ def main(argv: list[str] | None = None) -> None:
                 write_table(spark.read.parquet(f"{landed}/_rejected/{n}"), f"{a.out}/rejected/{n}")
             print(json.dumps({"coerced_cells": coerced}, indent=1))
         sources = load_sources(spark, landed, "parquet")
+    elif a.bucketed:
+        sources = load_bucketed(spark, a.bucketed)
     else:
         sources = load_sources(spark, a.parquet, "parquet")
+    if a.land:
+        land_bucketed(spark, sources, a.land, a.buckets)
+        sources = load_bucketed(spark, a.land)
     print(json.dumps(run_batch(spark, sources, a.out, a.format, months=a.months), default=str, indent=1))
     drop_checkpoints(spark)
 

@@ -35,20 +35,47 @@ def _fs(spark: SparkSession, path):
     return path.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
-def manifest(spark: SparkSession, out_dir: str) -> dict | None:
-    """What ``_CURRENT`` says: per product its format, schema and folders.  None
-    where no run has been finished."""
-    pointer = _path(spark, out_dir, POINTER)
-    fs = _fs(spark, pointer)
-    if not fs.exists(pointer):
+def read_text(spark: SparkSession, path: str) -> str | None:
+    """A small file's text; None where there is none."""
+    at = _path(spark, path)
+    fs = _fs(spark, at)
+    if not fs.exists(at):
         return None
-    stream = fs.open(pointer)
+    stream = fs.open(at)
     try:
-        return json.loads(spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
     finally:
         stream.close()
 
 
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """Write a small file and put it in place in one rename."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    fresh, at = _path(spark, f"{path}.{time.time_ns()}"), _path(spark, path)
+    fs = _fs(spark, fresh)
+    stream = fs.create(fresh, True)
+    stream.write(bytearray(text.encode()))
+    stream.close()
+    rename = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
+    how = spark.sparkContext._gateway.new_array(rename, 1)
+    how[0] = rename.OVERWRITE
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), conf)
+    context.rename(fs.makeQualified(fresh), fs.makeQualified(at), how)
+
+
+def sizes_of(spark: SparkSession, path: str) -> list[int]:
+    """Sizes of the data files in a folder."""
+    at = _path(spark, path)
+    return [s.getLen() for s in _fs(spark, at).listStatus(at) if not s.getPath().getName().startswith(("_", "."))]
+
+
+def manifest(spark: SparkSession, out_dir: str) -> dict | None:
+    """What ``_CURRENT`` says: per product its format, schema and folders.  None
+    where no run has been finished."""
+    text = read_text(spark, f"{out_dir.rstrip('/')}/{POINTER}")
+    return None if text is None else json.loads(text)
+
+
 def product(spark: SparkSession, path: str, read) -> DataFrame:
     """The product ``path`` = folder/NAME as ``_CURRENT`` in the folder names
     it.  ``read`` takes the folders of a product without partitions.  A folder
@@ -110,19 +137,8 @@ class Release:
     def commit(self) -> None:
         """Switch readers to this run's products in one rename, then remove
         versions that neither this run nor the one before uses."""
-        jvm = self.spark._jvm
-        fresh = _path(self.spark, self.out_dir, f"{POINTER}.{self.version}")
-        pointer = _path(self.spark, self.out_dir, POINTER)
-        fs = _fs(self.spark, fresh)
-        stream = fs.create(fresh, True)
-        stream.write(bytearray(json.dumps(self.now, indent=1).encode()))
-        stream.close()
-        overwrite = getattr(jvm.org.apache.hadoop.fs, "Options$Rename").OVERWRITE
-        how = self.spark.sparkContext._gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 1)
-        how[0] = overwrite
-        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), self.spark._jsc.hadoopConfiguration())
-        context.rename(fs.makeQualified(fresh), fs.makeQualified(pointer), how)
-        self._remove_unused(fs)
+        write_text(self.spark, f"{self.out_dir}/{POINTER}", json.dumps(self.now, indent=1))
+        self._remove_unused(_fs(self.spark, _path(self.spark, self.out_dir)))
 
     def _remove_unused(self, fs) -> None:
         for name in self.now:
