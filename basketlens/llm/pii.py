@@ -33,7 +33,6 @@ from pyspark.sql import functions as F
 from basketlens.functions.lineage import table_checkpoint
 from basketlens.llm.common import bound, quoted, text_or_empty
 
-KEY = "surrogate-key"
 MAX_DRAWS = 64
 _WIDE = 8  # from this draw on an IP address or a name may be longer than the original
 
@@ -42,6 +41,10 @@ _MALE = "Mr|MR|Herr|Monsieur|Señor|Sr|Господин"
 _FEMALE = "Mrs|MRS|Ms|MS|Miss|Frau|Madame|Mme|Señora|Sra|Госпожа"
 _EITHER = "Dr|DR|Prof"
 _NAME = r"\p{Lu}[\p{L}'’-]+"
+_TITLE = rf"(?:{_MALE}|{_FEMALE}|{_EITHER})"
+# Country calling codes of one and two digits; all others have three.
+_COUNTRY = "1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3}"
+_CARD = r"[3-6][0-9]{3}(?:[ -]?[0-9]{4}){3}"
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
     "password": r"(?i:password|passwd|pwd|secret|token|api_key)\s?[=:]\s?[A-Za-z0-9_+/-]{8,}",
@@ -50,10 +53,14 @@ PATTERNS = {
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "ip": r"(?<![0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])\.){3}"
           r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])(?![0-9]|\.[0-9])",
-    "card": r"(?<![0-9])[3-6][0-9]{3}(?:[ -]?[0-9]{4}){3}(?![0-9])",
+    # International numbers of 8 to 15 digits before cards, which may look like their ends.
+    "phone": r"(?<![0-9+(])(?:\+[0-9](?:[ .()/-]{0,2}[0-9]){7,14}(?![0-9])|(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9]))",
+    # 13 to 19 digits: unbroken, or in the groups that cards have.  All but 16 digits that begin with 3 to 6 need
+    # a valid checksum (:func:`kind_of`).
+    "card": rf"(?<![0-9])(?:[2-6][0-9]{{3}}(?:[ -]?[0-9]{{4}}){{3}}(?:[ -]?[0-9]{{1,3}})?|"
+            r"3[0-9]{3}[ -][0-9]{6}[ -][0-9]{4,5}|[2-6][0-9]{12,18})(?![0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
-    "phone": r"(?<![0-9+(])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9])",
-    "person": rf"(?<![\p{{L}}\p{{N}}])(?:{_MALE}|{_FEMALE}|{_EITHER})\.? {_NAME}(?: {_NAME})?(?!\p{{L}})",
+    "person": rf"(?<![\p{{L}}\p{{N}}]){_TITLE}\.? {_NAME}(?: (?!{_TITLE}(?!\p{{L}})){_NAME})*+(?!\p{{L}})",
 }
 _ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 _OR_NAME = rf"{_ANY}|(?<!\p{{L}}){_NAME}"
@@ -79,8 +86,12 @@ def _digits(c: Column) -> Column:
 
 
 def kind_of(raw: Column) -> Column:
-    """The first kind whose pattern the found text is."""
-    return F.coalesce(*[F.when(raw.rlike(rf"^(?:{p})$"), F.lit(k)) for k, p in PATTERNS.items()], F.lit("word"))
+    """The first kind whose pattern the found text is; digits in a card's form
+    without a valid checksum are a word."""
+    def holds(kind: str, pattern: str) -> Column:
+        fits = raw.rlike(rf"^(?:{pattern})$")
+        return fits & (raw.rlike(rf"^{_CARD}$") | (_luhn(_digits(raw)) % 10 == 0)) if kind == "card" else fits
+    return F.coalesce(*[F.when(holds(k, p), F.lit(k)) for k, p in PATTERNS.items()], F.lit("word"))
 
 
 def _script(word: Column) -> Column:
@@ -90,21 +101,24 @@ def _script(word: Column) -> Column:
 
 def entities_of(raw: Column, kind: Column) -> Column:
     """Array of structs ``kind, norm`` that a found text stands for (a person
-    stands for a given name and a surname; any other word for none)."""
+    stands for its given names and a surname, the last; any other word for
+    none)."""
     def entity(kind_: Column, norm: Column) -> Column:
         return F.struct(kind_.alias("kind"), norm.alias("norm"))
 
     def person(words: Column) -> Column:
-        honorific, given, last = F.get(words, F.lit(0)), F.get(words, F.lit(1)), F.get(words, F.size(words) - 1)
+        honorific, last = F.get(words, F.lit(0)), F.get(words, F.size(words) - 1)
         gender = (F.when(honorific.rlike(rf"^(?:{_FEMALE})\.?$"), "f")
                   .when(honorific.rlike(rf"^(?:{_MALE})\.?$"), "m").otherwise("n"))
         surname = entity(F.concat(F.lit("surname-"), _script(last)), F.lower(last))
-        first = entity(F.concat(F.lit("given-"), gender, F.lit("-"), _script(given)), F.lower(given))
-        return F.when(F.size(words) > 2, F.array(first, surname)).otherwise(F.array(surname))
+        given = F.transform(F.slice(words, F.lit(2), F.size(words) - 2), lambda name: entity(
+            F.concat(F.lit("given-"), gender, F.lit("-"), _script(name)), F.lower(name)))
+        return F.concat(given, F.array(surname))
 
     digits = _digits(raw)
     norm = (F.when(kind == "email", F.lower(raw))
-            .when(kind == "phone", F.substring(digits, F.greatest(F.length(digits) - 9, F.lit(1)), F.lit(10)))
+            .when((kind == "phone") & raw.startswith("+"), F.regexp_extract(digits, f"^(?:{_COUNTRY})(.*)$", 1))
+            .when(kind == "phone", digits)
             .when(kind.isin("card", "ssn"), digits)
             .when(kind == "iban", F.regexp_replace(raw, " ", ""))
             .when(kind == "password", F.regexp_extract(raw, r"[=:]\s?(.*)$", 1))
@@ -209,10 +223,8 @@ def _render(raw: Column, kind: Column, names: Column) -> Column:
         return F.when(c == " ", c).otherwise(F.substring(canon, before + 1, F.lit(1)))
 
     letters, words = F.split(raw, ""), F.split(raw, " ")
-    last = F.get(words, F.size(words) - 1)
-    person = F.when(F.size(words) > 2, F.concat_ws(" ", F.get(words, F.lit(0)), name(F.get(words, F.lit(1)), canon),
-                                                   name(last, F.get(names, F.lit(1))))).otherwise(
-        F.concat_ws(" ", F.get(words, F.lit(0)), name(last, canon)))
+    person = F.array_join(F.transform(words, lambda word, j: F.when(j == 0, word).otherwise(
+        name(word, F.get(names, j - 1)))), " ")
     return (F.when(kind.isin("phone", "card", "ssn"), F.array_join(F.transform(letters, digit), ""))
             .when(kind == "email", F.array_join(F.transform(letters, cased), ""))
             .when(kind == "person", person)
@@ -232,7 +244,7 @@ def _found(text: Column) -> Column:
     return F.when(hint, F.regexp_extract_all(text, F.lit(_ANY), F.lit(0))).otherwise(none)
 
 
-def draws(entities: DataFrame, key: str = KEY) -> DataFrame:
+def draws(entities: DataFrame, key: str) -> DataFrame:
     """``kind, norm, draw, made``: distinct surrogates for distinct entities,
     none of which is an entity itself.  A round compares all surrogates and
     draws again for those in conflict; each round is written as a table."""
@@ -257,18 +269,21 @@ def draws(entities: DataFrame, key: str = KEY) -> DataFrame:
     raise RuntimeError(f"pii: surrogates still collide after {MAX_DRAWS} draws")
 
 
-def replace_pii(docs: DataFrame, key: str = KEY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def replace_pii(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``row, replaced, mentions`` per input row: the row, its text with
     surrogates, and the replaced places in order (structs ``kind, raw,
-    surrogate``).
+    surrogate``).  ``key`` is the caller's secret: whoever has it can tell
+    which surrogate an entity gets.
 
     A null text stays null.  Texts without an entity stay as they are.  Rows
     that agree in id and text get the same result; rows with a null id take
     part like others.  An empty table gives an empty result.
     """
+    # The patterns run once; what they find is kept by id and text hash.
     keyed = docs.select(quoted(id_col).alias("i"), F.xxhash64(quoted(text_col)).alias("h"),
-                        _found(text_or_empty(text_col)).alias("raws"))
-    entities = (keyed.select("i", "h", F.explode("raws").alias("raw")).withColumn("k", kind_of(F.col("raw")))
+                        _found(text_or_empty(text_col)).alias("raws")).where(F.size("raws") > 0)
+    raws = table_checkpoint(keyed, "pii-found")
+    entities = (raws.select("i", "h", F.explode("raws").alias("raw")).withColumn("k", kind_of(F.col("raw")))
                 .select("i", "h", F.explode(entities_of(F.col("raw"), F.col("k"))).alias("e"))
                 .select("i", "h", "e.kind", "e.norm"))
     entities = table_checkpoint(entities.distinct(), "pii-mentions")
@@ -279,14 +294,17 @@ def replace_pii(docs: DataFrame, key: str = KEY, id_col: str = "doc_id", text_co
              .agg(F.collect_set(F.struct("kind", "norm", "draw")).alias("again")))
     rows = docs.select(F.struct(*[quoted(c) for c in docs.columns]).alias("row"), quoted(id_col).alias("i"),
                        F.xxhash64(quoted(text_col)).alias("h"), quoted(text_col).alias("t"))
-    again = again.withColumnRenamed("i", "ri").withColumnRenamed("h", "rh")
-    joined = rows.join(again, rows["i"].eqNullSafe(again["ri"]) & (rows["h"] == again["rh"]), "left")
+    again = again.withColumnRenamed("i", "ai").withColumnRenamed("h", "ah")
+    once = raws.dropDuplicates(["i", "h"])
+    known = (once.join(again, once["i"].eqNullSafe(again["ai"]) & (once["h"] == again["ah"]), "left")
+             .select(F.col("i").alias("ri"), F.col("h").alias("rh"), "raws", "again"))
+    joined = rows.join(known, rows["i"].eqNullSafe(known["ri"]) & (rows["h"] == known["rh"]), "left")
     return _rewrite(joined, key)
 
 
 def _rewrite(joined: DataFrame, key: str) -> DataFrame:
     t = F.col("t")
-    first = joined.select("row", "t", "again", _found(F.coalesce("t", F.lit(""))).alias("raws"))
+    first = joined.select("row", "t", "again", F.coalesce("raws", F.array().cast("array<string>")).alias("raws"))
     # Names of persons, so that the same word later in the text changes too.
     names = F.array_distinct(F.flatten(F.transform(
         F.filter("raws", lambda r: kind_of(r) == "person"), lambda r: entities_of(r, F.lit("person")))))

@@ -16,6 +16,7 @@ from basketlens.llm import (conversation_repair, decontam, line_dedup, lm_scorin
 from basketlens.llm.common import table
 
 TOKENIZER = "byte_bpe_50k.json"
+PII_KEY = "key of the registered query"  # a real run passes its own secret
 WORD_TOKENIZER = "word_bpe_49k.json"
 
 
@@ -30,7 +31,7 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = pii.replace_pii(table(spark, sf_dir, "documents"))
+    made = pii.replace_pii(table(spark, sf_dir, "documents"), PII_KEY)
     return made.select("row.doc_id", F.size("mentions").cast("long").alias("n_replaced"),
                        F.array_join(F.transform("mentions", lambda m: F.concat(m["kind"], F.lit(":"), m["surrogate"])),
                                     "\n").alias("surrogates"),
