@@ -34,7 +34,41 @@ from basketlens.llm.common import quoted, without
 
 SHARDS = 40
 SEED = 20240607
-CELLS = 8
+CELLS = 8            # of a shard, at the least
+CELL_ROWS = 1 << 20  # rows of a cell, about: larger shards have more cells
+
+
+def _stirling_error(n: int) -> float:
+    """log n! less Stirling's formula for it."""
+    if n < 16:
+        return math.lgamma(n + 1) - (n + 0.5) * math.log(n) + n - 0.5 * math.log(2 * math.pi) if n else 0.0
+    return (1 / 12 - (1 / 360 - (1 / 1260 - 1 / (1680 * n * n)) / (n * n)) / (n * n)) / n
+
+
+def _deviance(k: int, mean: float) -> float:
+    """k log(k / mean) + mean - k, without cancellation near the mean."""
+    if abs(k - mean) < 0.1 * (k + mean):
+        v = (k - mean) / (k + mean)
+        total, term, j = (k - mean) * v, 2 * k * v, 1
+        while True:
+            term *= v * v
+            nxt = total + term / (2 * j + 1)
+            if nxt == total:
+                return total
+            total, j = nxt, j + 1
+    return k * math.log(k / mean) + mean - k
+
+
+def binomial(k: int, n: int, p: float, q: float) -> float:
+    """Probability of k hits in n draws, to about double precision at any
+    size: the large parts of the factorials cancel in the formula, not in the
+    arithmetic."""
+    if k in (0, n):
+        return math.exp(n * (math.log1p(-p) if k == 0 else math.log1p(-q)) if p < 1 and q < 1 else
+                        (0.0 if (p >= 1) == (k == n) else -math.inf))
+    log = (_stirling_error(n) - _stirling_error(k) - _stirling_error(n - k)
+           - _deviance(k, n * p) - _deviance(n - k, n * q))
+    return math.exp(log) * math.sqrt(n / (2 * math.pi * k * (n - k)))
 
 
 def hypergeometric(rng: random.Random, good: int, total: int, draws: int) -> int:
@@ -45,11 +79,8 @@ def hypergeometric(rng: random.Random, good: int, total: int, draws: int) -> int
     if low == high:
         return low
     mode = min(high, max(low, (draws + 1) * (good + 1) // (total + 2)))
-
-    def choose(n: int, k: int) -> float:
-        return math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1)
-
-    top = math.exp(choose(good, mode) + choose(total - good, draws - mode) - choose(total, draws))
+    p, q = draws / total, (total - draws) / total
+    top = binomial(mode, good, p, q) * binomial(draws - mode, total - good, p, q) / binomial(draws, total, p, q)
     u = rng.random() - top
     if u < 0:
         return mode
@@ -97,12 +128,14 @@ def _keyed(seed: int, salt: int, columns: list[Column]) -> Column:
 
 
 def shard_rows(df: DataFrame, shards: int = SHARDS, seed: int = SEED, parts: int | None = None,
-               cells: int = CELLS) -> DataFrame:
+               cells: int | None = None) -> DataFrame:
     """The rows of ``df`` with ``shard`` (int, from 0) and ``slot`` (long, from
     0, gapless in the shard): uniform over all assignments with shard sizes
     that differ by one at most.
 
     ``parts``: number of source parts, by default four per shuffle partition.
+    ``cells``: cells that a shard is permuted in, by default as many as keep
+    them at about ``CELL_ROWS`` rows.
     Rows are told apart by all their columns; rows that agree in all of them
     are interchangeable and still get places of their own.  Nulls are values
     like others.  An input column named like an output one is replaced.  An
@@ -121,6 +154,7 @@ def shard_rows(df: DataFrame, shards: int = SHARDS, seed: int = SEED, parts: int
 
     found = {r["part"]: r["n"] for r in rows.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect()}
     numbers = sorted(found)
+    cells = cells or max(CELLS, -(-sum(found.values()) // (shards * CELL_ROWS)))
     matrix = communication_matrix([found[p] for p in numbers], shard_sizes(sum(found.values()), shards), seed)
     # One row per part: the last local position of each shard.  The table holds
     # parts x shards numbers, which bounds what a broadcast of it moves.

@@ -1,3 +1,4 @@
+import math
 import contextlib
 import io
 import random
@@ -5,6 +6,7 @@ from collections import Counter
 from math import comb
 
 import pytest
+from pyspark.sql import functions as F
 
 from basketlens.llm import sharding
 from basketlens.llm.common import table
@@ -76,3 +78,39 @@ def test_plan_is_native(spark):
     with contextlib.redirect_stdout(buf):
         sharding.shard_rows(table(spark, SF, "documents")).explain("formatted")
     assert "Python" not in buf.getvalue() and "Pandas" not in buf.getvalue() and "Arrow" not in buf.getvalue()
+
+
+def test_binomial_at_any_size():
+    """Against exact fractions, and against sums of logarithms where they are
+    too large."""
+    from fractions import Fraction
+    for n, hits, draws, total in ((5, 2, 3, 10), (40, 13, 100, 300), (900, 450, 1, 2), (700, 10, 999, 70_000)):
+        p = Fraction(draws, total)
+        want = Fraction(math.comb(n, hits)) * p ** hits * (1 - p) ** (n - hits)
+        assert sharding.binomial(hits, n, float(p), float(1 - p)) == pytest.approx(float(want), rel=1e-12)
+    # Near the mode of 10^15 draws: neighbours' ratio is (n - k) p / ((k + 1) q).
+    n, k, p = 10 ** 15, 25 * 10 ** 13 + 12345, 0.25
+    a, b = (sharding.binomial(x, n, p, 1 - p) for x in (k, k + 1))
+    assert b / a == pytest.approx((n - k) * p / ((k + 1) * (1 - p)), rel=1e-9)
+    assert a == pytest.approx(1 / math.sqrt(2 * math.pi * n * p * (1 - p)) * math.exp(-12345 ** 2 / (2 * n * p * (1 - p))), rel=1e-6)
+
+
+def test_draws_from_very_many_rows():
+    """10^13 rows: the draws' mean and deviation."""
+    rng = random.Random(2)
+    good, total, draws = 10 ** 13 // 40, 10 ** 13, 6 * 10 ** 7
+    mean = draws * good / total
+    deviation = math.sqrt(mean * (1 - good / total))
+    found = [sharding.hypergeometric(rng, good, total, draws) for _ in range(300)]
+    assert abs(sum(found) / 300 - mean) < 5 * deviation / math.sqrt(300)
+    assert 0.8 < math.sqrt(sum((x - mean) ** 2 for x in found) / 300) / deviation < 1.2
+
+
+def test_cells_follow_the_counts(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "CELL_ROWS", 40)
+    rows = spark.range(4000).select(F.col("id").alias("doc_id"), F.lit("x").alias("text"))
+    placed = sharding.shard_rows(rows, shards=3)
+    got = {r.shard: r for r in placed.groupBy("shard").agg(F.count("slot").alias("n"), F.countDistinct("slot").alias("d"),
+                                                           F.max("slot").alias("top")).collect()}
+    assert sorted(r.n for r in got.values()) == [1333, 1333, 1334]
+    assert all(r.n == r.d == r.top + 1 for r in got.values())
