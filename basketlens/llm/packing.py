@@ -18,7 +18,9 @@ from __future__ import annotations
 
 import base64
 import importlib.util
+import json
 import os
+import re
 from bisect import bisect_left, insort
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -77,6 +79,7 @@ class Vocabulary:
 
     data: bytes
     pattern: str | None  # given: ``data`` holds ranks; else it is in the ``tokenizers`` format
+    special: tuple[tuple[str, int], ...] = ()  # names that are one id wherever they stand in a text
 
 
 def vocabulary(path: str) -> Vocabulary:
@@ -88,23 +91,41 @@ def vocabulary(path: str) -> Vocabulary:
     pattern = None
     if os.path.exists(ranks) and importlib.util.find_spec("public_tokenizers"):
         pattern = importlib.import_module("public_tokenizers").PATTERN
+    special = ()
+    if pattern:
+        with open(path, "rb") as f:
+            added = json.load(f).get("added_tokens") or []
+        if all(t["special"] and not (t["lstrip"] or t["rstrip"] or t["single_word"]) for t in added):
+            special = tuple((t["content"], t["id"]) for t in added)
+        else:
+            pattern = None
     with open(ranks if pattern else path, "rb") as f:
-        return Vocabulary(f.read(), pattern)
+        return Vocabulary(f.read(), pattern, special)
 
 
 def encoder(known: Vocabulary):
-    """A function from texts to lists of id arrays; names of special tokens in
-    a text are ordinary text."""
+    """A function from texts to lists of id arrays.  The name of a special
+    token in a text is that token's id, as the tokenizer has it by default."""
     if known.pattern is None:
         from tokenizers import Tokenizer
         tokenizer = Tokenizer.from_buffer(known.data)
-        tokenizer.encode_special_tokens = True
         return lambda texts: [np.array(e.ids, dtype="<u4")
                               for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
     import tiktoken
     table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, known.data.splitlines())}
     coder = tiktoken.Encoding("ranks", pat_str=known.pattern, mergeable_ranks=table, special_tokens={})
-    return lambda texts: [np.array(coder.encode_ordinary(t), dtype="<u4") for t in texts]
+    ids_of = dict(known.special)
+    names = re.compile("(" + "|".join(map(re.escape, sorted(ids_of, key=len, reverse=True))) + ")") if ids_of else None
+
+    def encode(text: str) -> list[int]:
+        if names is None or not any(name in text for name in ids_of):
+            return coder.encode_ordinary(text)
+        found: list[int] = []
+        for k, piece in enumerate(names.split(text)):  # every other piece is a name
+            found += [ids_of[piece]] if k % 2 else coder.encode_ordinary(piece)
+        return found
+
+    return lambda texts: [np.array(encode(t), dtype="<u4") for t in texts]
 
 
 def _pack(known: Callable[[], Vocabulary], capacity: int, limit: int, cut: int | None):
@@ -214,7 +235,9 @@ def pack(docs: DataFrame, tokenizer: str, length: int = LENGTH, open_windows: in
     most ``length`` of them.  ``cut``: the least room that a rest is cut to
     fill when no window takes it whole; None never cuts a rest.
 
-    A null or empty text gives one piece, the separator.  Every input row is a
+    Documents are taken in the order they come in; of open windows with equal
+    room the older one is filled.  A null or empty text gives one piece, the
+    separator.  Every input row is a
     document of its own, repeated rows and rows with a null id too.  An empty
     table gives an empty result.  Other columns are ignored.
     """

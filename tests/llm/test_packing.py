@@ -17,7 +17,6 @@ PATH = public_tokenizers.path("byte_bpe_50k.json")
 @pytest.fixture(scope="module")
 def plain():
     t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
     return lambda text: t.encode(text, add_special_tokens=False).ids
 
 
@@ -94,7 +93,6 @@ def test_best_fit_rule():
 @given(st.text(max_size=80))
 def test_ranks_give_the_same_ids(text):
     t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
     fast = packing.encoder(packing.vocabulary(PATH))
     for x in (text, text + "<|endoftext|>" + text):
         assert fast([x])[0].tolist() == t.encode(x, add_special_tokens=False).ids
@@ -107,3 +105,13 @@ def test_without_ranks(tmp_path):
     assert known.pattern is None
     text = "The same ids, 12 ways\n <|endoftext|>"
     assert packing.encoder(known)([text])[0].tolist() == packing.encoder(packing.vocabulary(PATH))([text])[0].tolist()
+
+
+def test_special_names_are_one_id(plain):
+    """With the ranks and with the tokenizer's file alone."""
+    with open(PATH, "rb") as f:
+        slow = packing.encoder(packing.Vocabulary(f.read(), None))
+    fast = packing.encoder(packing.vocabulary(PATH))
+    for text in ("a <|endoftext|> b", "<|endoftext|>", "<|endoftext|><|endoftext|>x", "<|endoftext", "a<|endoftext|>\n\n b"):
+        assert fast([text])[0].tolist() == slow([text])[0].tolist() == plain(text)
+    assert len(plain("a <|endoftext|> b")) == 4
