@@ -1,10 +1,12 @@
 """Line dedup by content-defined chunks, in DataFrame operations only.
 
 A text is split into lines.  A rolling hash over the hashes of the last
-``ROLL`` lines ends a chunk wherever it is divisible by ``SPREAD``, so the
-boundaries depend on the lines around them alone and return to the same lines
-after an insertion or deletion.  The first line and the last line of a text
-also bound a chunk.
+``ROLL`` lines marks a line wherever it is divisible by ``SPREAD``; a chunk
+ends at a marked line that does not follow a marked one.  So the boundaries
+depend on the lines just before them alone, return to the same lines after an
+insertion or deletion, and no chunk inside a text has one line.  The first and
+the last line of a text also bound a chunk, and a head or tail of one line
+belongs to its neighbour: only a text of one line is a chunk of one line.
 
 A chunk of at least ``MIN_LINES`` lines with text that occurs more than once
 in the table keeps its first occurrence (smallest id, then earliest in the
@@ -13,9 +15,19 @@ compared before anything is removed: a chunk goes only if it equals the first
 occurrence of its hash.  (Of different texts under one 64-bit hash, those that
 equal the first one go and the others stay.)
 
+A verified chunk grows by the lines around it: into the ``AROUND`` chunks
+before it as far as they end like those before the first occurrence, and into
+the ``AROUND`` chunks after it as far as they begin like those after the first
+occurrence.  What stands before a passage can move one boundary in its first
+``ROLL`` lines, and the end of a text one in its last two, so two chunks reach
+its first and its last line: a passage that holds a repeated chunk goes whole.
+Every removed line has an equal line at an earlier place, so one occurrence of
+each stays.
+
 Nothing but ids, positions and hashes is shuffled to find candidates; the
-candidates are regrouped by document, and only their chunks' texts meet again
-to be compared.  Copies of a hot chunk spread over a skew join.
+candidates are regrouped by document, and only their chunks' texts, with their
+neighbours', meet again to be compared.  Copies of a hot chunk spread over a
+skew join.
 """
 
 from __future__ import annotations
@@ -27,8 +39,9 @@ from basketlens.functions.lineage import table_checkpoint
 from basketlens.llm.common import bound, quoted, text_or_empty
 
 ROLL = 2
-SPREAD = 3
+SPREAD = 2
 MIN_LINES = 2
+AROUND = 2
 _FACTOR, _MODULUS = 31, 1_000_003
 
 
@@ -41,19 +54,23 @@ def chunks_of(text: Column, roll: int = ROLL, spread: int = SPREAD) -> Column:
     """Array of structs ``first`` (line number from 1), ``lines``, ``body``."""
     lines = F.split(text, "\n", -1)
 
-    def rolling(hashes: Column, at: Column) -> Column:
+    def marked(hashes: Column, at: Column) -> Column:
         total = F.element_at(hashes, at)
         for back in range(1, roll):
             before = F.when(at > back, F.element_at(hashes, F.greatest(at - back, F.lit(1)))).otherwise(F.lit(0))
             total = total + before * F.lit(pow(_FACTOR, back, _MODULUS))
-        return total % F.lit(_MODULUS) % F.lit(spread)
+        return total % F.lit(_MODULUS) % F.lit(spread) == 0
+
+    def ends(marks: Column) -> Column:
+        n = F.size(marks)
+        return F.filter(F.sequence(F.lit(1), n), lambda i: (i == n) | (
+            (i > 1) & (i < n - 1) & F.element_at(marks, i) & ~F.element_at(marks, F.greatest(i - 1, F.lit(1)))))
 
     def cut(ls: Column) -> Column:
         return bound(F.transform(ls, line_hash), lambda hs: bound(
-            F.filter(F.sequence(F.lit(1), F.size(ls)),
-                     lambda i: (i == F.size(ls)) | (rolling(hs, i) == 0)),
-            lambda ends: F.transform(ends, lambda end, k: _chunk(ls, F.when(
-                k > 0, F.element_at(ends, F.greatest(k, F.lit(1))) + 1).otherwise(F.lit(1)), end))))
+            F.transform(F.sequence(F.lit(1), F.size(ls)), lambda i: marked(hs, i)), lambda marks: bound(
+                ends(marks), lambda at: F.transform(at, lambda end, k: _chunk(ls, F.when(
+                    k > 0, F.element_at(at, F.greatest(k, F.lit(1))) + 1).otherwise(F.lit(1)), end)))))
 
     return bound(lines, cut)
 
@@ -67,10 +84,24 @@ def _worth(chunk: Column, min_lines: int) -> Column:
     return (chunk["lines"] >= min_lines) & (F.length(F.regexp_replace(chunk["body"], r"\s", "")) > 0)
 
 
-def repeated_chunks(docs: DataFrame, min_lines: int = MIN_LINES, id_col: str = "doc_id",
-                    text_col: str = "text") -> DataFrame:
-    """``(i, h, ks)``: per document (id and text hash) with chunks to remove,
-    the line numbers at which those chunks begin."""
+def common_lines(one: Column, other: Column, at_end: bool) -> Column:
+    """Number of equal lines at the end (or beginning) of two texts; 0 if one is null."""
+    def lines(body: Column) -> Column:
+        ls = F.split(body, "\n", -1)
+        return F.reverse(ls) if at_end else ls
+
+    def count(a: Column, b: Column) -> Column:
+        n = F.least(F.size(a), F.size(b))
+        return F.coalesce(F.array_min(F.filter(F.sequence(F.lit(0), n - 1), lambda j: F.get(a, j) != F.get(b, j))), n)
+
+    return F.when(one.isNull() | other.isNull(), F.lit(0)).otherwise(
+        bound(lines(one), lambda a: bound(lines(other), lambda b: count(a, b))))
+
+
+def repeated_lines(docs: DataFrame, min_lines: int = MIN_LINES, id_col: str = "doc_id",
+                   text_col: str = "text") -> DataFrame:
+    """``(i, h, gone)``: per document (id and text hash) with lines to remove,
+    the numbers of those lines, from 1 and in order."""
     keyed = docs.select(quoted(id_col).alias("i"), F.xxhash64(quoted(text_col)).alias("h"),
                         text_or_empty(text_col).alias("t"))
     # Occurrences: hashes and positions only.
@@ -85,18 +116,30 @@ def repeated_chunks(docs: DataFrame, min_lines: int = MIN_LINES, id_col: str = "
     wanted = (places.join(repeats, "x")
               .select("i", "h", F.struct("k", "x", (here == F.col("one")).alias("is_first")).alias("w"))
               .groupBy("i", "h").agg(F.collect_set("w").alias("ws")))
+
+    def with_neighbours(cs: Column) -> Column:
+        return F.transform(cs, lambda c, at: F.struct(
+            F.get(F.filter("ws", lambda w: w["k"] == c["first"]), F.lit(0)).alias("w"), c["lines"].alias("lines"),
+            c["body"].alias("body"),
+            F.when(at > 0, F.concat_ws("\n", *(F.get(cs, at - k)["body"] for k in range(AROUND, 0, -1)))).alias("before"),
+            F.when(at < F.size(cs) - 1, F.concat_ws("\n", *(F.get(cs, at + k)["body"] for k in range(1, AROUND + 1))))
+            .alias("after")))
+
     bodies = (_null_safe(keyed, wanted).select("i", "h", "t", "ws")
               .dropDuplicates(["i", "h"])
-              .select("i", "h", F.explode(F.filter(F.transform(
-                  chunks_of(F.col("t")),
-                  lambda c: F.struct(F.get(F.filter("ws", lambda w: w["k"] == c["first"]), F.lit(0)).alias("w"),
-                                     c["body"].alias("body"))), lambda c: c["w"].isNotNull())).alias("c"))
-              .select("i", "h", "c.w.k", "c.w.x", "c.w.is_first", "c.body"))
+              .select("i", "h", F.explode(F.filter(bound(chunks_of(F.col("t")), with_neighbours),
+                                                   lambda c: c["w"].isNotNull())).alias("c"))
+              .select("i", "h", "c.w.k", "c.w.x", "c.w.is_first", "c.lines", "c.body", "c.before", "c.after"))
     bodies = table_checkpoint(bodies, "line-bodies")
-    firsts = bodies.where("is_first").select("x", F.col("body").alias("first_body"))
+    firsts = bodies.where("is_first").select("x", F.col("body").alias("first_body"), F.col("before").alias("first_before"),
+                                             F.col("after").alias("first_after"))
     same = (bodies.where(~F.col("is_first")).join(firsts, "x")
-            .where(F.col("body") == F.col("first_body")))
-    return same.groupBy("i", "h").agg(F.collect_set("k").alias("ks"))
+            .where(F.col("body") == F.col("first_body"))
+            .select("i", "h", (F.col("k") - common_lines(F.col("before"), F.col("first_before"), True)).alias("first"),
+                    (F.col("k") + F.col("lines") - 1
+                     + common_lines(F.col("after"), F.col("first_after"), False)).alias("last")))
+    return same.groupBy("i", "h").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set(
+        F.sequence("first", "last"))))).alias("gone"))
 
 
 def _null_safe(left: DataFrame, right: DataFrame, how: str = "inner") -> DataFrame:
@@ -106,25 +149,30 @@ def _null_safe(left: DataFrame, right: DataFrame, how: str = "inner") -> DataFra
 
 def dedup_lines(docs: DataFrame, min_lines: int = MIN_LINES, id_col: str = "doc_id",
                 text_col: str = "text") -> DataFrame:
-    """``(row, removed, kept)`` per input row: the row itself, its chunks that
-    are removed (structs ``first, lines, body``) and the text without them.
+    """``(row, removed, kept)`` per input row: the row itself, its runs of
+    removed lines (structs ``first, lines, body``, in order) and the text
+    without them.
 
     The lines that stay are joined by line feeds.  A null text stays null and
     an empty one empty.  Chunks without a character outside white space are
-    never removed.  Rows that agree in id and text are one document and get
-    the same result; rows with a null id take part, after all others.  An
-    empty table gives an empty result.
+    never removed, but for blank lines that a repeated chunk grows into.  Rows
+    that agree in id and text are one document and get the same result; rows
+    with a null id take part, after all others.  An empty table gives an empty
+    result.
     """
-    gone = repeated_chunks(docs, min_lines, id_col, text_col)
+    found = repeated_lines(docs, min_lines, id_col, text_col)
     rows = docs.select(F.struct(*[quoted(c) for c in docs.columns]).alias("row"), quoted(id_col).alias("i"),
                        F.xxhash64(quoted(text_col)).alias("h"), quoted(text_col).alias("t"))
-    joined = _null_safe(rows, gone, "left")
-    ks = F.col("ks")
-    chunks = F.when(ks.isNotNull(), chunks_of(text_or_empty("t")))
-    parted = joined.select("row", "t", "ks", chunks.alias("cs"))
+    gone = F.col("gone")
+    parted = _null_safe(rows, found, "left").select(
+        "row", "t", "gone", F.when(gone.isNotNull(), F.split("t", "\n", -1)).alias("ls"))
+    # The set functions of arrays keep the order of their first argument.
+    runs = F.zip_with(F.array_except(gone, F.transform(gone, lambda k: k + 1)),
+                      F.array_except(gone, F.transform(gone, lambda k: k - 1)),
+                      lambda first, last: _chunk(F.col("ls"), first, last))
+    left = F.array_except(F.sequence(F.lit(1), F.size("ls")), gone)
     return parted.select(
         "row",
-        F.coalesce(F.filter("cs", lambda c: F.array_contains(ks, c["first"])),
-                   F.array().cast("array<struct<first:int,lines:int,body:string>>")).alias("removed"),
-        F.when(ks.isNull(), F.col("t")).otherwise(F.array_join(F.transform(
-            F.filter("cs", lambda c: ~F.array_contains(ks, c["first"])), lambda c: c["body"]), "\n")).alias("kept"))
+        F.coalesce(runs, F.array().cast("array<struct<first:int,lines:int,body:string>>")).alias("removed"),
+        F.when(gone.isNull(), F.col("t")).otherwise(
+            F.array_join(F.transform(left, lambda k: F.element_at("ls", k)), "\n")).alias("kept"))

@@ -2,28 +2,48 @@
 
 LINE_DEDUP = """
 WITH lines AS (
-  SELECT doc_id, text, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
-         unnest(range(1, len(string_split(coalesce(text, ''), chr(10))) + 1)) AS k
+  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+         unnest(range(1, len(string_split(coalesce(text, ''), chr(10))) + 1)) AS k,
+         len(string_split(coalesce(text, ''), chr(10))) AS n
   FROM documents),
 hashed AS (
   SELECT *, ('0x' || substr(md5(line), 1, 6))::BIGINT AS h FROM lines),
-rolled AS (
-  SELECT *, (h + coalesce(lag(h) OVER w, 0) * 31) % 1000003 % 3 = 0 AS ends
+marked AS (
+  SELECT *, (h + coalesce(lag(h) OVER w, 0) * 31) % 1000003 % 2 = 0 AS mark
   FROM hashed WINDOW w AS (PARTITION BY doc_id ORDER BY k)),
+ended AS (
+  SELECT *, k > 1 AND k < n - 1 AND mark AND NOT lag(mark) OVER w AS ends
+  FROM marked WINDOW w AS (PARTITION BY doc_id ORDER BY k)),
 numbered AS (
   SELECT *, coalesce(sum(ends::INT) OVER (PARTITION BY doc_id ORDER BY k
-            ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS c FROM rolled),
+            ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS c FROM ended),
 chunks AS (
-  SELECT doc_id, c, count(*) AS n, string_agg(line, chr(10) ORDER BY k) AS body
+  SELECT doc_id, c, min(k) AS first, max(k) AS last, list(line ORDER BY k) AS ls
   FROM numbered GROUP BY doc_id, c),
+around AS (
+  SELECT *, list_reverse(list_concat(coalesce(lag(ls, 2) OVER w, []), coalesce(lag(ls) OVER w, []))) AS before,
+         list_concat(coalesce(lead(ls) OVER w, []), coalesce(lead(ls, 2) OVER w, [])) AS after
+  FROM chunks WINDOW w AS (PARTITION BY doc_id ORDER BY c)),
 judged AS (
-  SELECT *, n >= 2 AND length(regexp_replace(body, '\\s', '', 'g')) > 0
-            AND row_number() OVER (PARTITION BY body ORDER BY doc_id, c) > 1 AS gone
-  FROM chunks)
-SELECT doc_id, count(*) FILTER (WHERE gone) AS n_chunks_removed,
-       coalesce(sum(n) FILTER (WHERE gone), 0)::BIGINT AS n_lines_removed,
-       md5(coalesce(string_agg(body, chr(10) ORDER BY c) FILTER (WHERE NOT gone), '')) AS kept_md5
-FROM judged GROUP BY doc_id
+  SELECT *, row_number() OVER w > 1 AS later, first_value(before) OVER w AS before1, first_value(after) OVER w AS after1
+  FROM around WHERE last > first AND length(regexp_replace(array_to_string(ls, ''), '\\s', '', 'g')) > 0
+  WINDOW w AS (PARTITION BY ls ORDER BY doc_id, c)),
+grown AS (
+  SELECT doc_id,
+         first - coalesce(list_min([j FOR j IN range(1, least(len(before), len(before1)) + 1)
+                                    IF before[j] <> before1[j]]) - 1, least(len(before), len(before1))) AS first,
+         last + coalesce(list_min([j FOR j IN range(1, least(len(after), len(after1)) + 1)
+                                   IF after[j] <> after1[j]]) - 1, least(len(after), len(after1))) AS last
+  FROM judged WHERE later),
+removed AS (
+  SELECT DISTINCT doc_id, unnest(range(first, last + 1)) AS k FROM grown),
+told AS (
+  SELECT l.*, r.k IS NOT NULL AS gone FROM lines l LEFT JOIN removed r ON r.doc_id = l.doc_id AND r.k = l.k),
+runs AS (
+  SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY k), false) AS begins FROM told)
+SELECT doc_id, count(*) FILTER (WHERE begins) AS n_runs_removed, count(*) FILTER (WHERE gone) AS n_lines_removed,
+       md5(coalesce(string_agg(line, chr(10) ORDER BY k) FILTER (WHERE NOT gone), '')) AS kept_md5
+FROM runs GROUP BY doc_id
 """
 
 SUBSTRING_DEDUP = r"""

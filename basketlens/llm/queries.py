@@ -41,7 +41,7 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
     return found.select(
-        "row.doc_id", F.size("removed").cast("long").alias("n_chunks_removed"),
+        "row.doc_id", F.size("removed").cast("long").alias("n_runs_removed"),
         F.aggregate("removed", F.lit(0).cast("long"), lambda n, c: n + c["lines"]).alias("n_lines_removed"),
         F.md5(F.coalesce("kept", F.lit(""))).alias("kept_md5"))
 

@@ -15,28 +15,41 @@ def line_hash(line):
 
 
 def chunks(text):
+    """``(first line from 0, lines)`` of every chunk."""
     lines = (text or "").split("\n")
     hashes = [line_hash(x) for x in lines]
+    marks = [(h + (hashes[k - 1] * 31 if k else 0)) % 1000003 % 2 == 0 for k, h in enumerate(hashes)]
     out, first = [], 0
     for k in range(len(lines)):
-        rolled = (hashes[k] + (hashes[k - 1] * 31 if k else 0)) % 1000003 % 3
-        if rolled == 0 or k == len(lines) - 1:
-            out.append((k - first + 1, "\n".join(lines[first:k + 1])))
+        if k == len(lines) - 1 or (0 < k < len(lines) - 2 and marks[k] and not marks[k - 1]):
+            out.append((first, lines[first:k + 1]))
             first = k + 1
     return out
 
 
+def alike(a, b):
+    n = 0
+    while n < min(len(a), len(b)) and a[n] == b[n]:
+        n += 1
+    return n
+
+
 def plain(rows):
     """Kept text per row; rows come in order of id."""
-    seen, out = set(), {}
+    seen, out = {}, {}
     for i, text in sorted(rows):
-        kept = []
-        for n, body in chunks(text):
-            if n >= 2 and body.strip() and body in seen:
+        gone, own = set(), chunks(text)
+        for at, (first, lines) in enumerate(own):
+            if len(lines) < 2 or not "".join(lines).strip():
+                continue
+            before = [x for _, ls in own[max(0, at - 2):at] for x in ls]
+            after = [x for _, ls in own[at + 1:at + 3] for x in ls]
+            if tuple(lines) not in seen:
+                seen[tuple(lines)] = before, after
                 continue
-            seen.add(body)
-            kept.append(body)
-        out[i] = "\n".join(kept)
+            before1, after1 = seen[tuple(lines)]
+            gone |= set(range(first - alike(before[::-1], before1[::-1]), first + len(lines) + alike(after, after1)))
+        out[i] = "\n".join(x for k, x in enumerate((text or "").split("\n")) if k not in gone)
     return out
 
 
@@ -60,14 +73,50 @@ def test_against_plain(spark):
     want = plain(rows)
     assert got == want
     assert any(want[i] != t for i, t in rows)
-    assert all(want[i] == "" for i in range(101, 130) if len(chunks(rows[3][1])) and all(n >= 2 for n, _ in chunks(rows[3][1])))
+    assert len(rows[3][1].split("\n")) > 1 and all(want[i] == "" for i in range(100, 130))  # copies go whole
+
+
+def test_no_chunk_of_one_line_inside_a_text():
+    rng = random.Random(4)
+    for n in range(1, 60):
+        sizes = [len(ls) for _, ls in chunks("\n".join(str(rng.random()) for _ in range(n)))]
+        assert sum(sizes) == n and (sizes == [1] if n == 1 else min(sizes) >= 2)
+
+
+def test_passage_goes_from_its_first_to_its_last_line(spark):
+    """Whole chunks find a passage, and the lines around them go with it."""
+    rng = random.Random(5)
+
+    def text(n):
+        return [f"{rng.random()}" for _ in range(n)]
+
+    rows, passages = [], {}
+    for i in range(40):
+        passage = text(25)
+        a, b, c, d = text(9), text(7), text(8), text(11)
+        rows += [(2 * i, "\n".join(a + passage + b)), (2 * i + 1, "\n".join(c + passage + d))]
+        passages[2 * i + 1] = "\n".join(c + d)
+    got = kept(documents(spark, rows, 5))
+    assert all(got[i] == t for i, t in rows if i % 2 == 0)
+    assert sum(got[i] == t for i, t in passages.items()) == 40
+
+
+def test_runs_are_the_removed_lines(spark):
+    text = "\n".join(f"l{k}" for k in range(30))
+    found = {r.row.doc_id: r for r in line_dedup.dedup_lines(
+        documents(spark, [(1, text), (2, text + "\nnew line\n" + text)])).collect()}
+    assert found[1].removed == [] and found[1].kept == text
+    lines = found[2].row.text.split("\n")
+    for run in found[2].removed:
+        assert run.body == "\n".join(lines[run.first - 1:run.first - 1 + run.lines])
+    assert len(lines) - sum(r.lines for r in found[2].removed) == len(found[2].kept.split("\n"))
 
 
 def test_boundaries_resist_shifts():
     rng = random.Random(2)
     lines = [f"text {rng.random()}" for _ in range(200)]
-    a = {b for _, b in chunks("\n".join(lines))}
-    b = {b for _, b in chunks("\n".join(lines[:50] + ["something new"] + lines[50:]))}
+    a = {tuple(b) for _, b in chunks("\n".join(lines))}
+    b = {tuple(b) for _, b in chunks("\n".join(lines[:50] + ["something new"] + lines[50:]))}
     assert len(a - b) <= 3
 
 
@@ -87,8 +136,7 @@ def test_repeated_rows_and_null_ids(spark):
     got = [(r.row.doc_id, r.kept) for r in
            line_dedup.dedup_lines(documents(spark, [(5, text), (5, text), (None, text), (9, text)])).collect()]
     assert got.count((5, text)) == 2  # one document, twice
-    single = "\n".join(b for n, b in chunks(text) if n < 2)
-    assert (9, single) in got and (None, single) in got
+    assert (9, "") in got and (None, "") in got
 
 
 def test_equal_hash_is_not_enough(spark, monkeypatch):
@@ -107,11 +155,9 @@ def test_equal_hash_is_not_enough(spark, monkeypatch):
 
     monkeypatch.setattr(line_dedup, "F", Colliding())
     got = kept(documents(spark, rows))
-    first = min(i for i, t in rows if any(n >= 2 for n, _ in chunks(t)))
     for i, t in rows:
-        same_as_first = {b for _, b in chunks(t)} & {b for _, b in chunks(dict(rows)[first])}
-        if i not in (first, 51) and not same_as_first:
-            assert got[i] == t
+        same_as_first = {tuple(b) for _, b in chunks(t)} & {tuple(b) for _, b in chunks(rows[0][1])}
+        assert got[i] == t or i != 0 and same_as_first
 
 
 def test_plan_is_native(spark):
