@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import pickle
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -46,6 +47,17 @@ def share(spark: SparkSession, value: object) -> Callable[[], object]:
     return lambda: pickle.loads(data.value)
 
 
+@contextmanager
+def sharing(spark: SparkSession, value: object) -> Iterator[Callable[[], object]]:
+    """As ``share``, for results that are written inside the ``with`` block:
+    the broadcast is destroyed when it ends."""
+    data = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+    try:
+        yield lambda: pickle.loads(data.value)
+    finally:
+        data.destroy()
+
+
 def quoted(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 

@@ -1,3 +1,4 @@
+import pickle
 import random
 
 import numpy as np
@@ -19,13 +20,14 @@ def brute(index, text, threshold, overlap):
         return set()
     found = set()
     names = sorted(index.vocabulary)
+    numbers = [index.vocabulary.get(w, 0) for w in ws]
     for s, e in zip(*decontam.passages(len(ws), index.longest)):
         query = set(ws[s:e])
-        own = decontam.shingle_sets(ws[s:e])
-        for n, item in enumerate(index.items):
+        own = decontam.shingle_sets(numbers[s:e])
+        for n, (item, _) in enumerate(index.items):
             score = sum(by[at == n].sum() for w in names if w in query
-                        for at, by in [index.postings[index.vocabulary[w]]])
-            if score >= threshold - 1e-9 and all(decontam.covered(p, own) >= overlap for p in index.parts[n]):
+                        for at, by in [index.postings(index.vocabulary[w])])
+            if score >= threshold - 1e-9 and all(decontam.covered(p, own) >= overlap for p in index.parts(n)):
                 found.add(item)
     return found
 
@@ -34,7 +36,7 @@ def brute(index, text, threshold, overlap):
 def test_wand_is_exact(threshold, overlap):
     rng = random.Random(int(threshold * 100))
     bench = [(k, prose(rng, rng.randrange(3, 25), 30) + ". " + prose(rng, rng.randrange(1, 9), 30)) for k in range(23)]
-    index = decontam.build_index([(i, t.encode()) for i, t in bench])
+    index = decontam.build_index([(i, t.encode(), 1) for i, t in bench])
     hits = 0
     for _ in range(60):
         text = prose(rng, rng.randrange(1, 120), 60)
@@ -48,15 +50,15 @@ def test_wand_is_exact(threshold, overlap):
 
 def test_block_max_wand_scores():
     rng = random.Random(3)
-    index = decontam.build_index([(k, prose(rng, 12, 25).encode()) for k in range(30)])
+    index = decontam.build_index([(k, prose(rng, 12, 25).encode(), 1) for k in range(30)])
     for _ in range(50):
         rows = sorted(rng.sample(range(1, len(index.vocabulary) + 1), 9))
         want = np.zeros(30)
         for r in rows:
-            at, by = index.postings[r]
+            at, by = index.postings(r)
             want[at] += by
         for threshold in (0.2, 0.4, 0.6):
-            got = dict(decontam.block_max_wand(index, rows, np.arange(index.bounds.shape[1]).tolist(), threshold))
+            got = dict(decontam.block_max_wand(index, rows, list(range(index.n_blocks)), threshold))
             assert set(got) == set(np.flatnonzero(want >= threshold - 1e-9))
             assert all(abs(got[k] - want[k]) < 1e-9 for k in got)
 
@@ -93,8 +95,33 @@ def test_shards_give_the_same(spark, monkeypatch):
     docs, bench = table(spark, SF, "documents"), table(spark, SF, "benchmark")
     whole = {(r.doc_id, r.item_id) for r in decontam.search(docs, bench).collect()}
     monkeypatch.setattr(decontam, "SHARD_BYTES", 3000)
-    assert len(decontam.indexes(bench)) > 1
+    assert decontam.indexes(bench)[0] > 1
     assert {(r.doc_id, r.item_id) for r in decontam.search(docs, bench).collect()} == whole
+    kept = decontam.drop_contaminated(docs, bench)
+    assert kept.columns == docs.columns
+    assert {r.doc_id for r in kept.collect()} == {r.doc_id for r in docs.collect()} - {d for d, _ in whole}
+
+
+def test_index_size_follows_the_text():
+    """A shard of many different words: the index is a few times its text, and
+    so is what a broadcast holds."""
+    rng = random.Random(9)
+    rows = [(k, " ".join(f"word{rng.randrange(40000)}" for _ in range(20)).encode(), 1) for k in range(10000)]
+    index = decontam.build_index(rows)
+    assert len(pickle.dumps(index)) < 5 * sum(len(t) for _, t, _ in rows)
+    text = b"x " * 30 + rows[77][1] + b" y" * 5000
+    assert [h[0] for h in decontam.search_text(index, text, 0.6, 0.8)] == [77]
+
+
+def test_copies_of_an_item_are_one_entry(spark):
+    """A third of the items are copies of one: they are counted, not dealt."""
+    rng = random.Random(10)
+    text = prose(rng, 15, 500)
+    bench = items(spark, [(7, text)] * 40 + [(k, prose(rng, 15, 500)) for k in range(100, 180)])
+    _, built = decontam.indexes(bench)
+    assert sorted(c for x in built for _, c in x.items)[-2:] == [1, 40]
+    docs = documents(spark, [(1, f"so {text} it is"), (2, "nothing")])
+    assert [(r.doc_id, r.item_id) for r in decontam.search(docs, bench).collect()] == [(1, 7)] * 40
 
 
 def test_scores_do_not_depend_on_shards(spark, monkeypatch):
@@ -113,10 +140,11 @@ def test_scores_do_not_depend_on_shards(spark, monkeypatch):
     whole = found()
     assert whole
     monkeypatch.setattr(decontam, "SHARD_BYTES", 2000)
-    assert len(decontam.indexes(bench)) > 2
+    assert decontam.indexes(bench)[0] > 2
     assert found() == whole
     blank = items(spark, [(k, "?! " * 400) for k in range(9)])
-    assert decontam.indexes(blank) == []
+    assert list(decontam.indexes(blank)[1]) == []
+    assert decontam.search(docs, blank).count() == 0 and decontam.drop_contaminated(docs, blank).count() == 60
 
 
 def test_edges(spark):
