@@ -12,9 +12,13 @@ A uniform random shuffle of a table into shards of exact sizes, by parts:
 3. Every part is permuted locally (ordered by a keyed hash) and cut into the
    drawn counts: the rows of each cut know their shard.
 4. The rows are exchanged to their shards and permuted again by a second keyed
-   hash, which gives the slot.  A shard is permuted in cells: the hash's top
-   picks the cell, the cells' sizes give each cell its first slot, and a cell
-   is ordered by itself, so no task orders a whole shard.
+   hash, which gives the slot.
+
+Parts and shards are permuted in cells: the hash's top picks the cell, the
+cells' sizes give each cell its first place, and a cell is ordered by itself, so
+no task orders a whole part or shard.  So the parts need not grow in number with
+the table: parts times shards, what the driver draws and the plan holds, is
+``MATRIX`` at the most, at any size of table and cluster.
 
 Everything follows from the rows' contents and the seed, never from where rows
 happen to lie, so a repeated task gives the same result.
@@ -35,7 +39,8 @@ from basketlens.llm.common import quoted, without
 SHARDS = 40
 SEED = 20240607
 CELLS = 8            # of a shard, at the least
-CELL_ROWS = 1 << 20  # rows of a cell, about: larger shards have more cells
+CELL_ROWS = 1 << 20  # rows of a cell, about: larger parts and shards have more cells
+MATRIX = 1 << 16     # numbers of the communication matrix (but one part at the least)
 
 
 def _stirling_error(n: int) -> float:
@@ -128,14 +133,15 @@ def _keyed(seed: int, salt: int, columns: list[Column]) -> Column:
 
 
 def shard_rows(df: DataFrame, shards: int = SHARDS, seed: int = SEED, parts: int | None = None,
-               cells: int | None = None) -> DataFrame:
+               cells: int | None = None, part_cells: int | None = None) -> DataFrame:
     """The rows of ``df`` with ``shard`` (int, from 0) and ``slot`` (long, from
     0, gapless in the shard): uniform over all assignments with shard sizes
     that differ by one at most.
 
-    ``parts``: number of source parts, by default four per shuffle partition.
-    ``cells``: cells that a shard is permuted in, by default as many as keep
-    them at about ``CELL_ROWS`` rows.
+    ``parts``: number of source parts, by default four per shuffle partition as
+    far as ``MATRIX`` allows.  ``cells``: cells that a shard is permuted in, by
+    default as many as keep them at about ``CELL_ROWS`` rows; ``part_cells``:
+    the same of a part.
     Rows are told apart by all their columns; rows that agree in all of them
     are interchangeable and still get places of their own.  Nulls are values
     like others.  An input column named like an output one is replaced.  An
@@ -144,7 +150,7 @@ def shard_rows(df: DataFrame, shards: int = SHARDS, seed: int = SEED, parts: int
     if shards < 1:
         raise ValueError("at least one shard is needed")
     spark = df.sparkSession
-    parts = parts or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = parts or max(1, min(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), MATRIX // shards))
     kept = without(df, "shard", "slot")
     values = [F.to_json(F.struct(quoted(c))) if _nested(df, c) else quoted(c) for c in df.columns]
     rows = df.select(F.struct(*[quoted(c) for c in df.columns]).alias("row"),
@@ -154,8 +160,10 @@ def shard_rows(df: DataFrame, shards: int = SHARDS, seed: int = SEED, parts: int
 
     found = {r["part"]: r["n"] for r in rows.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect()}
     numbers = sorted(found)
-    cells = cells or max(CELLS, -(-sum(found.values()) // (shards * CELL_ROWS)))
-    matrix = communication_matrix([found[p] for p in numbers], shard_sizes(sum(found.values()), shards), seed)
+    total = sum(found.values())
+    cells = cells or max(CELLS, -(-total // (shards * CELL_ROWS)))
+    part_cells = part_cells or max(1, -(-total // (parts * CELL_ROWS)))
+    matrix = communication_matrix([found[p] for p in numbers], shard_sizes(total, shards), seed)
     # One row per part: the last local position of each shard.  The table holds
     # parts x shards numbers, which bounds what a broadcast of it moves.
     text = json.dumps([{"part": p, "ends": list(accumulate(row))} for p, row in zip(numbers, matrix)])
@@ -163,20 +171,27 @@ def shard_rows(df: DataFrame, shards: int = SHARDS, seed: int = SEED, parts: int
 
     # Permute locally, cut.  A part's number fixes the residue of h0, so the
     # order by the whole hash is as random as the hash.
-    local = Window.partitionBy("part").orderBy(_keyed(seed, 2, [F.col("h0"), F.col("h1")]), "h1")
-    cut = rows.withColumn("at", F.row_number().over(local)).join(ends, "part")
-    shard = F.size(F.filter("ends", lambda e: e < F.col("at"))).cast("int")
+    keyed = rows.withColumn("key", _keyed(seed, 2, [F.col("h0"), F.col("h1")]))
+    cut = _places(keyed, "part", part_cells, ["key", "h1"]).join(ends, "part")
+    shard = F.size(F.filter("ends", lambda e: e <= F.col("place"))).cast("int")
     placed = cut.select("row", shard.alias("shard"), _keyed(seed, 3, [F.col("h0"), F.col("h1")]).alias("key"))
-    placed = placed.withColumn("cell", F.pmod(F.shiftright("key", 32), F.lit(cells)).cast("int"))
 
     # Exchange, permute again.
-    before = Window.partitionBy("shard").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = (placed.groupBy("shard", "cell").agg(F.count(F.lit(1)).alias("n"))
-             .select("shard", "cell", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first")))
-    inside = Window.partitionBy("shard", "cell").orderBy("key")
-    ordered = placed.withColumn("own", F.row_number().over(inside)).join(sizes, ["shard", "cell"])
-    return ordered.select(*[F.col("row")[c].alias(c) for c in kept], "shard",
-                          (F.col("first") + F.col("own") - 1).cast("long").alias("slot"))
+    ordered = _places(placed, "shard", cells, ["key"])
+    return ordered.select(*[F.col("row")[c].alias(c) for c in kept], "shard", F.col("place").alias("slot"))
+
+
+def _places(rows: DataFrame, group: str, cells: int, order: list[str]) -> DataFrame:
+    """``rows`` with ``place`` (long, from 0, gapless): their order by ``key``'s
+    cell, then ``order``, in their group."""
+    rows = rows.withColumn("cell", F.pmod(F.shiftright("key", 32), F.lit(cells)).cast("int"))
+    own = (F.row_number().over(Window.partitionBy(group, "cell").orderBy(*order)) - 1).cast("long")
+    if cells == 1:
+        return rows.withColumn("place", own)
+    before = Window.partitionBy(group).orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
+    first = (rows.groupBy(group, "cell").agg(F.count(F.lit(1)).alias("n"))
+             .select(group, "cell", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first")))
+    return rows.withColumn("own", own).join(first, [group, "cell"]).withColumn("place", F.col("first") + F.col("own"))
 
 
 def _nested(df: DataFrame, column: str) -> bool:

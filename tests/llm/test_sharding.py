@@ -56,7 +56,7 @@ def test_uniform(spark):
     rows = documents(spark, [(k, "t") for k in range(6)]).cache()
     got = Counter()
     for seed in range(60):
-        for r in sharding.shard_rows(rows, 2, seed=seed, parts=2, cells=2).collect():
+        for r in sharding.shard_rows(rows, 2, seed=seed, parts=2, cells=2, part_cells=2).collect():
             got[r.doc_id, r.shard, r.slot] += 1
     chi = sum((got[i, s, p] - 10) ** 2 / 10 for i in range(6) for s in range(2) for p in range(3))
     assert chi < 65  # 25 degrees of freedom
@@ -114,3 +114,21 @@ def test_cells_follow_the_counts(spark, monkeypatch):
                                                            F.max("slot").alias("top")).collect()}
     assert sorted(r.n for r in got.values()) == [1333, 1333, 1334]
     assert all(r.n == r.d == r.top + 1 for r in got.values())
+
+
+def test_matrix_is_bounded_and_parts_go_in_cells(spark, monkeypatch):
+    """However many parts are asked for by the cluster, the matrix has
+    ``MATRIX`` numbers at the most, and a part is ordered cell by cell."""
+    drawn = []
+    real = sharding.communication_matrix
+    monkeypatch.setattr(sharding, "communication_matrix", lambda *a: drawn.append(real(*a)) or drawn[-1])
+    monkeypatch.setattr(sharding, "MATRIX", 24)
+    monkeypatch.setattr(sharding, "CELL_ROWS", 50)
+    rows = spark.range(3000).select(F.col("id").alias("doc_id"), F.lit("x").alias("text"))
+    got = sharding.shard_rows(rows, shards=8).collect()
+    check(got, 8)
+    assert sorted(r.doc_id for r in got) == list(range(3000))
+    assert sum(map(len, drawn[0])) <= 24
+    # Neighbours in a shard are strangers in the table.
+    order = [r.doc_id for r in sorted(got, key=lambda r: (r.shard, r.slot))]
+    assert sum(abs(a - b) < 10 for a, b in zip(order, order[1:])) < 60
