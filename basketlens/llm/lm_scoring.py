@@ -6,11 +6,19 @@ bit by bit (see ``mixing``):
 * three bits for its word class's group, two for its frequency band.  A word
   seen in training belongs to the group (one of the most frequent values of a
   grouping column, by default ``lang``) that it is most frequent in.  The
-  predictors' contexts are the class before, the two classes before, the group
-  that leads in the text so far, and all of these;
-* a known word then has its share of its class; a word not seen in training has
-  an escape class and is spelled in bytes with a terminator.  The spelling's
-  predictors' contexts are the last two to five bytes of the word.
+  predictors' contexts are the group that leads in the text so far, the three
+  classes before, the word before and the two words before;
+* six bits for a known word's place in its class, the first bits of its hash.
+  The contexts are the class alone, the word before, the two and the three
+  words before.  A word then has its share of the words in its place;
+* a word not seen in training has an escape class and is spelled in bytes with a
+  terminator.  The spelling's predictors' contexts are the last two to five
+  bytes of the word.
+
+A mixing weight is chosen by the bit's node and by which of the two longest
+contexts have been seen.  Every bit of a word has tables of its own, whose size
+follows from the number of training tokens up to ``TABLE_BITS`` (23 MB in all,
+which is what a task gets by broadcast).
 
 Training: documents are read once into chunks of coded tokens with a dictionary
 per chunk.  The dictionaries' entries meet once by word, where each learns the
@@ -40,12 +48,15 @@ from basketlens.llm.mixing import Mixer, context_keys, counted, node_keys, secon
 
 GROUPS = 6                      # groups with a name; group 6 is any other, 7 the escape and the end
 BANDS = np.array([4, 64, 2048], dtype=np.int64)  # counts at which the next band begins
-ESCAPE, END, NONE = 28, 30, 31  # classes; group 7 has one more bit
+ESCAPE, END, NONE = 28, 30, 31  # classes; group 7 has no band
+PLACE_BITS = 6                  # bits of a known word's place in its class
 CHUNK_BYTES = 16 << 20
-BLOCK_TOKENS, BLOCK_LETTERS = 1 << 17, 1 << 18
+BLOCK_TOKENS, BLOCK_LETTERS = 1 << 18, 1 << 18
 TASK_WORDS = 1 << 19            # distinct words per task that learns spelling
-CLASS_BITS, SPELL_BITS = 16, 19  # sizes of the predictors' tables
+TABLE_BITS, SPELL_BITS = 17, 19  # largest table of a bit of a word; tables of the spelling
+TABLE_TOKENS = 64               # training tokens for an entry of a smaller table
 CONTEXTS = 4
+WORD_BITS = 5 + PLACE_BITS
 RATE = 0.2
 
 
@@ -146,23 +157,29 @@ def _spell_walk(data: np.ndarray, first: np.ndarray):
         yield None, [slots(k, nodes, SPELL_BITS) for k in keys], node, second, data >> np.uint8(7 - depth) & 1
 
 
-# -- classes ------------------------------------------------------------------
+# -- words --------------------------------------------------------------------
 
-def _class_walk(classes: np.ndarray, lengths: np.ndarray):
-    """Per bit of the classes: symbols (None: all), table places, node, second
-    gate, bit."""
-    first = np.concatenate([[0], np.cumsum(lengths)[:-1]])
-    place = np.arange(len(classes), dtype=np.int32) - np.repeat(first, lengths).astype(np.int32)
+def table_bits(train_tokens: int) -> int:
+    """Size of a bit's table for so many training tokens."""
+    return min(TABLE_BITS, max(12, (train_tokens // TABLE_TOKENS).bit_length()))
 
-    def before(k: int) -> np.ndarray:
-        found = np.full(len(classes), NONE, dtype=np.uint8)
-        found[k:] = classes[:-k]
-        found[place < k] = NONE
-        return found
 
-    one, two = before(1), before(2)
-    group = classes >> 2
-    top, lead = np.zeros(len(classes), dtype=np.int32), np.zeros(len(classes), dtype=np.uint64)
+def place_of(hashes: np.ndarray) -> np.ndarray:
+    """Places of words in their classes: the first bits of their hashes."""
+    return (hashes >> np.uint32(32 - PLACE_BITS)).astype(np.uint8)
+
+
+def _before(values: np.ndarray, place: np.ndarray, k: int, none: int) -> np.ndarray:
+    """The value ``k`` tokens before in the same text."""
+    found = np.full(len(values), none, dtype=values.dtype)
+    found[k:] = values[:-k]
+    found[place < k] = none
+    return found
+
+
+def _leading(group: np.ndarray, first: np.ndarray, lengths: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """The group that leads in the text before each token and how surely."""
+    top, lead = np.zeros(len(group), dtype=np.int32), np.zeros(len(group), dtype=np.uint64)
     for g in range(7):
         total = np.concatenate([[0], np.cumsum(group == g, dtype=np.int32)])
         seen = total[:-1] - np.repeat(total[first], lengths)
@@ -170,19 +187,41 @@ def _class_walk(classes: np.ndarray, lengths: np.ndarray):
         top[more] = seen[more]
         lead[more] = g
     sure = np.where(top == 0, 0, 1 + (4 * top >= 3 * np.maximum(1, place)) + (top >= 8)).astype(np.uint64)
-    pair = one.astype(np.uint64) * np.uint64(32) + two
-    leading = lead * np.uint64(4) + sure
-    keys = [context_keys(c * np.uint64(8) + np.uint64(k)) for k, c in enumerate(
-        (one.astype(np.uint64), pair, leading * np.uint64(8) + (one >> 2), leading * np.uint64(1024) + pair))]
-    second = second_gate(one >> 2)
+    return lead * np.uint64(4) + sure
+
+
+def _word_walk(classes: np.ndarray, hashes: np.ndarray, lengths: np.ndarray, bits: int):
+    """Per bit of the words' classes and places: symbols (None: all), table
+    places, node, second gate, bit.  ``hashes`` are the words' (uint32)."""
+    first = np.concatenate([[0], np.cumsum(lengths)[:-1]])
+    place = np.arange(len(classes), dtype=np.int32) - np.repeat(first, lengths).astype(np.int32)
+    one, two, three = (_before(classes, place, k, NONE).astype(np.uint64) for k in (1, 2, 3))
+    word, other, third = (_before(hashes, place, k, 0).astype(np.uint64) for k in (1, 2, 3))
+    pair = (word << np.uint64(32) | other) * np.uint64(0xD6E8FEB86659FD93)
+    triple = (pair ^ pair >> np.uint64(32)) + third
+    group = classes >> 2
+
+    def keyed(*contexts: np.ndarray) -> list[np.ndarray]:
+        return [context_keys(c * np.uint64(8) + np.uint64(k)) for k, c in enumerate(contexts)]
+
+    keys = keyed(_leading(group, first, lengths, place) * np.uint64(8) + (one >> np.uint64(2)),
+                 (one * np.uint64(32) + two) * np.uint64(32) + three, word, pair)
     known = np.flatnonzero(classes < ESCAPE)
+    cell = classes.astype(np.int64)[known]
+    placed = keyed(cell.astype(np.uint64), word[known], pair[known], triple[known])
+    code, second = classes, second_gate(one >> np.uint64(2))
     for depth in range(5):
         if depth == 4:  # group 7 has no fifth bit
-            classes, second, keys = classes[known], second[known], [k[known] for k in keys]
-        node = (classes >> (5 - depth)).astype(np.intp) | 1 << depth
+            code, second, keys = code[known], second[known], [k[known] for k in keys]
+        node = (code >> (5 - depth)).astype(np.intp) | 1 << depth
         nodes = node_keys(node)
-        yield (known if depth == 4 else None, [slots(k, nodes, CLASS_BITS) for k in keys], node, second,
-               classes >> (4 - depth) & 1)
+        yield (known if depth == 4 else None, [slots(k, nodes, bits) + (depth << bits) for k in keys], node, second,
+               code >> (4 - depth) & 1)
+    code, second = place_of(hashes[known]), second_gate(8 + (cell & 3))
+    for depth in range(PLACE_BITS):
+        nodes = node_keys(cell << PLACE_BITS | code >> (PLACE_BITS - depth) | 1 << depth)
+        yield (known, [slots(k, nodes, bits) + (5 + depth << bits) for k in placed],
+               np.full(len(known), 32 + depth), second, code >> (PLACE_BITS - 1 - depth) & 1)
 
 
 @dataclass
@@ -193,11 +232,17 @@ class Model:
     mixer: Mixer
 
 
+def _gate(inputs: list[np.ndarray], node: np.ndarray) -> np.ndarray:
+    """Gate of a bit: its node, and which of the two longest contexts have been seen."""
+    return node * 4 + (inputs[-2] != 0) + 2 * (inputs[-1] != 0)
+
+
 def log10_bits(model: Model, walk, n: int) -> np.ndarray:
     """Per symbol the log10 probability of all its bits."""
-    total = np.ones(n)  # eight factors of 1e-5 at the least
+    total = np.ones(n)  # eleven factors of 1e-5 at the least
     for at, places, node, second, bit in walk:
-        p, _ = model.mixer.predict([t.take(x) for t, x in zip(model.tables, places)], node, second)
+        inputs = [t.take(x) for t, x in zip(model.tables, places)]
+        p, _ = model.mixer.predict(inputs, _gate(inputs, node), second)
         part = np.where(bit == 1, p, np.float32(1) - p)
         if at is None:
             total *= part
@@ -216,33 +261,39 @@ def spell(model: Model, words: list[bytes]) -> np.ndarray:
 
 # -- training in Spark ----------------------------------------------------------
 
-def _learn(walks, bits: int, make):
+def _learn(walks, size: int, make):
     """Online training over a task's blocks.  Rows ``(place, a, b)``: counts of
     zeros and ones, then the mixer's values and their weight, weighted."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        size, mixer, seen = 1 << bits, make(), 0
-        counts = np.zeros((2, CONTEXTS, size))
-        tables = counted(*counts)
+        mixer, seen = make(), 0
+        counts = np.zeros((CONTEXTS, size, 2), dtype=np.int64)
+        tables = np.zeros((CONTEXTS, size), dtype=np.float32)
         for walk in walks(batches):
+            met: list[list[np.ndarray]] = [[] for _ in range(CONTEXTS)]
             for _, places, node, second, bit in walk:
                 if not len(bit):
                     continue
-                one = bit == 1
                 inputs = [t.take(x) for t, x in zip(tables, places)]
-                _, kept = mixer.predict(inputs, node, second)
-                mixer.learn(inputs, node, one, kept, RATE)
-                for k, x in enumerate(places):
-                    ones = np.bincount(x[one], minlength=size)
-                    counts[1, k] += ones
-                    counts[0, k] += np.bincount(x, minlength=size) - ones
+                gate = _gate(inputs, node)
+                _, kept = mixer.predict(inputs, gate, second)
+                mixer.learn(inputs, gate, bit == 1, kept, RATE)
+                for m, x in zip(met, places):
+                    m.append(x * 2 + bit)
                 seen += len(bit)
-            tables = counted(*counts)
-        used = np.flatnonzero(counts.sum(axis=0).ravel())
-        zeros, ones = counts.reshape(2, -1)
+            for k, m in enumerate(met):
+                if m:
+                    places = np.concatenate(m)
+                    counts[k] += np.bincount(places, minlength=2 * size).reshape(-1, 2)
+                    changed = np.zeros(size, dtype=bool)
+                    changed[places >> 1] = True
+                    changed = np.flatnonzero(changed)
+                    tables[k, changed] = counted(*counts[k, changed].T)
         if not seen:
             return
+        zeros, ones = counts.reshape(-1, 2).T
+        used = np.flatnonzero(zeros + ones)
         values = mixer.flat().astype(float)
-        at = np.concatenate([used, CONTEXTS * size + np.arange(len(values))])
+        at = np.concatenate([used, CONTEXTS * size + np.arange(len(values))]).astype(np.int32)
         a = np.concatenate([zeros[used], values * seen])
         b = np.concatenate([ones[used], np.full(len(values), float(seen))])
         for k in range(0, len(at), 1 << 16):
@@ -252,13 +303,13 @@ def _learn(walks, bits: int, make):
     return run
 
 
-def train(rows: DataFrame, walks, bits: int, make) -> Model:
+def train(rows: DataFrame, walks, size: int, make) -> Model:
     """The model learned from all rows.  What reaches the driver is bounded by
     the tables' fixed size."""
-    found = (rows.mapInArrow(_learn(walks, bits, make), "place long, a double, b double")
+    found = (rows.mapInArrow(_learn(walks, size, make), "place int, a double, b double")
              .groupBy("place").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).toArrow())
     at, a, b = (found.column(c).to_numpy() for c in ("place", "a", "b"))
-    size, mixer = CONTEXTS << bits, make()
+    size, mixer = CONTEXTS * size, make()
     counts = np.zeros((2, size))
     own = at < size
     counts[0, at[own]], counts[1, at[own]] = a[own], b[own]
@@ -281,23 +332,32 @@ def _blocks(lengths: np.ndarray) -> Iterator[tuple[int, int]]:
         yield first, len(lengths)
 
 
-def _class_walks(lengths: np.ndarray, classes: np.ndarray):
+def _word_walks(lengths: np.ndarray, classes: np.ndarray, hashes: np.ndarray, bits: int):
     at = np.concatenate([[0], np.cumsum(lengths)])
     for a, b in _blocks(lengths):
-        yield at[a], at[b], _class_walk(classes[at[a]:at[b]], lengths[a:b])
+        cut = slice(at[a], at[b])
+        yield at[a], at[b], _word_walk(classes[cut], hashes[cut], lengths[a:b], bits)
+
 
+def _tokens(codes, *values) -> list[np.ndarray]:
+    """Values of a chunk's dictionary entries, for every token."""
+    codes = np.frombuffer(zstandard.decompress(codes.as_py()), dtype="<u4")
+    return [np.frombuffer(v.as_py(), dtype=kind)[codes] for v, kind in values]
 
-def _class_rows(batches: Iterator[pa.RecordBatch]):
+
+def _word_rows(bits: int):
     """Walks over the training documents of coded chunks."""
-    for batch in batches:
-        for k in range(batch.num_rows):
-            out, length, classes, moved = (batch.column(c)[k] for c in ("held_out", "length", "classes", "moved"))
-            length = length.values.to_numpy(zero_copy_only=False)
-            keep = ~out.values.to_numpy(zero_copy_only=False)
-            learned = (np.frombuffer(zstandard.decompress(classes.as_py()), np.uint8)
-                       ^ np.frombuffer(zstandard.decompress(moved.as_py()), np.uint8))[np.repeat(keep, length)]
-            for _, _, walk in _class_walks(length[keep], learned):
-                yield walk
+    def run(batches: Iterator[pa.RecordBatch]):
+        for batch in batches:
+            for k in range(batch.num_rows):
+                out, length, codes, moved, hashes = (
+                    batch.column(c)[k] for c in ("held_out", "length", "codes", "moved", "hashes"))
+                length = length.values.to_numpy(zero_copy_only=False)
+                keep = ~out.values.to_numpy(zero_copy_only=False)
+                learned, words = (x[np.repeat(keep, length)] for x in _tokens(codes, (moved, np.uint8), (hashes, "<u4")))
+                for _, _, walk in _word_walks(length[keep], learned, words, bits):
+                    yield walk
+    return run
 
 
 def _spell_rows(batches: Iterator[pa.RecordBatch]):
@@ -307,12 +367,12 @@ def _spell_rows(batches: Iterator[pa.RecordBatch]):
             yield _spell_walk(*_letters(words[a:b]))
 
 
-def _class_mixer() -> Mixer:
-    return Mixer(CONTEXTS, 32, 8)
+def _word_mixer() -> Mixer:
+    return Mixer(CONTEXTS, 4 * (32 + PLACE_BITS), 12)
 
 
 def _spell_mixer() -> Mixer:
-    return Mixer(CONTEXTS, 256, 8)
+    return Mixer(CONTEXTS, 4 * 256, 8)
 
 
 # -- the operator ----------------------------------------------------------------
@@ -359,28 +419,29 @@ def score_corpus(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     word, own = Window.partitionBy("word"), Window.partitionBy("word", "grp")
     key = F.shiftleft("chunk", 24) + F.col("idx")
     met = (entries.repartition("word").withColumn("m", F.sum("n").over(own) * 8 + (7 - F.col("grp")))
-           .select("chunk", "idx", "word", F.sum("n").over(word).alias("c"), F.max("m").over(word).alias("m"),
+           .select("chunk", "idx", "word", F.sum("n").over(word).alias("c"), F.max("m").over(word).alias("m"), F.shiftright(F.xxhash64("word"), 32).cast("int").alias("hash"),
                    (F.min(key).over(word) == key).alias("first")))
     grp = F.when(F.length("word") == 0, 7).otherwise(7 - F.col("m") % 8).cast("int")
     met = table_checkpoint(met.select(
-        F.col("chunk").alias("owner"), "idx", "c", grp.alias("grp"), "first",
+        F.col("chunk").alias("owner"), "idx", "c", grp.alias("grp"), "first", "hash",
         F.when(F.col("first") | (F.col("c") == 0), F.col("word")).alias("word")), "lm-words")
 
     band = sum((F.col("c") >= b).cast("int") for b in BANDS.tolist())
-    mass = {(r["grp"], r["band"]): (r["c"], r["v"]) for r in
-            met.where("first and c > 0").groupBy("grp", band.alias("band"))
+    cell = F.shiftrightunsigned("hash", 32 - PLACE_BITS)
+    mass = {(r["grp"], r["band"], r["cell"]): (r["c"], r["v"]) for r in
+            met.where("first and c > 0").groupBy("grp", band.alias("band"), cell.alias("cell"))
             .agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("v")).collect()}
     train_tokens = sum(c for c, _ in mass.values())
     distinct = sum(v for _, v in mass.values())
-    total = np.ones(32)
-    for (g, b), (c, _) in mass.items():
+    total = np.ones((32, 1 << PLACE_BITS))
+    for (g, b, x), (c, _) in mass.items():
         if g < 7:
-            total[g * 4 + b] = c
+            total[g * 4 + b, x] = c
 
     learners = 1 + distinct // TASK_WORDS
     spelling = share(
-        spark, train(met.where("first and c > 0 and grp < 7").select("word").coalesce(learners), _spell_rows, SPELL_BITS,
-              _spell_mixer))
+        spark, train(met.where("first and c > 0 and grp < 7").select("word").repartition(learners, "word")
+                     .sortWithinPartitions(F.xxhash64("word"), "word"), _spell_rows, 1 << SPELL_BITS, _spell_mixer))
     n_all = train_tokens + distinct + 1
 
     def code(chunk: pa.Table, found: pa.Table) -> pa.Table:
@@ -388,46 +449,50 @@ def score_corpus(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         found = found.take(pa.array(np.argsort(found.column("idx").to_numpy())))
         c, g = found.column("c").to_numpy(), found.column("grp").to_numpy()
         classes = class_of(c, g)
-        share = np.where(classes == END, 0.0, np.log10(np.maximum(c, 1) / total[classes]))
+        hashes = found.column("hash").to_numpy().astype(np.uint32)
+        share = np.where(classes == END, 0.0, np.log10(np.maximum(c, 1) / total[classes, place_of(hashes)]))
         new = np.flatnonzero(classes == ESCAPE)
         share[new] = spell(spelling(), found.column("word").take(pa.array(new)).to_pylist())
-        moved = classes ^ class_of(np.maximum(c - 1, 0), g)
+        moved = class_of(np.maximum(c - 1, 0), g)
         codes = np.frombuffer(zstandard.decompress(chunk.column("codes")[0].as_py()), dtype="<u4")
         lengths = chunk.column("length")[0].values.to_numpy(zero_copy_only=False)
         first = np.concatenate([[0], np.cumsum(lengths)[:-1]])
         sums = [np.add.reduceat(x[codes], first) for x in ((c > 0).astype(np.int64), np.log10((c + 1.0) / n_all), share)]
-        return pa.table({**{k: chunk.column(k) for k in ("doc_id", "held_out", "length", "bytes")},
+        return pa.table({**{k: chunk.column(k) for k in ("doc_id", "held_out", "length", "bytes", "codes")},
                          "known": pa.array([sums[0]]), "base": pa.array([sums[1]]), "share": pa.array([sums[2]]),
-                         "classes": pa.array([zstandard.compress(classes[codes], 1)], pa.binary()),
-                         "moved": pa.array([zstandard.compress(moved[codes], 1)], pa.binary())})
+                         **{name: pa.array([x.tobytes()], pa.binary()) for name, x in
+                            (("classes", classes), ("moved", moved), ("hashes", hashes.astype("<u4")))}})
 
     coded = table_checkpoint(
         chunks.select("chunk", "doc_id", "held_out", "length", "bytes", "codes").groupBy("chunk")
-        .cogroup(met.select("owner", "idx", "c", "grp", F.when(F.col("c") == 0, F.col("word")).alias("word"))
+        .cogroup(met.select("owner", "idx", "c", "grp", "hash", F.when(F.col("c") == 0, F.col("word")).alias("word"))
                  .groupBy("owner")).applyInArrow(
             code, f"doc_id array<{id_type}>, held_out array<boolean>, length array<long>, bytes array<long>,"
-            " known array<long>, base array<double>, share array<double>, classes binary, moved binary"), "lm-coded")
+            " codes binary, known array<long>, base array<double>, share array<double>, classes binary, moved binary,"
+            " hashes binary"), "lm-coded")
 
-    model = share(
-        spark, train(coded.select("held_out", "length", "classes", "moved"), _class_rows, CLASS_BITS, _class_mixer))
+    bits = table_bits(train_tokens)
+    model = share(spark, train(coded.select("held_out", "length", "codes", "moved", "hashes"), _word_rows(bits),
+                               WORD_BITS << bits, _word_mixer))
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = model()
         for batch in batches:
             for k in range(batch.num_rows):
-                ids, out_, length, size, known, base, share, classes = (batch.column(j)[k] for j in range(8))
+                ids, out_, length, size, known, base, share, codes, classes, hashes = (
+                    batch.column(j)[k] for j in range(10))
                 n = length.values.to_numpy(zero_copy_only=False)
-                symbols = np.frombuffer(zstandard.decompress(classes.as_py()), np.uint8)
-                bits = np.empty(len(symbols))
-                for a, b, walk in _class_walks(n, symbols):
-                    bits[a:b] = log10_bits(own, walk, b - a)
-                score = np.add.reduceat(bits, np.concatenate([[0], np.cumsum(n)[:-1]]))
+                symbols, words = _tokens(codes, (classes, np.uint8), (hashes, "<u4"))
+                coded_bits = np.empty(len(symbols))
+                for a, b, walk in _word_walks(n, symbols, words, bits):
+                    coded_bits[a:b] = log10_bits(own, walk, b - a)
+                score = np.add.reduceat(coded_bits, np.concatenate([[0], np.cumsum(n)[:-1]]))
                 yield pa.RecordBatch.from_arrays(
                     [ids.values, out_.values, length.values, size.values, known.values, base.values,
                      pa.array(score + share.values.to_numpy(zero_copy_only=False))],
                     names=["doc_id", "held_out", "n_tokens", "n_bytes", "n_known", "base_score", "score"])
 
-    scored = coded.select("doc_id", "held_out", "length", "bytes", "known", "base", "share", "classes").mapInArrow(
+    scored = coded.select("doc_id", "held_out", "length", "bytes", "known", "base", "share", "codes", "classes", "hashes").mapInArrow(
         finish, f"doc_id {id_type}, held_out boolean, n_tokens long, n_bytes long, n_known long, base_score double,"
         " score double")
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(train_tokens).cast("long").alias("train_tokens"),

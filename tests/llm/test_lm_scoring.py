@@ -4,6 +4,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -48,17 +49,127 @@ def test_beats_the_base_on_held_out_text(spark):
     assert m > b
 
 
-def test_class_bits_are_a_distribution():
-    """The probabilities of all classes after the same text add up to one."""
+def random_model(bits: int) -> lm.Model:
     rng = np.random.default_rng(1)
-    before = rng.choice([0, 1, 5, 9, lm.END, lm.ESCAPE], 50).astype(np.uint8)
-    model = lm.Model(rng.normal(0, 2, (lm.CONTEXTS, 1 << lm.CLASS_BITS)).astype(np.float32), lm._class_mixer())
+    tables = rng.normal(0, 2, (lm.CONTEXTS, lm.WORD_BITS << bits)).astype(np.float32)
+    tables[2:, rng.random(lm.WORD_BITS << bits) < 0.4] = 0  # contexts that have not been seen
+    model = lm.Model(tables, lm._word_mixer())
     model.mixer.weights += rng.normal(0, 0.3, model.mixer.weights.shape).astype(np.float32)
-    total = 0.0
+    model.mixer.refined = rng.uniform(0.01, 0.99, model.mixer.refined.shape).astype(np.float32)
+    return model
+
+
+def log10_of(model, classes, hashes, lengths, bits=12):
+    return lm.log10_bits(model, lm._word_walk(classes, hashes, lengths, bits), len(classes))
+
+
+def test_words_are_a_distribution():
+    """The probabilities of all classes and places after the same text add up to one."""
+    rng = np.random.default_rng(1)
+    before = rng.choice([0, 1, 5, 9, lm.ESCAPE], 50).astype(np.uint8)
+    hashes = rng.integers(0, 1 << 32, 51, dtype=np.uint32)
+    model, total = random_model(12), 0.0
     for c in [*range(28), lm.ESCAPE, lm.END]:
-        symbols = np.append(before, np.uint8(c))
-        total += 10 ** lm.log10_bits(model, lm._class_walk(symbols, np.array([len(symbols)])), len(symbols))[-1]
-    assert total == pytest.approx(1, abs=1e-4)
+        for place in range(1 << lm.PLACE_BITS if c < lm.ESCAPE else 1):
+            hashes[-1] = place << 32 - lm.PLACE_BITS
+            total += 10 ** log10_of(model, np.append(before, np.uint8(c)), hashes, np.array([51]))[-1]
+    assert total == pytest.approx(1, abs=1e-3)
+
+
+def plain_log10(model, texts, bits):
+    """Per token, one bit after the other with Python's integers and floats.
+    ``texts``: lists of (class, hash)."""
+    mask = (1 << 64) - 1
+
+    def slot(context, k, node):
+        x = (context * 8 + k) * 0x9E3779B97F4A7C15 & mask
+        x = ((x ^ x >> 29) >> 16) + node * 0x9E3779B1 & 0xFFFFFFFF
+        return ((x ^ x >> 15) * 0x85EBCA6B & 0xFFFFFFFF) >> 32 - bits
+
+    def cost(contexts, node, gate, second, region, bit):
+        inputs = [float(model.tables[k][(region << bits) + slot(c & mask, k, node)]) for k, c in enumerate(contexts)]
+        gate = gate * 4 + (inputs[2] != 0) + 2 * (inputs[3] != 0)
+        mixed = min(7.99, max(-7.99, sum(float(model.mixer.weights[k, gate]) * x for k, x in enumerate(inputs))))
+        low = int((mixed + 8) * 2)
+        part = (mixed + 8) * 2 - low
+        a, b = (float(model.mixer.refined[second * 33 + low + j]) for j in (0, 1))
+        p = min(1 - 1e-5, max(1e-5, (1 / (1 + math.exp(-mixed)) + a + (b - a) * part) / 2))
+        return math.log10(p if bit else 1 - p)
+
+    found = []
+    for text in texts:
+        seen = [0] * 8
+        for t, (c, h) in enumerate(text):
+            (c1, h1), (c2, h2), (c3, h3) = (text[t - k] if t >= k else (lm.NONE, 0) for k in (1, 2, 3))
+            top, lead = max(seen[:7]), seen.index(max(seen[:7])) if max(seen[:7]) else 0
+            sure = 0 if top == 0 else 1 + (4 * top >= 3 * max(1, t)) + (top >= 8)
+            pair = (h1 << 32 | h2) * 0xD6E8FEB86659FD93 & mask
+            triple = (pair ^ pair >> 32) + h3 & mask
+            total = 0.0
+            for depth in range(5 if c < 28 else 4):
+                node = c >> 5 - depth | 1 << depth
+                total += cost(((lead * 4 + sure) * 8 + (c1 >> 2), (c1 * 32 + c2) * 32 + c3, h1, pair),
+                              node, node, c1 >> 2, depth, c >> 4 - depth & 1)
+            place = h >> 32 - lm.PLACE_BITS
+            for depth in range(lm.PLACE_BITS if c < 28 else 0):
+                node = c << lm.PLACE_BITS | place >> lm.PLACE_BITS - depth | 1 << depth
+                total += cost((c, h1, pair, triple), node, 32 + depth, 8 + (c & 3), 5 + depth,
+                              place >> lm.PLACE_BITS - 1 - depth & 1)
+            found.append(total)
+            seen[c >> 2] += 1
+    return found
+
+
+def test_plain_scorer():
+    rng = random.Random(5)
+    model = random_model(12)
+    vocabulary = [(rng.choice([0, 2, 3, 7, 11, 27, lm.ESCAPE]), rng.getrandbits(32)) for _ in range(40)]
+    texts = [[*(rng.choice(vocabulary) for _ in range(n)), (lm.END, 99)] for n in (0, 1, 2, 3, 40, 200)]
+    flat = [w for t in texts for w in t]
+    got_ = log10_of(model, np.array([c for c, _ in flat], np.uint8), np.array([h for _, h in flat], np.uint32),
+                    np.array([len(t) for t in texts]))
+    assert got_ == pytest.approx(plain_log10(model, texts, 12), abs=2e-3)
+
+
+def test_learning_counts_every_bit():
+    """A block's bits are counted where the walk looks them up; the next block
+    is predicted from them."""
+    classes, hashes = np.array([3, 7, 3, lm.END] * 50, np.uint8), np.array([9, 1 << 31, 9, 5] * 50, np.uint32)
+    lengths = np.full(50, 4)
+    walks = lambda _: (lm._word_walk(classes, hashes, lengths, 12) for _ in range(3))
+    rows = pa.Table.from_batches(list(lm._learn(walks, lm.WORD_BITS << 12, lm._word_mixer)(None)))
+    at, a, b = (rows.column(c).to_numpy() for c in ("place", "a", "b"))
+    counts = {}
+    for _ in range(3):
+        for _, places, _, _, bit in lm._word_walk(classes, hashes, lengths, 12):
+            for k, x in enumerate(places):
+                for s, one in zip(x.tolist(), bit.tolist()):
+                    counts.setdefault(k * (lm.WORD_BITS << 12) + s, [0, 0])[one] += 1
+    own = at < lm.CONTEXTS * (lm.WORD_BITS << 12)
+    assert {int(x): [p, q] for x, p, q in zip(at[own], a[own], b[own])} == counts
+    mixer = lm._word_mixer().load(a[~own] / b[~own])
+    assert (mixer.weights != 0.25).any()
+
+
+def test_order_of_words_counts(spark):
+    """A text costs less in an order that was learned than in another one,
+    whether its words are of one class or not."""
+    rng = random.Random(6)
+    names = [f"word{k}" for k in range(40)]
+    follows = {w: rng.sample(names, 2) for w in names}
+
+    def text():
+        found = [rng.choice(names)]
+        while len(found) < 60:
+            found.append(rng.choice(follows[found[-1]]))
+        return found
+
+    rows = [(k, " ".join(text())) for k in range(600)]
+    rows += [(1000 + k, " ".join(t)) for k in range(20) for t in [text()]]
+    rows += [(2000 + i - 1000, " ".join(t.split()[::-1])) for i, t in rows[-20:]]
+    scores = {r.doc_id: r.score for r in lm.score_corpus(documents(spark, rows, 2), out=F.col("doc_id") >= 1000).collect()}
+    for k in range(20):
+        assert scores[1000 + k] > 0.75 * scores[2000 + k]
 
 
 def test_spelling_is_a_distribution():
