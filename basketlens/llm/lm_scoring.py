@@ -261,15 +261,17 @@ def spell(model: Model, words: list[bytes]) -> np.ndarray:
 
 # -- training in Spark ----------------------------------------------------------
 
-def _learn(walks, size: int, make):
-    """Online training over a task's blocks.  Rows ``(place, a, b)``: counts of
-    zeros and ones, then the mixer's values and their weight, weighted."""
+def _learn(walks, tables_of: tuple[int, int], make):
+    """Online training over a task's blocks; ``tables_of``: number of tables of
+    a context (a bit has its own or shares the only one) and their size in bits.
+    Rows ``(place, a, b)``: counts of zeros and ones, then the mixer's values and
+    their weight, weighted."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        many, bits = tables_of
         mixer, seen = make(), 0
-        counts = np.zeros((CONTEXTS, size, 2), dtype=np.int64)
-        tables = np.zeros((CONTEXTS, size), dtype=np.float32)
+        counts = np.zeros((CONTEXTS, many, 2 << bits), dtype=np.int32)
+        tables = np.zeros((CONTEXTS, many << bits), dtype=np.float32)
         for walk in walks(batches):
-            met: list[list[np.ndarray]] = [[] for _ in range(CONTEXTS)]
             for _, places, node, second, bit in walk:
                 if not len(bit):
                     continue
@@ -277,39 +279,41 @@ def _learn(walks, size: int, make):
                 gate = _gate(inputs, node)
                 _, kept = mixer.predict(inputs, gate, second)
                 mixer.learn(inputs, gate, bit == 1, kept, RATE)
-                for m, x in zip(met, places):
-                    m.append(x * 2 + bit)
                 seen += len(bit)
-            for k, m in enumerate(met):
-                if m:
-                    places = np.concatenate(m)
-                    counts[k] += np.bincount(places, minlength=2 * size).reshape(-1, 2)
-                    changed = np.zeros(size, dtype=bool)
-                    changed[places >> 1] = True
-                    changed = np.flatnonzero(changed)
-                    tables[k, changed] = counted(*counts[k, changed].T)
+                # A place holds bits of one node, so none is counted before it is predicted.
+                region = int(places[0][0]) >> bits
+                for k, x in enumerate(places):
+                    met = np.bincount((x - (region << bits)) * 2 + bit, minlength=2 << bits)
+                    own = counts[k, region]
+                    np.add(own, met, out=own, casting="unsafe")
+                    changed = np.flatnonzero(met[::2] | met[1::2])
+                    tables[k, changed + (region << bits)] = counted(own[::2][changed], own[1::2][changed])
         if not seen:
             return
-        zeros, ones = counts.reshape(-1, 2).T
-        used = np.flatnonzero(zeros + ones)
+
+        def rows(at, a, b) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(a, pa.float64()),
+                                               pa.array(b, pa.float64())], names=["place", "a", "b"])
+
+        counts = counts.reshape(-1, 2)
+        for k in range(0, len(counts), 1 << 16):
+            cut = counts[k:k + (1 << 16)]
+            used = np.flatnonzero(cut[:, 0] | cut[:, 1])
+            if len(used):
+                yield rows((used + k).astype(np.int32), cut[used, 0].astype(float), cut[used, 1].astype(float))
         values = mixer.flat().astype(float)
-        at = np.concatenate([used, CONTEXTS * size + np.arange(len(values))]).astype(np.int32)
-        a = np.concatenate([zeros[used], values * seen])
-        b = np.concatenate([ones[used], np.full(len(values), float(seen))])
-        for k in range(0, len(at), 1 << 16):
-            cut = slice(k, k + (1 << 16))
-            yield pa.RecordBatch.from_arrays([pa.array(at[cut]), pa.array(a[cut]), pa.array(b[cut])],
-                                             names=["place", "a", "b"])
+        yield rows(np.arange(len(counts), len(counts) + len(values), dtype=np.int32), values * seen,
+                   np.full(len(values), float(seen)))
     return run
 
 
-def train(rows: DataFrame, walks, size: int, make) -> Model:
+def train(rows: DataFrame, walks, tables_of: tuple[int, int], make) -> Model:
     """The model learned from all rows.  What reaches the driver is bounded by
     the tables' fixed size."""
-    found = (rows.mapInArrow(_learn(walks, size, make), "place int, a double, b double")
+    found = (rows.mapInArrow(_learn(walks, tables_of, make), "place int, a double, b double")
              .groupBy("place").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).toArrow())
     at, a, b = (found.column(c).to_numpy() for c in ("place", "a", "b"))
-    size, mixer = CONTEXTS * size, make()
+    size, mixer = CONTEXTS * tables_of[0] << tables_of[1], make()
     counts = np.zeros((2, size))
     own = at < size
     counts[0, at[own]], counts[1, at[own]] = a[own], b[own]
@@ -441,7 +445,7 @@ def score_corpus(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     learners = 1 + distinct // TASK_WORDS
     spelling = share(
         spark, train(met.where("first and c > 0 and grp < 7").select("word").repartition(learners, "word")
-                     .sortWithinPartitions(F.xxhash64("word"), "word"), _spell_rows, 1 << SPELL_BITS, _spell_mixer))
+                     .sortWithinPartitions(F.xxhash64("word"), "word"), _spell_rows, (1, SPELL_BITS), _spell_mixer))
     n_all = train_tokens + distinct + 1
 
     def code(chunk: pa.Table, found: pa.Table) -> pa.Table:
@@ -473,7 +477,7 @@ def score_corpus(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     bits = table_bits(train_tokens)
     model = share(spark, train(coded.select("held_out", "length", "codes", "moved", "hashes"), _word_rows(bits),
-                               WORD_BITS << bits, _word_mixer))
+                               (WORD_BITS, bits), _word_mixer))
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = model()

@@ -49,7 +49,9 @@ def node_keys(nodes: np.ndarray) -> np.ndarray:
 
 def counted(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
     """Stretched prediction of every table entry from its bit counts."""
-    return stretch(np.clip((ones + 0.4) / (zeros + ones + 0.8), 1 / 4096, 4095 / 4096)).astype(np.float32)
+    limit = np.float32(stretch(4095 / 4096))
+    odds = (ones + np.float32(0.4)).astype(np.float32) / (zeros + np.float32(0.4)).astype(np.float32)
+    return np.clip(np.log(odds), -limit, limit)
 
 
 @dataclass

@@ -137,7 +137,7 @@ def test_learning_counts_every_bit():
     classes, hashes = np.array([3, 7, 3, lm.END] * 50, np.uint8), np.array([9, 1 << 31, 9, 5] * 50, np.uint32)
     lengths = np.full(50, 4)
     walks = lambda _: (lm._word_walk(classes, hashes, lengths, 12) for _ in range(3))
-    rows = pa.Table.from_batches(list(lm._learn(walks, lm.WORD_BITS << 12, lm._word_mixer)(None)))
+    rows = pa.Table.from_batches(list(lm._learn(walks, (lm.WORD_BITS, 12), lm._word_mixer)(None)))
     at, a, b = (rows.column(c).to_numpy() for c in ("place", "a", "b"))
     counts = {}
     for _ in range(3):
