@@ -57,6 +57,8 @@ TABLE_BITS, SPELL_BITS = 17, 19  # largest table of a bit of a word; tables of t
 TABLE_TOKENS = 64               # training tokens for an entry of a smaller table
 CONTEXTS = 4
 WORD_BITS = 5 + PLACE_BITS
+SLICE = 1 << 13                 # counts that travel in a row
+SLICES = "slice int, body binary"
 RATE = 0.2
 
 
@@ -264,8 +266,8 @@ def spell(model: Model, words: list[bytes]) -> np.ndarray:
 def _learn(walks, tables_of: tuple[int, int], make):
     """Online training over a task's blocks; ``tables_of``: number of tables of
     a context (a bit has its own or shares the only one) and their size in bits.
-    Rows ``(place, a, b)``: counts of zeros and ones, then the mixer's values and
-    their weight, weighted."""
+    Rows ``(slice, body)``: counts of zeros and ones by slices of the tables, then
+    the mixer's values by weight and the weight (slice -1)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         many, bits = tables_of
         mixer, seen = make(), 0
@@ -291,37 +293,54 @@ def _learn(walks, tables_of: tuple[int, int], make):
         if not seen:
             return
 
-        def rows(at, a, b) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(a, pa.float64()),
-                                               pa.array(b, pa.float64())], names=["place", "a", "b"])
-
-        counts = counts.reshape(-1, 2)
-        for k in range(0, len(counts), 1 << 16):
-            cut = counts[k:k + (1 << 16)]
-            used = np.flatnonzero(cut[:, 0] | cut[:, 1])
-            if len(used):
-                yield rows((used + k).astype(np.int32), cut[used, 0].astype(float), cut[used, 1].astype(float))
-        values = mixer.flat().astype(float)
-        yield rows(np.arange(len(counts), len(counts) + len(values), dtype=np.int32), values * seen,
-                   np.full(len(values), float(seen)))
+        flat = counts.reshape(-1)
+        for k in range(0, len(flat), SLICE):
+            if flat[k:k + SLICE].any():
+                yield _slice(k // SLICE, flat[k:k + SLICE].astype(np.int64))
+        yield _slice(-1, np.append(mixer.flat().astype(float) * seen, float(seen)))
     return run
 
 
+def _slice(number: int, values: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([number], pa.int32()),
+                                       pa.array([zstandard.compress(values.tobytes(), 1)], pa.binary())],
+                                      names=["slice", "body"])
+
+
+def _values(number: int, body: bytes) -> np.ndarray:
+    return np.frombuffer(zstandard.decompress(body), np.int64 if number >= 0 else float)
+
+
+def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums of slices of the same number; a slice is held once."""
+    sums: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for number, body in zip(batch.column(0).to_pylist(), batch.column(1)):
+            values = _values(number, body.as_py())
+            if number in sums:
+                sums[number] += values
+            else:
+                sums[number] = values.copy()
+    for number, values in sums.items():
+        yield _slice(number, values)
+
+
 def train(rows: DataFrame, walks, tables_of: tuple[int, int], make) -> Model:
-    """The model learned from all rows.  What reaches the driver is bounded by
-    the tables' fixed size."""
-    found = (rows.mapInArrow(_learn(walks, tables_of, make), "place int, a double, b double")
-             .groupBy("place").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).toArrow())
-    at, a, b = (found.column(c).to_numpy() for c in ("place", "a", "b"))
+    """The model learned from all rows.  Tasks give their counts in slices, which
+    are added up by their number; what reaches the driver is bounded by the
+    tables' size."""
+    found = (rows.mapInArrow(_learn(walks, tables_of, make), SLICES).repartition("slice")
+             .mapInArrow(_merge, SLICES).toArrow())
     size, mixer = CONTEXTS * tables_of[0] << tables_of[1], make()
-    counts = np.zeros((2, size))
-    own = at < size
-    counts[0, at[own]], counts[1, at[own]] = a[own], b[own]
-    if not own.all():
-        values = np.zeros(int((~own).sum()))
-        values[at[~own] - size] = a[~own] / b[~own]
-        mixer.load(values)
-    return Model(counted(*counts).reshape(CONTEXTS, -1), mixer)
+    tables = np.zeros(size, dtype=np.float32)
+    for number, body in zip(found.column("slice").to_pylist(), found.column("body")):
+        values = _values(number, body.as_py())
+        if number < 0:
+            mixer.load(values[:-1] / values[-1])
+        else:
+            first = number * (SLICE // 2)
+            tables[first:first + SLICE // 2] = counted(values[::2], values[1::2])
+    return Model(tables.reshape(CONTEXTS, -1), mixer)
 
 
 def _blocks(lengths: np.ndarray) -> Iterator[tuple[int, int]]:

@@ -4,7 +4,6 @@ import zlib
 from collections import Counter
 
 import numpy as np
-import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -137,17 +136,23 @@ def test_learning_counts_every_bit():
     classes, hashes = np.array([3, 7, 3, lm.END] * 50, np.uint8), np.array([9, 1 << 31, 9, 5] * 50, np.uint32)
     lengths = np.full(50, 4)
     walks = lambda _: (lm._word_walk(classes, hashes, lengths, 12) for _ in range(3))
-    rows = pa.Table.from_batches(list(lm._learn(walks, (lm.WORD_BITS, 12), lm._word_mixer)(None)))
-    at, a, b = (rows.column(c).to_numpy() for c in ("place", "a", "b"))
+    parts = list(lm._learn(walks, (lm.WORD_BITS, 12), lm._word_mixer)(None))
+    merged = {b.column(0)[0].as_py(): lm._values(b.column(0)[0].as_py(), b.column(1)[0].as_py())
+              for b in lm._merge(parts + parts)}
+    values = merged.pop(-1)
     counts = {}
     for _ in range(3):
         for _, places, _, _, bit in lm._word_walk(classes, hashes, lengths, 12):
             for k, x in enumerate(places):
                 for s, one in zip(x.tolist(), bit.tolist()):
                     counts.setdefault(k * (lm.WORD_BITS << 12) + s, [0, 0])[one] += 1
-    own = at < lm.CONTEXTS * (lm.WORD_BITS << 12)
-    assert {int(x): [p, q] for x, p, q in zip(at[own], a[own], b[own])} == counts
-    mixer = lm._word_mixer().load(a[~own] / b[~own])
+    found = {}
+    for number, body in merged.items():
+        pairs = body.reshape(-1, 2)
+        for x in np.flatnonzero(pairs.any(axis=1)).tolist():
+            found[number * (lm.SLICE // 2) + x] = (pairs[x] // 2).tolist()  # the task came twice
+    assert found == counts
+    mixer = lm._word_mixer().load(values[:-1] / values[-1])
     assert (mixer.weights != 0.25).any()
 
 
