@@ -2,7 +2,11 @@
 seller facts.
 
 Facts are aggregated to order grain *before* joining (Spark does not push
-general aggregates through joins), so no join fans out.  The three order
+general aggregates through joins), so no join fans out.  An order has a few
+rows that lie anywhere in the input, so aggregating before the shuffle saves
+next to nothing, but sorts whole scan tasks, which spill as soon as a task's
+rows outgrow its memory.  The rows are therefore dealt by order id first and
+aggregated in the shuffle's partitions.  The three order
 aggregates and the orders table all end up hash-partitioned on ``order_id``;
 their joins reuse that partitioning instead of shuffling again.  Dimension
 joins follow, the customer join (a different key) last.
@@ -18,11 +22,19 @@ from basketlens.functions.semantics import (first_non_null, last_non_null_nulls_
 from basketlens.operators.delivery import add_delivery_metrics
 
 
-def items_by_order(items: DataFrame) -> DataFrame:
+def _of_orders(rows: DataFrame, placed: bool) -> DataFrame:
+    """The rows that have an order, dealt by it unless they are ``placed``: in
+    buckets of the order id, or known to have a hot order, whose rows are
+    better aggregated before they are shuffled."""
+    rows = rows.where(F.col("order_id").isNotNull())
+    return rows if placed else rows.repartition("order_id")
+
+
+def items_by_order(items: DataFrame, placed: bool = False) -> DataFrame:
     """Per order: item count, price and freight sums, first product and
     seller (first non-null by item number, then product and seller id)."""
     order = ("order_item_id", "product_id", "seller_id")
-    return (items.where(F.col("order_id").isNotNull())
+    return (_of_orders(items, placed)
             .groupBy("order_id")
             .agg(F.count("order_item_id").alias("item_count"),
                  money_sum("price").alias("total_price"),
@@ -31,17 +43,17 @@ def items_by_order(items: DataFrame) -> DataFrame:
                  first_non_null("seller_id", *order).alias("seller_id")))
 
 
-def payments_by_order(payments: DataFrame) -> DataFrame:
+def payments_by_order(payments: DataFrame, placed: bool = False) -> DataFrame:
     """Per order: payment sum, most frequent payment type (ties: smallest;
     none: "unknown") and mean number of installments."""
-    return (payments.where(F.col("order_id").isNotNull())
+    return (_of_orders(payments, placed)
             .groupBy("order_id")
             .agg(money_sum("payment_value").alias("payment_value"),
                  F.coalesce(mode_low("payment_type"), F.lit("unknown")).alias("payment_type"),
                  F.avg("payment_installments").alias("payment_installments")))
 
 
-def latest_review_by_order(reviews: DataFrame) -> DataFrame:
+def latest_review_by_order(reviews: DataFrame, placed: bool = False) -> DataFrame:
     """Per order: the score of the latest answered review.
 
     Reviews are ordered by answer timestamp text with missing timestamps last,
@@ -49,7 +61,7 @@ def latest_review_by_order(reviews: DataFrame) -> DataFrame:
     review id.
     """
     tiebreak = "review_id" if "review_id" in reviews.columns else "review_answer_timestamp"
-    return (reviews.where(F.col("order_id").isNotNull())
+    return (_of_orders(reviews, placed)
             .groupBy("order_id")
             .agg(last_non_null_nulls_last("review_score", "review_answer_timestamp", tiebreak)
                  .alias("review_score")))
@@ -143,15 +155,15 @@ def build_master(src: dict[str, DataFrame], watch: SourceWatch | None = None) ->
     taken gets the suffix ``_order`` or ``_customer``.  ``watch`` counts and
     checks the sources while the master is evaluated.
     """
-    see = watch or _NoWatch()
+    see, placed = watch or _NoWatch(), getattr(src, "placed", ())
     src = {name: see.source(df, name) for name, df in src.items()}
     facts_ = {"item_count", "total_price", "total_freight", "product_id", "seller_id", "payment_value",
               "payment_type", "payment_installments", "review_score", "category", "seller_state"}
     orders = _suffixed(src["orders"], facts_, "_order")
     customers = _suffixed(src["customers"], facts_ | (set(orders.columns) - {"customer_id"}), "_customer")
-    items = items_by_order(src["order_items"])
-    pays = payments_by_order(src["order_payments"])
-    revs = latest_review_by_order(src["order_reviews"])
+    items = items_by_order(src["order_items"], "order_items" in placed)
+    pays = payments_by_order(src["order_payments"], "order_payments" in placed)
+    revs = latest_review_by_order(src["order_reviews"], "order_reviews" in placed)
     # No hints: Spark broadcasts a dimension by its size in bytes and joins by
     # shuffle otherwise (splitting the partition of orders without an item).
     prods = see.joined(product_category(src["products"], src["category_translation"]), "category_translation").select(

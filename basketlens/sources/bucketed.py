@@ -59,11 +59,18 @@ def land_bucketed(spark: SparkSession, sources: dict[str, DataFrame], base: str,
     write_text(spark, f"{base}/{MANIFEST}", json.dumps(said, indent=1))
 
 
+class BucketedSources(dict):
+    """Sources by name.  The rows of the ``placed`` ones need no dealing by
+    order id before the master aggregates them."""
+
+    placed = frozenset(ORDER_GRAIN)
+
+
 def load_bucketed(spark: SparkSession, base: str, most_skew: float = MOST_SKEW) -> dict[str, DataFrame]:
     """All eight sources from a folder written by :func:`land_bucketed`."""
     base = base.rstrip("/")
     said = json.loads(read_text(spark, f"{base}/{MANIFEST}"))
-    out = {}
+    out = BucketedSources()
     for source in REQUIRED:
         path, known = f"{base}/{source}.parquet", said["sources"].get(source)
         if known is None or known["skew"] > most_skew:
