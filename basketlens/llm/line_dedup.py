@@ -28,6 +28,10 @@ Nothing but ids, positions and hashes is shuffled to find candidates; the
 candidates are regrouped by document, and only their chunks' texts, with their
 neighbours', meet again to be compared.  Copies of a hot chunk spread over a
 skew join.
+
+Texts are shuffled only where one may have to be cut: a bitmap of the hashes of
+the texts in question, of ``SLOTS`` bits at any size, is broadcast, and a row
+whose bit is not set stays in its task.
 """
 
 from __future__ import annotations
@@ -42,6 +46,7 @@ ROLL = 2
 SPREAD = 2
 MIN_LINES = 2
 AROUND = 2
+SLOTS = 1 << 26
 _FACTOR, _MODULUS = 31, 1_000_003
 
 
@@ -113,9 +118,10 @@ def repeated_lines(docs: DataFrame, min_lines: int = MIN_LINES, id_col: str = "d
     here = F.struct(F.col("i").isNull().alias("no_id"), "i", "h", "k")
     repeats = (places.groupBy("x").agg(F.count(F.lit(1)).alias("n"), F.min(here).alias("one"))
                .where("n > 1").select("x", "one"))
-    wanted = (places.join(repeats, "x")
-              .select("i", "h", F.struct("k", "x", (here == F.col("one")).alias("is_first")).alias("w"))
-              .groupBy("i", "h").agg(F.collect_set("w").alias("ws")))
+    wanted = table_checkpoint(
+        places.join(repeats, "x")
+        .select("i", "h", F.struct("k", "x", (here == F.col("one")).alias("is_first")).alias("w"))
+        .groupBy("i", "h").agg(F.collect_set("w").alias("ws")), "line-wanted")
 
     def with_neighbours(cs: Column) -> Column:
         return F.transform(cs, lambda c, at: F.struct(
@@ -125,8 +131,7 @@ def repeated_lines(docs: DataFrame, min_lines: int = MIN_LINES, id_col: str = "d
             F.when(at < F.size(cs) - 1, F.concat_ws("\n", *(F.get(cs, at + k)["body"] for k in range(1, AROUND + 1))))
             .alias("after")))
 
-    bodies = (_null_safe(keyed, wanted).select("i", "h", "t", "ws")
-              .dropDuplicates(["i", "h"])
+    bodies = (_null_safe(_marked(keyed, wanted).where("may"), wanted).dropDuplicates(["d"])
               .select("i", "h", F.explode(F.filter(bound(chunks_of(F.col("t")), with_neighbours),
                                                    lambda c: c["w"].isNotNull())).alias("c"))
               .select("i", "h", "c.w.k", "c.w.x", "c.w.is_first", "c.lines", "c.body", "c.before", "c.after"))
@@ -142,9 +147,26 @@ def repeated_lines(docs: DataFrame, min_lines: int = MIN_LINES, id_col: str = "d
         F.sequence("first", "last"))))).alias("gone"))
 
 
+def _marked(rows: DataFrame, keys: DataFrame) -> DataFrame:
+    """The rows with ``may``: whether their hash ``h`` may be among those of the
+    keys (it is not where ``may`` is false)."""
+    slot = F.pmod(F.col("h"), F.lit(SLOTS)) + 1
+    bit = F.bitmap_bit_position(slot)
+    # Dealt first: a partial bitmap per task would be far larger than the hashes.
+    slots = (keys.select(F.bitmap_bucket_number(slot).alias("bucket"), bit.alias("bit")).repartition("bucket")
+             .groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("bits")))
+    byte = F.conv(F.hex(F.substring("bits", (F.floor(bit / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    return (rows.withColumn("bucket", F.bitmap_bucket_number(slot)).join(F.broadcast(slots), "bucket", "left")
+            .withColumn("may", F.coalesce(F.getbit(byte, (bit % 8).cast("int")) == 1, F.lit(False)))
+            .drop("bucket", "bits"))
+
+
 def _null_safe(left: DataFrame, right: DataFrame, how: str = "inner") -> DataFrame:
-    r = right.withColumnRenamed("i", "ri").withColumnRenamed("h", "rh")
-    return left.join(r, left["i"].eqNullSafe(r["ri"]) & (left["h"] == r["rh"]), how)
+    """Joined by ``d``, the id and hash of a text (equal structs may hold nulls).
+    Both sides are shuffled at any size, as those of large tables are."""
+    key = F.struct("i", "h").alias("d")
+    return left.withColumn("d", key).join(right.select(key, *[c for c in right.columns if c not in "ih"]).hint("merge"),
+                                          "d", how)
 
 
 def dedup_lines(docs: DataFrame, min_lines: int = MIN_LINES, id_col: str = "doc_id",
@@ -160,11 +182,13 @@ def dedup_lines(docs: DataFrame, min_lines: int = MIN_LINES, id_col: str = "doc_
     with a null id take part, after all others.  An empty table gives an empty
     result.
     """
-    found = repeated_lines(docs, min_lines, id_col, text_col)
-    rows = docs.select(F.struct(*[quoted(c) for c in docs.columns]).alias("row"), quoted(id_col).alias("i"),
-                       F.xxhash64(quoted(text_col)).alias("h"), quoted(text_col).alias("t"))
+    found = table_checkpoint(repeated_lines(docs, min_lines, id_col, text_col), "lines-gone")
+    rows = _marked(docs.select(F.struct(*[quoted(c) for c in docs.columns]).alias("row"), quoted(id_col).alias("i"),
+                               F.xxhash64(quoted(text_col)).alias("h")), found)
+    cut = _null_safe(rows.where("may"), found, "left").select("row", "gone")
+    whole = rows.where("NOT may").select("row", F.lit(None).cast(found.schema["gone"].dataType).alias("gone"))
     gone = F.col("gone")
-    parted = _null_safe(rows, found, "left").select(
+    parted = cut.unionByName(whole).withColumn("t", F.col("row").getField(text_col)).select(
         "row", "t", "gone", F.when(gone.isNotNull(), F.split("t", "\n", -1)).alias("ls"))
     # The set functions of arrays keep the order of their first argument.
     runs = F.zip_with(F.array_except(gone, F.transform(gone, lambda k: k + 1)),

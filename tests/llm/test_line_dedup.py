@@ -165,3 +165,19 @@ def test_plan_is_native(spark):
     with contextlib.redirect_stdout(buf):
         line_dedup.dedup_lines(table(spark, SF, "documents")).explain("formatted")
     assert "Python" not in buf.getvalue() and "Pandas" not in buf.getvalue() and "Arrow" not in buf.getvalue()
+
+
+def test_only_texts_that_may_be_cut_are_shuffled(spark):
+    rows = documents(spark, [(i, f"a{i}\nb{i}\nc{i}") for i in range(2000)])
+    keyed = rows.select(F.col("doc_id").alias("i"), F.xxhash64("text").alias("h"))
+    marked = {r.i: r.may for r in line_dedup._marked(keyed, keyed.where("i % 100 = 0")).collect()}
+    assert len(marked) == 2000 and all(marked[i] for i in range(0, 2000, 100)) and sum(marked.values()) < 30
+    assert not any(r.may for r in line_dedup._marked(keyed, keyed.where("i < 0")).collect())
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = line_dedup.dedup_lines(rows)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    texts = [part for part in plan.split("Exchange hashpartitioning")[1:] if "text#" in part]
+    assert texts and all("getbit" in part for part in texts)
