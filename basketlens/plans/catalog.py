@@ -123,7 +123,7 @@ def _q(m):
     """The sources written as CSV, with missing-value texts in place of some
     values and a column that the analytics do not know, and read back by their
     headers."""
-    spark = m.master.sparkSession
+    spark = m.sources["orders"].sparkSession
     base = f"{checkpoint_root(spark)}/csv-{uuid.uuid4().hex}"
     for name, df in m.sources.items():
         text = df.select(*[(ntz_text(c, fraction=False) if c in ORDER_TIMESTAMPS else F.col(c).cast("string")).alias(c)
@@ -132,7 +132,7 @@ def _q(m):
             at = F.pmod(F.col(key).cast("long"), F.lit(20))
             said = F.coalesce(*[F.when(at == i, F.lit(t)) for i, t in enumerate(texts)], F.col(column))
             text = text.withColumn(column, said)
-        write_table(text, f"{base}/{name}.csv", "csv")
+        write_table(text, f"{base}/{name}.csv", "csv", compression="gzip")
     again = build_master(load_sources(spark, base, "csv"))
     return again.select(F.col("order_id").cast("long").alias("order_id"), "order_status", "delay_days", "is_late",
                         "item_count", "total_price", "payment_value", "payment_type", "review_score",

@@ -7,12 +7,13 @@ from pyspark.sql import DataFrame
 
 def write_table(df: DataFrame, path: str, fmt: str = "parquet",
                 partition_by: list[str] | None = None,
-                cluster_by: list[str] | None = None, observe=None) -> None:
+                cluster_by: list[str] | None = None, observe=None, compression: str | None = None) -> None:
     """Overwrite ``path`` with ``df``; the writer creates missing folders.
 
     Parquet is the default hand-off format (typed, columnar, prunable).  CSV
     is kept for consumers that need text; it is written with a header and
-    without an index column.
+    without an index column, as plain text unless ``compression`` names a
+    codec (a compressed file is read by one task).
 
     With ``partition_by`` the rows are first rebalanced on the partition
     columns: one shuffle without a sampling pass, after which adaptive
@@ -30,6 +31,8 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet",
     w = df.write.mode("overwrite")
     if partition_by:
         w = w.partitionBy(*partition_by)
+    if compression:
+        w = w.option("compression", compression)
     if fmt == "parquet":
         w.parquet(path)
     elif fmt == "csv":
