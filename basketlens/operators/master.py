@@ -14,6 +14,7 @@ joins follow, the customer join (a different key) last.
 
 from __future__ import annotations
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
@@ -121,8 +122,15 @@ class SourceWatch:
         return self._observe(df, f"joined {name}")
 
     def _get(self, name: str, metric: str) -> int:
-        # A part of the plan that turned out empty may have been left out.
-        return (self.seen[name].get or {}).get(metric) or 0
+        # A part of the plan that turned out empty may have been left out; its
+        # row is empty then, which Spark refuses to hand over by an assertion.
+        try:
+            found = self.seen[name].get or {}
+        except Py4JJavaError as e:
+            if e.java_exception.getClass().getName() != "java.lang.AssertionError":
+                raise
+            found = {}
+        return found.get(metric) or 0
 
     def rows(self) -> dict[str, int]:
         """Rows per source; only after the master has been written."""
