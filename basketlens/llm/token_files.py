@@ -17,12 +17,16 @@ row per file only.
 The tokenizer drops white space, and nothing it does (composition, lower case,
 its pattern, special names) reaches across ASCII white space.  So a document's
 ids are those of its words one after another, and a worker process encodes
-each distinct word once (tested against whole texts).  It holds at most
-``MEMO`` words, or those of one text if they are more; then it starts anew.
+each distinct word once (tested against whole texts).  Texts go in batches of
+``BATCH_BYTES``: Arrow splits them and numbers their distinct words, only
+these are looked up, and the ids of all words are gathered at once.  A worker
+holds at most ``MEMO`` words, or those of one batch if they are more; then it
+starts anew.
 """
 
 from __future__ import annotations
 
+import itertools
 import os
 import re
 import sys
@@ -45,7 +49,7 @@ STRIPE_BYTES = 16 << 20
 ROW_GROUP = 1000
 BLOOM_FPP = 0.01
 MEMO = 500_000
-BATCH_BYTES = 1 << 20
+BATCH_BYTES = 4 << 20
 
 
 class WordEncoder:
@@ -58,54 +62,87 @@ class WordEncoder:
     """
 
     EASY = re.compile("[!-~\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF]+")
-    # Fixed value: the tokenizer file's pattern, for the characters above in lower case.
-    PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00DF-\u00F6\u00F8-\u00FF]+|[0-9]|"
-                        "[^a-z0-9\u00DF-\u00F6\u00F8-\u00FF]+")
+    # Fixed value: the tokenizer file's pattern, for the characters above in lower case and spaces between words.
+    PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00DF-\u00F6\u00F8-\u00FF]+|[0-9]| |"
+                        "[^ a-z0-9\u00DF-\u00F6\u00F8-\u00FF]+")
+    GAP = np.uint32(0xFFFFFFFF)  # stands for the space between two words; no id is as large
 
     def __init__(self, tokenizer_json: bytes, memo: int = MEMO) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_buffer(tokenizer_json)
         self.model, self.memo = self.tokenizer.model, memo
-        self.words: dict[bytes, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
         # Byte-level text: printable bytes stand for themselves, the others follow from 256 on.
         shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
         others = (b for b in range(256) if b not in shown)
         self.byte_text = {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(others)}
+        self.words: dict[str, int] = {"": 0}  # a word's number; Arrow's split gives empty words at a text's ends
+        self.ids, self.ends = np.zeros(0, dtype=np.uint32), np.zeros(1, dtype=np.int64)  # the words' ids in a row
+        self.again = np.ones(1, dtype=bool)  # whether a word was met after the batch it was learned in
+        self.pieces: dict[str, bytes] = {" ": self.GAP.tobytes()}
+
+    def forget(self, limit: int) -> None:
+        """Keep the words met again, if they are at most ``limit``, or none."""
+        keep = self.again if self.again.sum() <= limit else np.arange(len(self.again)) == 0
+        sizes = np.diff(self.ends, prepend=0)
+        self.words = {w: k for k, w in enumerate(itertools.compress(self.words, keep.tolist()))}
+        self.ids, self.ends = self.ids[np.repeat(keep, sizes)], np.cumsum(sizes[keep])
+        self.again = np.arange(len(self.words)) == 0
 
     def piece(self, text: str) -> bytes:
-        found = self.pieces.get(text)
-        if found is None:
-            level = text if text.isascii() else "".join(map(self.byte_text.__getitem__, text.encode()))
-            found = array("I", [t.id for t in self.model.tokenize(level)]).tobytes()
-            self.pieces[text] = found
-        return found
-
-    def learn(self, words: set[bytes]) -> None:
-        if len(self.words) + len(words) > self.memo:
-            self.words.clear()
-            self.pieces.clear()
-        hard = []
-        for word in words:
-            text = word.decode()
-            if "<|" not in text and self.EASY.fullmatch(text):
-                self.words[word] = b"".join(map(self.piece, self.PIECES.findall(text.lower())))
-            else:
-                hard.append(word)
-        found = self.tokenizer.encode_batch([w.decode() for w in hard], add_special_tokens=False)
-        self.words.update((w, array("I", e.ids).tobytes()) for w, e in zip(hard, found))
+        level = text if text.isascii() else "".join(map(self.byte_text.__getitem__, text.encode()))
+        return array("I", [t.id for t in self.model.tokenize(level)]).tobytes()
+
+    def learn(self, words: list[str]) -> None:
+        """Encode words that have no number yet."""
+        easy, hard = words, []
+        if not all(map(self.EASY.fullmatch, words)) or "<|" in " ".join(words):
+            easy, hard = [], []
+            for word in words:
+                (easy if "<|" not in word and self.EASY.fullmatch(word) else hard).append(word)
+        if len(self.pieces) > self.memo // 2:
+            self.pieces = {" ": self.GAP.tobytes()}
+        cut = self.PIECES.findall("".join([w + " " for w in easy]).lower())
+        for text in set(cut).difference(self.pieces):
+            self.pieces[text] = self.piece(text)
+        found = np.frombuffer(b"".join(map(self.pieces.__getitem__, cut)), dtype=np.uint32)
+        gaps = np.flatnonzero(found == self.GAP)
+        slow = [e.ids for e in self.tokenizer.encode_batch(hard, add_special_tokens=False)]
+        ends = np.concatenate([gaps - np.arange(len(gaps)),
+                               len(found) - len(gaps) + np.cumsum([len(x) for x in slow], dtype=np.int64)])
+        self.words.update(zip(easy + hard, range(len(self.ends), len(self.ends) + len(ends))))
+        self.ends = np.concatenate([self.ends, len(self.ids) + ends])
+        self.again = np.concatenate([self.again, np.zeros(len(ends), dtype=bool)])
+        self.ids = np.concatenate([self.ids, np.delete(found, gaps), *(np.array(x, dtype=np.uint32) for x in slow)])
+
+    def numbers(self, words: list[str]) -> np.ndarray:
+        """Numbers of distinct words."""
+        found = list(map(self.words.get, words))
+        self.again[[k for k in found if k is not None]] = True
+        new = [w for w, k in zip(words, found) if k is None]
+        if new:
+            if len(self.words) + len(new) > self.memo:
+                self.forget(min(self.memo // 2, self.memo - len(words)))
+                new = [w for w in words if w not in self.words]
+            self.learn(new)
+            found = map(self.words.__getitem__, words)
+        return np.fromiter(found, np.int64, len(words))
+
+    def encode_all(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of texts, one text after the other, and how many each has."""
+        lists = pc.ascii_split_whitespace(texts)  # splits at the six ASCII white-space bytes
+        words = lists.flatten().dictionary_encode()
+        number = self.numbers(words.dictionary.to_numpy(zero_copy_only=False).tolist())
+        firsts = np.concatenate([[0], self.ends[:-1]])[number]
+        at = words.indices.to_numpy()
+        sizes = (self.ends[number] - firsts)[at]
+        ends = np.concatenate([[0], np.cumsum(sizes)])
+        ids = self.ids[np.repeat(firsts[at] - ends[:-1], sizes) + np.arange(ends[-1])]
+        return ids, np.diff(ends[lists.offsets.to_numpy() - lists.offsets[0].as_py()])
 
     def encode(self, text: str) -> bytes:
         """The ids of a text as unsigned 32-bit numbers."""
-        words = text.encode().split()  # splits at the six ASCII white-space bytes
-        parts = list(map(self.words.get, words))
-        if None in parts:
-            # All words of the text: learning may begin with a cleared memo.
-            self.learn({w for w, p in zip(words, parts) if p is None}
-                       if len(self.words) + len(words) <= self.memo else set(words))
-            parts = map(self.words.__getitem__, words)
-        return b"".join(parts)
+        return self.encode_all(pa.array([text], pa.string()))[0].tobytes()
 
 
 def worker_encoder(tokenizer_json: bytes, memo: int = MEMO) -> WordEncoder:
@@ -120,15 +157,15 @@ def worker_encoder(tokenizer_json: bytes, memo: int = MEMO) -> WordEncoder:
 
 def _encode_rows(tokenizer_json: Callable[[], bytes], end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end = worker_encoder(tokenizer_json()).encode, np.uint32(end_id).tobytes()
+        encoder = worker_encoder(tokenizer_json())
         part, at = TaskContext.get().partitionId(), 0
         for batch in batches:
             texts = batch.column(1)
             for a, b in slices_by_bytes(pc.binary_length(texts).to_pylist(), BATCH_BYTES):
-                found = [encode(text.as_py()) + end for text in texts[a:b]]
-                sizes = np.array([len(ids) // 4 for ids in found], dtype=np.int64)
+                ids, sizes = encoder.encode_all(texts[a:b])
+                values = np.insert(ids, np.cumsum(sizes), np.uint32(end_id)).view(np.int32)
+                sizes = sizes + 1
                 ends = np.cumsum(sizes)
-                values = np.frombuffer(b"".join(found), dtype=np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(values))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0)[a:b], pa.array([part] * (b - a), pa.int32()),

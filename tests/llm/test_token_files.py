@@ -6,6 +6,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pyarrow.orc
 import pytest
 from hypothesis import given, settings
@@ -66,6 +67,32 @@ def test_every_latin_character(plain, encoders):
             assert np.frombuffer(encoders[1].encode(text), dtype="<u4").tolist() + [1] == plain(text)
 
 
+def test_words_are_looked_up_once_a_batch(plain, encoders):
+    """However often a word occurs in a batch; words met again outlive a full memo."""
+    class Counting(dict):
+        asked = 0
+
+        def get(self, key):
+            Counting.asked += 1
+            return super().get(key)
+
+    e = token_files.WordEncoder(encoders[0].tokenizer.to_str().encode(), 50)
+    e.words = Counting(e.words)
+    texts = ["one two one " * 300, "", " two\tthree " * 300]
+    ids, sizes = e.encode_all(pa.array(texts)[0:])
+    assert Counting.asked <= 4
+    assert [x.tolist() + [1] for x in np.split(ids, np.cumsum(sizes)[:-1])] == [plain(t) for t in texts]
+    e.encode("two one")
+    for first in range(0, 200, 10):
+        text = " ".join(f"w{k}" for k in range(first, first + 10))
+        assert np.frombuffer(e.encode(text), "<u4").tolist() + [1] == plain(text)
+        assert len(e.words) <= 50
+        if first == 40:
+            assert {"one", "two"} < set(e.words) and "three" not in e.words
+    ids, sizes = e.encode_all(pa.array(["x y", "one", "two three one"])[1:])  # a slice with an offset
+    assert (ids.tolist(), sizes.tolist()) == (plain("one")[:-1] + plain("two three one")[:-1], [len(plain("one")) - 1, len(plain("two three one")) - 1])
+
+
 def test_edge_rows(spark, plain, tmp_path):
     path = str(tmp_path / "t")
     token_files.write_tokens(documents(spark, EDGES, 3), path, PATH, partitions=4)
