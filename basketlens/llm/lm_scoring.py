@@ -37,13 +37,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from basketlens.functions.lineage import table_checkpoint
-from basketlens.llm.common import LOWER, quoted, share, text_or_empty
+from basketlens.llm.common import PIECE_BYTES, quoted, share, slices_by_bytes, text_or_empty
 from basketlens.llm.mixing import Mixer, context_keys, counted, node_keys, second_gate, slots
 
 GROUPS = 6                      # groups with a name; group 6 is any other, 7 the escape and the end
@@ -62,12 +63,6 @@ SLICES = "slice int, body binary"
 RATE = 0.2
 
 
-class _Numbers(dict):
-    def __missing__(self, key):
-        n = self[key] = len(self)
-        return n
-
-
 def class_of(count: np.ndarray, group: np.ndarray) -> np.ndarray:
     """Class of words by their count and group (group 7: the end token)."""
     known = group.astype(np.int64) * 4 + np.searchsorted(BANDS, count, side="right")
@@ -81,64 +76,95 @@ def _chunks(groups: list[str]):
     which tells the same word in texts of different groups apart."""
     number = {g: k for k, g in enumerate(groups)}
 
+    def pieces(batch: pa.RecordBatch) -> Iterator[tuple]:
+        """Ids, held-out marks, groups, bytes, numbers of tokens and tokens of some documents."""
+        sizes = pc.binary_length(batch.column(3)).to_numpy().astype(np.int64)
+        for a, b in slices_by_bytes(sizes.tolist(), PIECE_BYTES):
+            part = batch.slice(a, b - a)
+            lists = _split(part.column(3))
+            group = np.array([number.get(g, GROUPS) for g in part.column(2).to_pylist()], dtype=np.int64)
+            yield (part.column(0), part.column(1), group, sizes[a:b], np.diff(lists.offsets.to_numpy()).astype(np.int64),
+                   lists.flatten().dictionary_encode())
+
+    def chunk(held: list[tuple], name: int) -> pa.RecordBatch:
+        ids, out, groups, sizes, lengths, words = zip(*held)
+        words = pa.chunked_array(words).unify_dictionaries().chunks
+        known = words[0].dictionary
+        # An entry is a word in a group: first all that occur, then their numbers.
+        used = np.zeros((GROUPS + 1) * len(known), dtype=bool)
+
+        def entry(g, n, w) -> np.ndarray:
+            return np.repeat(g * len(known), n) + w.indices.to_numpy()
+
+        for piece in zip(groups, lengths, words):
+            used[entry(*piece)] = True
+        entries, place = np.flatnonzero(used), np.cumsum(used, dtype=np.uint32) - np.uint32(1)
+        trained, codes = np.zeros(len(entries), dtype=np.int64), []
+        for o, *piece in zip(out, groups, lengths, words):
+            codes.append(place[entry(*piece)])
+            learned = np.repeat(~pc.fill_null(o, False).to_numpy(zero_copy_only=False), piece[1])
+            trained += np.bincount(codes[-1][learned], minlength=len(entries))
+        row = {"chunk": pa.array([name], pa.int64()),
+               "words": _one(known.take(pa.array(entries % len(known))).view(pa.binary())),
+               "group": _one((entries // len(known)).astype(np.int32)), "trained": _one(trained),
+               "doc_id": _one(pa.concat_arrays(ids)), "held_out": _one(pa.concat_arrays(out)),
+               "length": _one(np.concatenate(lengths)), "bytes": _one(np.concatenate(sizes)),
+               "codes": pa.array([zstandard.compress(np.concatenate(codes).astype("<u4"), 1)], pa.binary())}
+        return pa.RecordBatch.from_arrays(list(row.values()), names=list(row))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, count = TaskContext.get().partitionId(), 0
+        name = TaskContext.get().partitionId() << 20
         held: list[tuple] = []
         size = 0
-        words = [_Numbers() for _ in range(GROUPS + 1)]
-
-        def give() -> pa.RecordBatch:
-            nonlocal held, size, words, count
-            first = np.concatenate([[0], np.cumsum([len(w) for w in words])])
-            n = int(first[-1])
-            codes = [c.astype("<u4") + np.uint32(first[g]) for _, _, g, c, _ in held]
-            learned = [c for c, h in zip(codes, held) if not h[1]]
-            train = np.bincount(np.concatenate(learned), minlength=n) if learned else np.zeros(n, dtype=np.int64)
-            row = {"chunk": [part << 20 | count], "words": [[w for d in words for w in d]],
-                   "group": [np.repeat(np.arange(GROUPS + 1, dtype=np.int32), np.diff(first))], "trained": [train],
-                   "doc_id": [[h[0] for h in held]], "held_out": [[h[1] for h in held]],
-                   "length": [[len(c) for c in codes]], "bytes": [[h[4] for h in held]], "codes": [zstandard.compress(np.concatenate(codes), 1)]}
-            kinds = [pa.int64(), pa.list_(pa.binary()), pa.list_(pa.int32()), pa.list_(pa.int64()),
-                     pa.list_(id_type), pa.list_(pa.bool_()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary()]
-            held, size, words, count = [], 0, [_Numbers() for _ in range(GROUPS + 1)], count + 1
-            return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(row.values(), kinds)], names=list(row))
-
         for batch in batches:
-            id_type = batch.column(0).type
-            for i, out, g, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(),
-                                       batch.column(2).to_pylist(), batch.column(3)):
-                text = body.as_py()
-                tokens = text.translate(LOWER).split()
-                tokens.append(b"")  # the end: no word is empty
-                g = number.get(g, GROUPS)
-                held.append((i, out, g, np.fromiter(map(words[g].__getitem__, tokens), np.uint32, len(tokens)), len(text)))
-                size += len(text) + 8
+            first = 0
+            for k, n in enumerate(pc.binary_length(batch.column(3)).to_pylist()):
+                size += n + 8
                 if size >= CHUNK_BYTES:
-                    yield give()
+                    held.extend(pieces(batch.slice(first, k + 1 - first)))
+                    yield chunk(held, name)
+                    held, size, name, first = [], 0, name + 1, k + 1
+                    pa.default_memory_pool().release_unused()  # the worker's next stages need it
+            held.extend(pieces(batch.slice(first)))
         if held:
-            yield give()
+            yield chunk(held, name)
+        del held
+        pa.default_memory_pool().release_unused()
 
     return run
 
 
+def _split(texts: pa.Array) -> pa.ListArray:
+    """Lower-cased words of texts (binary), then the end: no word is empty."""
+    bare = pc.ascii_trim_whitespace(pc.ascii_lower(texts.view(pa.string())))
+    # Arrow splits at the six ASCII white-space bytes and finds an empty word after the last of them.
+    return pc.ascii_split_whitespace(pc.if_else(pc.equal(bare, ""), bare, pc.binary_join_element_wise(bare, "", " ")))
+
+
+def _one(values) -> pa.ListArray:
+    """A list column of one row."""
+    values = values if isinstance(values, pa.Array) else pa.array(values)
+    return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+
+
 # -- spelling -----------------------------------------------------------------
 
 def _letters(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of words with their terminators, flat, and each word's first place."""
     data = np.frombuffer(b" ".join(words) + b" ", dtype=np.uint8)
-    ends = np.cumsum(np.array([len(w) + 1 for w in words]))
+    ends = _word_ends(words)
     return data, np.concatenate([[0], ends[:-1]])
 
 
+def _word_ends(words: list[bytes]) -> np.ndarray:
+    return np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
+
+
 def _words_cut(words: list[bytes], limit: int = BLOCK_LETTERS) -> Iterator[tuple[int, int]]:
-    first, size = 0, 0
-    for k, w in enumerate(words):
-        size += len(w) + 1
-        if size >= limit:
-            yield first, k + 1
-            first, size = k + 1, 0
-    if first < len(words):
-        yield first, len(words)
+    first, ends = 0, _word_ends(words)
+    while first < len(words):
+        last = np.searchsorted(ends, (ends[first - 1] if first else 0) + limit)
+        yield first, (first := min(int(last) + 1, len(words)))
 
 
 def _spell_walk(data: np.ndarray, first: np.ndarray):
@@ -285,10 +311,11 @@ def _learn(walks, tables_of: tuple[int, int], make):
                 # A place holds bits of one node, so none is counted before it is predicted.
                 region = int(places[0][0]) >> bits
                 for k, x in enumerate(places):
-                    met = np.bincount((x - (region << bits)) * 2 + bit, minlength=2 << bits)
-                    own = counts[k, region]
-                    np.add(own, met, out=own, casting="unsafe")
-                    changed = np.flatnonzero(met[::2] | met[1::2])
+                    x = x - (region << bits)
+                    own, met = counts[k, region], np.zeros(1 << bits, dtype=bool)
+                    np.add.at(own, x * 2 + bit, np.int32(1))
+                    met[x] = True
+                    changed = np.flatnonzero(met)
                     tables[k, changed + (region << bits)] = counted(own[::2][changed], own[1::2][changed])
         if not seen:
             return
@@ -296,7 +323,7 @@ def _learn(walks, tables_of: tuple[int, int], make):
         flat = counts.reshape(-1)
         for k in range(0, len(flat), SLICE):
             if flat[k:k + SLICE].any():
-                yield _slice(k // SLICE, flat[k:k + SLICE].astype(np.int64))
+                yield _slice(k // SLICE, flat[k:k + SLICE])
         yield _slice(-1, np.append(mixer.flat().astype(float) * seen, float(seen)))
     return run
 
@@ -307,20 +334,21 @@ def _slice(number: int, values: np.ndarray) -> pa.RecordBatch:
                                       names=["slice", "body"])
 
 
-def _values(number: int, body: bytes) -> np.ndarray:
-    return np.frombuffer(zstandard.decompress(body), np.int64 if number >= 0 else float)
+def _values(number: int, body: bytes, counts=np.int64) -> np.ndarray:
+    return np.frombuffer(zstandard.decompress(body), counts if number >= 0 else float)
 
 
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sums of slices of the same number; a slice is held once."""
+    """Sums of slices of the same number; a slice is held once.  A task's counts
+    have 32 bits, their sums 64."""
     sums: dict[int, np.ndarray] = {}
     for batch in batches:
         for number, body in zip(batch.column(0).to_pylist(), batch.column(1)):
-            values = _values(number, body.as_py())
+            values = _values(number, body.as_py(), np.int32)
             if number in sums:
                 sums[number] += values
             else:
-                sums[number] = values.copy()
+                sums[number] = values.astype(np.int64 if number >= 0 else float)
     for number, values in sums.items():
         yield _slice(number, values)
 
@@ -385,7 +413,7 @@ def _word_rows(bits: int):
 
 def _spell_rows(batches: Iterator[pa.RecordBatch]):
     for batch in batches:
-        words = batch.column("word").to_pylist()
+        words = batch.column("word").to_numpy(zero_copy_only=False).tolist()
         for a, b in _words_cut(words):
             yield _spell_walk(*_letters(words[a:b]))
 
@@ -475,7 +503,7 @@ def score_corpus(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         hashes = found.column("hash").to_numpy().astype(np.uint32)
         share = np.where(classes == END, 0.0, np.log10(np.maximum(c, 1) / total[classes, place_of(hashes)]))
         new = np.flatnonzero(classes == ESCAPE)
-        share[new] = spell(spelling(), found.column("word").take(pa.array(new)).to_pylist())
+        share[new] = spell(spelling(), found.column("word").take(pa.array(new)).to_numpy().tolist())
         moved = class_of(np.maximum(c - 1, 0), g)
         codes = np.frombuffer(zstandard.decompress(chunk.column("codes")[0].as_py()), dtype="<u4")
         lengths = chunk.column("length")[0].values.to_numpy(zero_copy_only=False)

@@ -4,7 +4,9 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 from basketlens.llm import lm_scoring as lm
@@ -156,6 +158,38 @@ def test_learning_counts_every_bit():
     assert (mixer.weights != 0.25).any()
 
 
+def test_counts_of_a_task_travel_in_32_bits():
+    classes, hashes = np.array([3, 7, 3, lm.END] * 50, np.uint8), np.array([9, 1 << 31, 9, 5] * 50, np.uint32)
+    walks = lambda _: [lm._word_walk(classes, hashes, np.full(50, 4), 12)]
+    parts = list(lm._learn(walks, (lm.WORD_BITS, 12), lm._word_mixer)(None))
+    for rows, width in ((parts, 4), (lm._merge(parts), 8)):
+        sizes = {len(zstandard.decompress(b.column(1)[0].as_py())) for b in rows if b.column(0)[0].as_py() >= 0}
+        assert sizes == {width * lm.SLICE}
+
+
+def test_split_gives_lower_cased_words_and_the_end():
+    texts = [(t or "").encode() for _, t in EDGES] + [b"", b" ", b"\n", b"a", b" a", b"a ", b" A  b\x0b\x0c\r\tC\n"]
+    texts += [chr(c).encode() * 2 + b"A" + chr(c).encode() + b"b" + chr(c).encode() for c in range(0x250)]
+    assert lm._split(pa.array(texts, pa.binary())).cast(pa.list_(pa.binary())).to_pylist() == [words(t.decode()) + [b""] for t in texts]
+
+
+def test_chunks_keep_words_of_groups_apart(spark):
+    rows = spark.createDataFrame([(1, False, "x", b"A b a"), (2, True, "x", b"b c"), (3, False, "y", b"a"), (4, None, None, None)],
+                                 "doc_id int, held_out boolean, grp string, body binary").coalesce(1)
+    chunk, = rows.na.fill({"held_out": False}).withColumn("body", F.coalesce("body", F.lit(b""))).mapInArrow(
+        lm._chunks(["x", "y"]), "chunk long, words array<binary>, group array<int>, trained array<long>, doc_id array<int>,"
+        " held_out array<boolean>, length array<long>, bytes array<long>, codes binary").collect()
+    codes = np.frombuffer(zstandard.decompress(bytes(chunk.codes)), "<u4").tolist()
+    entries = list(zip(map(bytes, chunk.words), chunk.group))
+    assert len(set(entries)) == len(entries)
+    assert [entries[c] for c in codes] == [(b"a", 0), (b"b", 0), (b"a", 0), (b"", 0), (b"b", 0), (b"c", 0), (b"", 0),
+                                           (b"a", 1), (b"", 1), (b"", lm.GROUPS)]
+    assert dict(zip(entries, chunk.trained)) == {(b"a", 0): 2, (b"b", 0): 1, (b"", 0): 1, (b"c", 0): 0, (b"a", 1): 1,
+                                                 (b"", 1): 1, (b"", lm.GROUPS): 1}
+    assert (chunk.doc_id, chunk.held_out, chunk.length, chunk.bytes) == (
+        [1, 2, 3, 4], [False, True, False, False], [4, 3, 2, 1], [5, 3, 1, 0])
+
+
 def test_order_of_words_counts(spark):
     """A text costs less in an order that was learned than in another one,
     whether its words are of one class or not."""
